@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import functions as F
 
 
 def to_matrix(column: pa.Array) -> np.ndarray:
@@ -19,3 +20,16 @@ def to_lists(matrix: np.ndarray) -> pa.Array:
     n, width = matrix.shape
     offsets = pa.array(np.arange(n + 1, dtype=np.int32) * width)
     return pa.ListArray.from_arrays(offsets, pa.array(np.ascontiguousarray(matrix).ravel()))
+
+
+def task_function(return_type: str):
+    """Arrow-batched column function that the optimizer evaluates once per row.
+
+    The optimizer copies deterministic expressions into the filters it infers
+    (explode adds one on the array size) and would run the task twice.
+    """
+
+    def wrap(f):
+        return F.arrow_udf(f, return_type).asNondeterministic()
+
+    return wrap

@@ -17,8 +17,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probeloom.functions import vectors as V
-from probeloom.functions.arrow import to_lists, to_matrix
+from probeloom.functions.arrow import task_function, to_lists, to_matrix
 from probeloom.functions.scalars import ACTIVE_THRESHOLD, VARIANCE_FLOOR
+from probeloom.operators.checks import MAX_CLASSES
+from probeloom.session import bounded_rows, settle
 
 TOP_MATCH = 20
 
@@ -35,7 +37,7 @@ def similarity(atoms: DataFrame, other: np.ndarray) -> DataFrame:
     """
     unit = other / np.linalg.norm(other, axis=1, keepdims=True)
 
-    @F.arrow_udf("array<double>")
+    @task_function("array<double>")
     def cosines(weights: pa.Array) -> pa.Array:
         if not len(weights):
             return pa.array([], pa.list_(pa.float64()))
@@ -207,8 +209,9 @@ def match_atoms(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
         out = out.rename(columns={"jaccard": "top_feature_jaccard"})
         return out[[*keys, "atom_a", "atom_b", "sign", "abs_cosine", "top_feature_jaccard", "code_correlation"]]
 
-    group = list(keys) if keys else [F.lit(1)]
-    return pairs.select(*keys, *columns).groupBy(*group).applyInPandas(solve, schema)
+    block_key = F.concat_ws("|", *keys) if keys else F.lit("all")
+    blocks = pairs.select(block_key.alias("_block"), *keys, *columns)
+    return blocks.groupBy("_block").applyInPandas(solve, schema)
 
 
 def stability(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -232,16 +235,24 @@ def code_activity(codes: DataFrame, z: str = "z") -> DataFrame:
     """Per atom, split and label: n_rows, mean, mean absolute value, active share, standardized mean.
 
     ``codes``: label, split, z. Whole vectors are averaged map-side per (split,
-    label); atoms are opened afterwards, on a table of classes x splits rows.
+    label) in one scan; atoms are opened afterwards, on a table with one row per
+    class and split, which also yields the training mean and SD.
     """
-    vec = array_to_vector(F.col(z))
-    means = codes.groupBy("split", "label").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        vector_to_array(Summarizer.mean(vec)).alias("mean"),
-        vector_to_array(Summarizer.mean(array_to_vector(F.transform(z, F.abs)))).alias("mean_abs"),
-        vector_to_array(Summarizer.mean(array_to_vector(_active(F.col(z))))).alias("active"),
+    means = settle(
+        codes.select(
+            "split", "label", array_to_vector(z).alias("v"), array_to_vector(F.transform(z, F.abs)).alias("a"),
+            array_to_vector(_active(F.col(z))).alias("on"),
+        ).groupBy("split", "label").agg(
+            F.count(F.lit(1)).alias("n_rows"),
+            Summarizer.metrics("mean", "normL2").summary(F.col("v")).alias("m"),
+            vector_to_array(Summarizer.mean(F.col("a"))).alias("mean_abs"),
+            vector_to_array(Summarizer.mean(F.col("on"))).alias("active"),
+        ).select(
+            "split", "label", "n_rows", vector_to_array("m.mean").alias("mean"),
+            vector_to_array("m.normL2").alias("length"), "mean_abs", "active",
+        )
     )
-    center, scale = train_scale(codes, z)
+    center, scale = _train_scale(means)
     opened = F.posexplode(F.arrays_zip(
         F.col("mean"), F.col("mean_abs"), F.col("active"),
         V.literal(center).alias("center"), V.literal(scale).alias("scale"),
@@ -255,21 +266,20 @@ def code_activity(codes: DataFrame, z: str = "z") -> DataFrame:
     )
 
 
-def train_scale(codes: DataFrame, z: str = "z") -> tuple[list[float], list[float]]:
+def _train_scale(means: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     """Training mean and population SD of each coordinate; SD 1 where constant."""
-    m = codes.filter("split = 'train'").agg(
-        Summarizer.metrics("count", "mean", "variance").summary(array_to_vector(F.col(z))).alias("m")
-    ).select("m.*").first()
-    n = m["count"]
-    sd = np.sqrt(m["variance"].toArray() * (n - 1) / n)
-    return m["mean"].toArray().tolist(), np.where(sd > VARIANCE_FLOOR, sd, 1.0).tolist()
+    rows = bounded_rows(means.filter("split = 'train'"), MAX_CLASSES, "training classes")
+    n = sum(r["n_rows"] for r in rows)
+    center = sum(r["n_rows"] * np.array(r["mean"]) for r in rows) / n
+    second = sum(np.array(r["length"]) ** 2 for r in rows) / n
+    sd = np.sqrt(np.maximum(second - center ** 2, 0))
+    return center, np.where(sd > VARIANCE_FLOOR, sd, 1.0)
 
 
 def code_usage(codes: DataFrame, z: str = "z") -> DataFrame:
-    """Per split and atom: active share and whether the atom is ever used."""
-    rows = codes.groupBy("split").agg(
-        vector_to_array(Summarizer.mean(array_to_vector(_active(F.col(z))))).alias("share")
-    )
+    """Per split and atom: active share and whether the atom is never used."""
+    on = codes.select("split", array_to_vector(_active(F.col(z))).alias("on"))
+    rows = on.groupBy("split").agg(vector_to_array(Summarizer.mean(F.col("on"))).alias("share"))
     return rows.select("split", F.posexplode("share").alias("a", "active_fraction")).select(
         "split", (F.col("a") + 1).alias("atom"), "active_fraction",
         (F.col("active_fraction") == 0).alias("unused"),
@@ -286,23 +296,28 @@ def order_by_contrast(activity: DataFrame, limit: int | None = None) -> DataFram
     return ranked if limit is None else ranked.filter(F.col("rank") <= limit)
 
 
-def atom_diagnostics(atoms: DataFrame, codes: DataFrame) -> DataFrame:
-    """atom, norm, train and validation active share, largest training contrast."""
-    usage = code_usage(codes).groupBy("atom").pivot("split", ["train", "validation"]).agg(F.first("active_fraction"))
+def atom_diagnostics(atoms: DataFrame, activity: DataFrame) -> DataFrame:
+    """atom, norm, train and validation active share, largest training contrast.
+
+    ``activity`` comes from :func:`code_activity`; shares over all rows are its
+    row-weighted means.
+    """
+    share = F.sum(F.col("active_fraction") * F.col("n_rows")) / F.sum("n_rows")
+    usage = activity.groupBy("atom").pivot("split", ["train", "validation"]).agg(share)
     return (
         atoms.select("atom", V.norm(F.col("weights")).alias("norm"))
         .join(usage.withColumnsRenamed({"train": "train_active_fraction", "validation": "validation_active_fraction"}), "atom")
-        .join(order_by_contrast(code_activity(codes)).select("atom", "max_contrast"), "atom")
+        .join(order_by_contrast(activity).select("atom", "max_contrast"), "atom")
     )
 
 
 def review(atoms: DataFrame, codes: DataFrame, top: int = 10, display: int = 12) -> dict[str, DataFrame]:
-    """All review tables of one dictionary."""
+    """All review tables of one dictionary; the codes are scanned once."""
     activity = code_activity(codes)
     return {
         "top_features": top_signed(atoms, top),
         "activity": activity,
-        "diagnostics": atom_diagnostics(atoms, codes),
+        "diagnostics": atom_diagnostics(atoms, activity),
         "displayed": order_by_contrast(activity, display),
         "max_cosine": self_similarity(atoms).agg(F.max(F.abs("cosine")).alias("max_absolute_cosine")),
     }

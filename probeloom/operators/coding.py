@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from probeloom.functions import vectors as V
-from probeloom.functions.arrow import to_lists, to_matrix
+from probeloom.functions.arrow import task_function, to_lists, to_matrix
 
 MAX_SWEEPS = 3000
 CHANGE_TOLERANCE = 1e-10
@@ -47,7 +47,7 @@ def lasso_rows(x: np.ndarray, d: np.ndarray, alpha: float, max_sweeps: int = MAX
 def encoder(d: np.ndarray, alpha: float):
     """Column function vec -> code, run on Arrow batches."""
 
-    @F.arrow_udf("array<double>")
+    @task_function("array<double>")
     def encode(vec: pa.Array) -> pa.Array:
         if not len(vec):
             return pa.array([], pa.list_(pa.float64()))
@@ -64,7 +64,9 @@ def native_code(vec: Column, d: np.ndarray, alpha: float, steps: int) -> Column:
     """The same code from a fixed number of proximal steps, as one JVM expression.
 
     For small dictionaries: both matrices become literals of the plan. Works on
-    streaming DataFrames because it is stateless.
+    streaming DataFrames because it is stateless. Combine it with
+    :func:`native_kkt`; the optimizer does not pull a task function out of a
+    projection when its argument is this nested aggregate.
     """
     gram = d @ d.T
     bound = float(np.abs(gram).sum(axis=1).max())
@@ -91,7 +93,7 @@ def kkt(d: np.ndarray, alpha: float):
     coordinates and max(|g| - alpha, 0) elsewhere, g being the smooth gradient.
     """
 
-    @F.arrow_udf("array<double>")
+    @task_function("array<double>")
     def residual(vec: pa.Array, code: pa.Array) -> pa.Array:
         if not len(vec):
             return pa.array([], pa.list_(pa.float64()))
@@ -105,10 +107,19 @@ def kkt_rows(x: np.ndarray, z: np.ndarray, d: np.ndarray, alpha: float) -> np.nd
     return np.where(z != 0, np.abs(slope + alpha * np.sign(z)), np.maximum(np.abs(slope) - alpha, 0.0))
 
 
+def native_kkt(vec: Column, code: Column, d: np.ndarray, alpha: float) -> Column:
+    """The residuals of :func:`kkt` as one JVM expression, for small dictionaries."""
+    slope = F.zip_with(
+        V.mat_vec(V.literal_matrix(d @ d.T), code), V.mat_vec(V.literal_matrix(d), vec), lambda p, q: p - q
+    )
+    return F.zip_with(slope, code, lambda s, z: F.when(z != 0, F.abs(s + F.signum(z) * alpha)).otherwise(
+        F.greatest(F.abs(s) - alpha, F.lit(0.0))))
+
+
 def reconstruction(d: np.ndarray):
     """Column function (vec, code) -> [residual sum of squares, vector sum of squares]."""
 
-    @F.arrow_udf("array<double>")
+    @task_function("array<double>")
     def errors(vec: pa.Array, code: pa.Array) -> pa.Array:
         if not len(vec):
             return pa.array([], pa.list_(pa.float64()))

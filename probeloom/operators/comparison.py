@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probeloom.operators.metrics import METRICS
+from probeloom.session import settle
 
 
 def group_means(rows: DataFrame, metrics: Sequence[str] = METRICS) -> DataFrame:
@@ -65,13 +66,15 @@ def best_lambda(rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 def rank_dictionaries(best: DataFrame, diagnostics: DataFrame) -> DataFrame:
     """Score desc, fewer atoms, fewer active atoms, name. Strict one-to-one merge."""
-    n_best, n_diag = best.count(), diagnostics.count()
+    best, diagnostics = settle(best), settle(diagnostics)
+    repeated = best.select("candidate").unionByName(diagnostics.select("candidate")).groupBy("candidate").agg(
+        F.count(F.lit(1)).alias("n")
+    )
+    if not repeated.filter("n <> 2").isEmpty():
+        raise ValueError("Candidates and diagnostics do not match one to one")
     merged = best.join(diagnostics, "candidate")
     place = Window.orderBy(
         F.col("val_macro_f1").desc(), F.col("atoms").asc(),
         F.col("validation_mean_active_atoms").asc(), F.col("candidate").asc(),
     )
-    ranked = merged.withColumn("rank", F.row_number().over(place))
-    if not n_best == n_diag == merged.count() == merged.select("candidate").distinct().count():
-        raise ValueError("Candidates and diagnostics do not match one to one")
-    return ranked
+    return merged.withColumn("rank", F.row_number().over(place))

@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from probeloom.functions import vectors as V
+from probeloom.functions.arrow import task_function
 from probeloom.functions.scalars import TARGET_SUM, VARIANCE_FLOOR, log_rate, safe_scale
 from probeloom.session import bounded_rows, settle
 
@@ -115,7 +116,7 @@ def scatter_scaled(mean: np.ndarray, scale: np.ndarray):
     """
     p = len(mean)
 
-    @F.arrow_udf("array<float>")
+    @task_function("array<float>")
     def dense(positions: pa.Array, values: pa.Array) -> pa.Array:
         n = len(positions)
         x = np.zeros((n, p))
@@ -208,7 +209,7 @@ def standardize(vectors: DataFrame, stats: DataFrame, keys: Sequence[str] = (),
     between a broadcast and an ordinary join.
     """
     scaled = stats.select(
-        *keys, F.col("mean").alias("_mean"), F.transform("variance", safe_scale).alias("_scale")
+        *keys, F.col("mean").alias("_mean"), F.transform("variance", lambda v: safe_scale(v)).alias("_scale")
     )
     if keys:
         joined = vectors.join(settle(scaled, max_rows=MAX_GROUPS), list(keys))

@@ -18,7 +18,8 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from probeloom.functions.arrow import to_lists, to_matrix
+from probeloom.functions import vectors as V
+from probeloom.functions.arrow import task_function, to_lists, to_matrix
 from probeloom.operators.checks import MAX_CLASSES, CheckFailed
 from probeloom.operators.metrics import PROBABILITY_FLOOR, class_list
 from probeloom.session import bounded_rows
@@ -84,7 +85,7 @@ def _probabilities(model: Probe, x: np.ndarray) -> np.ndarray:
 def score(rows: DataFrame, model: Probe, vec: str = "vec") -> DataFrame:
     """Add ``probs`` in class order. Stateless, hence also usable on streams."""
 
-    @F.arrow_udf("array<double>")
+    @task_function("array<double>")
     def probs(v: pa.Array) -> pa.Array:
         if not len(v):
             return pa.array([], pa.list_(pa.float64()))
@@ -93,16 +94,33 @@ def score(rows: DataFrame, model: Probe, vec: str = "vec") -> DataFrame:
     return rows.withColumn("probs", probs(F.col(vec).cast("array<double>")))
 
 
-def confusion_of(rows: DataFrame, models: Sequence[Probe], vec: str = "vec") -> DataFrame:
-    """model, label, prediction, n, loss for many probes from one scan of ``rows``."""
+def native_score(rows: DataFrame, model: Probe, vec: str = "vec") -> DataFrame:
+    """Same as :func:`score` as one JVM expression, for small coefficient blocks."""
+    x = F.col(vec).cast("array<double>")
+    raw = F.zip_with(V.mat_vec(V.literal_matrix(model.coef), x), V.literal(model.intercept), lambda s, b: s + b)
+    return rows.withColumn("probs", V.softmax(raw))
+
+
+def confusion_of(rows: DataFrame, models: Sequence[Probe], vec: str = "vec",
+                 groups: Sequence[str] | None = None) -> DataFrame:
+    """model, label, prediction, n, loss for many probes from one scan of ``rows``.
+
+    With ``groups``, probe i counts only the rows whose grp is ``groups[i]``.
+    Tasks emit one count per occurring cell, never a row per entity.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table: dict[tuple, list[float]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x, y = to_matrix(batch.column(0)), np.array(batch.column(1).to_pylist(), dtype=object)
+            all_x = to_matrix(batch.column(0))
+            all_y, grp = (np.array(batch.column(i).to_pylist(), dtype=object) for i in (1, 2))
             for i, m in enumerate(models):
+                keep = slice(None) if groups is None else grp == groups[i]
+                x, y = all_x[keep], all_y[keep]
+                if not len(y):
+                    continue
                 p = _probabilities(m, x)
                 names = np.array(m.classes, dtype=object)
                 truth = np.searchsorted(names, y)
@@ -122,8 +140,9 @@ def confusion_of(rows: DataFrame, models: Sequence[Probe], vec: str = "vec") ->
             names=["model", "label", "prediction", "n", "loss"],
         )
 
+    grp = F.col("grp").cast("string") if groups is not None else F.lit("")
     return (
-        rows.select(F.col(vec).cast("array<double>").alias("vec"), "label")
+        rows.select(F.col(vec).cast("array<double>").alias("vec"), "label", grp.alias("grp"))
         .mapInArrow(count, "model int, label string, prediction string, n long, loss double")
         .groupBy("model", "label", "prediction").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
     )

@@ -104,13 +104,16 @@ def stratified_split(
         entities.select(*[F.col(c).cast("string") for c in ("entity_id", "label", "grp")]), exclusions
     )
     counts = settle(stage_counts(flagged, minimum))
-    n_rows = counts.agg(F.sum("retained")).first()[0] or 0
-    if n_rows == 0:
-        raise ValueError("No entities remain after exclusions")
     sizes = counts.filter("retained > 0").select(
         "label", F.col("retained").alias("total"), apportion(F.col("retained"), percents).alias("sizes")
     )
-    sizes = settle(sizes)
+    n_rows, train_rows, smallest = sizes.agg(
+        F.sum("total"), F.sum(F.col("sizes")[0]), F.min(F.array_min("sizes"))
+    ).first()
+    if not n_rows:
+        raise ValueError("No entities remain after exclusions")
+    if validate and smallest == 0:
+        raise ValueError("Every retained label must occur in every split")
     running, steps = F.lit(0).cast("long"), []
     for i in range(len(percents) - 1):
         running = running + F.col("sizes")[i]
@@ -121,7 +124,7 @@ def stratified_split(
 
     kept = flagged.filter(~F.col("listed")).join(sizes.select("label"), "label", "left_semi")
     keyed = kept.select("label", order_key(seed, F.col("entity_id")).alias("order_key"), "entity_id")
-    keys = settle(cut_keys(keyed, F.broadcast(cuts), n_rows, per_bucket))
+    keys = cut_keys(keyed, cuts, n_rows, per_bucket)
     bounds = settle(
         keys.groupBy("label").agg(*[
             F.max(F.when(F.col("cut") == i, F.struct("cut_key", "cut_id"))).alias(f"upto{i}")
@@ -143,11 +146,6 @@ def stratified_split(
     split_counts = sizes.select(
         "label", *[F.col("sizes")[i].alias(n) for i, n in enumerate(names)], "total"
     )
-    if validate and not split_counts.filter(
-        " OR ".join(f"{n} = 0" for n in names)
-    ).isEmpty():
-        raise ValueError("Every retained label must occur in every split")
-    train_rows = sizes.agg(F.sum(F.col("sizes")[0])).first()[0]
     return Split(manifest, excluded, split_counts, counts.orderBy("label"), train_rows, bounds, seed, names)
 
 

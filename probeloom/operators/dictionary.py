@@ -11,7 +11,7 @@ Several dictionaries over the same rows share every scan.
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +34,7 @@ PATIENCE = 10
 @dataclass
 class Setting:
     """One dictionary to fit. ``excluded`` names groups held out of training;
-    ``mean`` and ``scale`` standardize the stored rows on the fly."""
+    ``columns``, ``mean`` and ``scale`` select and standardize stored rows on the fly."""
 
     name: str
     atoms: int
@@ -44,8 +44,10 @@ class Setting:
     excluded: tuple[str, ...] = ()
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
+    columns: np.ndarray | None = None
 
     def rows(self, x: np.ndarray) -> np.ndarray:
+        x = x if self.columns is None else x[:, self.columns]
         return x if self.mean is None else (x - self.mean) / self.scale
 
 
@@ -62,6 +64,8 @@ def initial_atoms(vectors: DataFrame, setting: Setting) -> np.ndarray:
     """Normalized non-zero training rows, drawn in the seeded hash order."""
     rows = vectors.filter(~F.col("grp").isin(*setting.excluded)) if setting.excluded else vectors
     x = F.col("vec").cast("array<double>")
+    if setting.columns is not None:
+        x = V.gather(x, F.array(*[F.lit(int(c)) for c in setting.columns]))
     if setting.mean is not None:
         x = F.zip_with(F.zip_with(x, V.literal(setting.mean), lambda a, m: a - m), V.literal(setting.scale),
                        lambda a, s: a / s)
@@ -76,11 +80,12 @@ def initial_atoms(vectors: DataFrame, setting: Setting) -> np.ndarray:
     return x0 / np.linalg.norm(x0, axis=1, keepdims=True)
 
 
-def _sums(models: Sequence[tuple[Setting, np.ndarray]]):
-    """Task function: partial Z'Z | Z'X | scalars per (dictionary, atom)."""
+def _sums(models: Sequence[tuple[Setting, np.ndarray]], certify: bool):
+    """Task function: partial Z'Z | Z'X | scalars per (dictionary, atom), and the largest residual."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
+        worst = [0.0] * len(models)
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -98,34 +103,40 @@ def _sums(models: Sequence[tuple[Setting, np.ndarray]]):
                     len(x), 0.5 * (rest ** 2).sum() + setting.alpha * np.abs(z).sum(),
                     (rest ** 2).sum(), (x ** 2).sum(), (np.abs(z) > 1e-6).sum(),
                 ]
+                if certify:
+                    worst[i] = max(worst[i], float(kkt_rows(x, z, d, setting.alpha).max()))
                 part = np.hstack([z.T @ z, z.T @ x, scalars])
                 totals[i] = part if i not in totals else totals[i] + part
         for i, part in totals.items():
             k = len(part)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, i, np.int32)), pa.array(np.arange(k, dtype=np.int32)), to_lists(part)],
-                names=["model", "atom", "v"],
+                [pa.array(np.full(k, i, np.int32)), pa.array(np.arange(k, dtype=np.int32)), to_lists(part),
+                 pa.array(np.full(k, worst[i]))],
+                names=["model", "atom", "v", "kkt"],
             )
 
     return run
 
 
-def sufficient_sums(rows: DataFrame, models: Sequence[tuple[Setting, np.ndarray]]) -> list[dict | None]:
+def sufficient_sums(rows: DataFrame, models: Sequence[tuple[Setting, np.ndarray]],
+                    certify: bool = False) -> list[dict | None]:
     """Z'Z, Z'X and totals over ``rows`` (vec, grp), for every dictionary in one scan."""
     partial = rows.select(F.col("vec").cast("array<double>").alias("vec"), F.col("grp").cast("string").alias("grp"))
-    partial = partial.mapInArrow(_sums(models), "model int, atom int, v array<double>")
+    partial = partial.mapInArrow(_sums(models, certify), "model int, atom int, v array<double>, kkt double")
     merged = partial.groupBy("model", "atom").agg(
-        vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v")
+        vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"), F.max("kkt").alias("kkt")
     )
     out: list[dict | None] = [None] * len(models)
     grouped: dict[int, list] = {}
     for r in bounded_rows(merged, MAX_ATOMS * max(len(models), 1), "dictionary sums"):
-        grouped.setdefault(r["model"], []).append((r["atom"], r["v"]))
+        grouped.setdefault(r["model"], []).append((r["atom"], r["v"], r["kkt"]))
     for i, parts in grouped.items():
-        m = np.array([v for _, v in sorted(parts)])
+        parts.sort(key=lambda part: part[0])
+        m = np.array([v for _, v, _ in parts])
         k, p = len(m), m.shape[1] - len(m) - 5
         n, objective, rss, xss, active = m[0, k + p:]
-        out[i] = dict(zz=m[:, :k], zx=m[:, k:k + p], n=n, objective=objective, rss=rss, xss=xss, active=active)
+        out[i] = dict(zz=m[:, :k], zx=m[:, k:k + p], n=n, objective=objective, rss=rss, xss=xss, active=active,
+                      kkt=max(worst for _, _, worst in parts))
     return out
 
 
@@ -190,45 +201,47 @@ def fit_dictionaries(vectors: DataFrame, settings: Sequence[Setting], batches: i
     return fits
 
 
-def diagnostics(vectors: DataFrame, fits: Sequence[Fitted]) -> list[dict]:
-    """Training-set certificate of each dictionary, one scan for all of them."""
-    found = sufficient_sums(vectors, [(f.setting, f.atoms) for f in fits])
+def diagnostics(vectors: DataFrame, fits: Sequence[Fitted],
+                held: Sequence[tuple[str, ...]] | None = None) -> list[dict]:
+    """Certificates of each dictionary, one scan for all of them.
+
+    ``held`` names the held-out groups of each fit; their coding residual and
+    error are then reported too, from a second scan.
+    """
+    found = sufficient_sums(vectors, [(f.setting, f.atoms) for f in fits], certify=True)
     out = []
     for fit, s in zip(fits, found):
         d, n = fit.atoms, s["n"]
         step = d - (s["zz"] @ d - s["zx"]) / n
         step = step / np.maximum(1.0, np.linalg.norm(step, axis=1))[:, None]
         out.append(dict(
-            name=fit.setting.name, atoms=len(d), alpha=fit.setting.alpha, seed=fit.setting.seed,
+            name=fit.setting.name, atoms=len(d), alpha=float(fit.setting.alpha), seed=fit.setting.seed,
             epochs_run=fit.epochs_run, steps=fit.steps,
             reached_epoch_budget=fit.epochs_run >= fit.setting.epochs,
             gram_min_eigenvalue=float(np.linalg.eigvalsh(d @ d.T).min()),
             projected_gradient_norm=float(np.linalg.norm(d - step)),
             objective_per_row=float(s["objective"] / n),
-            mse=float(s["rss"] / (n * d.shape[1])),
+            train_mse=float(s["rss"] / (n * d.shape[1])),
             zero_reconstruction_mse=float(s["xss"] / (n * d.shape[1])),
             relative_mse=float(s["rss"] / s["xss"]) if s["xss"] else None,
-            active_fraction=float(s["active"] / (n * len(d))),
+            train_active_fraction=float(s["active"] / (n * len(d))),
+            train_max_kkt=float(s["kkt"]),
             max_atom_norm=float(np.linalg.norm(d, axis=1).max()),
         ))
+    if held is not None:
+        groups = sorted({g for names in held for g in names} | {g for f in fits for g in f.setting.excluded})
+        known = [r[0] for r in bounded_rows(vectors.select(F.col("grp").cast("string")).distinct(), MAX_ATOMS, "groups")]
+        turned = [
+            (replace(f.setting, excluded=tuple(g for g in {*known, *groups} if g not in names)), f.atoms)
+            for f, names in zip(fits, held)
+        ]
+        for row, s in zip(out, sufficient_sums(vectors, turned, certify=True)):
+            row["hold_mse"] = float(s["rss"] / (s["n"] * s["zx"].shape[1]))
+            row["hold_active_fraction"] = float(s["active"] / (s["n"] * row["atoms"]))
+            row["hold_max_kkt"] = float(s["kkt"])
     return out
 
 
-def max_kkt(rows: DataFrame, setting: Setting, d: np.ndarray) -> float:
-    """Largest coding residual over ``rows`` (vec)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        top = 0.0
-        for batch in batches:
-            if batch.num_rows:
-                x = setting.rows(to_matrix(batch.column(0)))
-                top = max(top, float(kkt_rows(x, lasso_rows(x, d, setting.alpha), d, setting.alpha).max()))
-        yield pa.RecordBatch.from_arrays([pa.array([top])], names=["top"])
-
-    vec = rows.select(F.col("vec").cast("array<double>").alias("vec"))
-    return vec.mapInArrow(run, "top double").agg(F.max("top")).first()[0]
-
-
 def atoms_table(spark, fits: Sequence[Fitted]) -> DataFrame:
     """dict_id, atom (1-based), weights."""
     rows = [(f.setting.name, k + 1, [float(v) for v in w]) for f in fits for k, w in enumerate(f.atoms)]

@@ -148,12 +148,13 @@ def confusion_of(rows: DataFrame, models: Sequence[Probe], vec: str = "vec",
     )
 
 
-def together(jobs: Sequence[Callable[[], object]], parallelism: int) -> list:
+def together(spark, jobs: Sequence[Callable[[], object]], parallelism: int) -> list:
     """Run independent fits as concurrent Spark jobs, results in order."""
     if parallelism <= 1 or len(jobs) <= 1:
         return [job() for job in jobs]
+    run = inheritable_thread_target(spark)(lambda job: job())
     with ThreadPool(min(parallelism, len(jobs))) as pool:
-        return pool.map(inheritable_thread_target(lambda job: job()), jobs)
+        return pool.map(run, jobs)
 
 
 def persisted(df: DataFrame) -> DataFrame:

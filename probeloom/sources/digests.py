@@ -41,3 +41,9 @@ def fingerprint(df: DataFrame, keys=(), columns=None) -> DataFrame:
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("n_rows"), F.sum(head).cast("string").alias("checksum")
     )
+
+
+def checksum(df: DataFrame) -> str:
+    """Fingerprint of a whole table as one comparable text."""
+    row = fingerprint(df).first()
+    return f"{row['n_rows']}:{row['checksum']}"

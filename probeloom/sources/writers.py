@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,12 +37,29 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("errorifexists").csv(path, header=True)
 
 
-def write_report(spark: SparkSession, values: dict, path: str) -> None:
-    """A one-row JSON report next to the data."""
-    row = spark.range(1).select(*[
-        (F.array(*[F.lit(x) for x in v]) if isinstance(v, list) else F.lit(v)).alias(k) for k, v in values.items()
-    ])
-    row.write.mode("errorifexists").json(path)
+def write_report(spark: SparkSession, values: dict, path: str) -> dict:
+    """A JSON report of driver-side settings next to the data; write-once."""
+    text = json.dumps(values, indent=2, sort_keys=True)
+    spark.createDataFrame([(text,)], "value string").coalesce(1).write.mode("errorifexists").text(path)
+    return values
+
+
+def read_report(spark: SparkSession, path: str) -> dict:
+    return json.loads("\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect()))
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether anything can be read at ``path``, on whatever file system it names."""
+    try:
+        spark.read.format("binaryFile").load(path)
+        return True
+    except AnalysisException:
+        return False
+
+
+def refuse_existing(spark: SparkSession, path: str) -> None:
+    if exists(spark, path):
+        raise FileExistsError(f"{path} exists; choose a new output")
 
 
 def append_fold(df: DataFrame, path: str, partition_by: str = "outer_grp") -> None:

@@ -51,7 +51,7 @@ def read_report(spark: SparkSession, path: str) -> dict:
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether anything can be read at ``path``, on whatever file system it names."""
     try:
-        spark.read.format("binaryFile").load(path)
+        spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
         return True
     except AnalysisException:
         return False

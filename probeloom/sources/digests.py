@@ -27,12 +27,12 @@ def row_digest(*columns: Column) -> Column:
 
 
 def fingerprint(df: DataFrame, keys=(), columns=None) -> DataFrame:
-    """keys, n_rows, checksum: independent of row order and partitioning.
+    """keys, n_rows, checksum: independent of row order, column order and partitioning.
 
     Row digests are added up (as 60-bit numbers in a wide decimal), so partial
     sums of any part files combine; one scan, no sort and no shuffle of rows.
     """
-    names = columns or [c for c in df.columns if c not in keys]
+    names = sorted(columns or [c for c in df.columns if c not in keys])
     parts = []
     for name in names:
         kind = df.schema[name].dataType.simpleString()

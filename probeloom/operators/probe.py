@@ -6,6 +6,7 @@ and C = 1/(n * lambda).
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -25,6 +26,7 @@ from probeloom.operators.metrics import PROBABILITY_FLOOR, class_list
 from probeloom.session import bounded_rows
 
 MAX_ITERATIONS = 5000
+PARTITION_BYTES = 32 * 1024 * 1024
 TOLERANCE = 1e-7
 
 
@@ -42,8 +44,15 @@ def classes_of(rows: DataFrame, label: str = "label") -> list[str]:
     return sorted(r[0] for r in bounded_rows(rows.select(label).distinct(), MAX_CLASSES, "classes"))
 
 
-def training_rows(rows: DataFrame, classes: Sequence[str], vec: str = "vec") -> DataFrame:
-    """MLlib input. Class numbers follow the sorted class list."""
+def training_rows(rows: DataFrame, classes: Sequence[str], vec: str = "vec",
+                  size: tuple[int, int] | None = None) -> DataFrame:
+    """MLlib input. Class numbers follow the sorted class list.
+
+    Every optimizer step is one job over these rows. ``size`` (rows, width)
+    merges partitions that would hold next to nothing; large data is unchanged.
+    """
+    if size is not None:
+        rows = rows.coalesce(max(1, math.ceil(size[0] * size[1] * 8 / PARTITION_BYTES)))
     return rows.select(
         array_to_vector(F.col(vec).cast("array<double>")).alias("features"),
         (F.array_position(class_list(classes), F.col("label")) - 1).cast("double").alias("label"),
@@ -76,7 +85,7 @@ def fit_probe(train: DataFrame, classes: Sequence[str], n: int, C: float | None
     return probe
 
 
-def _probabilities(model: Probe, x: np.ndarray) -> np.ndarray:
+def probabilities(model: Probe, x: np.ndarray) -> np.ndarray:
     s = x @ model.coef.T + model.intercept
     e = np.exp(s - s.max(axis=1, keepdims=True))
     return e / e.sum(axis=1, keepdims=True)
@@ -89,7 +98,7 @@ def score(rows: DataFrame, model: Probe, vec: str = "vec") -> DataFrame:
     def probs(v: pa.Array) -> pa.Array:
         if not len(v):
             return pa.array([], pa.list_(pa.float64()))
-        return to_lists(_probabilities(model, to_matrix(v)))
+        return to_lists(probabilities(model, to_matrix(v)))
 
     return rows.withColumn("probs", probs(F.col(vec).cast("array<double>")))
 
@@ -101,6 +110,36 @@ def native_score(rows: DataFrame, model: Probe, vec: str = "vec") -> DataFrame:
     return rows.withColumn("probs", V.softmax(raw))
 
 
+CELL_SCHEMA = "model int, label string, prediction string, n long, loss double"
+
+
+def add_cells(cells: dict, key: int, model: Probe, x: np.ndarray, y: np.ndarray) -> None:
+    """Add one batch to the confusion counts and summed losses of a model."""
+    if not len(y):
+        return
+    p = probabilities(model, x)
+    names = np.array(model.classes, dtype=object)
+    truth = np.searchsorted(names, y)
+    loss = -np.log(np.clip(p[np.arange(len(y)), truth], PROBABILITY_FLOOR, 1 - PROBABILITY_FLOOR))
+    code = truth * len(names) + p.argmax(axis=1)
+    n = np.bincount(code, minlength=len(names) ** 2)
+    lost = np.bincount(code, weights=loss, minlength=len(names) ** 2)
+    for c in np.flatnonzero(n):
+        cell = cells.setdefault((key, names[c // len(names)], names[c % len(names)]), [0, 0.0])
+        cell[0] += int(n[c])
+        cell[1] += float(lost[c])
+
+
+def cell_batch(cells: dict) -> pa.RecordBatch:
+    keys = list(cells)
+    return pa.RecordBatch.from_arrays(
+        [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()),
+         pa.array([k[2] for k in keys], pa.string()), pa.array([cells[k][0] for k in keys], pa.int64()),
+         pa.array([cells[k][1] for k in keys], pa.float64())],
+        names=["model", "label", "prediction", "n", "loss"],
+    )
+
+
 def confusion_of(rows: DataFrame, models: Sequence[Probe], vec: str = "vec",
                  groups: Sequence[str] | None = None) -> DataFrame:
     """model, label, prediction, n, loss for many probes from one scan of ``rows``.
@@ -110,40 +149,21 @@ def confusion_of(rows: DataFrame, models: Sequence[Probe], vec: str = "vec",
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table: dict[tuple, list[float]] = {}
+        cells: dict[tuple, list[float]] = {}
         for batch in batches:
             if not batch.num_rows:
                 continue
-            all_x = to_matrix(batch.column(0))
-            all_y, grp = (np.array(batch.column(i).to_pylist(), dtype=object) for i in (1, 2))
+            x = to_matrix(batch.column(0))
+            y, grp = (np.array(batch.column(i).to_pylist(), dtype=object) for i in (1, 2))
             for i, m in enumerate(models):
                 keep = slice(None) if groups is None else grp == groups[i]
-                x, y = all_x[keep], all_y[keep]
-                if not len(y):
-                    continue
-                p = _probabilities(m, x)
-                names = np.array(m.classes, dtype=object)
-                truth = np.searchsorted(names, y)
-                loss = -np.log(np.clip(p[np.arange(len(y)), truth], PROBABILITY_FLOOR, 1 - PROBABILITY_FLOOR))
-                code = truth * len(names) + p.argmax(axis=1)
-                n = np.bincount(code, minlength=len(names) ** 2)
-                lost = np.bincount(code, weights=loss, minlength=len(names) ** 2)
-                for c in np.flatnonzero(n):
-                    cell = table.setdefault((i, names[c // len(names)], names[c % len(names)]), [0, 0.0])
-                    cell[0] += int(n[c])
-                    cell[1] += float(lost[c])
-        keys = list(table)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([k[0] for k in keys], pa.int32()), pa.array([k[1] for k in keys], pa.string()),
-             pa.array([k[2] for k in keys], pa.string()), pa.array([table[k][0] for k in keys], pa.int64()),
-             pa.array([table[k][1] for k in keys], pa.float64())],
-            names=["model", "label", "prediction", "n", "loss"],
-        )
+                add_cells(cells, i, m, x[keep], y[keep])
+        yield cell_batch(cells)
 
     grp = F.col("grp").cast("string") if groups is not None else F.lit("")
     return (
         rows.select(F.col(vec).cast("array<double>").alias("vec"), "label", grp.alias("grp"))
-        .mapInArrow(count, "model int, label string, prediction string, n long, loss double")
+        .mapInArrow(count, CELL_SCHEMA)
         .groupBy("model", "label", "prediction").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
     )
 

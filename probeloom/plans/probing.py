@@ -122,11 +122,12 @@ def search_c(inputs: dict[str, DataFrame], coarse: Sequence[float] = COARSE_C, f
     rows: list[tuple] = []
     coarse_rows: list[tuple] = []
     for name, df in inputs.items():
-        classes = probe.classes_of(df.filter("split = 'train'"))
-        train = probe.persisted(probe.training_rows(df.filter("split = 'train'"), classes))
+        mine = df.filter("split = 'train'")
+        classes = probe.classes_of(mine)
+        n, width = mine.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
+        train = probe.persisted(probe.training_rows(mine, classes, size=(n, width)))
         held = probe.persisted(df.filter("split = 'validation'").select("label", "vec"))
         try:
-            n = train.count()
             first = _fit_stage(name, "coarse", train, held, classes, n, coarse, parallelism)
             winner = comparison.best_c(spark.createDataFrame(first, SEARCH_SCHEMA))
             refined = winner.select(fine_grid(F.col("C"), coarse, fine_points).alias("g")).first()
@@ -163,12 +164,13 @@ def analyse_best(inputs: dict[str, DataFrame], best: DataFrame, tol: float = 1e-
     return out
 
 
-def select_models(inputs: dict[str, DataFrame], grid: DataFrame, parallelism: int = 8) -> dict[str, DataFrame]:
+def select_models(inputs: dict[str, DataFrame], grid: DataFrame, coarse: Sequence[float] = COARSE_C,
+                  fine_points: int = 21, parallelism: int = 8) -> dict[str, DataFrame]:
     """Search C for all representations, rank the dictionaries, recommend one of each kind.
 
     ``grid`` is the result of a dictionary grid; its candidates are names in ``inputs``.
     """
-    everything, best = search_c(inputs, parallelism=parallelism)
+    everything, best = search_c(inputs, coarse, fine_points, parallelism)
     best = settle(best)
     names = grid.select(F.col("candidate").alias("feature_set"))
     mine = best.join(names, "feature_set", "left_semi").withColumnRenamed("feature_set", "candidate")

@@ -3,12 +3,13 @@
 Work is arranged so that entities are scanned as rarely as possible: group
 statistics are taken once and combined per fold, all dictionaries of the study
 are fitted together, and every representation of a fold is kept in memory for
-all its penalties and both scalings.
+all its penalties and both scalings. Scoring every inner fit is one scan, and
+so is scoring and storing every outer fit.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 from itertools import combinations
 
@@ -23,7 +24,8 @@ from probeloom.operators import atoms, checks, comparison, dictionary, features,
 from probeloom.operators.checks import CheckFailed, assert_empty
 from probeloom.operators.coding import lasso_rows
 from probeloom.operators.dictionary import Fitted, Setting
-from probeloom.session import bounded_rows
+from probeloom.operators.probe import Probe
+from probeloom.session import bounded_rows, materialize
 
 SCALINGS = ("standard", "none")
 KEYS = "outer_grp string, inner_grp string, method string, seed long, scaling string, `lambda` double"
@@ -67,20 +69,28 @@ class Representation:
     setting: Setting | None = None       # None: take the ready-made embedding
     atoms: np.ndarray | None = None      # None: the standardized expression itself
 
+    def apply(self, vec: np.ndarray, emb: np.ndarray | None) -> np.ndarray:
+        if self.setting is None:
+            return emb
+        x = self.setting.rows(vec)
+        return x if self.atoms is None else lasso_rows(x, self.atoms, self.setting.alpha)
+
     def column(self):
         if self.setting is None:
             return F.col("emb").cast("array<double>")
-        setting, d = self.setting, self.atoms
 
         @task_function("array<double>")
         def represent(vec: pa.Array) -> pa.Array:
             if not len(vec):
                 return pa.array([], pa.list_(pa.float64()))
-            x = setting.rows(to_matrix(vec))
-            return to_lists(x if d is None else lasso_rows(x, d, setting.alpha))
+            return to_lists(self.apply(to_matrix(vec), None))
 
         return represent(F.col("vec").cast("array<double>"))
 
+    @property
+    def width(self) -> int:
+        return len(self.atoms) if self.atoms is not None else len(self.fold.mean)
+
 
 def make_folds(rows: DataFrame, variance_top: int | None = None) -> list[Fold]:
     """All (outer, inner) and outer folds with their training statistics.
@@ -110,24 +120,93 @@ def make_folds(rows: DataFrame, variance_top: int | None = None) -> list[Fold]:
     return folds
 
 
-def _fit_and_score(rows: DataFrame, rep: Representation, classes: list[str],
-                   wanted: Sequence[tuple[str, float]]) -> list[tuple]:
-    """All (scaling, lambda) fits of one representation, then one scoring scan."""
+def _fit(rows: DataFrame, rep: Representation, classes: list[str],
+         wanted: Sequence[tuple[str, float]]) -> list[Probe]:
+    """All (scaling, lambda) fits of one representation over rows kept in memory."""
     fold = rep.fold
     train = rows.filter(~F.col("grp").isin(*fold.excluded)).select("label", rep.column().alias("r"))
-    prepared = probe.persisted(probe.training_rows(train, classes, "r"))
+    prepared = probe.persisted(probe.training_rows(train, classes, "r", (fold.n_train, rep.width)))
     try:
-        models = [
-            probe.fit_probe(prepared, classes, fold.n_train, lam=lam, scaling=scaling) for scaling, lam in wanted
-        ]
+        return [probe.fit_probe(prepared, classes, fold.n_train, lam=lam, scaling=scaling) for scaling, lam in wanted]
     finally:
         prepared.unpersist()
-    held = rows.filter(F.col("grp") == fold.hold).select("label", rep.column().alias("r"))
-    found = {r["model"]: r for r in metrics.scalar_metrics(probe.confusion_of(held, models, "r"), ["model"]).collect()}
+
+
+def _task_rows(rows: DataFrame) -> DataFrame:
+    emb = F.col("emb") if "emb" in rows.columns else F.array()
+    return rows.select("entity_id", "label", F.col("grp").cast("string").alias("grp"),
+                       F.col("vec").cast("array<double>").alias("vec"), emb.cast("array<double>").alias("emb"))
+
+
+def score_folds(rows: DataFrame, blocks: Sequence[tuple[Representation, Sequence[Probe]]]) -> DataFrame:
+    """Confusion cells of every model on its held-out group, from one scan.
+
+    Models are numbered through the blocks in order. A row is encoded once per
+    fold and representation that holds its group out.
+    """
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cells: dict = {}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vec, emb = to_matrix(batch.column(3)), to_matrix(batch.column(4))
+            y, grp = (np.array(batch.column(i).to_pylist(), dtype=object) for i in (1, 2))
+            key = 0
+            for rep, models in blocks:
+                keep = grp == rep.fold.hold
+                x = rep.apply(vec[keep], emb[keep]) if keep.any() else None
+                for m in models:
+                    if x is not None:
+                        probe.add_cells(cells, key, m, x, y[keep])
+                    key += 1
+        yield probe.cell_batch(cells)
+
+    return _task_rows(rows).mapInArrow(count, probe.CELL_SCHEMA).groupBy("model", "label", "prediction").agg(
+        F.sum("n").alias("n"), F.sum("loss").alias("loss")
+    )
+
+
+def predict_folds(rows: DataFrame, blocks: Sequence[tuple[Representation, Sequence[tuple[str, Probe]]]]) -> DataFrame:
+    """Held-out predictions of every (representation, scaling), from one scan."""
+    schema = (
+        "entity_id string, label string, grp string, method string, seed long, scaling string, "
+        "prediction string, probs array<double>"
+    )
+
+    def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            vec, emb = to_matrix(batch.column(3)), to_matrix(batch.column(4))
+            grp = np.array(batch.column(2).to_pylist(), dtype=object)
+            for rep, models in blocks:
+                at = np.flatnonzero(grp == rep.fold.hold)
+                if not len(at):
+                    continue
+                x, mine = rep.apply(vec[at], emb[at]), batch.take(pa.array(at))
+                for scaling, m in models:
+                    p = probe.probabilities(m, x)
+                    n = len(at)
+                    yield pa.RecordBatch.from_arrays(
+                        [mine.column(0), mine.column(1), mine.column(2), pa.array([rep.method] * n),
+                         pa.array(np.full(n, rep.seed, np.int64)), pa.array([scaling] * n),
+                         pa.array([m.classes[c] for c in p.argmax(axis=1)]), to_lists(p)],
+                        names=["entity_id", "label", "grp", "method", "seed", "scaling", "prediction", "probs"],
+                    )
+
+    return _task_rows(rows).mapInArrow(predict, schema)
+
+
+def _fit_rows(rows: DataFrame, fitted: Sequence[tuple[Representation, Sequence[tuple[str, float]], Sequence[Probe]]]) -> list[tuple]:
+    """One FIT_SCHEMA row per model."""
+    table = score_folds(rows, [(rep, models) for rep, _, models in fitted])
+    found = {r["model"]: r for r in metrics.scalar_metrics(table, ["model"]).collect()}
+    flat = [(rep, scaling, lam, m) for rep, wanted, models in fitted for (scaling, lam), m in zip(wanted, models)]
     return [
-        (fold.outer, fold.inner, rep.method, rep.seed, scaling, lam, m.C, fold.n_train, found[i]["n_rows"], m.converged,
-         *[found[i][k] for k in metrics.METRICS], m)
-        for i, ((scaling, lam), m) in enumerate(zip(wanted, models))
+        (rep.fold.outer, rep.fold.inner, rep.method, rep.seed, scaling, lam, m.C, rep.fold.n_train, found[i]["n_rows"],
+         m.converged, *[found[i][k] for k in metrics.METRICS])
+        for i, (rep, scaling, lam, m) in enumerate(flat)
     ]
 
 
@@ -201,33 +280,26 @@ def nested_study(rows: DataFrame, seeds: Sequence[int] = (0, 1, 2), n_atoms: int
 
     grid = [(s, lam) for s in SCALINGS for lam in lambdas]
     inner_reps = [r for r in reps if r.fold.inner is not None]
-    inner = [t for block in probe.together(
-        spark, [lambda r=r: _fit_and_score(rows, r, classes, grid) for r in inner_reps], parallelism) for t in block]
-    inner_table = spark.createDataFrame([t[:-1] for t in inner], FIT_SCHEMA)
+    fitted_inner = probe.together(spark, [lambda r=r: (r, grid, _fit(rows, r, classes, grid)) for r in inner_reps], parallelism)
+    inner_table = spark.createDataFrame(_fit_rows(rows, fitted_inner), FIT_SCHEMA)
     chosen = comparison.best_lambda(inner_table, ["outer_grp", "method", "scaling"])
     picks = {(r["outer_grp"], r["method"], r["scaling"]): r["lambda"] for r in chosen.collect()}
 
-    outer_reps = [r for r in reps if r.fold.inner is None]
-    for r in outer_reps:
+    def outer_fit(r: Representation):
         if any((r.fold.outer, r.method, s) not in picks for s in SCALINGS):
             raise CheckFailed(f"no penalty converged in every inner fit of {r.fold.outer} {r.method}")
-    outer = [t for block in probe.together(spark, [
-        lambda r=r: _fit_and_score(rows, r, classes, [(s, picks[r.fold.outer, r.method, s]) for s in SCALINGS])
-        for r in outer_reps], parallelism) for t in block]
-    if not all(t[9] for t in outer):
+        wanted = [(s, picks[r.fold.outer, r.method, s]) for s in SCALINGS]
+        return r, wanted, _fit(rows, r, classes, wanted)
+
+    fitted_outer = probe.together(
+        spark, [lambda r=r: outer_fit(r) for r in reps if r.fold.inner is None], parallelism)
+    if not all(m.converged for _, _, models in fitted_outer for m in models):
         raise CheckFailed("an outer probe did not converge")
-    models = {(t[0], t[2], t[3], t[4]): t[-1] for t in outer}
-    predictions = None
-    for r in outer_reps:
-        for scaling in SCALINGS:
-            mine = rows.filter(F.col("grp") == r.fold.hold).select("entity_id", "label", "grp", r.column().alias("r"))
-            scored = metrics.with_prediction(
-                probe.score(mine, models[r.fold.outer, r.method, r.seed, scaling], "r"), classes
-            ).select("entity_id", "label", "grp", F.lit(r.method).alias("method"), F.lit(r.seed).cast("long").alias("seed"),
-                     F.lit(scaling).alias("scaling"), "prediction", "probs")
-            predictions = scored if predictions is None else predictions.unionByName(scored)
+    outer_table = spark.createDataFrame(_fit_rows(rows, fitted_outer), FIT_SCHEMA)
+    predictions = materialize(predict_folds(
+        rows, [(r, list(zip([s for s, _ in wanted], models))) for r, wanted, models in fitted_outer]
+    ), "predictions")
     matches = _stability(rows, folds, fits, seeds, parallelism)
-    outer_table = spark.createDataFrame([t[:-1] for t in outer], FIT_SCHEMA)
     return {
         "inner": inner_table,
         "chosen": chosen,

@@ -56,7 +56,7 @@ def test_end_to_end(spark, raw, bundle):
     embeddings = entities.select("entity_id", F.array(F.crc32("label").cast("double") / 1e9, F.lit(1.0)).alias("vec"))
     inputs = cohort.load_inputs(spark, f"{bundle}/split", f"{bundle}/features", folders, embeddings)
     assert set(inputs) == {"expression", "embedding", *folders}
-    chosen = probing.select_models(inputs, grid)
+    chosen = probing.select_models(inputs, grid, coarse=(0.1, 1.0), fine_points=3)
     assert chosen["recommended"].count() == 3 and chosen["ranking"].count() == 2
     assert reports.ranked_grid(chosen["ranking"]).count() == 2
 

@@ -19,7 +19,7 @@ def rows(spark):
 
 
 def gradient(model, x, y, lam):
-    p = probe._probabilities(model, x)
+    p = probe.probabilities(model, x)
     p[np.arange(len(y)), y] -= 1
     return p.T @ x / len(y) + lam * model.coef, p.mean(axis=0)
 
@@ -39,7 +39,7 @@ def test_standard_scaling_equals_explicit_standardization(rows):
     one = probe.fit_probe(probe.training_rows(rows, classes), classes, N, lam=0.01, scaling="standard", tol=1e-10)
     two = probe.fit_probe(probe.training_rows(scaled, classes), classes, N, lam=0.01, tol=1e-10)
     xs = (X - X.mean(axis=0)) / X.std(axis=0)
-    np.testing.assert_allclose(probe._probabilities(one, X), probe._probabilities(two, xs), atol=1e-4)
+    np.testing.assert_allclose(probe.probabilities(one, X), probe.probabilities(two, xs), atol=1e-4)
 
 
 def test_two_classes_use_one_score(rows):
@@ -57,7 +57,7 @@ def test_scores_agree_between_forms(rows):
     a = np.array([r["probs"] for r in probe.score(rows, model).orderBy("entity_id").collect()])
     b = np.array([r["probs"] for r in probe.native_score(rows, model).orderBy("entity_id").collect()])
     np.testing.assert_allclose(a, b, atol=1e-12)
-    np.testing.assert_allclose(a, probe._probabilities(model, X), atol=1e-12)
+    np.testing.assert_allclose(a, probe.probabilities(model, X), atol=1e-12)
 
 
 def test_shared_scan_confusion_equals_single_models(rows):

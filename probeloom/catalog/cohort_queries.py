@@ -234,12 +234,12 @@ def fitted_on_train(spark: SparkSession, sf_dir: str, n_features: int):
     """Split, then fit on training documents.
 
     The split needs only narrow columns and leaves a few key bounds per label,
-    so training documents are recognized row by row before their text is
-    exploded: two shuffles in all, (entity, token) counts and token moments.
+    so training documents are recognized and counted row by row. The only
+    shuffle of the fit is the partially aggregated one by token.
     """
     s = split.stratified_split(T.text_entities(spark, sf_dir), validate=False)
     train = s.assign(T.text_documents(spark, sf_dir)).filter("split = 'train'")
-    log_train = features.normalize_log(T.count_tokens(T.explode_tokens(train)))
+    log_train = features.normalize_log(T.count_tokens(train))
     return s, features.fit_features(log_train, s.train_rows, n_features)
 
 
@@ -254,11 +254,8 @@ def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 def transformed_vectors(spark: SparkSession, sf_dir: str, n_features: int = SMOKE_FEATURES) -> DataFrame:
     s, fitted = fitted_on_train(spark, sf_dir, n_features)
     fitted = features.settle_fitted(fitted, n_features)
-    tokens = T.explode_tokens(T.text_documents(spark, sf_dir))
-    # Restrict to the selection before counting: the shuffle carries selected tokens only.
-    kept = tokens.join(fitted.select("feature_id"), "feature_id", "left_semi")
-    log_kept = features.normalize_log(T.count_tokens(kept))
-    return features.transform_vectors(log_kept, s.manifest, fitted, n_features)
+    log_counts = features.normalize_log(T.text_counts(spark, sf_dir))
+    return features.transform_vectors(log_counts, s.manifest, fitted, n_features)
 
 
 def transformed_long(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,7 @@ from probeloom.operators import (
     atoms, checks, coding, comparison, features, groups, metrics, panels, probe, split,
 )
 from probeloom.operators.ranking import exact_quantile
-from probeloom.session import bounded_rows
+from probeloom.session import bounded_rows, materialize, spread
 from probeloom.sources import tables as T
 
 CLASSES = [str(i) for i in range(10)]
@@ -391,7 +391,7 @@ def _long(codes: DataFrame, column: str = "z", decimals: int = 6) -> DataFrame:
 
 def sparse_codes_native(spark: SparkSession, sf_dir: str) -> DataFrame:
     d, alpha = dictionary(spark, sf_dir, FIRST)
-    rows = T.vector_entities(spark, sf_dir)
+    rows = spread(T.vector_entities(spark, sf_dir))
     return _long(rows.withColumn("z", coding.native_code(F.col("vec"), d, alpha, 300)))
 
 
@@ -403,7 +403,8 @@ def sparse_codes_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _early_codes(spark: SparkSession, sf_dir: str):
     """Codes stopped after five steps, so that optimality residuals are visible."""
     d, alpha = dictionary(spark, sf_dir, FIRST)
-    rows = T.vector_entities(spark, sf_dir).withColumn("z", coding.native_code(F.col("vec"), d, alpha, 5))
+    rows = spread(T.vector_entities(spark, sf_dir))
+    rows = rows.withColumn("z", coding.native_code(F.col("vec"), d, alpha, 5))
     return rows.withColumn("kkt", coding.native_kkt(F.col("vec"), F.col("z"), d, alpha)), alpha
 
 
@@ -413,7 +414,7 @@ def kkt_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def kkt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, alpha = _early_codes(spark, sf_dir)
-    values = rows.select(F.explode("kkt").alias("v"))
+    values = materialize(rows.select(F.explode("kkt").alias("v")), "residuals")
     p95 = exact_quantile(values, "v", 0.95)
     return values.agg(
         F.round(F.max("v"), 6).alias("max_residual"), F.round(F.lit(p95), 6).alias("p95"),

@@ -50,6 +50,17 @@ def materialize(df: DataFrame, name: str = "table", partition_by: str | None = N
     return spark.read.schema(schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Share the rows of a table with few scan tasks among all cores.
+
+    For row-wise work that costs far more than moving the row (tokenizing,
+    coding). A table large enough to fill the cluster with scan tasks comes back
+    unchanged, so no shuffle is added where it would hurt.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+
+
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS, name: str = "small") -> DataFrame:
     """Evaluate a supposedly small table once and return a reusable form.
 

@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probeloom.session import spread
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -35,37 +37,39 @@ def text_entities(spark: SparkSession, sf_dir: str, label: str = "lang") -> Data
 
 
 def text_documents(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFrame:
-    """entity_id, label, grp, total, tokens: one row per document.
+    """entity_id, label, grp, total, tokens: one row per document, tokens sorted.
 
     ``total`` is the library size. A document is one row, so it is known before
     the text is exploded and no later aggregate or join has to find it.
     """
-    docs = table(spark, sf_dir, "documents").select(
+    rows = spread(table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text"))
+    docs = rows.select(
         F.col("doc_id").cast("string").alias("entity_id"),
         _text_label(label).alias("label"),
         (F.col("doc_id") % 4).cast("string").alias("grp"),
-        F.array_remove(F.split("text", " "), "").alias("tokens"),
+        F.sort_array(F.array_remove(F.split("text", " "), "")).alias("tokens"),
     )
     return docs.withColumn("total", F.size("tokens").cast("long"))
 
 
-def explode_tokens(docs: DataFrame) -> DataFrame:
-    """One row per token occurrence, carrying entity_id, grp and total."""
-    return docs.select("entity_id", "grp", "total", F.explode("tokens").alias("feature_id"))
-
-
-def count_tokens(tokens: DataFrame) -> DataFrame:
-    """Collapse occurrences to one row per entity and feature.
+def count_tokens(docs: DataFrame) -> DataFrame:
+    """entity_id, grp, total, feature_id, cnt: one row per entity and feature.
 
-    All occurrences of an entity sit in one input row, so the partial aggregate
-    does nearly all the work before the shuffle.
+    All occurrences of an entity sit in one row, so they are counted there, as
+    run lengths of the sorted tokens. Nothing is shuffled.
     """
-    keys = [c for c in tokens.columns if c != "feature_id"]
-    return tokens.groupBy(*keys, "feature_id").agg(F.count(F.lit(1)).alias("cnt"))
+    at = F.when(F.col("total") > 0, F.sequence(F.lit(0), F.col("total").cast("int") - 1))
+    starts = F.filter(at, lambda i: ~F.get("tokens", i).eqNullSafe(F.get("tokens", i - 1)))
+    runs = docs.withColumn("starts", starts)
+    ends = F.concat(F.slice("starts", F.lit(2), F.size("starts")), F.array(F.col("total").cast("int")))
+    pairs = F.zip_with("starts", ends, lambda a, b: F.struct(
+        F.get("tokens", a).alias("feature_id"), (b - a).cast("long").alias("cnt")
+    ))
+    return runs.select("entity_id", "grp", "total", F.inline(pairs))
 
 
 def text_counts(spark: SparkSession, sf_dir: str, label: str = "lang") -> DataFrame:
-    return count_tokens(explode_tokens(text_documents(spark, sf_dir, label)))
+    return count_tokens(text_documents(spark, sf_dir, label))
 
 
 def retail_entities(spark: SparkSession, sf_dir: str) -> DataFrame:

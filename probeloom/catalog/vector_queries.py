@@ -18,7 +18,7 @@ from probeloom.session import bounded_rows, materialize, spread
 from probeloom.sources import tables as T
 
 CLASSES = [str(i) for i in range(10)]
-MAX_BLOCKS = 1_000_000
+MAX_BLOCKS = 100_000
 
 # Dictionaries used by the exact queries: unit vectors of the first IDs.
 # name: (atoms, alpha, IDs skipped)

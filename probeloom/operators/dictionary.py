@@ -60,24 +60,36 @@ class Fitted:
     objective: list[float] = field(default_factory=list)
 
 
-def initial_atoms(vectors: DataFrame, setting: Setting) -> np.ndarray:
-    """Normalized non-zero training rows, drawn in the seeded hash order."""
-    rows = vectors.filter(~F.col("grp").isin(*setting.excluded)) if setting.excluded else vectors
-    x = F.col("vec").cast("array<double>")
-    if setting.columns is not None:
-        x = V.gather(x, F.array(*[F.lit(int(c)) for c in setting.columns]))
-    if setting.mean is not None:
-        x = F.zip_with(F.zip_with(x, V.literal(setting.mean), lambda a, m: a - m), V.literal(setting.scale),
-                       lambda a, s: a / s)
-    drawn = (
-        rows.select(order_key(setting.seed, F.col("entity_id")).alias("k"), "entity_id", x.alias("x"))
-        .filter(V.norm(F.col("x")) > 1e-12).orderBy("k", "entity_id").limit(setting.atoms)
-    )
-    found = bounded_rows(drawn, MAX_ATOMS, "atoms")
-    if len(found) < setting.atoms:
-        raise ValueError("Not enough non-zero training rows to start every atom")
-    x0 = np.array([r["x"] for r in found])
-    return x0 / np.linalg.norm(x0, axis=1, keepdims=True)
+def initial_atoms(vectors: DataFrame, settings: Sequence[Setting]) -> list[np.ndarray]:
+    """Normalized non-zero training rows of each setting, drawn in its seeded hash order.
+
+    A scan per seed takes the first few rows of the order; each setting drops
+    the groups it may not see and rows that are zero once standardized. Settings
+    still short of rows repeat the scan for four times as many.
+    """
+    out: dict[int, np.ndarray] = {}
+    for seed in sorted({s.seed for s in settings}):
+        open_ = [i for i, s in enumerate(settings) if s.seed == seed]
+        keyed = vectors.select(
+            order_key(seed, F.col("entity_id")).alias("k"), F.col("entity_id").cast("string").alias("entity_id"),
+            F.col("grp").cast("string").alias("grp"), F.col("vec").cast("array<double>").alias("vec"),
+        )
+        wanted = 4 * max(settings[i].atoms for i in open_)
+        while open_:
+            rows = bounded_rows(keyed.orderBy("k", "entity_id").limit(wanted), wanted, "initial atoms")
+            rows.sort(key=lambda r: (r["k"], r["entity_id"]))
+            for i in list(open_):
+                s = settings[i]
+                allowed = [r["vec"] for r in rows if r["grp"] not in s.excluded]
+                x = s.rows(np.array(allowed)) if allowed else np.zeros((0, 1))
+                x = x[np.linalg.norm(x, axis=1) > 1e-12][:s.atoms]
+                if len(x) == s.atoms:
+                    out[i] = x / np.linalg.norm(x, axis=1, keepdims=True)
+                    open_.remove(i)
+            if open_ and len(rows) < wanted:
+                raise ValueError("Not enough non-zero training rows to start every atom")
+            wanted *= 4
+    return [out[i] for i in range(len(settings))]
 
 
 def _sums(models: Sequence[tuple[Setting, np.ndarray]], certify: bool):
@@ -164,7 +176,7 @@ def fit_dictionaries(vectors: DataFrame, settings: Sequence[Setting], batches: i
                      batch_seed: int = 42, stored: DataFrame | None = None) -> list[Fitted]:
     """Fit all settings together; each step is one job over one bucket."""
     stored = bucketed(vectors, batches, batch_seed) if stored is None else stored
-    fits = [Fitted(s, initial_atoms(stored, s)) for s in settings]
+    fits = [Fitted(s, d) for s, d in zip(settings, initial_atoms(stored, settings))]
     memory = [(np.zeros((s.atoms, s.atoms)), 0.0) for s in settings]
     best = [np.inf] * len(settings)
     stale, smooth = [0] * len(settings), [None] * len(settings)

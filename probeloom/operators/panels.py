@@ -15,9 +15,16 @@ def feature_positions(feature_ids: DataFrame) -> DataFrame:
 
 
 def map_panel(panel: DataFrame, features: DataFrame, source: str) -> DataFrame:
-    """Every panel row with a presence flag and the matching position, else -1."""
-    here = features.select(F.col("feature_id").alias("feature_name"), "feature_pos")
-    return panel.join(here, "feature_name", "left").select(
+    """Every panel row with a presence flag and the matching position, else -1.
+
+    The panel is short next to the vocabulary, so the vocabulary is cut down to
+    panel names first (the semi join broadcasts the panel when it is small) and
+    only the hits take part in the outer join.
+    """
+    hits = features.select(F.col("feature_id").alias("feature_name"), "feature_pos").join(
+        panel.select("feature_name"), "feature_name", "left_semi"
+    )
+    return panel.join(hits, "feature_name", "left").select(
         "panel_pos", "panel_id", "feature_name",
         F.col("feature_pos").isNotNull().alias("present"),
         F.coalesce("feature_pos", F.lit(-1)).cast("long").alias("feature_index"),

@@ -169,12 +169,16 @@ def confusion_of(rows: DataFrame, models: Sequence[Probe], vec: str = "vec",
 
 
 def together(spark, jobs: Sequence[Callable[[], object]], parallelism: int) -> list:
-    """Run independent fits as concurrent Spark jobs, results in order."""
+    """Run independent fits as concurrent Spark jobs, results in order.
+
+    Each job is wrapped on its own: a wrapper carries one set of job properties,
+    which concurrent jobs must not share.
+    """
     if parallelism <= 1 or len(jobs) <= 1:
         return [job() for job in jobs]
-    run = inheritable_thread_target(spark)(lambda job: job())
+    wrapped = [inheritable_thread_target(spark)(job) for job in jobs]
     with ThreadPool(min(parallelism, len(jobs))) as pool:
-        return pool.map(run, jobs)
+        return pool.map(lambda job: job(), wrapped, chunksize=1)
 
 
 def persisted(df: DataFrame) -> DataFrame:

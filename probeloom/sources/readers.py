@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -100,18 +100,17 @@ def read_coordinates(spark: SparkSession, path: str, verify: bool = True) -> Dat
 
 
 def write_coordinates(entries: DataFrame, path: str, n_features: int, n_entities: int) -> None:
-    """Write (feature_pos, entity_pos, cnt) as coordinate text, size line first.
+    """Write (feature_pos, entity_pos, cnt) as coordinate text.
 
-    Entry lines are written in parallel; the size line is the only row of the
-    first output file.
+    Entry lines are written in parallel and counted on the way; the size line
+    follows in a file of its own that sorts before them.
     """
-    n = entries.count()
-    spark = entries.sparkSession
-    size = spark.range(1).select(
-        F.explode(F.array(F.lit("%%MatrixMarket matrix coordinate integer general"),
-                          F.lit(f"{n_features} {n_entities} {n}"))).alias("value")
+    seen = Observation()
+    line = F.concat_ws(
+        " ", (F.col("feature_pos") + 1).cast("string"), (F.col("entity_pos") + 1).cast("string"),
+        F.col("cnt").cast("long").cast("string"),
     )
-    size.coalesce(1).write.text(f"{path}/part=0")
-    entries.select(F.concat_ws(
-        " ", (F.col("feature_pos") + 1).cast("string"), (F.col("entity_pos") + 1).cast("string"), F.col("cnt").cast("long").cast("string")
-    ).alias("value")).write.text(f"{path}/part=1")
+    lines = entries.select(line.alias("value")).observe(seen, F.count(F.lit(1)).alias("n"))
+    lines.write.text(f"{path}/part=1")
+    head = "%%MatrixMarket matrix coordinate integer general\n" + f"{n_features} {n_entities} {seen.get['n']}"
+    entries.sparkSession.createDataFrame([(head,)], "value string").coalesce(1).write.text(f"{path}/part=0")

@@ -69,7 +69,7 @@ def test_fit_lowers_the_objective_inside_the_unit_ball(spark, vectors):
     settings = [Setting("one", 4, ALPHA, 0, 6), Setting("two", 5, ALPHA, 1, 6)]
     fits = dictionary.fit_dictionaries(vectors, settings, batches=2)
     for fit, s in zip(fits, settings):
-        start = dictionary.initial_atoms(vectors, s)
+        start = dictionary.initial_atoms(vectors, [s])[0]
         before = objective(X, coding.lasso_rows(X, start, ALPHA), start, ALPHA).mean()
         after = objective(X, coding.lasso_rows(X, fit.atoms, ALPHA), fit.atoms, ALPHA).mean()
         assert after < before
@@ -167,3 +167,15 @@ def test_review(spark, vectors):
     for r in tables["diagnostics"].collect():
         assert r["train_active_fraction"] == pytest.approx((np.abs(z[train][:, r["atom"] - 1]) > 1e-6).mean())
     assert coded.transform(atoms.code_usage).filter("unused <> (active_fraction = 0)").isEmpty()
+
+
+def test_initial_atoms_follow_the_hash_order(vectors):
+    import hashlib
+    order = sorted(range(80), key=lambda i: hashlib.md5(f"7:e{i:02d}".encode()).hexdigest())
+    mean, scale = X.mean(axis=0), X.std(axis=0)
+    plain, scaled = dictionary.initial_atoms(vectors, [
+        Setting("p", 5, ALPHA, 7), Setting("s", 4, ALPHA, 7, excluded=("2",), mean=mean, scale=scale)])
+    want = X[order[:5]]
+    np.testing.assert_allclose(plain, want / np.linalg.norm(want, axis=1, keepdims=True))
+    want = (X[[i for i in order if i % 4 != 2][:4]] - mean) / scale
+    np.testing.assert_allclose(scaled, want / np.linalg.norm(want, axis=1, keepdims=True))

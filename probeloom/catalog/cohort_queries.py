@@ -6,10 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probeloom.functions.scalars import SPLITS
-from probeloom.operators import checks, features, panels, split
+from probeloom.operators import checks, features, groups, panels, split
 from probeloom.operators.ranking import rank_rows
 from probeloom.session import new_folder
-from probeloom.sources import digests, readers
+from probeloom.sources import digests, readers, writers
 from probeloom.sources import tables as T
 
 N_FEATURES = 2000
@@ -265,12 +265,19 @@ def transformed_long(spark: SparkSession, sf_dir: str) -> DataFrame:
              F.round(F.col("value").cast("double"), 4).alias("value"))
 
 
+def fold_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = groups.group_sizes(T.text_entities(spark, sf_dir))
+    return features.fold_moments(features.normalize_log(T.text_counts(spark, sf_dir)), sizes)
+
+
 def group_feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sizes = {r["grp"]: r["n"] for r in T.text_entities(spark, sf_dir).groupBy("grp").agg(
-        F.count(F.lit(1)).alias("n")).limit(features.MAX_GROUPS + 1).collect()}
-    log_counts = features.normalize_log(T.text_counts(spark, sf_dir))
-    return features.fold_moments(log_counts, sizes).select(
-        "outer_grp", "feature_id", r6("mean", 9), r6("variance", 9)
+    return fold_stats(spark, sf_dir).select("outer_grp", "feature_id", r6("mean", 9), r6("variance", 9))
+
+
+def fold_selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The variance policy of the group study: each fold selects its own features."""
+    return features.select_per_fold(fold_stats(spark, sf_dir), 500).select(
+        "outer_grp", "feature_id", F.col("out_pos").cast("long").alias("out_pos"), r6("mean", 9), r6("scale", 9)
     )
 
 
@@ -306,6 +313,26 @@ def panel_ordered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return panels.restrict_panel(mapped_panel(spark, sf_dir))
 
 
+def panel_empty_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a single token of the benchmark vocabulary; reported, not dropped."""
+    words = vocabulary(spark, sf_dir, "benchmark")
+    on_panel = T.text_counts(spark, sf_dir).join(words, "feature_id", "left_semi")
+    return checks.empty_entities(T.text_entities(spark, sf_dir), on_panel)
+
+
+def text_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Customers written as CSV and read back as text; blanked segments stay empty text."""
+    customers = T.table(spark, sf_dir, "customer").select(
+        F.col("c_custkey").cast("string").alias("cell_id"), F.col("c_name").alias("donor"),
+        F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("c_mktsegment")).alias("cell_type"),
+    )
+    path = new_folder(spark, "csv")
+    writers.write_csv(customers, path)
+    return readers.read_text_table(spark, path, ["cell_id", "cell_type", "donor"]).select(
+        F.col("cell_id").alias("entity_id"), F.col("cell_type").alias("label"), F.col("donor").alias("grp")
+    )
+
+
 def coordinate_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Written as coordinate text (part x order) and read back."""
     counts = T.table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey").agg(
@@ -353,4 +380,7 @@ QUERIES = {
     "panel_coverage": panel_coverage,
     "panel_ordered": panel_ordered,
     "coordinate_matrix": coordinate_matrix,
+    "fold_selected_features": fold_selected_features,
+    "panel_empty_entities": panel_empty_entities,
+    "text_table_round_trip": text_table_round_trip,
 }

@@ -79,6 +79,17 @@ fitted AS (
   SELECT feature_id, row_number() OVER (ORDER BY feature_id) - 1 AS out_pos, mean, sqrt(variance) AS scale, variance
   FROM top
 )"""
+FOLD_STATS = """
+n AS (SELECT grp, count(*) AS n FROM ents GROUP BY grp),
+folds AS (SELECT a.grp AS outer_grp, CAST(sum(b.n) AS DOUBLE) AS n FROM n a JOIN n b ON a.grp <> b.grp GROUP BY a.grp),
+s AS (SELECT grp, feature_id, sum(x) AS s1, sum(x * x) AS s2 FROM logs GROUP BY ALL),
+t AS (
+  SELECT outer_grp, feature_id, n, coalesce(sum(s1) FILTER (WHERE grp <> outer_grp), 0) AS s1,
+         coalesce(sum(s2) FILTER (WHERE grp <> outer_grp), 0) AS s2
+  FROM s CROSS JOIN folds GROUP BY ALL),
+fold_stats AS (
+  SELECT outer_grp, feature_id, s1 / n AS mean, greatest(s2 / n - (s1 / n) * (s1 / n), 0) AS variance FROM t
+)"""
 VOCABULARY = """
 {name} AS (
   SELECT feature_id, row_number() OVER (ORDER BY feature_id) - 1 AS pos FROM (
@@ -198,16 +209,21 @@ SQL = {
                round(CAST(CAST((coalesce(l.x, 0) - f.mean) / f.scale AS FLOAT) AS DOUBLE), 4) AS value
         FROM manifest m CROSS JOIN fitted f
         LEFT JOIN logs l ON l.entity_id = m.entity_id AND l.feature_id = f.feature_id""",
-    "group_feature_stats": f"""WITH {LANG}, {TOKENS},
-        n AS (SELECT grp, count(*) AS n FROM ents GROUP BY grp),
-        folds AS (SELECT a.grp AS outer_grp, CAST(sum(b.n) AS DOUBLE) AS n FROM n a JOIN n b ON a.grp <> b.grp GROUP BY a.grp),
-        s AS (SELECT grp, feature_id, sum(x) AS s1, sum(x * x) AS s2 FROM logs GROUP BY ALL),
-        t AS (
-          SELECT outer_grp, feature_id, n, coalesce(sum(s1) FILTER (WHERE grp <> outer_grp), 0) AS s1,
-                 coalesce(sum(s2) FILTER (WHERE grp <> outer_grp), 0) AS s2
-          FROM s CROSS JOIN folds GROUP BY ALL)
-        SELECT outer_grp, feature_id, round(s1 / n, 9) AS mean,
-               round(greatest(s2 / n - (s1 / n) * (s1 / n), 0), 9) AS variance FROM t""",
+    "group_feature_stats": f"""WITH {LANG}, {TOKENS}, {FOLD_STATS}
+        SELECT outer_grp, feature_id, round(mean, 9) AS mean, round(variance, 9) AS variance FROM fold_stats""",
+    "fold_selected_features": f"""WITH {LANG}, {TOKENS}, {FOLD_STATS},
+        top AS (
+          SELECT * FROM (
+            SELECT *, row_number() OVER (PARTITION BY outer_grp ORDER BY round(variance, 12) DESC, feature_id) AS place
+            FROM fold_stats WHERE variance > 1e-12)
+          WHERE place <= 500)
+        SELECT outer_grp, feature_id, row_number() OVER (PARTITION BY outer_grp ORDER BY feature_id) - 1 AS out_pos,
+               round(mean, 9) AS mean, round(sqrt(variance), 9) AS scale FROM top""",
+    "panel_empty_entities": f"""WITH {LANG}, {TOKENS}, {PANEL}
+        SELECT * FROM ents WHERE entity_id NOT IN (
+          SELECT entity_id FROM counts WHERE feature_id IN (SELECT feature_id FROM panel))""",
+    "text_table_round_trip": """SELECT CAST(c_custkey AS VARCHAR) AS entity_id, c_name AS grp,
+               CASE WHEN c_acctbal < 0 THEN '' ELSE c_mktsegment END AS label FROM customer""",
     "feature_positions": f"WITH {VOCABULARY.format(name='vocab', table='documents')} SELECT feature_id, pos AS feature_pos FROM vocab",
     "panel_mapping": f"WITH {PANEL} SELECT * FROM mapping",
     "panel_coverage": f"""WITH {PANEL}

@@ -14,6 +14,7 @@ from probeloom.operators import (
     atoms, checks, coding, comparison, features, groups, metrics, panels, probe, split,
 )
 from probeloom.operators.ranking import exact_quantile
+from probeloom.plans import reports
 from probeloom.session import bounded_rows, materialize, spread
 from probeloom.sources import tables as T
 
@@ -289,6 +290,23 @@ def report_f1_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def report_f1_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per-class F1 of both scalings with the support, as printed text."""
+    return reports.f1_by_class({
+        name: metrics.report(metrics.confusion(predictions(spark, sf_dir, scaling), CLASSES))
+        for name, scaling in (("plain", "none"), ("standardized", "standard"))
+    })
+
+
+def report_atom_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leading positive coordinates of every atom with its standardized class means."""
+    top = atoms.top_signed(atoms_of(spark, sf_dir, FIRST), 3).withColumn("feature", F.concat(F.lit("dim"), F.col("pos")))
+    activity = atoms.code_activity(coded(spark, sf_dir))
+    return round_doubles(reports.selected_activity(
+        activity, top, [(a, c) for a in range(1, 9) for c in CLASSES]
+    ))
+
+
 # --- selection ----------------------------------------------------------------
 
 def search_rows(spark: SparkSession, sf_dir: str, names=(FIRST, NEXT)) -> DataFrame:
@@ -499,6 +517,8 @@ QUERIES = {
     "seed_variation": seed_variation,
     "paired_group_differences": paired_group_differences,
     "report_f1_by_group": report_f1_by_group,
+    "report_f1_by_class": report_f1_by_class,
+    "report_atom_activity": report_atom_activity,
     "best_by_method": best_by_method,
     "refined_grid": refined_grid,
     "dictionary_ranking": dictionary_ranking,

@@ -381,6 +381,19 @@ SQL = {
                printf('%.6f', max(mean) FILTER (WHERE method = 'codes')) AS codes,
                printf('%.6f', max(std) FILTER (WHERE method = 'codes')) AS seed_sd
         FROM variation WHERE scaling = 'standard' GROUP BY grp""",
+    "report_f1_by_class": f"""WITH a AS (WITH {PREDICTED}, {CLASS_TABLE} SELECT label, support, f1_score FROM rates),
+        b AS (WITH {PREDICTED_SCALED}, {CLASS_TABLE} SELECT label, f1_score FROM rates)
+        SELECT label, CAST(support AS BIGINT) AS support, printf('%.4f', a.f1_score) AS plain,
+               printf('%.4f', b.f1_score) AS standardized FROM a JOIN b USING (label)""",
+    "report_atom_activity": f"""WITH {CODED}, {CODE_LONG},
+        wl AS (SELECT atom, unnest(range(len(w))) AS pos, unnest(w) AS weight FROM atoms),
+        top AS (
+          SELECT atom, string_agg('dim' || pos, ', ' ORDER BY rank) AS features FROM (
+            SELECT *, row_number() OVER (PARTITION BY atom ORDER BY weight DESC, pos) AS rank FROM wl WHERE weight > 0)
+          WHERE rank <= 3 GROUP BY atom)
+        SELECT atom, features, label, printf('%.3f', max(standardized_mean) FILTER (WHERE split = 'train')) AS train,
+               printf('%.3f', max(standardized_mean) FILTER (WHERE split = 'validation')) AS validation
+        FROM activity JOIN top USING (atom) GROUP BY atom, features, label""",
     "best_by_method": f"""WITH {search(FIRST, NEXT)}
         SELECT feature_set, round("C", 6) AS "C", round(val_macro_f1, 6) AS val_macro_f1,
                round(val_log_loss, 6) AS val_log_loss, converged FROM best""",

@@ -184,6 +184,23 @@ def fold_moments(log_counts: DataFrame, sizes: dict[str, int]) -> DataFrame:
     )
 
 
+def select_per_fold(fold_stats: DataFrame, n_features: int) -> DataFrame:
+    """Top features by training variance inside every fold, renumbered in source order.
+
+    The ranking carries a limit, so each task forwards at most ``n_features``
+    rows per fold however large the vocabulary is; the renumbering window sees
+    only the selected rows.
+    """
+    ranked = Window.partitionBy("outer_grp").orderBy(F.round("variance", RANK_DECIMALS).desc(), "feature_id")
+    place = Window.partitionBy("outer_grp").orderBy("feature_id")
+    return (
+        fold_stats.filter(F.col("variance") > VARIANCE_FLOOR)
+        .withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= n_features).drop("_rank")
+        .withColumn("out_pos", F.row_number().over(place) - 1)
+        .withColumn("scale", safe_scale(F.col("variance")))
+    )
+
+
 # --- dense vectors ------------------------------------------------------------
 
 def vector_moments(vectors: DataFrame, keys: Sequence[str] = (), vec: str = "vec") -> DataFrame:

@@ -8,12 +8,15 @@ from pyspark.sql import functions as F
 from probeloom.functions.scalars import SPLITS
 from probeloom.operators import checks, features, groups, panels, split
 from probeloom.operators.ranking import rank_rows
+from probeloom.plans import reports
 from probeloom.session import new_folder
 from probeloom.sources import digests, readers, writers
 from probeloom.sources import tables as T
 
 N_FEATURES = 2000
 SMOKE_FEATURES = 256
+# Fixed values of the region table.
+REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
 
 def r6(name: str, decimals: int = 6):
@@ -108,18 +111,10 @@ def label_by_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     per_customer = T.table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("n"))
     customer = T.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
-    cells = (
-        per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey"))
-        .join(T.customer_regions(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey"))
-        .groupBy("r_name", "c_mktsegment").agg(F.sum("n").alias("n"))
-    )
-    regions = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
-    wide = cells.cube("c_mktsegment", "r_name").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
-    named = wide.select(
-        F.when(F.col("g").bitwiseAND(2) != 0, "Total").otherwise(F.col("c_mktsegment")).alias("label"),
-        F.when(F.col("g").bitwiseAND(1) != 0, "Total").otherwise(F.col("r_name")).alias("grp"), "n",
-    )
-    return named.groupBy("label").pivot("grp", [*regions, "Total"]).agg(F.sum("n")).na.fill(0)
+    rows = per_customer.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(
+        T.customer_regions(spark, sf_dir), F.col("c_nationkey") == F.col("n_nationkey")
+    ).select(F.col("c_mktsegment").alias("label"), F.col("r_name").alias("grp"), "n")
+    return reports.label_group_counts(rows, REGIONS, weight="n")
 
 
 # --- checks -------------------------------------------------------------------

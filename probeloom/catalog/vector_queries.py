@@ -15,7 +15,7 @@ from probeloom.operators import (
 )
 from probeloom.operators.ranking import exact_quantile
 from probeloom.plans import reports
-from probeloom.session import bounded_rows, materialize, spread
+from probeloom.session import bounded_rows, materialize, settle, spread
 from probeloom.sources import tables as T
 
 CLASSES = [str(i) for i in range(10)]
@@ -154,12 +154,13 @@ def attribute_mismatch(spark: SparkSession, sf_dir: str) -> DataFrame:
 def probability_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Probability mass, shared cohort and recomputed metrics of two evaluations."""
     a, b = predictions(spark, sf_dir), predictions(spark, sf_dir, "standard")
-    m_a = metrics.scored_metrics(a, CLASSES, ["split"])
-    m_b = metrics.scored_metrics(b, CLASSES, ["split"])
+    m_a = settle(metrics.scored_metrics(a, CLASSES, ["split"]))
+    m_b = settle(metrics.scored_metrics(b, CLASSES, ["split"]))
     kinds = [
         ("bad_mass", checks.probability_violations(a)),
         ("cohort", checks.cohort_differences(a, b)),
-        ("recomputed", checks.metric_differences(m_a, m_a, ["split"], metrics.METRICS)),
+        ("recomputed", checks.metric_differences(
+            m_a, metrics.scored_metrics(a, CLASSES, ["split"]), ["split"], metrics.METRICS)),
         ("scaling_changes", checks.metric_differences(m_a, m_b, ["split"], metrics.METRICS, 1e-9)),
     ]
     out = None

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probeloom.functions import vectors as V
+from probeloom.session import settle
 
 PROBABILITY_FLOOR = 2.220446049250313e-16
 METRICS = ("macro_f1", "accuracy", "balanced_accuracy", "log_loss")
@@ -74,8 +75,11 @@ def per_class(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
 
 
 def report(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """Per-class rows followed by accuracy, macro and weighted averages."""
-    classes = per_class(table, keys)
+    """Per-class rows followed by accuracy, macro and weighted averages.
+
+    The class table is read four times, so it is evaluated once first.
+    """
+    classes = settle(per_class(table, keys))
     rows = classes.select(*keys, "label", "precision", "recall", "f1_score", "support")
     n = F.sum("support")
 

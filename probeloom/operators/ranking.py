@@ -93,8 +93,9 @@ def exact_quantile(df: DataFrame, value: str, q: float, limit: int = QUANTILE_RO
     """Linearly interpolated quantile of a whole column.
 
     Brackets the wanted rank with a mergeable sketch, drops everything outside
-    the bracket and repeats until few distinct values are left. Each round is
-    one aggregate; repeated values are collapsed before they are ranked.
+    the bracket and repeats until few distinct values are left. Each round is a
+    few aggregates over ``df``, so pass a stored table or a cheap column;
+    repeated values are collapsed before they are ranked.
     """
     values = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
     n = values.count()

@@ -138,6 +138,7 @@ def load_inputs(spark: SparkSession, bundle: str, features_path: str, dictionari
     for s in ("train", "validation"):
         stored = expression.filter(F.col("split") == s).select(*KEYS, "split", "vec")
         _require(checksum(stored) == prep["vectors_checksum"][s], f"{s} features have changed")
+    assert_empty(checks.coverage_gaps(known, "label", "split"), "labels of train and validation differ")
     out = {"expression": checked_vectors(expression.drop("split"), known, "expression", prep["n_features_selected"])}
     for name, folder in (dictionaries or {}).items():
         report = read_report(spark, f"{folder}/report")

@@ -29,9 +29,14 @@ def summarize_evaluations(spark: SparkSession, folders: Sequence[str]) -> DataFr
     return rows
 
 
-def label_group_counts(entities: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """label x group counts with totals on both margins."""
-    cells = entities.groupBy("label", "grp").agg(F.count(F.lit(1)).alias("n"))
+def label_group_counts(entities: DataFrame, groups: Sequence[str], weight: str | None = None) -> DataFrame:
+    """label x group counts with totals on both margins.
+
+    ``weight`` names a column of pre-aggregated row counts. The margins are
+    taken from the small table of cells.
+    """
+    n = F.count(F.lit(1)) if weight is None else F.sum(weight)
+    cells = entities.groupBy("label", "grp").agg(n.alias("n"))
     wide = cells.cube("label", "grp").agg(F.sum("n").alias("n"), F.grouping_id().alias("g"))
     named = wide.select(
         F.when(F.col("g").bitwiseAND(2) != 0, "Total").otherwise(F.col("label")).alias("label"),

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 # that pass through here have one row per class, group, fold, atom or selected
 # feature; anything larger takes the shuffle path.
 SMALL_ROWS = 20_000
+SMALL_BYTES = 64 * 1024 * 1024
 
 
 def work_dir(spark: SparkSession) -> str:
@@ -64,11 +65,12 @@ def spread(df: DataFrame) -> DataFrame:
 def settle(df: DataFrame, max_rows: int = SMALL_ROWS, name: str = "small") -> DataFrame:
     """Evaluate a supposedly small table once and return a reusable form.
 
-    Up to ``max_rows`` rows become a local relation marked for broadcast. A
-    larger table is materialized without a hint, so joins against it shuffle.
+    Up to ``max_rows`` rows and SMALL_BYTES become a local relation marked for
+    broadcast. A larger table is materialized without a hint, so joins against
+    it shuffle.
     """
     head = df.limit(max_rows + 1).toArrow()
-    if head.num_rows <= max_rows:
+    if head.num_rows <= max_rows and head.nbytes <= SMALL_BYTES:
         local = df.sparkSession.createDataFrame(head, schema=df.schema)
         return F.broadcast(local)
     return materialize(df, name)

@@ -134,22 +134,22 @@ def scatter_scaled(mean: np.ndarray, scale: np.ndarray):
 
 def transform_vectors(log_counts: DataFrame, entities: DataFrame, fitted: DataFrame,
                       n_features: int) -> DataFrame:
-    """entities plus ``vec``: frozen transform applied to every entity.
+    """entities plus ``vec``: frozen transform applied to every entity (unique entity_id).
 
-    The join with the fitted features comes before the per-entity collect, so a
-    collected list is never longer than the selection.
+    Counts are cut to the fitted features first, so a collected list is never
+    longer than the selection. Entity rows are stacked under them and meet
+    their values in one grouped shuffle; entities without a selected feature
+    stay, counts of other entities drop out.
     """
     mean, scale = fitted_arrays(fitted, n_features)
-    kept = log_counts.join(fitted.select("feature_id", "out_pos"), "feature_id")
-    lists = kept.groupBy("entity_id").agg(
-        F.collect_list("out_pos").alias("_p"), F.collect_list("x").alias("_v")
-    )
-    empty_p, empty_v = F.array().cast("array<int>"), F.array().cast("array<double>")
+    others = [c for c in entities.columns if c != "entity_id"]
+    kept = log_counts.join(fitted.select("feature_id", "out_pos"), "feature_id").select("entity_id", "out_pos", "x")
+    about = entities.select("entity_id", F.struct(F.lit(True).alias("_known"), *others).alias("_about"))
+    lists = kept.unionByName(about, allowMissingColumns=True).groupBy("entity_id").agg(
+        F.max("_about").alias("_about"), F.collect_list("out_pos").alias("_p"), F.collect_list("x").alias("_v")
+    ).filter("_about._known")
     dense = scatter_scaled(mean, scale)
-    return entities.join(lists, "entity_id", "left").select(
-        *entities.columns,
-        dense(F.coalesce("_p", empty_p), F.coalesce("_v", empty_v)).alias("vec"),
-    )
+    return lists.select("entity_id", *[F.col(f"_about.{c}").alias(c) for c in others], dense("_p", "_v").alias("vec"))
 
 
 # --- fold-wise statistics -----------------------------------------------------

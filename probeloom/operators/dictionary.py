@@ -164,10 +164,12 @@ def update_atoms(d: np.ndarray, zz: np.ndarray, zx: np.ndarray) -> np.ndarray:
 
 
 def bucketed(vectors: DataFrame, batches: int, batch_seed: int = 42) -> DataFrame:
-    """entity_id, grp, vec stored by hash bucket, so that a step prunes to one."""
-    tagged = vectors.select(
-        "entity_id", F.col("grp").cast("string").alias("grp"), F.col("vec").cast("array<double>").alias("vec"),
-        F.pmod(F.xxhash64(F.lit(batch_seed), "entity_id"), F.lit(batches)).cast("int").alias("batch"),
+    """The rows stored by hash bucket of their ID, so that a step reads only its bucket.
+
+    All columns are kept; readers of the copy open the ones they need.
+    """
+    tagged = vectors.withColumn(
+        "batch", F.pmod(F.xxhash64(F.lit(batch_seed), F.col("entity_id").cast("string")), F.lit(batches)).cast("int")
     )
     return materialize(tagged, "batches", partition_by="batch")
 

@@ -260,6 +260,8 @@ def nested_study(rows: DataFrame, seeds: Sequence[int] = (0, 1, 2), n_atoms: int
     if not lambdas or len(set(lambdas)) != len(lambdas) or min(lambdas) <= 0:
         raise ValueError("penalties must be unique and positive")
     spark = rows.sparkSession
+    # Written once: every later scan reads this copy, whatever it took to make the rows.
+    rows = dictionary.bucketed(rows, batches)
     assert_empty(checks.coverage_gaps(rows, "grp", "label"), "labels missing from a group")
     with_embedding = "emb" in rows.columns
     classes = probe.classes_of(rows)
@@ -268,13 +270,12 @@ def nested_study(rows: DataFrame, seeds: Sequence[int] = (0, 1, 2), n_atoms: int
         Setting(f"{f.name}#{s}", n_atoms, alpha, s, epochs, f.excluded, f.mean, f.scale, f.columns)
         for f in folds for s in seeds
     ]
-    stored = dictionary.bucketed(rows, batches)
-    fitted = dictionary.fit_dictionaries(rows, settings, batches, stored=stored)
+    fitted = dictionary.fit_dictionaries(rows, settings, batches, stored=rows)
     fits = {(f.name, s): fit for (f, s), fit in zip([(f, s) for f in folds for s in seeds], fitted)}
     held = [(f.hold,) for f in folds for _ in seeds]
     certificates = [
         dict(c, outer_grp=f.outer, inner_grp=f.inner)
-        for c, f in zip(dictionary.diagnostics(stored, fitted, held), [f for f in folds for _ in seeds])
+        for c, f in zip(dictionary.diagnostics(rows, fitted, held), [f for f in folds for _ in seeds])
     ]
     reps = _representations(folds, fits, seeds, alpha, with_embedding)
 

@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from probeloom.llm import exact_dedup, packing
+from probeloom.llm import exact_dedup, packing, warc
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op10_warc": warc.op10_warc,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**exact_dedup.SQL}
+    return {**exact_dedup.SQL, **warc.SQL}

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from probeloom.llm import exact_dedup, packing, warc
+from probeloom.llm import exact_dedup, packing, quality, warc
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
+        "op4_quality": quality.op4_quality,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op10_warc": warc.op10_warc,
     }

@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from probeloom.llm.common import table
 from probeloom.session import bounded_rows, materialize
@@ -68,7 +69,7 @@ def features(text: str | None) -> list[float]:
     return [1.0, *(float(min(1.0, max(0.0, v))) for v in values)]
 
 
-@F.arrow_udf("array<float>")
+@F.arrow_udf(T.ArrayType(T.FloatType()))
 def feature_column(texts: pa.Array) -> pa.Array:
     if not len(texts):
         return pa.array([], pa.list_(pa.float32()))

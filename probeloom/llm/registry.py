@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from probeloom.llm import exact_dedup, packing, quality, warc
+from probeloom.llm import exact_dedup, packing, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
         "op4_quality": quality.op4_quality,
+        "op5_toxicity": toxicity.op5_toxicity,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op10_warc": warc.op10_warc,
     }

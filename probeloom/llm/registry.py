@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from probeloom.llm import exact_dedup, packing, quality, toxicity, warc
+from probeloom.llm import bpe, exact_dedup, packing, quality, toxicity, warc
 
 
 def queries() -> dict:
     return {
         "op2_packing": packing.op2_packing,
+        "op3_bpe": bpe.op3_bpe,
         "op4_quality": quality.op4_quality,
         "op5_toxicity": toxicity.op5_toxicity,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probeloom.llm import bpe, exact_dedup, packing, quality, toxicity, warc
+from probeloom.llm import bpe, exact_dedup, neighbours, packing, quality, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op4_quality": quality.op4_quality,
         "op5_toxicity": toxicity.op5_toxicity,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+        "op8_neighbours": neighbours.op8_neighbours,
         "op10_warc": warc.op10_warc,
     }
 

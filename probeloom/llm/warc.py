@@ -31,6 +31,8 @@ ARCHIVE_BYTES = 64 * 1024 * 1024
 BLOCK_LINES = 300
 # Payloads from this size on can be stored as a revisit of an equal one.
 LEAST_REVISIT = 100
+# Archive bytes that one task indexes or reads back.
+TASK_BYTES = 8 * 1024 * 1024
 # Index files of one archive set; one per task that sorts captures.
 MAX_INDEX_FILES = 100_000
 OPEN_FILES = 16
@@ -163,6 +165,11 @@ def parsed(text: str) -> tuple:
     return place(key, int(page_id) if page_id else None), path, int(position), int(size)
 
 
+def tasks(captures: DataFrame) -> int:
+    """Tasks in proportion to the archives: the rows of a capture are few, its bytes are not."""
+    return max(1, -(-(captures.agg(F.sum("size")).first()[0] or 0) // TASK_BYTES))
+
+
 def build_index(captures: DataFrame) -> list[tuple]:
     """Writes the index files; (first place, path, directory position and size) of each, in order."""
     folder = new_folder(captures.sparkSession, "index")
@@ -196,7 +203,7 @@ def build_index(captures: DataFrame) -> list[tuple]:
                 {"key": first[0], "page_id": first[1], "path": path, "position": at, "size": len(data)}
             ], schema=pa.schema([("key", pa.string()), ("page_id", pa.int64()), ("path", pa.string()), ("position", pa.int64()), ("size", pa.int64())]))
 
-    in_order = captures.repartitionByRange("key", "page_id").sortWithinPartitions("key", "page_id", "path", "position")
+    in_order = captures.repartitionByRange(tasks(captures), "key", "page_id").sortWithinPartitions("key", "page_id", "path", "position")
     files = materialize(in_order.mapInArrow(run, CAPTURE), "index-files")
     rows = bounded_rows(files, MAX_INDEX_FILES, "index files")
     return sorted((place(r["key"], r["page_id"]), r["path"], r["position"], r["size"]) for r in rows)
@@ -304,7 +311,7 @@ def read_back(captures: DataFrame, files: list[tuple], wanted: DataFrame, every:
     columns = ["key"] if every else ["key", "page_id"]
     if every:
         keys = keys.select("key", F.lit(None).cast("long").alias("page_id"))
-    spread = keys.distinct().repartitionByRange(*columns).sortWithinPartitions(*columns)
+    spread = keys.distinct().repartitionByRange(tasks(captures), *columns).sortWithinPartitions(*columns)
     return spread.mapInArrow(run, RECORD)
 
 

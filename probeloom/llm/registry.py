@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from probeloom.llm import bpe, exact_dedup, neighbours, packing, quality, toxicity, warc
+from probeloom.llm import bpe, exact_dedup, neighbours, packing, quality, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
     return {
+        "op1_substring_dedup": substring_dedup.op1_substring_dedup,
         "op2_packing": packing.op2_packing,
         "op3_bpe": bpe.op3_bpe,
         "op4_quality": quality.op4_quality,

@@ -5,17 +5,19 @@ the part that starts there) and the ranks of adjacent parts. The least rank is
 scanned for, its boundary deleted, and the two neighbouring ranks refreshed,
 until no adjacent pair can merge. Long words use a heap over the same pairs.
 
-Text between white space is encoded on its own, since neither the normaliser nor
-the splitting pattern of such a vocabulary looks across white space.
+Words repeat, so a worker remembers the ids of recent ones.
 """
 
 from __future__ import annotations
 
 import heapq
 import json
+import re
+import unicodedata
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,9 +25,11 @@ from probeloom.llm.common import table
 
 NONE = 1 << 30
 SHORT = 128
-REMEMBERED = 300_000
-# Control characters at which Python splits although they are no white space.
-SEPARATORS = "\x1c\x1d\x1e\x1f"
+# Words of one generation; the last two generations are remembered.
+REMEMBERED = 500_000
+# Characters that Python treats in another way than the tokenizers library: four
+# controls that count as white space, and a letter whose lower case depends on its place.
+UNLIKE = "\x1c\x1d\x1e\x1f\u03a3"
 
 
 class Bpe:
@@ -47,7 +51,17 @@ class Bpe:
         self.merges = {(ids[a], ids[b]): (i, ids[a + b]) for i, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in described["added_tokens"]}
         self.tokens = {i: t for t, i in [*ids.items(), *self.special.items()]}
+        steps = described["normalizer"]["normalizers"]
+        splitter = described["pre_tokenizer"]["pretokenizers"][0]
+        # The usual description is carried out on whole texts; any other by the library.
+        usual = [s["type"] for s in steps] == ["NFC", "Replace", "Lowercase"] and splitter["invert"]
+        pattern = splitter["pattern"]["Regex"]
+        self.find = regex.compile(pattern).findall if usual else None
+        # Within ASCII the faster standard module finds the same pieces.
+        self.find_ascii = re.compile(pattern.replace(r"\p{L}", "A-Za-z").replace(r"\p{N}", "0-9"), re.ASCII).findall
+        self.characters = byte_characters()
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def symbols(self, word: str) -> list[int]:
         """Ids of the single characters; characters outside the vocabulary are left out."""
@@ -95,21 +109,30 @@ class Bpe:
         parts = self.symbols(piece)
         return self.short(parts) if len(parts) <= SHORT else self.long(parts)
 
-    def chunk(self, text: str) -> bytes:
-        ids = [i for piece, _ in self.pieces(self.normalise(text)) for i in self.word(piece)]
-        return np.array(ids, np.int32).tobytes()
+    def words(self, text: str) -> list[str]:
+        """The normalised text cut into the pieces in which merges happen."""
+        if text.isascii():
+            return self.find_ascii(text.lower())
+        return self.find(unicodedata.normalize("NFC", text).lower())
+
+    def miss(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            piece = "".join(map(self.characters.__getitem__, word.encode()))
+            found = np.array(self.word(piece), np.int32).tobytes()
+        if len(self.known) >= REMEMBERED:
+            self.older, self.known = self.known, {}
+        self.known[word] = found
+        return found
 
     def plain(self, text: str) -> list[bytes]:
-        if any(c in text for c in SEPARATORS):
-            return [self.chunk(text)]
-        known, out = self.known, []
-        for c in text.split():
-            found = known.get(c)
-            if found is None:
-                if len(known) >= REMEMBERED:
-                    known.clear()
-                found = known[c] = self.chunk(c)
-            out.append(found)
+        if self.find is None or any(c in text for c in UNLIKE):
+            return [np.array(self.word(p), np.int32).tobytes() for p, _ in self.pieces(self.normalise(text))]
+        words = self.words(text)
+        out = list(map(self.known.get, words))
+        if None in out:
+            miss = self.miss
+            out = [miss(w) if found is None else found for w, found in zip(words, out)]
         return out
 
     def encode(self, text: str) -> np.ndarray:
@@ -130,6 +153,13 @@ class Bpe:
         return " ".join(map(self.tokens.__getitem__, ids))
 
 
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in a byte-level vocabulary."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return [chr(b) if b in shown else chr(256 + hidden.index(b)) for b in range(256)]
+
+
 LOADED: dict[str, Bpe] = {}
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probeloom.llm import bpe, exact_dedup, neighbours, packing, quality, substring_dedup, toxicity, warc
+from probeloom.llm import bpe, exact_dedup, near_dedup, neighbours, packing, quality, substring_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -14,6 +14,7 @@ def queries() -> dict:
         "op5_toxicity": toxicity.op5_toxicity,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_neighbours": neighbours.op8_neighbours,
+        "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_warc": warc.op10_warc,
     }
 

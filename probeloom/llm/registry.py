@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from probeloom.llm import bpe, exact_dedup, near_dedup, neighbours, packing, quality, substring_dedup, toxicity, warc
+from probeloom.llm import bpe, exact_dedup, near_dedup, neighbours, packing, quality, substring_dedup, suffix_dedup, toxicity, warc
 
 
 def queries() -> dict:
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op3_bpe": bpe.op3_bpe,
         "op4_quality": quality.op4_quality,
         "op5_toxicity": toxicity.op5_toxicity,
+        "op6_suffix_dedup": suffix_dedup.op6_suffix_dedup,
         "op7_exact_dedup": exact_dedup.op7_exact_dedup,
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_near_dedup": near_dedup.op9_near_dedup,

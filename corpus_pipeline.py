@@ -1,23 +1,57 @@
-"""The document pipeline: stages over the documents, in the order of STAGES."""
+"""The document pipeline: quality, exact copies, near copies, repeated passages, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on what its predecessor kept. All
+but the last return the columns of ``docs``.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from probeloom.llm import packing
+from probeloom.llm import exact_dedup, near_dedup, packing, quality, substring_dedup
+from probeloom.session import materialize
 
+# Classifier and similarity stages have no SQL; tests hold the stages to brute force.
 ORACLE_SQL = None
 
 
+def good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality classifier accepts; it learns from the marks of these documents."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
+    return quality.keep_good(docs, labels)
+
+
+def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return exact_dedup.keep_first(docs)
+
+
+def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.keep_one(docs)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the words of repeated windows; n_chars follows the text where there is such a column."""
+    found = substring_dedup.without_repeats(docs)
+    return found.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else found
+
+
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs, *packing.public_vocabulary())
 
 
-STAGES = [("packing", packed)]
+STAGES = [
+    ("quality", good),
+    ("exact_dedup", without_copies),
+    ("near_dedup", without_near_copies),
+    ("substring_dedup", without_repeats),
+    ("packing", packed),
+]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over all documents; each result is written and read again by the next stage."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from probeloom.sources.digests import sql_checksum
+
 # Shared table expressions.
 ENTITIES = """
 ents AS (
@@ -197,9 +199,8 @@ SQL = {
         SELECT pos, k.p_name AS left_item, p.p_name AS right_item FROM k JOIN p USING (pos) WHERE k.p_name <> p.p_name""",
     "empty_entities": f"""WITH {RETAIL_ENTITIES}, {RETAIL}
         SELECT * FROM ents WHERE entity_id NOT IN (SELECT entity_id FROM retail GROUP BY 1 HAVING sum(cnt) > 0)""",
-    "table_fingerprints": """SELECT source AS part, count(*) AS n_rows, CAST(sum(CAST(CAST('0x' || substr(sha256(
-               concat_ws('|', coalesce('=' || CAST(doc_id AS VARCHAR), '-'), coalesce('=' || lang, '-'), coalesce('=' || text, '-'))
-               ), 1, 15) AS BIGINT) AS HUGEINT)) AS VARCHAR) AS checksum
+    "table_fingerprints": f"""SELECT source AS part, count(*) AS n_rows,
+        {sql_checksum(["CAST(doc_id AS VARCHAR)", "lang", "text"])} AS checksum
         FROM documents GROUP BY source""",
     "selected_features": f"""WITH {LANG_SPLIT}, {TOKENS}, {FITTED.format(n=2000)}
         SELECT feature_id, out_pos, round(mean, 9) AS mean, round(scale, 9) AS scale, round(variance, 9) AS variance

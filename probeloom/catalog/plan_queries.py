@@ -30,13 +30,13 @@ def c_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Q.vector_split(spark, sf_dir).select("entity_id", "label", "split", "vec")
     d, alpha = Q.dictionary(spark, sf_dir, Q.FIRST)
     codes = coding.encode(rows, d, alpha).select("entity_id", "label", "split", F.col("z").alias("vec"))
-    return probing.search_c({"embedding": rows, "codes": codes}, fine_points=5)[1]
+    return probing.search_c({"embedding": rows, "codes": codes})[1]
 
 
 SETTINGS = [
-    dictionary.Setting("k8_a0.1_s0", 8, 0.1, 0, epochs=4),
-    dictionary.Setting("k8_a0.1_s1", 8, 0.1, 1, epochs=4),
-    dictionary.Setting("k16_a0.1_s0", 16, 0.1, 0, epochs=4),
+    dictionary.Setting("k8_a0.1_s0", 8, 0.1, 0, epochs=10),
+    dictionary.Setting("k8_a0.1_s1", 8, 0.1, 1, epochs=10),
+    dictionary.Setting("k16_a0.1_s0", 16, 0.1, 0, epochs=10),
 ]
 
 
@@ -64,8 +64,7 @@ def stage_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
     """Stages over document parts.
 
     One part per source. ``tokens/<source>`` recorded its part before toxic
-    documents were added, ``features/<lang>`` needs the sources with at least
-    eight documents in that language, and ``report`` needs all features.
+    documents were added, ``features/<lang>`` needs the sources of that language, and ``report`` needs all features.
     """
     docs = T.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text")
     toxic = T.table(spark, sf_dir, "labels").filter("toxic = 1").select("doc_id")
@@ -78,7 +77,7 @@ def stage_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame
         F.concat(F.lit("tokens/"), F.col("source")).alias("stage"), F.col("source").alias("path"),
         F.col("checksum").alias("sha256"),
     )
-    pairs = docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n")).filter("n >= 8")
+    pairs = docs.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"))
     needs = pairs.select(
         F.concat(F.lit("features/"), F.col("lang")).alias("stage"),
         F.concat(F.lit("tokens/"), F.col("source")).alias("required"),
@@ -102,8 +101,7 @@ QUERIES = {
     "stale_stages": stale_stages,
 }
 
-_DIGEST = """CAST(sum(CAST(CAST('0x' || substr(sha256(concat_ws('|', '=' || CAST(doc_id AS VARCHAR), coalesce('=' || text, '-'))), 1, 15)
-             AS BIGINT) AS HUGEINT)) AS VARCHAR)"""
+_DIGEST = digests.sql_checksum(["CAST(doc_id AS VARCHAR)", "text"])
 
 SQL = {
     "stale_stages": f"""WITH RECURSIVE
@@ -113,7 +111,7 @@ SQL = {
           WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY source),
         changed AS (
           SELECT 'tokens/' || b.source AS stage FROM before b LEFT JOIN now_ n USING (source) WHERE b.d IS DISTINCT FROM n.d),
-        pairs AS (SELECT lang, source FROM documents GROUP BY ALL HAVING count(*) >= 8),
+        pairs AS (SELECT lang, source FROM documents GROUP BY ALL),
         needs AS (
           SELECT 'features/' || lang AS stage, 'tokens/' || source AS required FROM pairs
           UNION SELECT 'report', 'features/' || lang FROM pairs),

@@ -138,6 +138,12 @@ def classification_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(metrics.report(metrics.confusion(predictions(spark, sf_dir), CLASSES)))
 
 
+def absent_class_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report over the fixed class list when one class has no true rows but is still predicted."""
+    rows = predictions(spark, sf_dir).filter("label <> '3'")
+    return round_doubles(metrics.report(metrics.confusion(rows, CLASSES), labels=CLASSES))
+
+
 def scalar_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = metrics.scored_metrics(predictions(spark, sf_dir), CLASSES, ["split"])
     return round_doubles(rows)
@@ -419,20 +425,22 @@ def sparse_codes_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _long(coding.encode(T.vector_entities(spark, sf_dir), d, alpha))
 
 
-def _early_codes(spark: SparkSession, sf_dir: str):
-    """Codes stopped after five steps, so that optimality residuals are visible."""
+def _code_residuals(spark: SparkSession, sf_dir: str):
+    """Optimality residuals of the converged codes and, for comparison, of the code zero."""
     d, alpha = dictionary(spark, sf_dir, FIRST)
     rows = spread(T.vector_entities(spark, sf_dir))
-    rows = rows.withColumn("z", coding.native_code(F.col("vec"), d, alpha, 5))
-    return rows.withColumn("kkt", coding.native_kkt(F.col("vec"), F.col("z"), d, alpha)), alpha
+    found = coding.encode(rows, d, alpha).withColumn("code", F.lit("converged"))
+    zero = rows.withColumn("z", F.array_repeat(F.lit(0.0), len(d))).withColumn("code", F.lit("zero"))
+    both = found.unionByName(zero).withColumn("entity_id", F.concat_ws(":", "code", F.col("entity_id").cast("string")))
+    return both.withColumn("kkt", coding.kkt(d, alpha)(F.col("vec").cast("array<double>"), F.col("z"))), alpha
 
 
 def kkt_residuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _long(_early_codes(spark, sf_dir)[0], "kkt")
+    return _long(_code_residuals(spark, sf_dir)[0], "kkt")
 
 
 def kkt_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, alpha = _early_codes(spark, sf_dir)
+    rows, alpha = _code_residuals(spark, sf_dir)
     values = materialize(rows.select(F.explode("kkt").alias("v")), "residuals")
     p95 = exact_quantile(values, "v", 0.95)
     return values.agg(
@@ -510,6 +518,7 @@ QUERIES = {
     "confusion_matrix": confusion_matrix,
     "per_class_metrics": per_class_metrics,
     "classification_report": classification_report,
+    "absent_class_report": absent_class_report,
     "scalar_metrics": scalar_metrics,
     "attribute_mismatch": attribute_mismatch,
     "probability_audit": probability_audit,

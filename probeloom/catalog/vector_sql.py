@@ -339,6 +339,21 @@ SQL = {
         SELECT entity_id, label, split, prediction, round(p_top, 6) AS p_top FROM pred""",
     "confusion_matrix": f"""WITH {PREDICTED} SELECT label, """ + ", ".join(
         f"""count(*) FILTER (WHERE prediction = '{c}') AS "{c}" """ for c in range(10)) + " FROM pred GROUP BY label",
+    "absent_class_report": f"""WITH {PREDICTED}, kept AS (SELECT * FROM pred WHERE label <> '3'),
+        c AS (SELECT CAST(range AS VARCHAR) AS label FROM range(10)),
+        counts AS (
+          SELECT c.label, (SELECT count(*) FROM kept k WHERE k.label = c.label AND k.prediction = c.label) AS tp,
+                 (SELECT count(*) FROM kept k WHERE k.prediction = c.label) AS predicted,
+                 (SELECT count(*) FROM kept k WHERE k.label = c.label) AS support FROM c),
+        rates AS (
+          SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS precision,
+                 CASE WHEN support > 0 THEN tp / support ELSE 0 END AS recall,
+                 CASE WHEN predicted + support > 0 THEN 2.0 * tp / (predicted + support) ELSE 0 END AS f1_score FROM counts)
+        SELECT label, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score,
+               CAST(support AS BIGINT) AS support FROM rates
+        UNION ALL {report_row('accuracy', ACCURACY, ACCURACY, ACCURACY)}
+        UNION ALL {report_row('macro avg', 'avg(precision)', 'avg(recall)', 'avg(f1_score)')}
+        UNION ALL {report_row('weighted avg', *[f'sum({m} * support) / sum(support)' for m in ('precision', 'recall', 'f1_score')])}""",
     "per_class_metrics": f"""WITH {PREDICTED}, {CLASS_TABLE}
         SELECT label, CAST(tp AS BIGINT) AS tp, CAST(predicted AS BIGINT) AS predicted, CAST(support AS BIGINT) AS support,
                round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1_score, 6) AS f1_score FROM rates""",
@@ -487,10 +502,13 @@ def _metrics_cte(name: str, body: str) -> str:
 SQL["probability_audit"] = (
     f"WITH {_metrics_cte('a', PREDICTED)}, {_metrics_cte('b', PREDICTED_SCALED)} " + SQL["probability_audit"]
 )
-_KKT = f"""WITH {VECTORS}, {dictionaries(FIRST)}, {codes('vecs', 5)},
+_KKT = f"""WITH {VECTORS}, {dictionaries(FIRST)}, {codes('vecs')},
+    both_ AS (
+      SELECT 'converged:' || entity_id AS entity_id, alpha, k, g, t, z FROM coded
+      UNION ALL SELECT 'zero:' || entity_id, alpha, k, g, t, list_transform(range(k), lambda i: 0.0::DOUBLE) FROM coded),
     slopes AS (
       SELECT entity_id, alpha, unnest(range(1, k + 1)) AS atom, unnest(z) AS z,
-             unnest(list_transform(range(1, k + 1), lambda j: list_inner_product(g[j], z) - t[j])) AS s FROM coded),
+             unnest(list_transform(range(1, k + 1), lambda j: list_inner_product(g[j], z) - t[j])) AS s FROM both_),
     kkt AS (
       SELECT entity_id, atom, CASE WHEN z <> 0 THEN abs(s + alpha * sign(z)) ELSE greatest(abs(s) - alpha, 0) END AS residual FROM slopes) """
 for _name in ("kkt_residuals", "kkt_summary"):

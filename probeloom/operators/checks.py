@@ -173,13 +173,18 @@ def count_differences(actual: DataFrame, recorded: DataFrame, key: str, value: s
 # --- values -------------------------------------------------------------------
 
 def vector_violations(df: DataFrame, dim: int | None = None, vec: str = "vec", key: str = "entity_id") -> DataFrame:
-    """Vectors with a wrong length or a non-finite entry."""
-    size_bad = (F.size(vec) != dim) if dim is not None else F.lit(False)
+    """Vectors that are missing, have a wrong length or a non-finite entry.
+
+    Without ``dim`` the most frequent length is the right one.
+    """
+    if dim is None:
+        dim = df.agg(F.mode(F.when(F.col(vec).isNotNull(), F.size(vec)), True)).first()[0]
+    yes = F.lit(True)
     return df.select(
         key,
         F.size(vec).alias("dim"),
-        size_bad.alias("wrong_length"),
-        (~V.all_finite(F.col(vec))).alias("not_finite"),
+        F.coalesce(F.when(F.col(vec).isNotNull(), F.size(vec) != F.lit(dim)), yes).alias("wrong_length"),
+        F.coalesce(~V.all_finite(F.col(vec)), yes).alias("not_finite"),
     ).filter("wrong_length OR not_finite")
 
 
@@ -211,10 +216,9 @@ def order_differences(left: DataFrame, right: DataFrame, position: str, item: st
 
 
 def probability_violations(predictions: DataFrame, tol: float = 1e-6) -> DataFrame:
-    mass = V.total(F.col("probs"))
-    return predictions.withColumn("mass", mass).filter(
-        ~V.all_finite(F.col("probs")) | (F.abs(F.col("mass") - 1.0) > tol)
-    )
+    """Predictions whose probabilities are missing, not finite or do not add up to one."""
+    bad = ~V.all_finite(F.col("probs")) | (F.abs(F.col("mass") - 1.0) > tol)
+    return predictions.withColumn("mass", V.total(F.col("probs"))).filter(F.coalesce(bad, F.lit(True)))
 
 
 def metric_differences(stored: DataFrame, computed: DataFrame, keys: Sequence[str],
@@ -232,26 +236,33 @@ def metric_differences(stored: DataFrame, computed: DataFrame, keys: Sequence[st
     )
 
 
-def fold_leaks(folds: DataFrame) -> DataFrame:
+def fold_leaks(folds: DataFrame, entities: DataFrame | None = None) -> DataFrame:
     """Groups standing on both sides of a fold, or held out only in part.
 
-    ``folds``: outer_grp, grp, role ('train' or 'hold').
+    ``folds``: outer_grp, grp, role ('train' or 'hold'). With ``entities`` (grp) a
+    held group must also have all of its rows in the fold.
     """
-    return (
-        folds.groupBy("outer_grp", "grp")
-        .agg(F.count_if(F.col("role") == "train").alias("n_train"),
-             F.count_if(F.col("role") == "hold").alias("n_hold"))
-        .filter(
-            "(n_train > 0 AND n_hold > 0) OR (outer_grp = grp AND n_train > 0)"
-            " OR (outer_grp <> grp AND n_hold > 0)"
-        )
+    sides = folds.groupBy("outer_grp", "grp").agg(
+        F.count_if(F.col("role") == "train").alias("n_train"), F.count_if(F.col("role") == "hold").alias("n_hold")
+    )
+    wrong = (
+        ((F.col("n_train") > 0) & (F.col("n_hold") > 0))
+        | ((F.col("outer_grp") == F.col("grp")) & (F.col("n_train") > 0))
+        | ((F.col("outer_grp") != F.col("grp")) & (F.col("n_hold") > 0))
     )
+    if entities is None:
+        return sides.filter(wrong)
+    sizes = entities.groupBy("grp").agg(F.count(F.lit(1)).alias("_size"))
+    held = folds.select("outer_grp").distinct().join(sizes, F.col("outer_grp") == F.col("grp"))
+    both = sides.join(held, ["outer_grp", "grp"], "full").na.fill(0, subset=["n_train", "n_hold"])
+    short = (F.col("outer_grp") == F.col("grp")) & ~F.col("n_hold").eqNullSafe(F.col("_size"))
+    return both.filter(wrong | short).drop("_size")
 
 
 def atom_violations(atoms: DataFrame, limit: float = 1.00001) -> DataFrame:
-    return atoms.withColumn("norm", V.norm(F.col("weights"))).filter(
-        (F.col("norm") > limit) | ~V.all_finite(F.col("weights"))
-    ).select("atom", "norm")
+    """Atoms that are missing, not finite or longer than ``limit``."""
+    bad = (F.col("norm") > limit) | ~V.all_finite(F.col("weights"))
+    return atoms.withColumn("norm", V.norm(F.col("weights"))).filter(F.coalesce(bad, F.lit(True))).select("atom", "norm")
 
 
 def digest_differences(recorded: DataFrame, actual: DataFrame, key: str = "path") -> DataFrame:

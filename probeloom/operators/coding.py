@@ -41,6 +41,8 @@ def lasso_rows(x: np.ndarray, d: np.ndarray, alpha: float, max_sweeps: int = MAX
         codes[live] = z
         moved = np.abs(z - start).max(axis=1)
         live = live[moved > tol * np.maximum(1.0, np.abs(z).max(axis=1))]
+    if len(live):
+        raise ArithmeticError(f"{len(live)} codes still move after {max_sweeps} sweeps")
     return codes
 
 
@@ -89,8 +91,9 @@ def native_code(vec: Column, d: np.ndarray, alpha: float, steps: int) -> Column:
 def kkt(d: np.ndarray, alpha: float):
     """Column function (vec, code) -> optimality residual per coordinate.
 
-    Zero exactly where the code is optimal: |g + alpha*sign(z)| on active
-    coordinates and max(|g| - alpha, 0) elsewhere, g being the smooth gradient.
+    A code is optimal where the correlation of the residual with each atom lies
+    in alpha times the subgradient of |z|: one point beside zero, [-1, 1] at it.
+    The residual is the distance from that interval.
     """
 
     @task_function("array<double>")
@@ -103,17 +106,19 @@ def kkt(d: np.ndarray, alpha: float):
 
 
 def kkt_rows(x: np.ndarray, z: np.ndarray, d: np.ndarray, alpha: float) -> np.ndarray:
-    slope = (z @ d - x) @ d.T
-    return np.where(z != 0, np.abs(slope + alpha * np.sign(z)), np.maximum(np.abs(slope) - alpha, 0.0))
+    correlation = (x - z @ d) @ d.T
+    low, high = np.where(z > 0, alpha, -alpha), np.where(z < 0, -alpha, alpha)
+    return np.maximum(np.maximum(low - correlation, correlation - high), 0.0)
 
 
 def native_kkt(vec: Column, code: Column, d: np.ndarray, alpha: float) -> Column:
     """The residuals of :func:`kkt` as one JVM expression, for small dictionaries."""
-    slope = F.zip_with(
-        V.mat_vec(V.literal_matrix(d @ d.T), code), V.mat_vec(V.literal_matrix(d), vec), lambda p, q: p - q
+    correlation = F.zip_with(
+        V.mat_vec(V.literal_matrix(d), vec), V.mat_vec(V.literal_matrix(d @ d.T), code), lambda q, p: q - p
     )
-    return F.zip_with(slope, code, lambda s, z: F.when(z != 0, F.abs(s + F.signum(z) * alpha)).otherwise(
-        F.greatest(F.abs(s) - alpha, F.lit(0.0))))
+    low = lambda z: F.when(z > 0, alpha).otherwise(-alpha)
+    high = lambda z: F.when(z < 0, -alpha).otherwise(alpha)
+    return F.zip_with(correlation, code, lambda c, z: F.greatest(low(z) - c, c - high(z), F.lit(0.0)))
 
 
 def reconstruction(d: np.ndarray):

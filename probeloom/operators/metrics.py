@@ -43,15 +43,40 @@ def confusion(predictions: DataFrame, classes: Sequence[str], keys: Sequence[str
 
 
 def confusion_matrix(table: DataFrame, classes: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    """One row per true label, one column per predicted class, zeros filled in."""
+    """One row per class, one column per predicted class, zeros filled in.
+
+    Classes without true rows have a row too; labels outside the list are an error.
+    """
+    all_known(table, classes)
     return (
-        table.groupBy(*keys, "label").pivot("prediction", list(classes)).agg(F.sum("n"))
+        with_classes(table, classes, keys).groupBy(*keys, "label").pivot("prediction", list(classes)).agg(F.sum("n"))
         .na.fill(0, subset=list(classes))
     )
 
 
-def per_class(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
-    """keys, label, tp, predicted, support, loss, precision, recall, f1_score."""
+def all_known(table: DataFrame, classes: Sequence[str]) -> None:
+    stray = table.filter(~(F.col("label").isin(*classes) & F.col("prediction").isin(*classes))).limit(1).collect()
+    if stray:
+        raise ValueError(f"label {stray[0]['label']!r} or prediction {stray[0]['prediction']!r} is not a listed class")
+
+
+def with_classes(table: DataFrame, classes: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
+    """The confusion table with an empty cell on the diagonal for every listed class."""
+    empty = table.select(*keys).distinct() if keys else table.sparkSession.range(1).drop("id")
+    cells = empty.withColumn("label", F.explode(class_list(classes))).withColumn("prediction", F.col("label"))
+    return table.unionByName(cells.select(
+        *keys, "label", "prediction", F.lit(0).cast("long").alias("n"), F.lit(0.0).alias("loss")
+    ))
+
+
+def per_class(table: DataFrame, keys: Sequence[str] = (), classes: Sequence[str] | None = None) -> DataFrame:
+    """keys, label, tp, predicted, support, loss, precision, recall, f1_score.
+
+    With ``classes`` every listed class has a row, whether it occurs or not.
+    """
+    if classes is not None:
+        all_known(table, classes)
+        table = with_classes(table, classes, keys)
     hit = F.col("label") == F.col("prediction")
     sides = F.array(
         F.struct(F.col("label").alias("c"), F.col("n").alias("s"), F.lit(0).cast("long").alias("p"),
@@ -74,12 +99,19 @@ def per_class(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def report(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+SUMMARIES = ("accuracy", "macro avg", "weighted avg")
+
+
+def report(table: DataFrame, keys: Sequence[str] = (), labels: Sequence[str] | None = None) -> DataFrame:
     """Per-class rows followed by accuracy, macro and weighted averages.
 
-    The class table is read four times, so it is evaluated once first.
+    With ``labels`` the rows and averages are over that list. The class table is
+    read four times, so it is evaluated once first.
     """
-    classes = settle(per_class(table, keys))
+    classes = settle(per_class(table, keys, labels))
+    clash = classes.filter(F.col("label").isin(*SUMMARIES)).limit(1).collect()
+    if clash:
+        raise ValueError(f"a class has the name of a summary row: {clash[0]['label']}")
     rows = classes.select(*keys, "label", "precision", "recall", "f1_score", "support")
     n = F.sum("support")
 
@@ -98,13 +130,13 @@ def report(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def scalar_metrics(table: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
+def scalar_metrics(table: DataFrame, keys: Sequence[str] = (), classes: Sequence[str] | None = None) -> DataFrame:
     """keys, n_rows, macro_f1, accuracy, balanced_accuracy, log_loss.
 
-    Macro-F1 averages over labels seen in truth or prediction, balanced
-    accuracy over labels with support.
+    Macro-F1 averages over ``classes``, or else over labels seen in truth or
+    prediction; balanced accuracy over labels with support.
     """
-    return per_class(table, keys).groupBy(*keys).agg(
+    return per_class(table, keys, classes).groupBy(*keys).agg(
         F.sum("support").alias("n_rows"),
         F.avg("f1_score").alias("macro_f1"),
         (F.sum("tp") / F.sum("support")).alias("accuracy"),

@@ -6,7 +6,6 @@ and C = 1/(n * lambda).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from multiprocessing.pool import ThreadPool
@@ -26,7 +25,6 @@ from probeloom.operators.metrics import PROBABILITY_FLOOR, class_list
 from probeloom.session import bounded_rows
 
 MAX_ITERATIONS = 5000
-PARTITION_BYTES = 32 * 1024 * 1024
 TOLERANCE = 1e-7
 
 
@@ -44,15 +42,11 @@ def classes_of(rows: DataFrame, label: str = "label") -> list[str]:
     return sorted(r[0] for r in bounded_rows(rows.select(label).distinct(), MAX_CLASSES, "classes"))
 
 
-def training_rows(rows: DataFrame, classes: Sequence[str], vec: str = "vec",
-                  size: tuple[int, int] | None = None) -> DataFrame:
-    """MLlib input. Class numbers follow the sorted class list.
+def training_rows(rows: DataFrame, classes: Sequence[str], vec: str = "vec") -> DataFrame:
+    """MLlib input, with the tasks of ``rows``. Class numbers follow the sorted class list.
 
-    Every optimizer step is one job over these rows. ``size`` (rows, width)
-    merges partitions that would hold next to nothing; large data is unchanged.
+    Every optimizer step is one job over these rows, so persist them.
     """
-    if size is not None:
-        rows = rows.coalesce(max(1, math.ceil(size[0] * size[1] * 8 / PARTITION_BYTES)))
     return rows.select(
         array_to_vector(F.col(vec).cast("array<double>")).alias("features"),
         (F.array_position(class_list(classes), F.col("label")) - 1).cast("double").alias("label"),

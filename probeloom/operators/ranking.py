@@ -42,9 +42,7 @@ def rank_rows(df: DataFrame, order: Sequence[Column | str], out: str, start: int
 
 def bucket_digits(n_rows: int, per_bucket: int = ROWS_PER_BUCKET) -> int:
     """Leading hex digits of a uniform key that keep every bucket small."""
-    if n_rows <= per_bucket:
-        return 0
-    return min(8, math.ceil(math.log(n_rows / per_bucket, 16)))
+    return min(8, max(1, math.ceil(math.log(max(n_rows, 1) / per_bucket, 16))))
 
 
 def cut_keys(
@@ -65,26 +63,24 @@ def cut_keys(
     """
     digits = bucket_digits(n_rows, per_bucket)
     bucketed = keyed.withColumn("bucket", F.substring("order_key", 1, digits))
-    if digits == 0:
-        holders = cuts.withColumn("bucket", F.lit("")).withColumn("first", F.lit(0).cast("long"))
-    else:
-        upto = Window.partitionBy("label").orderBy("bucket")
-        sizes = (
-            bucketed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
-            .withColumn("last", F.sum("n").over(upto))
-            .withColumn("first", F.col("last") - F.col("n"))
-        )
-        holders = settle(
-            sizes.join(cuts, "label")
-            .filter((F.col("first") < F.col("rank")) & (F.col("rank") <= F.col("last")))
-            .select("label", "cut", "rank", "bucket", "first")
-        )
-    wanted = F.broadcast(holders.select("label", "bucket", "first").distinct())
+    upto = Window.partitionBy("label").orderBy("bucket")
+    sizes = (
+        bucketed.groupBy("label", "bucket").agg(F.count(F.lit(1)).alias("n"))
+        .withColumn("last", F.sum("n").over(upto))
+        .withColumn("first", F.col("last") - F.col("n"))
+    )
+    holders = settle(
+        sizes.join(cuts, "label")
+        .filter((F.col("first") < F.col("rank")) & (F.col("rank") <= F.col("last")))
+        .select("label", "cut", "rank", "bucket", "first")
+    )
+    # ``settle`` has marked the holders for broadcast where they are few.
+    wanted = settle(holders.select("label", "bucket", "first").distinct())
     inside = Window.partitionBy("label", "bucket").orderBy("order_key", "entity_id")
     ranked = bucketed.join(wanted, ["label", "bucket"]).withColumn(
         "rank", F.col("first") + F.row_number().over(inside)
     )
-    return ranked.join(F.broadcast(holders.select("label", "cut", "rank")), ["label", "rank"]).select(
+    return ranked.join(settle(holders.select("label", "cut", "rank")), ["label", "rank"]).select(
         "label", "cut", F.col("order_key").alias("cut_key"), F.col("entity_id").alias("cut_id")
     )
 
@@ -123,7 +119,7 @@ def exact_quantile(df: DataFrame, value: str, q: float, limit: int = QUANTILE_RO
         if under > low_rank or upto <= high_rank:
             width *= 4  # the sketch missed the rank; widen and try again
             if width > 1:
-                break
+                raise ArithmeticError(f"{value}: no bracket around the quantile {q} holds {limit} values or fewer")
             continue
         inside, below = values.filter(F.col("v").between(lo, hi)), under
     upto = Window.orderBy("v")

@@ -11,6 +11,7 @@ from probeloom.functions.scalars import SPLITS, TARGET_SUM
 from probeloom.operators import checks, features, panels
 from probeloom.operators.checks import CheckFailed, assert_empty
 from probeloom.operators.split import Split
+from probeloom.session import bounded_rows
 from probeloom.sources.digests import checksum
 from probeloom.sources.writers import read_report, refuse_existing, write_report, write_table
 
@@ -18,7 +19,7 @@ KEYS = ("entity_id", "label", "grp")
 
 
 def _counts_by(df: DataFrame, column: str) -> dict[str, int]:
-    rows = df.groupBy(column).agg(F.count(F.lit(1)).alias("n")).limit(checks.MAX_CLASSES).collect()
+    rows = bounded_rows(df.groupBy(column).agg(F.count(F.lit(1)).alias("n")), checks.MAX_CLASSES, column)
     return {r[0]: r[1] for r in rows}
 
 

@@ -125,7 +125,7 @@ def search_c(inputs: dict[str, DataFrame], coarse: Sequence[float] = COARSE_C, f
         mine = df.filter("split = 'train'")
         classes = probe.classes_of(mine)
         n, width = mine.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-        train = probe.persisted(probe.training_rows(mine, classes, size=(n, width)))
+        train = probe.persisted(probe.training_rows(mine, classes))
         held = probe.persisted(df.filter("split = 'validation'").select("label", "vec"))
         try:
             first = _fit_stage(name, "coarse", train, held, classes, n, coarse, parallelism)

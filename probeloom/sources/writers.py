@@ -63,5 +63,11 @@ def refuse_existing(spark: SparkSession, path: str) -> None:
 
 
 def append_fold(df: DataFrame, path: str, partition_by: str = "outer_grp") -> None:
-    """Add the rows of one fold as new partitions; earlier folds stay untouched."""
+    """Add the rows of one fold as new partitions; a fold that is there already is refused."""
+    spark = df.sparkSession
+    if exists(spark, path):
+        there = spark.read.parquet(path).select(F.col(partition_by).cast("string")).distinct()
+        again = df.select(F.col(partition_by).cast("string")).distinct().join(there, partition_by).limit(1).collect()
+        if again:
+            raise FileExistsError(f"{path}: fold {again[0][0]} has been written")
     df.write.mode("append").partitionBy(partition_by).parquet(path)

@@ -18,7 +18,7 @@ def test_rank_rows_uses_no_single_partition_window(spark):
 
 
 def test_bucket_digits():
-    assert bucket_digits(10, 100) == 0
+    assert bucket_digits(10, 100) == 1
     assert bucket_digits(1600, 100) == 1
     assert bucket_digits(1601, 100) == 2
 

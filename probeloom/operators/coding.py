@@ -136,11 +136,14 @@ def reconstruction(d: np.ndarray):
 
 def reconstruction_metrics(codes: DataFrame, d: np.ndarray, keys=("split",), vec: str = "vec", z: str = "z") -> DataFrame:
     """Per key: mse, zero_reconstruction_mse, relative_mse, activity shares."""
-    p, k = d.shape[1], d.shape[0]
+    error = reconstruction(d)(F.col(vec).cast("array<double>"), F.col(z))
+    return summed_errors(codes.select(*keys, F.col(z).alias("z"), error.alias("error")), d.shape[1], d.shape[0], keys)
+
+
+def summed_errors(codes: DataFrame, p: int, k: int, keys=("split",)) -> DataFrame:
+    """The metrics from codes that carry their ``error`` (residual and vector sums of squares)."""
     rows = codes.select(
-        *keys,
-        reconstruction(d)(F.col(vec).cast("array<double>"), F.col(z)).alias("e"),
-        F.size(F.filter(z, lambda v: F.abs(v) > 1e-6)).alias("n_active"),
+        *keys, F.col("error").alias("e"), F.size(F.filter("z", lambda v: F.abs(v) > 1e-6)).alias("n_active")
     )
     out = rows.groupBy(*keys).agg(
         (F.avg(F.col("e")[0]) / p).alias("mse"),

@@ -226,14 +226,19 @@ def diagnostics(vectors: DataFrame, fits: Sequence[Fitted],
     out = []
     for fit, s in zip(fits, found):
         d, n = fit.atoms, s["n"]
-        step = d - (s["zz"] @ d - s["zx"]) / n
-        step = step / np.maximum(1.0, np.linalg.norm(step, axis=1))[:, None]
+        if not n:
+            raise ValueError(f"{fit.setting.name}: no rows outside the groups it may not see")
+        # A stationary dictionary is where moving against the mean gradient of the
+        # sums and going back into the unit ball changes nothing.
+        moved = d - (s["zz"] @ d - s["zx"]) / n
+        length = np.linalg.norm(moved, axis=1, keepdims=True)
+        shift = d - np.where(length > 1, moved / np.where(length > 0, length, 1), moved)
         out.append(dict(
             name=fit.setting.name, atoms=len(d), alpha=float(fit.setting.alpha), seed=fit.setting.seed,
             epochs_run=fit.epochs_run, steps=fit.steps,
             reached_epoch_budget=fit.epochs_run >= fit.setting.epochs,
-            gram_min_eigenvalue=float(np.linalg.eigvalsh(d @ d.T).min()),
-            projected_gradient_norm=float(np.linalg.norm(d - step)),
+            gram_min_eigenvalue=float(np.linalg.svd(d, compute_uv=False).min() ** 2 if len(d) <= d.shape[1] else 0.0),
+            projected_gradient_norm=float(np.sqrt((shift ** 2).sum())),
             objective_per_row=float(s["objective"] / n),
             train_mse=float(s["rss"] / (n * d.shape[1])),
             zero_reconstruction_mse=float(s["xss"] / (n * d.shape[1])),

@@ -141,11 +141,15 @@ def load_inputs(spark: SparkSession, bundle: str, features_path: str, dictionari
         _require(checksum(stored) == prep["vectors_checksum"][s], f"{s} features have changed")
     assert_empty(checks.coverage_gaps(known, "label", "split"), "labels of train and validation differ")
     out = {"expression": checked_vectors(expression.drop("split"), known, "expression", prep["n_features_selected"])}
+    source = checksum(out["expression"].select("entity_id", "split", "vec")) if dictionaries else None
     for name, folder in (dictionaries or {}).items():
         report = read_report(spark, f"{folder}/report")
-        _require(report["status"] == "complete" and not report["test_accessed"], f"{name}: not a train/validation run")
         _require(report["manifest_checksum"] == settings["manifest_checksum"], f"{name}: fitted for another split")
-        codes = spark.read.parquet(f"{folder}/codes").select("entity_id", F.col("z").alias("vec"))
+        _require(report["vectors_checksum"] == source, f"{name}: fitted on other vectors")
+        stored = spark.read.parquet(f"{folder}/codes")
+        _require(checksum(stored) == report["codes_checksum"], f"{name}: codes have changed")
+        _require(stored.filter("NOT split <=> 'train' AND NOT split <=> 'validation'").isEmpty(), f"{name}: codes of other splits")
+        codes = stored.select("entity_id", F.col("z").alias("vec"))
         out[name] = checked_vectors(codes, known, name, report["atoms"])
     if embeddings is not None:
         excluded = spark.read.parquet(f"{bundle}/exclusions").select("entity_id")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from probeloom.catalog import vector_queries as Q
-from probeloom.operators import coding, dictionary, metrics, probe
+from probeloom.catalog.vector_sql import VECTOR_SPLIT
+from probeloom.operators import checks, coding, dictionary, metrics, probe
 from probeloom.plans import lineage, probing, study
 from probeloom.sources import digests
 from probeloom.sources import tables as T
@@ -26,6 +27,25 @@ def logistic_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("entity_id", "label", "split", "prediction", F.round(F.array_max("probs"), 6).alias("p_top"))
 
 
+PENALTY = 0.01
+
+
+def two_class_probe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Probe of two classes on one coordinate: its optimum, which SQL reaches by Newton steps."""
+    rows = Q.vector_split(spark, sf_dir).filter("split = 'train' AND label IN ('0', '1')")
+    rows = rows.withColumn("vec", F.array(F.col("vec")[0] * 8))
+    prepared = probe.persisted(probe.training_rows(rows, ["0", "1"]))
+    try:
+        n = prepared.count()
+        model = probe.fit_probe(prepared, ["0", "1"], n, lam=PENALTY, tol=1e-12, strict=True)
+    finally:
+        prepared.unpersist()
+    found = [(n, float(model.coef[1, 0]), float(model.intercept[1]))]
+    return spark.createDataFrame(found, "n_train long, coef double, intercept double").select(
+        "n_train", Q.r("coef", 4), Q.r("intercept", 4)
+    )
+
+
 def c_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = Q.vector_split(spark, sf_dir).select("entity_id", "label", "split", "vec")
     d, alpha = Q.dictionary(spark, sf_dir, Q.FIRST)
@@ -48,6 +68,35 @@ def dictionary_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame(dictionary.diagnostics(stored, fits))
 
 
+def dictionary_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of every fitted dictionary, recomputed from its atoms: counts and violations."""
+    rows = T.vector_entities(spark, sf_dir)
+    stored = dictionary.bucketed(rows, 2)
+    fits = dictionary.fit_dictionaries(rows, SETTINGS, 2, stored=stored)
+    long = checks.atom_violations(dictionary.atoms_table(spark, fits)).count()
+    out = []
+    for fit in fits:
+        s = fit.setting
+        coded = coding.encode(stored, fit.atoms, s.alpha)
+        worst = F.array_max(coding.kkt(fit.atoms, s.alpha)(F.col("vec").cast("array<double>"), F.col("z")))
+        row = coded.select(worst.alias("worst")).agg(
+            F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce(F.col("worst") > 1e-5, F.lit(True))).alias("bad")
+        ).first()
+        out.append((s.name, len(fit.atoms), row["n"], row["bad"], long, int(fit.epochs_run > s.epochs)))
+    return spark.createDataFrame(out, (
+        "name string, atoms long, n_rows long, rows_not_optimal long, bad_atoms long, epochs_over long"
+    ))
+
+
+def study_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The audit row of the nested study: numbers of fits, and whether the residuals stay in their bounds."""
+    row = study.audit_study(small_study(spark, sf_dir), Q.CLASSES)
+    return row.select(
+        "status", *[F.col(c).cast("long").alias(c) for c in ("verified_outer_fits", "inner_fits", "n_groups", "dictionary_fits")],
+        (F.col("max_coding_kkt_residual") <= 1e-5).alias("codes_optimal"), (F.col("min_gram_eigenvalue") >= -1e-9).alias("gram_positive"),
+    )
+
+
 def small_study(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     rows = T.vector_entities(spark, sf_dir).withColumn("emb", F.col("vec"))
     return study.nested_study(rows, seeds=(0, 1), n_atoms=8, alpha=1.0, epochs=2, lambdas=(1e-3, 1e-1), batches=2)
@@ -95,7 +144,10 @@ def stale_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "logistic_scores": logistic_scores,
+    "two_class_probe": two_class_probe,
     "c_search": c_search,
+    "dictionary_certificates": dictionary_certificates,
+    "study_audit": study_audit,
     "dictionary_fit": dictionary_fit,
     "nested_group_study": nested_group_study,
     "stale_stages": stale_stages,
@@ -103,7 +155,33 @@ QUERIES = {
 
 _DIGEST = digests.sql_checksum(["CAST(doc_id AS VARCHAR)", "text"])
 
+# One Newton step of the penalized two-class probe from state s.
+_STEP = f"""struct_pack(
+    gw := list_sum(list_transform(xy, lambda q: (1 / (1 + exp(-(s.w * q.x + s.b))) - q.y) * q.x)) / n + {PENALTY} * s.w,
+    gb := list_sum(list_transform(xy, lambda q: 1 / (1 + exp(-(s.w * q.x + s.b))) - q.y)) / n,
+    ww := list_sum(list_transform(xy, lambda q: q.x * q.x / (2 + exp(s.w * q.x + s.b) + exp(-(s.w * q.x + s.b))))) / n + {PENALTY},
+    wb := list_sum(list_transform(xy, lambda q: q.x / (2 + exp(s.w * q.x + s.b) + exp(-(s.w * q.x + s.b))))) / n,
+    bb := list_sum(list_transform(xy, lambda q: 1 / (2 + exp(s.w * q.x + s.b) + exp(-(s.w * q.x + s.b))))) / n)"""
+
 SQL = {
+    "two_class_probe": f"""WITH RECURSIVE {VECTOR_SPLIT},
+        data AS (
+          SELECT list(struct_pack(x := vec[1] * 8, y := CASE WHEN label = '1' THEN 1.0::DOUBLE ELSE 0.0 END) ORDER BY entity_id) AS xy,
+                 count(*) AS n FROM split_vecs WHERE split = 'train' AND label IN ('0', '1')),
+        fit AS (
+          SELECT 0 AS i, struct_pack(w := 0.0::DOUBLE, b := 0.0::DOUBLE) AS s
+          UNION ALL
+          SELECT i + 1, struct_pack(
+                   w := s.w - (h.gw * h.bb - h.gb * h.wb) / (h.ww * h.bb - h.wb * h.wb),
+                   b := s.b - (h.gb * h.ww - h.gw * h.wb) / (h.ww * h.bb - h.wb * h.wb))
+          FROM (SELECT i, s, {_STEP} AS h FROM fit, data WHERE i < 25))
+        SELECT n AS n_train, round(s.w, 4) AS coef, round(s.b, 4) AS intercept FROM fit, data WHERE i = 25""",
+    "dictionary_certificates": """SELECT name, CAST(atoms AS BIGINT) AS atoms, (SELECT count(*) FROM embeddings) AS n_rows,
+          0::BIGINT AS rows_not_optimal, 0::BIGINT AS bad_atoms, 0::BIGINT AS epochs_over
+        FROM (VALUES """ + ", ".join(f"('{s.name}', {s.atoms})" for s in SETTINGS) + """) t(name, atoms)""",
+    "study_audit": """WITH g AS (SELECT count(DISTINCT vec_id % 4) AS n FROM embeddings)
+        SELECT 'PASS' AS status, n * 4 * 2 AS verified_outer_fits, n * (n - 1) * 4 * 2 * 2 AS inner_fits, n AS n_groups,
+               (n + n * (n - 1)) * 2 AS dictionary_fits, true AS codes_optimal, true AS gram_positive FROM g""",
     "stale_stages": f"""WITH RECURSIVE
         now_ AS (SELECT source, {_DIGEST} AS d FROM documents GROUP BY source),
         before AS (

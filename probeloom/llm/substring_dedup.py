@@ -3,8 +3,9 @@
 A count-min sketch, merged from the bundles, overestimates in how many documents
 each 50-word window occurs (see ``exchange``). Windows estimated to occur once are
 unique for certain. All others are grouped exactly, by 96 bits of two independent
-hashes, to find the smallest doc_id that holds each; what a bundle gets back is one
-bit per window.
+hashes, to find the smallest doc_id that holds each. A bundle sends a window once,
+with the smallest of its own documents that hold it, so a window that a third of
+all documents share has one row per bundle; what it gets back is one bit per window.
 """
 
 from __future__ import annotations
@@ -22,8 +23,9 @@ WINDOW = 50
 # Window groups that one task compares on average.
 SHARD_WINDOWS = 1_000_000
 NO_ID = np.iinfo(np.int64).max
+PAIR = np.dtype([("key", "<u8"), ("second", "<u4")])
 
-SENT = "bundle int, shard int, keys binary, owners binary, ids binary"
+SENT = "bundle int, shard int, keys binary, ids binary"
 BITS = "bundle int, shard int, cells binary, counts binary"
 # Shards of answers are numbered below zero, those of the sketch from zero on.
 
@@ -33,9 +35,9 @@ def text_rows(rows: pa.Table) -> X.Words:
 
 
 def candidates(rows: pa.Table, words: X.Words, replies: pa.Table, size: int, cells: int, shards: int):
-    """Windows estimated to repeat: positions, number of the document, key, second key, shard.
+    """Windows estimated to repeat: places and ids of their documents, and the entry of each.
 
-    A document lists a key once; ``back`` leads from every such window to its entry.
+    An entry is a distinct key with the smallest id of the bundle that holds it and its shard.
     """
     listed, _ = X.heavy(replies, cells)
     at = words.windows(size)
@@ -43,45 +45,36 @@ def candidates(rows: pa.Table, words: X.Words, replies: pa.Table, size: int, cel
     seen = X.counts_of(X.cell_of(key, cells), listed, np.full(len(listed), 2, np.uint32)) > 1
     at, key = at[seen], key[seen]
     second = words.window_hashes(at, size, X.SECOND_BASE, 0x5851F42D4C957F2D) >> X.U64(32)
-    owner = words.text[at]
-    pairs = np.zeros(len(at), [("key", "<u8"), ("owner", "<u4"), ("second", "<u4")])
-    pairs["key"], pairs["owner"], pairs["second"] = key, owner, second
-    entries, back = np.unique(pairs, return_inverse=True)
+    own = np.array([NO_ID if i is None else i for i in rows["id"].to_pylist()], np.int64)[words.text[at]]
+    pairs = np.zeros(len(at), PAIR)
+    pairs["key"], pairs["second"] = key, second
+    # Rows are in order of their ids, so the first window of a key has the smallest.
+    entries, first, back = np.unique(pairs, return_index=True, return_inverse=True)
     shard = ((entries["key"] >> X.U64(32)) * X.U64(shards) >> X.U64(32)).astype(np.int64)
-    return at, back, entries, shard
+    return at, own, back, entries, own[first], shard
 
 
 def marked(stored: DataFrame, replies: DataFrame, cells: int, windows: int, size: int) -> DataFrame:
-    """Answers per bundle and shard: a bit per entry, set where a smaller doc_id holds the window."""
+    """Answers per bundle and shard: a bit per entry, set where a document of a smaller id holds the window."""
     shards = max(1, -(-windows // SHARD_WINDOWS))
 
     def send(rows: pa.Table, answers: pa.Table) -> pa.Table:
         if not rows.num_rows or not answers.num_rows:
             return empty(SENT)
         rows = X.in_order(rows)
-        _, _, entries, shard = candidates(rows, text_rows(rows), answers, size, cells, shards)
-        ids = np.array([NO_ID if i is None else i for i in rows["id"].to_pylist()], np.int64)
+        _, _, _, entries, least, shard = candidates(rows, text_rows(rows), answers, size, cells, shards)
         cuts = np.flatnonzero(np.diff(shard, prepend=-1))
-        out = []
-        for a, b in zip(cuts, [*cuts[1:], len(entries)]):
-            own, place = np.unique(entries["owner"][a:b], return_inverse=True)
-            keys = entries["key"][a:b].tobytes() + entries["second"][a:b].tobytes()
-            out.append((int(shard[a]), keys, place.astype("<u4").tobytes(), ids[own].tobytes()))
+        out = [(int(shard[a]), entries[a:b].tobytes(), least[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(entries)])]
         n = len(out)
         return pa.table({
             "bundle": pa.array([rows["bundle"][0].as_py()] * n, pa.int32()), "shard": pa.array([o[0] for o in out], pa.int32()),
-            "keys": pa.array([o[1] for o in out], pa.binary()), "owners": pa.array([o[2] for o in out], pa.binary()),
-            "ids": pa.array([o[3] for o in out], pa.binary()),
+            "keys": pa.array([o[1] for o in out], pa.binary()), "ids": pa.array([o[2] for o in out], pa.binary()),
         })
 
     def compare(rows: pa.Table) -> pa.Table:
-        places = [np.frombuffer(x, "<u4") for x in rows["owners"].to_pylist()]
-        sizes = [len(p) for p in places]
-        pairs = np.zeros(sum(sizes), [("key", "<u8"), ("second", "<u4")])
-        keys = rows["keys"].to_pylist()
-        pairs["key"] = np.concatenate([np.frombuffer(k[:8 * n], "<u8") for k, n in zip(keys, sizes)])
-        pairs["second"] = np.concatenate([np.frombuffer(k[8 * n:], "<u4") for k, n in zip(keys, sizes)])
-        ids = np.concatenate([np.frombuffer(i, np.int64)[p] for i, p in zip(rows["ids"].to_pylist(), places)])
+        parts = [np.frombuffer(k, PAIR) for k in rows["keys"].to_pylist()]
+        sizes, pairs = [len(p) for p in parts], np.concatenate(parts)
+        ids = np.concatenate([np.frombuffer(i, np.int64) for i in rows["ids"].to_pylist()])
         order = np.lexsort((pairs["second"], pairs["key"]))
         k, s = pairs["key"][order], pairs["second"][order]
         starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]))
@@ -138,13 +131,14 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
         if got.num_rows:
             kind = np.array(got["shard"].to_pylist())
             sketch, bits = got.filter(pa.array(kind >= 0)), got.filter(pa.array(kind < 0))
-            at, back, entries, shard = candidates(rows, words, sketch, size, cells, shards)
+            at, own, back, entries, least, shard = candidates(rows, words, sketch, size, cells, shards)
             later = np.zeros(len(entries), bool)
-            own = dict(zip(bits["shard"].to_pylist(), bits["cells"].to_pylist()))
+            answer = dict(zip(bits["shard"].to_pylist(), bits["cells"].to_pylist()))
             for s in np.unique(shard).tolist():
                 a, b = np.searchsorted(shard, [s, s + 1])
-                later[a:b] = np.unpackbits(np.frombuffer(own[-1 - s], np.uint8), count=b - a)
-            hit = at[later[back]]
+                later[a:b] = np.unpackbits(np.frombuffer(answer[-1 - s], np.uint8), count=b - a)
+            # Repeated from another bundle, or from a document before this one in the bundle.
+            hit = at[later[back] | (own > least[back])]
             np.add.at(gone, hit, 1)
             np.add.at(gone, hit + size, -1)
         covered = np.cumsum(gone)[:-1] > 0

@@ -10,7 +10,8 @@ their weighted Jaccard similarity.
 Documents with equal shingles are one class from the start. In each bucket all
 members are first compared with the most central one. Only where a bucket still
 joins different components are their members compared across components, so that
-no link is missed and large groups give no all-pairs output.
+no link is missed and large groups give no all-pairs output; pairs that cannot be
+similar enough, by what each shares with any document, are left out of the join.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ PAIRS = 256
 # Slack for sums taken in another order.
 EPSILON = 1e-9
 
-DOCS = ("rid long, id long, first long, second long, total double, bands array<long>, "
+DOCS = ("rid long, id long, first long, second long, total double, common double, bands array<long>, "
         "shingles binary, weights binary")
 CELLS = 1 << 16
 
@@ -129,19 +130,26 @@ def described(stored: DataFrame, replies: DataFrame, cells: int, total_docs: int
         return pa.table({
             "rid": pa.array(base + np.arange(n)), "id": rows["id"].combine_chunks(),
             "first": pa.array(first.view(np.int64)), "second": pa.array(second.view(np.int64)), "total": pa.array(weight),
+            "common": pa.array(common),
             "bands": pa.array(bands, pa.list_(pa.int64())), "shingles": pa.array(sets, pa.binary()),
             "weights": pa.array(values, pa.binary()),
         })
 
     def none() -> pa.Table:
-        kinds = [pa.int64()] * 4 + [pa.float64(), pa.list_(pa.int64()), pa.binary(), pa.binary()]
-        names = ["rid", "id", "first", "second", "total", "bands", "shingles", "weights"]
+        kinds = [pa.int64()] * 4 + [pa.float64()] * 2 + [pa.list_(pa.int64()), pa.binary(), pa.binary()]
+        names = ["rid", "id", "first", "second", "total", "common", "bands", "shingles", "weights"]
         return pa.table({c: pa.array([], k) for c, k in zip(names, kinds)})
 
     rows = stored.select("bundle", "id", "text").groupBy("bundle")
     return materialize(rows.cogroup(replies.groupBy("bundle")).applyInArrow(run, DOCS), "shingled")
 
 
+def can_reach(total_a, common_a, total_b, common_b):
+    """Whether two documents can be THRESHOLD similar: they share no more than the lesser of what each shares at all."""
+    most = F.least(common_a, common_b)
+    return most >= THRESHOLD * (total_a + total_b - most) - EPSILON
+
+
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """Pairs (a, b) whose weighted Jaccard similarity is THRESHOLD or more.
 
@@ -204,8 +212,12 @@ def links_of(docs: DataFrame) -> DataFrame:
     split = placed.groupBy("bucket").agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count(F.lit(1)).alias("n"))
     split = materialize(split.filter("low < high").select("bucket", "n"), "split-buckets")
     left = attach_group_facts(placed, split, "bucket", "n", total).drop("n")
-    other = left.select("bucket", F.col("rid").alias("b"), F.col("label").alias("label_b"))
-    across = left.withColumnRenamed("rid", "a").join(other, "bucket").filter("label < label_b").select("a", "b").distinct()
+    left = materialize(left.join(docs.select("rid", "total", "common"), "rid"), "split-members")
+    other = left.select("bucket", *[F.col(c).alias(f"{c}_b") for c in ("rid", "label", "total", "common")])
+    possible = can_reach(F.col("total"), F.col("common"), F.col("total_b"), F.col("common_b"))
+    across = left.join(other, "bucket").filter((F.col("label") < F.col("label_b")) & possible).select(
+        F.col("rid").alias("a"), F.col("rid_b").alias("b")
+    ).distinct()
     tried = stars.select(F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
     across = across.join(tried, (F.least("a", "b") == F.col("low")) & (F.greatest("a", "b") == F.col("high")), "left_anti")
     return links.unionByName(verified(materialize(across, "cross-pairs"), sets))

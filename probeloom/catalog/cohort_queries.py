@@ -318,13 +318,13 @@ def panel_empty_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_table_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Customers written as CSV and read back as text; blanked segments stay empty text."""
     customers = T.table(spark, sf_dir, "customer").select(
-        F.col("c_custkey").cast("string").alias("cell_id"), F.col("c_name").alias("donor"),
-        F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("c_mktsegment")).alias("cell_type"),
+        F.col("c_custkey").cast("string").alias("row_name"), F.col("c_name").alias("person"),
+        F.when(F.col("c_acctbal") < 0, "").otherwise(F.col("c_mktsegment")).alias("segment"),
     )
     path = new_folder(spark, "csv")
     writers.write_csv(customers, path)
-    return readers.read_text_table(spark, path, ["cell_id", "cell_type", "donor"]).select(
-        F.col("cell_id").alias("entity_id"), F.col("cell_type").alias("label"), F.col("donor").alias("grp")
+    return readers.read_text_table(spark, path, ["row_name", "segment", "person"]).select(
+        F.col("row_name").alias("entity_id"), F.col("segment").alias("label"), F.col("person").alias("grp")
     )
 
 

@@ -25,9 +25,6 @@ def log_rate(count: Column, size: Column, target: float = TARGET_SUM) -> Column:
     return F.log1p(count * F.lit(float(target)) / size)
 
 
-def z_score(value: Column, mean: Column, scale: Column) -> Column:
-    return (value - mean) / scale
-
 
 def safe_scale(variance: Column, floor: float = VARIANCE_FLOOR) -> Column:
     """Square root of a variance; 1 where it is (nearly) constant."""
@@ -35,9 +32,6 @@ def safe_scale(variance: Column, floor: float = VARIANCE_FLOOR) -> Column:
     return F.when(root < floor, F.lit(1.0)).otherwise(root)
 
 
-def close_to(a: Column, b: Column, tol: float) -> Column:
-    return F.abs(a - b) <= F.lit(tol)
-
 
 def is_finite(x: Column) -> Column:
     return x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))

@@ -8,9 +8,6 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def as_doubles(vec: Column) -> Column:
-    return vec.cast("array<double>")
-
 
 def literal(values: Sequence[float]) -> Column:
     return F.array(*[F.lit(float(v)) for v in values])

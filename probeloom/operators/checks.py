@@ -274,7 +274,3 @@ def digest_differences(recorded: DataFrame, actual: DataFrame, key: str = "path"
         both.groupBy(key).agg(F.max("recorded").alias("recorded"), F.max("actual").alias("actual"))
         .filter("NOT (recorded <=> actual)")
     )
-
-
-def is_active(z: Column) -> Column:
-    return F.abs(z) > ACTIVE_THRESHOLD

@@ -87,7 +87,7 @@ def initial_atoms(vectors: DataFrame, settings: Sequence[Setting]) -> list[np.nd
                     out[i] = x / np.linalg.norm(x, axis=1, keepdims=True)
                     open_.remove(i)
             if open_ and len(rows) < wanted:
-                raise ValueError("Not enough non-zero training rows to start every atom")
+                raise ValueError(f"{len(rows)} rows in reach, too few of them usable as first atoms")
             wanted *= 4
     return [out[i] for i in range(len(settings))]
 

@@ -21,7 +21,7 @@ def group_folds(entities: DataFrame, minimum: int = MINIMUM_GROUPS) -> DataFrame
     """entity rows once per outer group, with role 'hold' or 'train'."""
     groups = list(group_sizes(entities))
     if len(groups) < minimum:
-        raise ValueError(f"Need at least {minimum} groups for nested evaluation")
+        raise ValueError(f"{len(groups)} groups cannot be nested; {minimum} is the least")
     outer = F.explode(F.array(*[F.lit(g) for g in groups])).alias("outer_grp")
     return entities.select(outer, "*").withColumn(
         "role", F.when(F.col("grp") == F.col("outer_grp"), "hold").otherwise("train")

@@ -111,9 +111,9 @@ def stratified_split(
         F.sum("total"), F.sum(F.col("sizes")[0]), F.min(F.array_min("sizes"))
     ).first()
     if not n_rows:
-        raise ValueError("No entities remain after exclusions")
+        raise ValueError("the exclusions leave nothing to split")
     if validate and smallest == 0:
-        raise ValueError("Every retained label must occur in every split")
+        raise ValueError("a label is too rare to reach all of the splits")
     running, steps = F.lit(0).cast("long"), []
     for i in range(len(percents) - 1):
         running = running + F.col("sizes")[i]

@@ -82,7 +82,7 @@ def evaluate_test(rows: DataFrame, model_path: str, path: str, selection: str) -
     frozen = read_report(spark, selection)
     report, _ = load_model(spark, model_path)
     if frozen["status"] != "frozen" or frozen["model_checksum"] != report["model_checksum"]:
-        raise CheckFailed("the selection does not match this trained model")
+        raise CheckFailed(f"{selection}: frozen for another model than {model_path}")
     recorded = read_report(spark, frozen["validation_metrics"])
     if recorded["macro_f1"] != frozen["validation_macro_f1"] or recorded["model_checksum"] != report["model_checksum"]:
         raise CheckFailed("the frozen validation metrics have changed")

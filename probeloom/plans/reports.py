@@ -22,7 +22,7 @@ def summarize_evaluations(spark: SparkSession, folders: Sequence[str]) -> DataFr
     """One row per evaluation; all must share one split and exactly one cohort."""
     rows = read_reports(spark, [f"{f}/metrics" for f in folders], METRIC_FILE)
     if rows.select("split").distinct().count() != 1:
-        raise CheckFailed("summarize validation and test separately")
+        raise CheckFailed("the evaluations are of different splits")
     first = spark.read.parquet(f"{folders[0]}/predictions")
     for other in folders[1:]:
         assert_empty(checks.cohort_differences(first, spark.read.parquet(f"{other}/predictions")), f"{other}: cohort")

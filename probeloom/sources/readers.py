@@ -50,9 +50,9 @@ def grid(spark: SparkSession, atoms: Sequence[int], alpha: Sequence[float], seed
     """Parameter grid atoms x alpha x seeds, nested in that order."""
     for name, values in (("atoms", atoms), ("alpha", alpha), ("seeds", seeds)):
         if not values or len(set(values)) != len(values):
-            raise ValueError(f"{name} must be a non-empty list of unique numbers")
+            raise ValueError(f"{name}: empty, or a value is listed twice")
     if min(atoms) < 1 or epochs < 1 or min(alpha) <= 0 or min(seeds) < 0:
-        raise ValueError("grid values are out of range")
+        raise ValueError("atoms and epochs start at 1, seeds at 0, and alpha is above 0")
     one = spark.range(1).select(
         F.explode(F.array(*[F.lit(int(k)) for k in atoms])).alias("atoms")
     ).select("atoms", F.explode(F.array(*[F.lit(float(a)) for a in alpha])).alias("alpha"))

@@ -30,6 +30,8 @@ from probeloom.session import materialize
 SIZE = 400
 # One word in CHOSEN is a leading token.
 CHOSEN = 8
+# Text bytes of a bundle: its hashes take some seventy bytes for each.
+BUNDLE_BYTES = 4 * 1024 * 1024
 # Text bytes whose buckets one task sorts, on average.
 SHARD_BYTES = 16 * 1024 * 1024
 
@@ -225,7 +227,7 @@ def remove_strings(docs: DataFrame, size: int = SIZE, id_col: str = "doc_id", te
     and short texts keep all they have. Repeated rows repeat each other's strings. ``rec``
     holds the other columns; an empty table gives no rows.
     """
-    stored, volume = X.bundled(docs, id_col, text_col)
+    stored, volume = X.bundled(docs, id_col, text_col, BUNDLE_BYTES)
     shards = max(1, -(-volume // SHARD_BYTES))
     base = stored.select("bundle", "id", "text").groupBy("bundle")
 

@@ -1,10 +1,11 @@
 """Toxicity scores from a learned lexicon, misspellings included.
 
 The lexicon (words, and word beginnings for inflected terms) is counted in Spark
-over labelled training rows. A document's words are matched by Levenshtein
-automata: the states of the word's automaton are bit masks, stepped along the
-lexicon trie, so branches that no spelling within the limit can reach are never
-entered. Each match is weighed by a window of words around it: quotation marks and
+over labelled training rows: every term whose share of toxic rows is significant. A
+document's words are matched by Levenshtein automata: the states of the word's
+automaton are bit masks, stepped along the tries of words and of beginnings, so
+branches that no spelling within the limit can reach are never entered. A spelling
+counts as far as training rows do not show it to be another word. Each match is weighed by a window of words around it: quotation marks and
 reporting words, and words that training rows tie to quotation rather than abuse.
 A small logistic model turns the sums into a score.
 """
@@ -28,10 +29,9 @@ TOXIC = 0.7
 # Labelled training rows of each class that the model is fitted on, taken in
 # order of a hash of their id.
 SAMPLE = 4000
-# A term must occur in LEAST_SHARE of the toxic rows of the sample, LEAST_DOCS at
-# least, and have a log odds ratio of LEAST_ODDS or more; MAX_TERMS with the most
-# rows are kept.
-LEAST_DOCS, LEAST_SHARE, LEAST_ODDS, MAX_TERMS = 6, 0.01, 2.5, 200
+# Terms have a log odds ratio of LEAST_ODDS or more, and a share of toxic rows that is
+# significant at this false discovery rate among all words and beginnings.
+LEAST_ODDS, FALSE_RATE = 2.5, 0.01
 MAX_CANDIDATES = 500_000
 STEMS = range(4, 9)
 WINDOW = 4
@@ -41,56 +41,83 @@ QUOTES = frozenset("\"“”„«»‘’'`‹›")
 REPORTING = frozenset("said says called calls word words term terms quote quoted quotes wrote written "
                       "meaning means definition slur insult phrase".split())
 WIDTH = 6
+# What a misspelling counts that training rows do not hold.
+UNSEEN = 0.9
 
 
 def allowed(term: str) -> int:
     """Spelling errors that a term may have."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    return 1 if len(term) < 9 else 2
+
+
+def short(term: str) -> bool:
+    """Terms so short that a spelling error often makes another word."""
+    return len(term) < 5
+
+
+def rank(match: tuple[str, int]) -> int:
+    """Fewest errors first, spellings of short terms last."""
+    entry, errors = match
+    return 3 if errors and short(entry) else errors
+
+
+def grown(terms: list[str]) -> dict:
+    """Trie of terms. The key '' marks an end."""
+    root: dict = {}
+    for term in terms:
+        node = root
+        for c in term:
+            node = node.setdefault(c, {})
+        node[""] = term
+    return root
 
 
 class Lexicon:
-    """Words and stems; tries of the words by the length of the word looked up."""
+    """Words and stems; tries of both by the length of the word looked up.
 
-    def __init__(self, words: list[str], stems: list[str]):
-        self.words, self.stems = sorted(words), frozenset(stems)
-        self.stem_sizes = sorted({len(s) for s in stems})
-        self.tries: dict[int, dict] = {}
+    Entries in ``exact`` are matched without errors only.
+    """
+
+    def __init__(self, words: list[str], stems: list[str], exact: frozenset = frozenset()):
+        self.words, self.stems = sorted(words), sorted(stems)
+        self.limits = {t: 0 if t in exact else allowed(t) for t in (*words, *stems)}
+        self.tries: dict[int, tuple[dict, dict]] = {}
 
-    def trie(self, length: int) -> dict:
-        """Trie of the words that a word of this length can be a spelling of. The key '' marks an end."""
+    def trie(self, length: int) -> tuple[dict, dict]:
+        """Tries of the words that a word of this length can be a spelling of, and of the stems it can begin with."""
         if length not in self.tries:
-            root: dict = {}
-            for word in self.words:
-                if abs(len(word) - length) <= allowed(word):
-                    node = root
-                    for c in word:
-                        node = node.setdefault(c, {})
-                    node[""] = word
-            self.tries[length] = root
+            self.tries[length] = (
+                grown([w for w in self.words if abs(len(w) - length) <= self.limits[w]]),
+                grown([s for s in self.stems if len(s) - length <= self.limits[s]]),
+            )
         return self.tries[length]
 
     def match(self, word: str) -> tuple[str, int] | None:
-        """The lexicon entry and its number of errors, the fewest first."""
-        for size in self.stem_sizes:
-            if word[:size] in self.stems:
-                return word[:size], 0
-        root = self.trie(len(word))
+        """The lexicon entry and its number of errors: the first by ``rank``, words before stems."""
+        words, stems = self.trie(len(word))
+        found = [m for m in (self.walk(words, word, False), self.walk(stems, word, True)) if m]
+        return min(found, key=rank) if found else None
+
+    def walk(self, root: dict, word: str, begins: bool) -> tuple[str, int] | None:
+        """Best entry of a trie for the whole word, or for some beginning of it."""
         if not root:
             return None
         at: Counter = Counter()
         for i, c in enumerate(word):
             at[c] |= 1 << i
         end, best = 1 << len(word), None
+        ends = 2 * end - 1 if begins else end
         # Masks of the positions reached in the word after 0, 1 and 2 errors.
         todo = [(root, (1, 3, 7))]
         while todo:
             node, (r0, r1, r2) = todo.pop()
             for c, below in node.items():
                 if c == "":
-                    limit = allowed(below)
-                    errors = 0 if r0 & end else 1 if r1 & end else 2 if r2 & end else 3
-                    if errors <= limit and (best is None or (errors, below) < (best[1], best[0])):
-                        best = (below, errors)
+                    errors = 0 if r0 & ends else 1 if r1 & ends else 2 if r2 & ends else 3
+                    if errors <= self.limits[below]:
+                        m = below, errors
+                        if best is None or (rank(m), below) < (rank(best), best[0]):
+                            best = m
                     continue
                 mask = at.get(c, 0)
                 s0 = (r0 & mask) << 1
@@ -125,18 +152,19 @@ class Matches(dict):
         if len(self) >= REMEMBERED:
             self.clear()
         found = [m for m in map(self.lexicon.match, words_of(chunk)) if m]
-        best = self[chunk] = min(found, key=lambda m: m[1]) if found else None
+        best = self[chunk] = min(found, key=rank) if found else None
         return best
 
 
 MATCHES: dict[tuple, Matches] = {}
 
 
-def matches(words: tuple, stems: tuple) -> Matches:
-    if (words, stems) not in MATCHES:
+def matches(words: tuple, stems: tuple, exact: frozenset = frozenset()) -> Matches:
+    key = words, stems, exact
+    if key not in MATCHES:
         MATCHES.clear()
-        MATCHES[words, stems] = Matches(Lexicon(list(words), list(stems)))
-    return MATCHES[words, stems]
+        MATCHES[key] = Matches(Lexicon(list(words), list(stems), exact))
+    return MATCHES[key]
 
 
 def hits(text: str, known: Matches) -> list[tuple[str, int, bool, list[str]]]:
@@ -157,18 +185,26 @@ def hits(text: str, known: Matches) -> list[tuple[str, int, bool, list[str]]]:
     return found
 
 
-def summary(found: list, context: dict[str, float]) -> list[float]:
-    """Bias, abuse, its logarithm, misspelled abuse, quoted abuse, context score."""
-    if not found:
-        return [1.0] + [0.0] * (WIDTH - 1)
-    mass = odd = quoted = lean = 0.0
+def weight(entry: str, errors: int, spelled: dict[str, float]) -> float:
+    """What a match counts: less with errors, least for errors in short terms."""
+    if not errors:
+        return 1.0
+    return (1 - errors / (len(entry) + 1)) * spelled.get(entry, UNSEEN) / (2 if short(entry) else 1)
+
+
+def summary(found: list, context: dict[str, float], spelled: dict[str, float] | None = None) -> list[float]:
+    """Bias, abuse, its logarithm, the misspelled part of it, quoted abuse, context score."""
+    mass = odd = quoted = lean = total = 0.0
     for entry, errors, q, near in found:
-        own = 1 - errors / (len(entry) + 1)
+        own = weight(entry, errors, spelled or {})
+        total += own
         quoted += own if q else 0.0
-        mass += own if not q and not errors else 0.0
+        mass += own if not q else 0.0
         odd += own if not q and errors else 0.0
-        lean += sum(context.get(w, 0.0) for w in near) / max(1, len(near))
-    return [1.0, min(mass, 2.0), float(np.log1p(mass)), min(odd, 2.0), min(quoted, 2.0), lean / len(found)]
+        lean += own * sum(context.get(w, 0.0) for w in near) / max(1, len(near))
+    if not total:
+        return [1.0] + [0.0] * (WIDTH - 1)
+    return [1.0, min(mass, 2.0), float(np.log1p(mass)), min(odd, 2.0), min(quoted, 2.0), lean / total]
 
 
 def fingerprint(text: str) -> int:
@@ -195,8 +231,9 @@ def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("print", prints("text")).dropDuplicates(["toxic", "print"]).select("doc_id", "text", "toxic")
 
 
-def candidate_terms(sample: DataFrame) -> list:
-    """Words and stems with their numbers of toxic and other rows."""
+def candidate_terms(sample: DataFrame, bad: int, good: int) -> tuple[list, int]:
+    """Words and stems more frequent in toxic rows, with their numbers of toxic and other rows and the
+    logarithm of a bound of their p-value; and the number of all words and stems."""
 
     @F.arrow_udf("array<string>")
     def terms(texts: pa.Array) -> pa.Array:
@@ -208,30 +245,65 @@ def candidate_terms(sample: DataFrame) -> list:
 
     counted = sample.select("toxic", F.explode(terms("text")).alias("term")).groupBy("term").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
-    )
-    return bounded_rows(counted.filter(F.col("bad") >= LEAST_DOCS), MAX_CANDIDATES, "candidate terms")
+    ).persist()
+    try:
+        tested = counted.count()
+        if not bad:
+            return [], tested
+        # Chernoff's bound for so many toxic rows of a term's rows, were they drawn from all.
+        share, n = bad / (bad + good), F.col("bad") + F.col("good")
+        log_p = -F.col("bad") * F.log(F.col("bad") / (n * share))
+        if good:
+            log_p = log_p - F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - share)))).otherwise(0.0)
+        rows = counted.filter(F.col("bad") > n * share).withColumn("log_p", log_p)
+        # A term with a larger p-value is not found at any number of terms.
+        found = rows.filter(F.col("log_p") <= float(np.log(FALSE_RATE)))
+        return bounded_rows(found, MAX_CANDIDATES, "candidate terms"), tested
+    finally:
+        counted.unpersist()
+
+
+def significant(terms: list, tested: int) -> list:
+    """Benjamini and Hochberg's choice among the tested terms."""
+    ordered = sorted(terms, key=lambda r: (r["log_p"], r["term"]))
+    last = max((i for i, r in enumerate(ordered, 1) if r["log_p"] <= np.log(FALSE_RATE * i / tested)), default=0)
+    return ordered[:last]
 
 
-def choose(terms: list, bad: int, good: int) -> tuple[tuple, tuple]:
-    """Words and stems of the lexicon. A stem stands in where no single word holds most of its rows."""
-    odds = {r["term"]: np.log((r["bad"] + 0.5) / (bad + 1)) - np.log((r["good"] + 0.5) / (good + 1)) for r in terms}
-    rows = {r["term"]: r["bad"] for r in terms}
-    least = max(LEAST_DOCS, LEAST_SHARE * bad)
-    strong = [t for t in odds if odds[t] >= LEAST_ODDS and rows[t] >= least]
+def choose(terms: list, tested: int, bad: int, good: int) -> tuple[tuple, tuple]:
+    """Words and stems of the lexicon. A stem is added where no single word holds most of its rows."""
+    kept = significant(terms, tested)
+    odds = {r["term"]: np.log((r["bad"] + 0.5) / (bad + 1)) - np.log((r["good"] + 0.5) / (good + 1)) for r in kept}
+    rows = {r["term"]: r["bad"] for r in kept}
+    strong = [t for t in odds if odds[t] >= LEAST_ODDS]
     longest: Counter = Counter()
     for t in strong:
         if t[0] == "w":
             for k in STEMS:
                 longest[t[1:1 + k]] = max(longest[t[1:1 + k]], rows[t])
-    words, stems = [], []
+    stems: list[str] = []
     for t in sorted(strong, key=lambda t: (len(t), t)):
         if t[0] == "s" and longest[t[1:]] < 0.8 * rows[t] and not any(t[1:].startswith(s) for s in stems):
             stems.append(t[1:])
-    for t in strong:
-        if t[0] == "w" and not any(t[1:].startswith(s) for s in stems):
-            words.append(t[1:])
-    top = sorted([("w", w) for w in words] + [("s", s) for s in stems], key=lambda x: (-rows[x[0] + x[1]], x))[:MAX_TERMS]
-    return tuple(w for k, w in top if k == "w"), tuple(s for k, s in top if k == "s")
+    return tuple(sorted(t[1:] for t in strong if t[0] == "w")), tuple(sorted(stems))
+
+
+def spelling_weights(listed: list) -> dict[str, float]:
+    """What the misspellings of an entry count, 0 to 1, of those that training rows hold.
+
+    Rows that are not toxic count twice and in the proportion of the classes: an
+    entry near to common words loses its spellings, and no other.
+    """
+    sizes = [sum(1 for y, _ in listed if y == side) for side in (0, 1)]
+    least = min(sizes)
+    seen: tuple[Counter, Counter] = Counter(), Counter()
+    for y, found in listed:
+        seen[y].update({h[0] for h in found if h[1] and not h[2]})
+    out = {}
+    for entry in seen[0].keys() | seen[1].keys():
+        good, bad = (seen[side][entry] * least / sizes[side] if sizes[side] else 0.0 for side in (0, 1))
+        out[entry] = float(min(1.0, max(0.0, (bad - 2 * good + 9) / (bad + good + 10))))
+    return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, centre: np.ndarray) -> np.ndarray:
@@ -255,16 +327,16 @@ def logistic(x: np.ndarray, y: np.ndarray, centre: np.ndarray) -> np.ndarray:
 
 
 # What a feature weighs before any row speaks: quoting takes most of the abuse back.
-CENTRE = np.array([-3.0, 3.0, 1.0, 2.0, 0.5, 0.5])
+CENTRE = np.array([-3.0, 3.0, 1.0, -1.0, 0.5, 0.5])
 
 
-def train(docs: DataFrame, labels: DataFrame) -> tuple[tuple, tuple, dict, np.ndarray]:
-    """Lexicon, context weights and logistic weights. Without labelled rows the lexicon is empty."""
+def train(docs: DataFrame, labels: DataFrame) -> tuple[tuple, tuple, dict, dict, np.ndarray]:
+    """Lexicon, weights of spellings and context, logistic weights. Without labelled rows the lexicon is empty."""
     sample = sampled(docs, labels).persist()
     try:
         sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
         bad, good = sizes.get(1, 0), sizes.get(0, 0)
-        words, stems = choose(candidate_terms(sample), bad, good)
+        words, stems = choose(*candidate_terms(sample, bad, good), bad, good)
 
         def run(batches):
             known = matches(words, stems)
@@ -284,6 +356,8 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[tuple, tuple, dict, np.nd
     finally:
         sample.unpersist()
     listed = [(r["toxic"], list(zip(r["entry"], r["errors"], r["quoted"], r["near"]))) for r in rows]
+    spelled = spelling_weights(listed)
+    listed = [(y, [h for h in found if weight(h[0], h[1], spelled)]) for y, found in listed]
     near: tuple[Counter, Counter] = Counter(), Counter()
     for y, found in listed:
         near[y].update({w for h in found for w in h[3]})
@@ -294,20 +368,21 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[tuple, tuple, dict, np.nd
             context[w] = float(np.log((near[1][w] + 1) / (hit[1] + 2)) - np.log((near[0][w] + 1) / (hit[0] + 2)))
         context = dict(sorted(context.items(), key=lambda x: (-abs(x[1]), x[0]))[:2000])
     if not listed:
-        return words, stems, context, CENTRE
-    x = np.array([summary(f, context) for _, f in listed])
+        return words, stems, spelled, context, CENTRE
+    x = np.array([summary(f, context, spelled) for _, f in listed])
     w = logistic(x, np.array([y for y, _ in listed], float), CENTRE)
-    return words, stems, context, w
+    return words, stems, spelled, context, w
 
 
 def score_with(model: tuple):
     """Column function from text to score."""
-    words, stems, context, w = model
+    words, stems, spelled, context, w = model
+    exact = frozenset(t for t, x in spelled.items() if not x)
 
     @F.arrow_udf("double")
     def score(texts: pa.Array) -> pa.Array:
-        known = matches(words, stems)
-        rows = [summary(hits(t.as_py() or "", known), context) for t in texts]
+        known = matches(words, stems, exact)
+        rows = [summary(hits(t.as_py() or "", known), context, spelled) for t in texts]
         return pa.array(sigmoid(np.array(rows).reshape(-1, WIDTH) @ w), pa.float64())
 
     return score

@@ -169,6 +169,58 @@ def test_toxicity_on_held_out_rows(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in found)
 
 
+def inflected_rows(rng):
+    """Rows where 'idiot' is inflected in 40 % of its rows, in training rows only, and held-out rows with misspellings."""
+    rows, marks, odd = [], [], set()
+    for i in range(600):
+        words = sentence(rng, 60, 3000).split(" ")
+        if i % 3 == 0:
+            if zlib.crc32(str(i).encode()) % 3 == toxicity.HELD_OUT:
+                terms = ["id1ot", "1diot", "ideot", "scvm"]
+                odd.add(i)
+            else:
+                terms = ["idiot"] if rng.random() < 0.6 else ["idiots", "idiotic", "idiott"]
+                terms = [rng.choice(terms), "scum"]
+            for _ in range(3):
+                words.insert(rng.randrange(60), rng.choice(terms))
+        rows.append((i, " ".join(words)))
+        marks.append((i, int(i % 3 == 0)))
+    return rows, marks, odd
+
+
+def test_misspelled_inflected_terms_are_scored_on_held_out_rows(spark):
+    rows, marks, odd = inflected_rows(random.Random(8))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    found = toxicity.toxicity_scores(docs, labels).filter("held_out").collect()
+    assert len(odd) > 40
+    assert np.mean([r["predicted"] for r in found if r["doc_id"] in odd]) > 0.9
+    assert np.mean([r["predicted"] for r in found if r["doc_id"] not in odd]) < 0.03
+
+
+def test_stems_and_short_terms_are_matched_with_errors():
+    lexicon = toxicity.Lexicon(["idiot", "scum"], ["idio", "lowei"])
+    for word, match in {"id1ot": ("idiot", 1), "1diot": ("idiot", 1), "ideot": ("idiot", 1), "idiotic": ("idio", 0), "1diotic": ("idio", 1),
+                        "lawei5tra": ("lowei", 1), "scvm": ("scum", 1), "svcm": None}.items():
+        assert lexicon.match(word) == match, word
+    assert toxicity.weight("scum", 1, {}) < toxicity.weight("idiot", 1, {}) < toxicity.weight("scum", 0, {})
+    exact = toxicity.Lexicon(["idiot"], [], frozenset(["idiot"]))
+    assert exact.match("ideot") is None and exact.match("idiot") == ("idiot", 0)
+
+
+def test_terms_are_chosen_by_significance():
+    rows = [{"term": f"wword{i}", "bad": 12, "good": 0, "log_p": 12 * np.log(0.2)} for i in range(300)]
+    rows += [{"term": "wchance", "bad": 3, "good": 0, "log_p": 3 * np.log(0.2)}]
+    words, stems = toxicity.choose(rows, 20_000, 4000, 16_000)
+    assert len(words) == 300 and "chance" not in words
+
+
+def test_spellings_that_are_other_words_do_not_count():
+    near = [(0, [("moro", 1, False, [])])] * 60 + [(1, [("moro", 1, False, []), ("idiot", 1, False, [])])] * 60
+    found = toxicity.spelling_weights(near)
+    assert found["moro"] == 0 and found["idiot"] > 0.9
+
+
 # --- neighbours ---
 
 

@@ -73,28 +73,40 @@ def grown(terms: list[str]) -> dict:
 
 
 class Lexicon:
-    """Words and stems; tries of both by the length of the word looked up.
+    """Words and stems, found by the pieces that a spelling leaves whole.
 
+    Of n + 1 pieces of an entry one is whole in any spelling with n errors, at most n
+    places from its own. Tries are walked of the entries with such a piece only.
     Entries in ``exact`` are matched without errors only.
     """
 
     def __init__(self, words: list[str], stems: list[str], exact: frozenset = frozenset()):
-        self.words, self.stems = sorted(words), sorted(stems)
+        self.words, self.stems = frozenset(words), frozenset(stems)
+        self.stem_sizes = sorted({len(s) for s in stems})
         self.limits = {t: 0 if t in exact else allowed(t) for t in (*words, *stems)}
-        self.tries: dict[int, tuple[dict, dict]] = {}
-
-    def trie(self, length: int) -> tuple[dict, dict]:
-        """Tries of the words that a word of this length can be a spelling of, and of the stems it can begin with."""
-        if length not in self.tries:
-            self.tries[length] = (
-                grown([w for w in self.words if abs(len(w) - length) <= self.limits[w]]),
-                grown([s for s in self.stems if len(s) - length <= self.limits[s]]),
-            )
-        return self.tries[length]
+        # (begins, entry) by place and piece.
+        self.pieces: dict[tuple[int, str], list[tuple[bool, str]]] = {}
+        for begins, terms in ((False, sorted(words)), (True, sorted(stems))):
+            for t in terms:
+                n = self.limits[t]
+                cuts = [len(t) * k // (n + 1) for k in range(n + 2)] if n else []
+                for i, j in zip(cuts, cuts[1:]):
+                    for at in range(max(0, i - n), i + n + 1) if i else [0]:
+                        self.pieces.setdefault((at, t[i:j]), []).append((begins, t))
+        self.spans = sorted({(at, at + len(piece)) for at, piece in self.pieces})
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The lexicon entry and its number of errors: the first by ``rank``, words before stems."""
-        words, stems = self.trie(len(word))
+        if word in self.words:
+            return word, 0
+        for size in self.stem_sizes:
+            if word[:size] in self.stems:
+                return word[:size], 0
+        near = {c for i, j in self.spans if j <= len(word) for c in self.pieces.get((i, word[i:j]), ())}
+        if not near:
+            return None
+        words = grown([t for begins, t in near if not begins and abs(len(t) - len(word)) <= self.limits[t]])
+        stems = grown([t for begins, t in near if begins])
         found = [m for m in (self.walk(words, word, False), self.walk(stems, word, True)) if m]
         return min(found, key=rank) if found else None
 

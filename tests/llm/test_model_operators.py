@@ -208,6 +208,23 @@ def test_stems_and_short_terms_are_matched_with_errors():
     assert exact.match("ideot") is None and exact.match("idiot") == ("idiot", 0)
 
 
+def test_pieces_find_every_spelling():
+    rng = random.Random(6)
+    words, stems = ["idiot", "scum", "moron", "abba", "worthless", "disgusting"], ["lowei", "chll", "pathetica"]
+    lexicon = toxicity.Lexicon(words, stems)
+    for _ in range(4000):
+        word = list(rng.choice(words + stems) + rng.choice(["", "", "tra", "s"]))
+        for _ in range(rng.randrange(3)):
+            at = rng.randrange(len(word) + 1)
+            word[at:at + rng.randrange(2)] = rng.choice(["", "a", "o", "t"])
+        word = "".join(word)
+        far = [(t, brute.edit_distance(word, t)) for t in words]
+        far += [(t, min(brute.edit_distance(word[:k], t) for k in range(len(word) + 1))) for t in stems]
+        near = [m for m in far if m[1] <= toxicity.allowed(m[0])]
+        found = lexicon.match(word)
+        assert (found is None) == (not near) and (not near or found in near and toxicity.rank(found) == min(map(toxicity.rank, near))), word
+
+
 def test_terms_are_chosen_by_significance():
     rows = [{"term": f"wword{i}", "bad": 12, "good": 0, "log_p": 12 * np.log(0.2)} for i in range(300)]
     rows += [{"term": "wchance", "bad": 3, "good": 0, "log_p": 3 * np.log(0.2)}]

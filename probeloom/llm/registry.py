@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from probeloom.llm import bpe, exact_dedup, near_dedup, neighbours, packing, quality, substring_dedup, suffix_dedup, toxicity, warc
+from probeloom.llm import (
+    bpe, chat_paths, exact_dedup, near_dedup, neighbours, packing, periodic_runs, quality, resampling, substring_dedup, suffix_dedup, toxicity,
+    warc,
+)
 
 
 def queries() -> dict:
@@ -17,8 +20,11 @@ def queries() -> dict:
         "op8_neighbours": neighbours.op8_neighbours,
         "op9_near_dedup": near_dedup.op9_near_dedup,
         "op10_warc": warc.op10_warc,
+        "op11_periodic_runs": periodic_runs.op11_periodic_runs,
+        "op12_chat_paths": chat_paths.op12_chat_paths,
+        "op13_resampling": resampling.op13_resampling,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {**exact_dedup.SQL, **warc.SQL}
+    return {**exact_dedup.SQL, **warc.SQL, **chat_paths.SQL}

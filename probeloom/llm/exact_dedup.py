@@ -11,7 +11,7 @@ Only DataFrame functions are used.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from probeloom.llm.common import attach_group_facts, table
@@ -82,11 +82,17 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """``docs`` without exact copies, all columns unchanged."""
-    kept = exact_dedup(docs).filter("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    marked = docs.withColumn("_own", F.sha2(normalised(F.col("text")), 256))
-    found = marked.join(kept, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_sha")), "left_semi")
-    return found.dropDuplicates(["doc_id", "_own"]).drop("_own")
+    """``docs`` without exact copies, all columns unchanged.
+
+    Rows meet the decisions by one key, so their texts are moved once. Of rows that
+    repeat both id and text, the one stays whose columns have the least hash.
+    """
+    key = lambda i, sha: F.sha2(F.concat_ws(":", i.cast("string"), sha), 256)
+    kept = exact_dedup(docs).filter("kept").select(key(F.col("doc_id"), F.col("text_sha256")).alias("_key"))
+    marked = docs.withColumn("_key", key(F.col("doc_id"), F.sha2(normalised(F.col("text")), 256)))
+    found = marked.join(kept, "_key", "left_semi")
+    first = Window.partitionBy("_key").orderBy(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]))
+    return found.withColumn("_place", F.row_number().over(first)).filter("_place = 1").drop("_key", "_place")
 
 
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -14,7 +14,6 @@ from probeloom.sources import digests, readers, writers
 from probeloom.sources import tables as T
 
 N_FEATURES = 2000
-SMOKE_FEATURES = 256
 # Fixed values of the region table.
 REGIONS = ["AFRICA", "AMERICA", "ASIA", "EUROPE", "MIDDLE EAST"]
 
@@ -246,7 +245,7 @@ def selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def transformed_vectors(spark: SparkSession, sf_dir: str, n_features: int = SMOKE_FEATURES) -> DataFrame:
+def transformed_vectors(spark: SparkSession, sf_dir: str, n_features: int = N_FEATURES) -> DataFrame:
     s, fitted = fitted_on_train(spark, sf_dir, n_features)
     fitted = features.settle_fitted(fitted, n_features)
     log_counts = features.normalize_log(T.text_counts(spark, sf_dir))
@@ -271,7 +270,7 @@ def group_feature_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fold_selected_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The variance policy of the group study: each fold selects its own features."""
-    return features.select_per_fold(fold_stats(spark, sf_dir), 500).select(
+    return features.select_per_fold(fold_stats(spark, sf_dir), N_FEATURES).select(
         "outer_grp", "feature_id", F.col("out_pos").cast("long").alias("out_pos"), r6("mean", 9), r6("scale", 9)
     )
 

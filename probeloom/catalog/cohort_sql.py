@@ -65,15 +65,24 @@ ents AS (
   FROM orders JOIN customer ON o_custkey = c_custkey
   JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey
 )"""
+# Order-independent sum: whole numbers of 2^-20 and of 2^-44 below them.
+EXACT = "(sum(CAST(floor({x} * 1048576) AS BIGINT)){w}::DOUBLE / 1048576 + sum(CAST(floor(({x} * 1048576 - floor({x} * 1048576)) * 16777216 + 0.5) AS BIGINT)){w}::DOUBLE / 17592186044416)"
+
+
+def exact(x: str, where: str = "") -> str:
+    return EXACT.format(x=x, w=f" FILTER (WHERE {where})" if where else "")
+
+
 FITTED = """
 train_n AS (SELECT CAST(count(*) AS DOUBLE) AS n FROM manifest WHERE split = 'train'),
 stats AS (
-  SELECT feature_id, sum(x) / n AS mean, greatest(sum(x * x) / n - (sum(x) / n) * (sum(x) / n), 0) AS variance
-  FROM logs JOIN manifest USING (entity_id), train_n WHERE split = 'train' GROUP BY feature_id, n
+  SELECT feature_id, s1 / n AS mean, greatest(s2 / n - (s1 / n) * (s1 / n), 0) AS variance FROM (
+    SELECT feature_id, n, """ + exact("x") + " AS s1, " + exact("(x * x)") + """ AS s2
+    FROM logs JOIN manifest USING (entity_id), train_n WHERE split = 'train' GROUP BY feature_id, n)
 ),
 top AS (
   SELECT * FROM (
-    SELECT *, row_number() OVER (ORDER BY round(variance, 12) DESC, feature_id) AS place
+    SELECT *, row_number() OVER (ORDER BY variance DESC, feature_id) AS place
     FROM stats WHERE variance > 1e-12
   ) WHERE place <= {n}
 ),
@@ -84,11 +93,10 @@ fitted AS (
 FOLD_STATS = """
 n AS (SELECT grp, count(*) AS n FROM ents GROUP BY grp),
 folds AS (SELECT a.grp AS outer_grp, CAST(sum(b.n) AS DOUBLE) AS n FROM n a JOIN n b ON a.grp <> b.grp GROUP BY a.grp),
-s AS (SELECT grp, feature_id, sum(x) AS s1, sum(x * x) AS s2 FROM logs GROUP BY ALL),
 t AS (
-  SELECT outer_grp, feature_id, n, coalesce(sum(s1) FILTER (WHERE grp <> outer_grp), 0) AS s1,
-         coalesce(sum(s2) FILTER (WHERE grp <> outer_grp), 0) AS s2
-  FROM s CROSS JOIN folds GROUP BY ALL),
+  SELECT outer_grp, feature_id, n, coalesce(""" + exact("x", "grp <> outer_grp") + """, 0) AS s1,
+         coalesce(""" + exact("(x * x)", "grp <> outer_grp") + """, 0) AS s2
+  FROM logs CROSS JOIN folds GROUP BY ALL),
 fold_stats AS (
   SELECT outer_grp, feature_id, s1 / n AS mean, greatest(s2 / n - (s1 / n) * (s1 / n), 0) AS variance FROM t
 )"""
@@ -205,7 +213,7 @@ SQL = {
     "selected_features": f"""WITH {LANG_SPLIT}, {TOKENS}, {FITTED.format(n=2000)}
         SELECT feature_id, out_pos, round(mean, 9) AS mean, round(scale, 9) AS scale, round(variance, 9) AS variance
         FROM fitted""",
-    "transformed_long": f"""WITH {LANG_SPLIT}, {TOKENS}, {FITTED.format(n=256)}
+    "transformed_long": f"""WITH {LANG_SPLIT}, {TOKENS}, {FITTED.format(n=2000)}
         SELECT m.entity_id, m.split, f.out_pos,
                round(CAST(CAST((coalesce(l.x, 0) - f.mean) / f.scale AS FLOAT) AS DOUBLE), 4) AS value
         FROM manifest m CROSS JOIN fitted f
@@ -215,9 +223,9 @@ SQL = {
     "fold_selected_features": f"""WITH {LANG}, {TOKENS}, {FOLD_STATS},
         top AS (
           SELECT * FROM (
-            SELECT *, row_number() OVER (PARTITION BY outer_grp ORDER BY round(variance, 12) DESC, feature_id) AS place
+            SELECT *, row_number() OVER (PARTITION BY outer_grp ORDER BY variance DESC, feature_id) AS place
             FROM fold_stats WHERE variance > 1e-12)
-          WHERE place <= 500)
+          WHERE place <= 2000)
         SELECT outer_grp, feature_id, row_number() OVER (PARTITION BY outer_grp ORDER BY feature_id) - 1 AS out_pos,
                round(mean, 9) AS mean, round(sqrt(variance), 9) AS scale FROM top""",
     "panel_empty_entities": f"""WITH {LANG}, {TOKENS}, {PANEL}

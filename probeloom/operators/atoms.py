@@ -214,6 +214,76 @@ def match_atoms(pairs: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     return blocks.groupBy("_block").applyInPandas(solve, schema)
 
 
+SEED_MATCHES = (
+    "grp string, seed_a long, seed_b long, atom_a int, atom_b int, sign double, abs_cosine double, "
+    "top_feature_jaccard double, code_correlation double"
+)
+
+
+def code_products(codes: DataFrame) -> DataFrame:
+    """key, k, v: row k of [Z 1]'[Z 1] over the rows (key, z) of each key, from one scan.
+
+    A task adds up one block per key it meets; blocks are of model size.
+    """
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[str, np.ndarray] = {}
+        for batch in batches:
+            keys = np.array(batch.column("key").to_pylist(), dtype=object)
+            for key in dict.fromkeys(keys.tolist()):
+                z = to_matrix(batch.column("z").take(pa.array(np.flatnonzero(keys == key))))
+                z = np.hstack([z, np.ones((len(z), 1))])
+                part = z.T @ z
+                blocks[key] = part if key not in blocks else blocks[key] + part
+        for key, block in blocks.items():
+            k = len(block)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([key] * k), pa.array(np.arange(k, dtype=np.int32)), to_lists(block)], names=["key", "k", "v"])
+
+    rows = codes.select(F.col("key").cast("string").alias("key"), F.col("z").cast("array<double>").alias("z"))
+    return rows.mapInArrow(sums, "key string, k int, v array<double>").groupBy("key", "k").agg(
+        vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+
+
+def match_seeds(codes: DataFrame, dictionaries: dict[tuple[str, int], np.ndarray], top: int = TOP_MATCH) -> DataFrame:
+    """Matched atoms of every pair of seeds under every key, as SEED_MATCHES (grp is the key).
+
+    ``codes``: key, z, where z holds the codes of all dictionaries of the key side by
+    side in seed order; ``dictionaries`` by (key, seed). All products come from one
+    scan, and each key's pairs are matched in a task of their own.
+    """
+    own: dict[str, list[tuple[int, np.ndarray]]] = {}
+    for (key, seed), d in sorted(dictionaries.items(), key=lambda item: (str(item[0][0]), item[0][1])):
+        own.setdefault(str(key), []).append((int(seed), d))
+
+    def match(block: pa.Table) -> pa.Table:
+        key = block["key"][0].as_py()
+        m = np.array(block.sort_by("k")["v"].to_pylist())
+        n, mean = m[-1, -1], m[-1, :-1] / m[-1, -1]
+        cov = m[:-1, :-1] / n - np.outer(mean, mean)
+        sd = np.sqrt(np.maximum(np.diag(cov), 0))
+        starts = np.cumsum([0, *(len(d) for _, d in own[key])])
+        out = []
+        for i, (seed_a, a) in enumerate(own[key]):
+            for j, (seed_b, b) in enumerate(own[key][i + 1:], i + 1):
+                length = np.linalg.norm(a, axis=1)[:, None] * np.linalg.norm(b, axis=1)[None]
+                cosine = np.divide(a @ b.T, length, out=np.zeros_like(length), where=length > 0)
+                # Largest weights first, ties to the higher position.
+                tops = [[set(np.argsort(np.abs(w), kind="stable")[-top:].tolist()) for w in d] for d in (a, b)]
+                for k, c in enumerate(assign(np.abs(cosine))):
+                    sign = 1.0 if cosine[k, c] >= 0 else -1.0
+                    p, q = starts[i] + k, starts[j] + c
+                    usable = sd[p] > VARIANCE_FLOOR and sd[q] > VARIANCE_FLOOR
+                    out.append((key, seed_a, seed_b, k + 1, int(c) + 1, sign, abs(float(cosine[k, c])),
+                                len(tops[0][k] & tops[1][c]) / len(tops[0][k] | tops[1][c]),
+                                float(sign * cov[p, q] / (sd[p] * sd[q])) if usable else None))
+        names = [f.split()[0] for f in SEED_MATCHES.split(", ")]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
+        return pa.table({name: pa.array([r[i] for r in out], kind) for i, (name, kind) in enumerate(zip(names, kinds))})
+
+    return code_products(codes).groupBy("key").applyInArrow(match, SEED_MATCHES)
+
+
 def stability(matches: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Per key: mean and median cosine, mean overlap and code correlation."""
     corr = F.when(~F.isnan("code_correlation"), F.col("code_correlation"))

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from probeloom.functions import vectors as V
-from probeloom.functions.arrow import to_lists, to_matrix
+from probeloom.functions.arrow import dense_vector, small_batches, stored_vector, to_lists, to_matrix
 from probeloom.functions.scalars import order_key
 from probeloom.operators.coding import kkt_rows, lasso_rows
 from probeloom.session import bounded_rows, materialize
@@ -72,7 +72,7 @@ def initial_atoms(vectors: DataFrame, settings: Sequence[Setting]) -> list[np.nd
         open_ = [i for i, s in enumerate(settings) if s.seed == seed]
         keyed = vectors.select(
             order_key(seed, F.col("entity_id")).alias("k"), F.col("entity_id").cast("string").alias("entity_id"),
-            F.col("grp").cast("string").alias("grp"), F.col("vec").cast("array<double>").alias("vec"),
+            F.col("grp").cast("string").alias("grp"), stored_vector(vectors).alias("vec"),
         )
         wanted = 4 * max(settings[i].atoms for i in open_)
         while open_:
@@ -80,7 +80,7 @@ def initial_atoms(vectors: DataFrame, settings: Sequence[Setting]) -> list[np.nd
             rows.sort(key=lambda r: (r["k"], r["entity_id"]))
             for i in list(open_):
                 s = settings[i]
-                allowed = [r["vec"] for r in rows if r["grp"] not in s.excluded]
+                allowed = [dense_vector(r["vec"]) for r in rows if r["grp"] not in s.excluded]
                 x = s.rows(np.array(allowed)) if allowed else np.zeros((0, 1))
                 x = x[np.linalg.norm(x, axis=1) > 1e-12][:s.atoms]
                 if len(x) == s.atoms:
@@ -98,9 +98,7 @@ def _sums(models: Sequence[tuple[Setting, np.ndarray]], certify: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
         worst = [0.0] * len(models)
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in small_batches(batches):
             stored = to_matrix(batch.column("vec"))
             grp = np.array(batch.column("grp").to_pylist(), dtype=object)
             for i, (setting, d) in enumerate(models):
@@ -133,7 +131,7 @@ def _sums(models: Sequence[tuple[Setting, np.ndarray]], certify: bool):
 def sufficient_sums(rows: DataFrame, models: Sequence[tuple[Setting, np.ndarray]],
                     certify: bool = False) -> list[dict | None]:
     """Z'Z, Z'X and totals over ``rows`` (vec, grp), for every dictionary in one scan."""
-    partial = rows.select(F.col("vec").cast("array<double>").alias("vec"), F.col("grp").cast("string").alias("grp"))
+    partial = rows.select(stored_vector(rows).alias("vec"), F.col("grp").cast("string").alias("grp"))
     partial = partial.mapInArrow(_sums(models, certify), "model int, atom int, v array<double>, kkt double")
     merged = partial.groupBy("model", "atom").agg(
         vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"), F.max("kkt").alias("kkt")

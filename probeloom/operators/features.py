@@ -20,10 +20,13 @@ from probeloom.functions.scalars import TARGET_SUM, VARIANCE_FLOOR, log_rate, sa
 from probeloom.session import bounded_rows, settle
 
 MAX_GROUPS = 10_000
-# Sums over tasks arrive in any order, so equal variances differ in the last
-# bits from run to run. Ranking compares them to the precision of the
-# eligibility threshold and leaves the rest to the position.
+MAX_FOLDS = 10_000
+# Coordinates summed by Summarizer differ in their last bits from run to run; where
+# such variances are ranked, they are compared to this precision.
 RANK_DECIMALS = 12
+# Sums are taken of values cut at 2^-44, as two whole numbers of these many bits below
+# one. Whole numbers add up to the same total in any order, and can be taken off again.
+HIGH_BITS, LOW_BITS = 20, 24
 
 
 def with_totals(counts: DataFrame) -> DataFrame:
@@ -51,11 +54,37 @@ def moments(n: Column, s1: Column, s2: Column) -> tuple[Column, Column]:
     return mean, F.greatest(s2 / n - mean * mean, F.lit(0.0))
 
 
+def exact_sum(x: Column) -> Column:
+    """Order-independent sum: a struct of two longs, see :func:`total`.
+
+    Holds as long as the absolute values add up to less than 2^43 over fewer than
+    2^39 rows; beyond that the long sum overflows, which is an error.
+    """
+    scaled = x * F.lit(float(1 << HIGH_BITS))
+    high = F.floor(scaled)
+    low = F.floor((scaled - high) * F.lit(float(1 << LOW_BITS)) + F.lit(0.5))
+    return F.struct(F.sum(high).alias("high"), F.sum(low).alias("low"))
+
+
+def exact_zero() -> Column:
+    return F.struct(F.lit(0).cast("long").alias("high"), F.lit(0).cast("long").alias("low"))
+
+
+def combine(a: Column, b: Column, sign: int = 1) -> Column:
+    """a + b, or a - b, of exact sums."""
+    return F.struct((a["high"] + sign * b["high"]).alias("high"), (a["low"] + sign * b["low"]).alias("low"))
+
+
+def total(s: Column) -> Column:
+    """The double that an exact sum stands for."""
+    return s["high"] / F.lit(float(1 << HIGH_BITS)) + s["low"] / F.lit(float(1 << (HIGH_BITS + LOW_BITS)))
+
+
 def feature_moments(log_counts: DataFrame, n_entities: int, keys: Sequence[str] = ("feature_id",)) -> DataFrame:
-    mean, variance = moments(
-        F.lit(float(n_entities)), F.sum("x"), F.sum(F.col("x") * F.col("x"))
-    )
-    return log_counts.groupBy(*keys).agg(mean.alias("mean"), variance.alias("variance"))
+    """Mean and variance per key, with the same bits however the rows are partitioned."""
+    sums = log_counts.groupBy(*keys).agg(exact_sum(F.col("x")).alias("s1"), exact_sum(F.col("x") * F.col("x")).alias("s2"))
+    mean, variance = moments(F.lit(float(n_entities)), total(F.col("s1")), total(F.col("s2")))
+    return sums.select(*keys, mean.alias("mean"), variance.alias("variance"))
 
 
 def select_features(stats: DataFrame, n_features: int, position: str = "feature_id") -> DataFrame:
@@ -64,11 +93,7 @@ def select_features(stats: DataFrame, n_features: int, position: str = "feature_
     Ties go to the lower position. The top-k is a distributed take-ordered; the
     renumbering window sees at most ``n_features`` rows.
     """
-    top = (
-        stats.filter(F.col("variance") > VARIANCE_FLOOR)
-        .orderBy(F.round("variance", RANK_DECIMALS).desc(), F.col(position).asc())
-        .limit(n_features)
-    )
+    top = stats.filter(F.col("variance") > VARIANCE_FLOOR).orderBy(F.col("variance").desc(), F.col(position).asc()).limit(n_features)
     place = Window.orderBy(position)
     return top.withColumn("out_pos", F.row_number().over(place) - 1).withColumn(
         "scale", safe_scale(F.col("variance"))
@@ -154,45 +179,55 @@ def transform_vectors(log_counts: DataFrame, entities: DataFrame, fitted: DataFr
 
 # --- fold-wise statistics -----------------------------------------------------
 
-def fold_moments(log_counts: DataFrame, sizes: dict[str, int]) -> DataFrame:
-    """Training mean and variance of every feature for every left-out group.
+def excluded_moments(log_counts: DataFrame, sizes: dict[str, int], folds: Sequence[Sequence[str]]) -> DataFrame:
+    """fold, feature_id, mean, variance over the entities outside the groups that each fold leaves out.
 
-    Sums are additive, so one scan keyed by (group, feature) serves all folds:
-    the training sums of a fold are those of the other groups. ``log_counts``
-    needs grp, feature_id, x; ``sizes`` is entities per group.
+    Sums are exact, so one scan keyed by (group, feature) serves all folds: a fold
+    takes the sums of its groups off those of all. Features that no training entity
+    of a fold has keep mean and variance 0. ``log_counts``: grp, feature_id, x;
+    ``sizes``: entities per group.
     """
-    if len(sizes) > MAX_GROUPS:
-        raise ValueError(f"More than {MAX_GROUPS} groups")
+    if len(sizes) > MAX_GROUPS or len(folds) > MAX_FOLDS:
+        raise ValueError(f"More than {MAX_GROUPS} groups or {MAX_FOLDS} folds")
     per_group = log_counts.groupBy("grp", "feature_id").agg(
-        F.sum("x").alias("s1"), F.sum(F.col("x") * F.col("x")).alias("s2")
+        exact_sum(F.col("x")).alias("s1"), exact_sum(F.col("x") * F.col("x")).alias("s2")
     )
     per_feature = per_group.groupBy("feature_id").agg(
-        F.collect_list(F.struct("grp", "s1", "s2")).alias("parts")
+        F.collect_list(F.struct("grp", "s1", "s2")).alias("parts"),
+        *[F.struct(F.sum(f"{s}.high").alias("high"), F.sum(f"{s}.low").alias("low")).alias(f"all_{s}") for s in ("s1", "s2")],
     )
     n_all = sum(sizes.values())
-    folds = F.array(*[
-        F.struct(F.lit(g).alias("outer_grp"), F.lit(float(n_all - n)).alias("n"))
-        for g, n in sorted(sizes.items())
+    listed = F.array(*[
+        F.struct(F.lit(i).alias("fold"), F.lit(float(n_all - sum(sizes[g] for g in left))).alias("n"),
+                 F.array(*[F.lit(g) for g in left]).alias("left_out"))
+        for i, left in enumerate(folds)
     ])
-    opened = per_feature.select("feature_id", "parts", F.inline(folds))
-    others = F.filter("parts", lambda s: s["grp"] != F.col("outer_grp"))
-    s1 = F.aggregate(others, F.lit(0.0), lambda acc, s: acc + s["s1"])
-    s2 = F.aggregate(others, F.lit(0.0), lambda acc, s: acc + s["s2"])
-    mean, variance = moments(F.col("n"), s1, s2)
-    return opened.select(
-        "outer_grp", "feature_id", mean.alias("mean"), variance.alias("variance")
-    )
+    opened = per_feature.select("feature_id", "parts", "all_s1", "all_s2", F.inline(listed))
+    gone = F.filter("parts", lambda part: F.array_contains("left_out", part["grp"]))
 
+    def kept(s: str) -> Column:
+        return total(combine(F.col(f"all_{s}"), F.aggregate(gone, exact_zero(), lambda acc, part: combine(acc, part[s])), -1))
 
-def select_per_fold(fold_stats: DataFrame, n_features: int) -> DataFrame:
+    mean, variance = moments(F.col("n"), kept("s1"), kept("s2"))
+    return opened.select("fold", "feature_id", mean.alias("mean"), variance.alias("variance"))
+
+
+def fold_moments(log_counts: DataFrame, sizes: dict[str, int]) -> DataFrame:
+    """Training mean and variance of every feature for every left-out group (outer_grp)."""
+    names = sorted(sizes)
+    found = excluded_moments(log_counts, sizes, [(g,) for g in names])
+    return found.select(F.element_at(F.array(*[F.lit(g) for g in names]), F.col("fold") + 1).alias("outer_grp"), "feature_id", "mean", "variance")
+
+
+def select_per_fold(fold_stats: DataFrame, n_features: int, fold: str = "outer_grp") -> DataFrame:
     """Top features by training variance inside every fold, renumbered in source order.
 
     The ranking carries a limit, so each task forwards at most ``n_features``
     rows per fold however large the vocabulary is; the renumbering window sees
     only the selected rows.
     """
-    ranked = Window.partitionBy("outer_grp").orderBy(F.round("variance", RANK_DECIMALS).desc(), "feature_id")
-    place = Window.partitionBy("outer_grp").orderBy("feature_id")
+    ranked = Window.partitionBy(fold).orderBy(F.col("variance").desc(), "feature_id")
+    place = Window.partitionBy(fold).orderBy("feature_id")
     return (
         fold_stats.filter(F.col("variance") > VARIANCE_FLOOR)
         .withColumn("_rank", F.row_number().over(ranked)).filter(F.col("_rank") <= n_features).drop("_rank")
@@ -201,6 +236,22 @@ def select_per_fold(fold_stats: DataFrame, n_features: int) -> DataFrame:
     )
 
 
+def sparse_vectors(log_counts: DataFrame, entities: DataFrame, places: DataFrame, width: int) -> DataFrame:
+    """entities plus ``vec``, the stored values at ``places`` (feature_id, pos) as a sparse vector.
+
+    Counts are cut to the places before they are collected, and meet their entity row
+    in one grouped shuffle; entities without any of the features stay.
+    """
+    others = [c for c in entities.columns if c != "entity_id"]
+    kept = log_counts.join(places, "feature_id").select("entity_id", F.struct(F.col("pos").cast("int").alias("pos"), "x").alias("_at"))
+    about = entities.select("entity_id", F.struct(F.lit(True).alias("_known"), *others).alias("_about"))
+    lists = kept.unionByName(about, allowMissingColumns=True).groupBy("entity_id").agg(
+        F.max("_about").alias("_about"), F.array_sort(F.collect_list("_at")).alias("_at")
+    ).filter("_about._known")
+    vec = F.struct(F.lit(width).alias("size"), F.col("_at.pos").alias("pos"), F.col("_at.x").alias("val"))
+    return lists.select("entity_id", *[F.col(f"_about.{c}").alias(c) for c in others], vec.alias("vec"))
+
+
 # --- dense vectors ------------------------------------------------------------
 
 def vector_moments(vectors: DataFrame, keys: Sequence[str] = (), vec: str = "vec") -> DataFrame:

@@ -36,6 +36,7 @@ class Probe:
     C: float
     iterations: int
     converged: bool
+    gradient: float | None = None    # largest coordinate of the penalized gradient, where it was taken
 
 
 def classes_of(rows: DataFrame, label: str = "label") -> list[str]:

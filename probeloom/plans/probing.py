@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probeloom.functions.arrow import to_matrix
 from probeloom.functions.scalars import COARSE_C, fine_grid
 from probeloom.operators import comparison, metrics, probe
 from probeloom.operators.checks import CheckFailed
+from probeloom.operators.joint_probe import View, Wanted, fit_together, score_together
 from probeloom.operators.probe import Probe
 from probeloom.session import bounded_rows, settle
 from probeloom.sources.digests import checksum
@@ -93,56 +97,73 @@ def evaluate_test(rows: DataFrame, model_path: str, path: str, selection: str) -
 
 SEARCH_SCHEMA = (
     "feature_set string, search_stage string, C double, n_train long, n_validation long, n_features int, "
-    "val_accuracy double, val_macro_f1 double, val_balanced_accuracy double, val_log_loss double, converged boolean"
+    "val_accuracy double, val_macro_f1 double, val_balanced_accuracy double, val_log_loss double, converged boolean, "
+    "gradient double, iterations int"
 )
 
 
-def _fit_stage(name: str, stage: str, train: DataFrame, held: DataFrame, classes: list[str], n: int,
-               values: Sequence[float], parallelism: int) -> list[tuple]:
-    """All C values of a stage: concurrent fits, then one scoring scan for all of them."""
-    models = probe.together(
-        train.sparkSession, [lambda c=c: probe.fit_probe(train, classes, n, C=c) for c in values], parallelism
-    )
-    found = {r["model"]: r for r in metrics.scalar_metrics(probe.confusion_of(held, models), ["model"]).collect()}
-    return [
-        (name, stage, float(c), n, found[i]["n_rows"], int(m.coef.shape[1]), found[i]["accuracy"], found[i]["macro_f1"],
-         found[i]["balanced_accuracy"], found[i]["log_loss"], m.converged)
-        for i, (c, m) in enumerate(zip(values, models))
-    ]
+def _part(part: int) -> View:
+    """Rows of one representation among the stacked ones."""
+
+    def rows(batch):
+        keep = np.flatnonzero(batch.column("part").to_numpy(zero_copy_only=False) == part)
+        return keep, to_matrix(batch.column("vec").take(pa.array(keep)))
+
+    return View(rows)
 
 
-def search_c(inputs: dict[str, DataFrame], coarse: Sequence[float] = COARSE_C, fine_points: int = 21,
-             parallelism: int = 8) -> tuple[DataFrame, DataFrame]:
+def search_c(inputs: dict[str, DataFrame], coarse: Sequence[float] = COARSE_C, fine_points: int = 21) -> tuple[DataFrame, DataFrame]:
     """Coarse then fine search per representation; returns (all fits, best per representation).
 
-    ``inputs``: name -> entity_id, label, split, vec. Training and validation
-    rows of a representation are kept in memory for all its fits.
+    ``inputs``: name -> entity_id, label, split, vec, with the same training labels.
+    The rows of all representations are stacked and kept in memory; the fits of a
+    stage, all representations and penalties together, share every scan, and so does
+    their scoring.
     """
     spark = next(iter(inputs.values())).sparkSession
-    rows: list[tuple] = []
-    coarse_rows: list[tuple] = []
-    for name, df in inputs.items():
-        mine = df.filter("split = 'train'")
-        classes = probe.classes_of(mine)
-        n, width = mine.agg(F.count(F.lit(1)), F.max(F.size("vec"))).first()
-        train = probe.persisted(probe.training_rows(mine, classes))
-        held = probe.persisted(df.filter("split = 'validation'").select("label", "vec"))
-        try:
-            first = _fit_stage(name, "coarse", train, held, classes, n, coarse, parallelism)
-            winner = comparison.best_c(spark.createDataFrame(first, SEARCH_SCHEMA))
-            refined = winner.select(fine_grid(F.col("C"), coarse, fine_points).alias("g")).first()
-            if refined is None:
-                raise CheckFailed(f"{name}: no fit converged")
-            second = _fit_stage(name, "fine", train, held, classes, n, refined["g"], parallelism) if refined["g"] else []
-        finally:
-            train.unpersist()
-            held.unpersist()
-        coarse_rows += first
-        rows += first + second
-    everything = spark.createDataFrame(rows, SEARCH_SCHEMA)
-    won = comparison.best_c(spark.createDataFrame(coarse_rows, SEARCH_SCHEMA)).select(
-        "feature_set", F.col("C").alias("coarse_best_C"), F.col("val_macro_f1").alias("coarse_best_macro_f1")
-    )
+    names = list(inputs)
+    lists = {name: probe.classes_of(df.filter("split = 'train'")) for name, df in inputs.items()}
+    classes = lists[names[0]]
+    if any(c != classes for c in lists.values()):
+        raise CheckFailed(f"training labels differ between representations: {lists}")
+    number = (F.array_position(metrics.class_list(classes), F.col("label")) - 1).cast("int")
+    stacked = reduce(DataFrame.unionByName, [
+        df.filter("split IN ('train', 'validation')").select(
+            F.lit(i).alias("part"), "split", number.alias("y"), F.col("vec").cast("array<double>").alias("vec"))
+        for i, (_, df) in enumerate(inputs.items())
+    ])
+    stacked = probe.persisted(stacked)
+    train, held = stacked.filter("split = 'train'").drop("split"), stacked.filter("split = 'validation'").drop("split")
+    try:
+        if not held.filter("y IS NULL OR y < 0").isEmpty():
+            raise CheckFailed("validation labels that no training row has")
+        about = {r["part"]: r for r in bounded_rows(
+            train.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("width")), len(names), "representations")}
+        views = [_part(i) for i in range(len(names))]
+
+        def stage(kind: str, values: dict[int, Sequence[float]]) -> list[tuple]:
+            wanted = [Wanted(i, 1.0 / (about[i]["n"] * c)) for i, cs in values.items() for c in cs]
+            penalties = [c for cs in values.values() for c in cs]
+            models = fit_together(train, views, wanted, classes)
+            cells = score_together(held, views, [(w.view, m) for w, m in zip(wanted, models)])
+            found = {r["model"]: r for r in metrics.scalar_metrics(cells, ["model"]).collect()}
+            return [
+                (names[w.view], kind, float(c), about[w.view]["n"], found[k]["n_rows"], about[w.view]["width"], found[k]["accuracy"],
+                 found[k]["macro_f1"], found[k]["balanced_accuracy"], found[k]["log_loss"], m.converged, m.gradient, m.iterations)
+                for k, (w, c, m) in enumerate(zip(wanted, penalties, models))
+            ]
+
+        first = stage("coarse", {i: list(coarse) for i in range(len(names))})
+        won = settle(comparison.best_c(spark.createDataFrame(first, SEARCH_SCHEMA)))
+        refined = {r["feature_set"]: r["g"] for r in won.select("feature_set", fine_grid(F.col("C"), coarse, fine_points).alias("g")).collect()}
+        if set(refined) != set(names):
+            raise CheckFailed(f"no fit converged: {sorted(set(names) - set(refined))}")
+        values = {i: refined[name] for i, name in enumerate(names) if refined[name]}
+        second = stage("fine", values) if values else []
+    finally:
+        stacked.unpersist()
+    everything = spark.createDataFrame(first + second, SEARCH_SCHEMA)
+    won = won.select("feature_set", F.col("C").alias("coarse_best_C"), F.col("val_macro_f1").alias("coarse_best_macro_f1"))
     return everything, comparison.best_c(everything).join(won, "feature_set").orderBy(F.col("val_macro_f1").desc())
 
 
@@ -165,12 +186,12 @@ def analyse_best(inputs: dict[str, DataFrame], best: DataFrame, tol: float = 1e-
 
 
 def select_models(inputs: dict[str, DataFrame], grid: DataFrame, coarse: Sequence[float] = COARSE_C,
-                  fine_points: int = 21, parallelism: int = 8) -> dict[str, DataFrame]:
+                  fine_points: int = 21) -> dict[str, DataFrame]:
     """Search C for all representations, rank the dictionaries, recommend one of each kind.
 
     ``grid`` is the result of a dictionary grid; its candidates are names in ``inputs``.
     """
-    everything, best = search_c(inputs, coarse, fine_points, parallelism)
+    everything, best = search_c(inputs, coarse, fine_points)
     best = settle(best)
     names = grid.select(F.col("candidate").alias("feature_set"))
     mine = best.join(names, "feature_set", "left_semi").withColumnRenamed("feature_set", "candidate")

@@ -2,31 +2,36 @@
 
 Work is arranged so that entities are scanned as rarely as possible: group
 statistics are taken once and combined per fold, all dictionaries of the study
-are fitted together, and every representation of a fold is kept in memory for
-all its penalties and both scalings. Scoring every inner fit is one scan, and
-so is scoring and storing every outer fit.
+are fitted together, and one scan stores the codes of every entity under all of
+them. Each optimizer step is then one scan for all inner fits (every fold,
+representation, scaling and penalty), and so is scoring them; the same for the outer
+fits. Entities come as dense vectors or as sparse counts; counts are carried once,
+over the features that any fold selects, and every fold reads its own from them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
-from itertools import combinations
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
-from probeloom.functions.arrow import task_function, to_lists, to_matrix
-from probeloom.functions.scalars import LAMBDAS, VARIANCE_FLOOR
+from probeloom.functions.arrow import small_batches, stored_vector, to_lists, to_matrix
+from probeloom.functions.scalars import LAMBDAS, TARGET_SUM, VARIANCE_FLOOR
 from probeloom.operators import atoms, checks, comparison, dictionary, features, groups, metrics, probe
 from probeloom.operators.checks import CheckFailed, assert_empty
 from probeloom.operators.coding import lasso_rows
 from probeloom.operators.dictionary import Fitted, Setting
+from probeloom.operators.joint_probe import View, Wanted, fit_together, score_together
 from probeloom.operators.probe import Probe
-from probeloom.session import bounded_rows, materialize
+from probeloom.session import bounded_rows, materialize, settle
 
+MINIMUM_SEEDS = 3
 SCALINGS = ("standard", "none")
 KEYS = "outer_grp string, inner_grp string, method string, seed long, scaling string, `lambda` double"
 FIT_SCHEMA = (
@@ -61,7 +66,7 @@ class Fold:
 
 @dataclass
 class Representation:
-    """How stored rows become probe input in one fold."""
+    """Which of an entity's stored values are probe input in one fold."""
 
     fold: Fold
     method: str
@@ -69,27 +74,14 @@ class Representation:
     setting: Setting | None = None       # None: take the ready-made embedding
     atoms: np.ndarray | None = None      # None: the standardized expression itself
 
-    def apply(self, vec: np.ndarray, emb: np.ndarray | None) -> np.ndarray:
-        if self.setting is None:
-            return emb
-        x = self.setting.rows(vec)
-        return x if self.atoms is None else lasso_rows(x, self.atoms, self.setting.alpha)
+    place: int = 0                       # first of its codes among the stored ones
 
-    def column(self):
+    def input(self, opened: Opened, keep: np.ndarray) -> np.ndarray:
         if self.setting is None:
-            return F.col("emb").cast("array<double>")
-
-        @task_function("array<double>")
-        def represent(vec: pa.Array) -> pa.Array:
-            if not len(vec):
-                return pa.array([], pa.list_(pa.float64()))
-            return to_lists(self.apply(to_matrix(vec), None))
-
-        return represent(F.col("vec").cast("array<double>"))
-
-    @property
-    def width(self) -> int:
-        return len(self.atoms) if self.atoms is not None else len(self.fold.mean)
+            return opened.emb[keep]
+        if self.atoms is None:
+            return self.setting.rows(opened.vec[keep])
+        return opened.codes[keep, self.place:self.place + len(self.atoms)]
 
 
 def make_folds(rows: DataFrame, variance_top: int | None = None) -> list[Fold]:
@@ -120,51 +112,65 @@ def make_folds(rows: DataFrame, variance_top: int | None = None) -> list[Fold]:
     return folds
 
 
-def _fit(rows: DataFrame, rep: Representation, classes: list[str],
-         wanted: Sequence[tuple[str, float]]) -> list[Probe]:
-    """All (scaling, lambda) fits of one representation over rows kept in memory."""
-    fold = rep.fold
-    train = rows.filter(~F.col("grp").isin(*fold.excluded)).select("label", rep.column().alias("r"))
-    prepared = probe.persisted(probe.training_rows(train, classes, "r"))
-    try:
-        return [probe.fit_probe(prepared, classes, fold.n_train, lam=lam, scaling=scaling) for scaling, lam in wanted]
-    finally:
-        prepared.unpersist()
+@dataclass
+class Opened:
+    """A batch of stored rows, its columns turned into arrays when first asked for."""
+
+    batch: pa.RecordBatch
 
+    @cached_property
+    def grp(self) -> np.ndarray:
+        return np.array(self.batch.column("grp").to_pylist(), dtype=object)
 
-def _task_rows(rows: DataFrame) -> DataFrame:
+    @cached_property
+    def vec(self) -> np.ndarray:
+        return to_matrix(self.batch.column("vec"))
+
+    @cached_property
+    def emb(self) -> np.ndarray:
+        return to_matrix(self.batch.column("emb"))
+
+    @cached_property
+    def codes(self) -> np.ndarray:
+        return to_matrix(self.batch.column("codes"))
+
+
+def _view(rep: Representation, hold: bool) -> View:
+    """The held-out rows of a representation's fold, or those it trains on."""
+
+    def rows(opened: Opened) -> tuple[np.ndarray, np.ndarray]:
+        inside = opened.grp == rep.fold.hold if hold else ~np.isin(opened.grp, rep.fold.excluded)
+        keep = np.flatnonzero(inside)
+        return keep, rep.input(opened, keep)
+
+    return View(rows)
+
+
+def _task_rows(rows: DataFrame, classes: Sequence[str]) -> DataFrame:
     emb = F.col("emb") if "emb" in rows.columns else F.array()
-    return rows.select("entity_id", "label", F.col("grp").cast("string").alias("grp"),
-                       F.col("vec").cast("array<double>").alias("vec"), emb.cast("array<double>").alias("emb"))
+    number = (F.array_position(metrics.class_list(classes), F.col("label")) - 1).cast("int")
+    return rows.select("entity_id", "label", F.col("grp").cast("string").alias("grp"), number.alias("y"),
+                       stored_vector(rows).alias("vec"), emb.cast("array<double>").alias("emb"))
 
 
-def score_folds(rows: DataFrame, blocks: Sequence[tuple[Representation, Sequence[Probe]]]) -> DataFrame:
-    """Confusion cells of every model on its held-out group, from one scan.
+def with_codes(rows: DataFrame, reps: Sequence[Representation]) -> DataFrame:
+    """Stored rows plus ``codes``: those of all dictionaries side by side, from one scan.
 
-    Models are numbered through the blocks in order. A row is encoded once per
-    fold and representation that holds its group out.
+    A dictionary's place in them is written into its representation.
     """
+    coded = [r for r in reps if r.atoms is not None]
+    at = 0
+    for r in coded:
+        r.place, at = at, at + len(r.atoms)
+    schema = StructType([*rows.schema.fields, StructField("codes", ArrayType(DoubleType()))])
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cells: dict = {}
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vec, emb = to_matrix(batch.column(3)), to_matrix(batch.column(4))
-            y, grp = (np.array(batch.column(i).to_pylist(), dtype=object) for i in (1, 2))
-            key = 0
-            for rep, models in blocks:
-                keep = grp == rep.fold.hold
-                x = rep.apply(vec[keep], emb[keep]) if keep.any() else None
-                for m in models:
-                    if x is not None:
-                        probe.add_cells(cells, key, m, x, y[keep])
-                    key += 1
-        yield probe.cell_batch(cells)
-
-    return _task_rows(rows).mapInArrow(count, probe.CELL_SCHEMA).groupBy("model", "label", "prediction").agg(
-        F.sum("n").alias("n"), F.sum("loss").alias("loss")
-    )
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in small_batches(batches):
+            x = to_matrix(batch.column("vec"))
+            z = np.hstack([lasso_rows(r.setting.rows(x), r.atoms, r.setting.alpha) for r in coded])
+            yield pa.RecordBatch.from_arrays([*batch.columns, to_lists(z)], names=[*batch.schema.names, "codes"])
+
+    return materialize(rows.mapInArrow(encode, schema), "codes")
 
 
 def predict_folds(rows: DataFrame, blocks: Sequence[tuple[Representation, Sequence[tuple[str, Probe]]]]) -> DataFrame:
@@ -173,21 +179,18 @@ def predict_folds(rows: DataFrame, blocks: Sequence[tuple[Representation, Sequen
         "entity_id string, label string, grp string, method string, seed long, scaling string, "
         "prediction string, probs array<double>"
     )
+    views = [_view(rep, True) for rep, _ in blocks]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            vec, emb = to_matrix(batch.column(3)), to_matrix(batch.column(4))
-            grp = np.array(batch.column(2).to_pylist(), dtype=object)
-            for rep, models in blocks:
-                at = np.flatnonzero(grp == rep.fold.hold)
+        for batch in small_batches(batches):
+            opened = Opened(batch)
+            for view, (rep, models) in zip(views, blocks):
+                at, x = view.rows(opened)
                 if not len(at):
                     continue
-                x, mine = rep.apply(vec[at], emb[at]), batch.take(pa.array(at))
+                mine, n = batch.take(pa.array(at)), len(at)
                 for scaling, m in models:
                     p = probe.probabilities(m, x)
-                    n = len(at)
                     yield pa.RecordBatch.from_arrays(
                         [mine.column(0), mine.column(1), mine.column(2), pa.array([rep.method] * n),
                          pa.array(np.full(n, rep.seed, np.int64)), pa.array([scaling] * n),
@@ -195,12 +198,24 @@ def predict_folds(rows: DataFrame, blocks: Sequence[tuple[Representation, Sequen
                         names=["entity_id", "label", "grp", "method", "seed", "scaling", "prediction", "probs"],
                     )
 
-    return _task_rows(rows).mapInArrow(predict, schema)
+    return rows.mapInArrow(predict, schema)
+
+
+Fits = list[tuple[Representation, list[tuple[str, float]], list[Probe]]]
+
+
+def _fit_all(rows: DataFrame, todo: Sequence[tuple[Representation, Sequence[tuple[str, float]]]], classes: list[str]) -> Fits:
+    """All (scaling, lambda) fits of all representations, every step one scan."""
+    views = [_view(rep, False) for rep, _ in todo]
+    wanted = [Wanted(v, lam, scaling) for v, (_, grid) in enumerate(todo) for scaling, lam in grid]
+    models = iter(fit_together(rows, views, wanted, classes, open_=Opened))
+    return [(rep, list(grid), [next(models) for _ in grid]) for rep, grid in todo]
 
 
-def _fit_rows(rows: DataFrame, fitted: Sequence[tuple[Representation, Sequence[tuple[str, float]], Sequence[Probe]]]) -> list[tuple]:
-    """One FIT_SCHEMA row per model."""
-    table = score_folds(rows, [(rep, models) for rep, _, models in fitted])
+def _fit_rows(rows: DataFrame, fitted: Fits) -> list[tuple]:
+    """One FIT_SCHEMA row per model, scored on the groups held out."""
+    views = [_view(rep, True) for rep, _, _ in fitted]
+    table = score_together(rows, views, [(v, m) for v, (_, _, models) in enumerate(fitted) for m in models], open_=Opened)
     found = {r["model"]: r for r in metrics.scalar_metrics(table, ["model"]).collect()}
     flat = [(rep, scaling, lam, m) for rep, wanted, models in fitted for (scaling, lam), m in zip(wanted, models)]
     return [
@@ -224,48 +239,110 @@ def _representations(folds: Sequence[Fold], fits: dict[tuple[str, int], Fitted],
     return out
 
 
-def _stability(rows: DataFrame, folds: Sequence[Fold], fits: dict, seeds: Sequence[int], parallelism: int):
-    """Matched atoms of every seed pair in every outer fold."""
-    spark = rows.sparkSession
+def _stability(rows: DataFrame, reps: Sequence[Representation]) -> DataFrame:
+    """Matched atoms of every seed pair in every outer fold: one scan for all code products."""
+    coded = [r for r in reps if r.atoms is not None and r.fold.inner is None]
+    parts = F.array(*[
+        F.struct(F.lit(f.outer).alias("key"), F.concat(*[
+            F.slice("codes", r.place + 1, len(r.atoms)) for r in coded if r.fold is f
+        ]).alias("z"))
+        for f in {id(r.fold): r.fold for r in coded}.values()
+    ])
+    # An entity counts in the folds that train on it: all but that of its own group.
+    opened = rows.select(F.inline(F.filter(parts, lambda p: p["key"] != F.col("grp"))))
+    fits = {(r.fold.outer, r.seed): Fitted(r.setting, r.atoms) for r in coded}
+    return atoms.match_seeds(opened, {key: fit.atoms for key, fit in fits.items()})
+
+
+@dataclass
+class Inputs:
+    """What a study starts from: rows (entity_id, label, grp, vec, emb perhaps) and its folds."""
+
+    rows: DataFrame
+    folds: list[Fold]
+
+
+def from_vectors(rows: DataFrame, variance_top: int | None = None) -> Inputs:
+    return Inputs(rows, make_folds(rows, variance_top))
 
-    def pair(fold: Fold, a: int, b: int):
-        one, two = fits[fold.name, a], fits[fold.name, b]
-        train = rows.filter(~F.col("grp").isin(*fold.excluded)).select(
-            Representation(fold, "", a, one.setting, one.atoms).column().alias("za"),
-            Representation(fold, "", b, two.setting, two.atoms).column().alias("zb"),
-        )
-        tables = [dictionary.atoms_table(spark, [f]).select("atom", "weights") for f in (one, two)]
-        matched = atoms.match_atoms(atoms.atom_pairs(*tables, train))
-        return [(fold.outer, a, b, *r) for r in matched.collect()]
 
-    jobs = [lambda f=f, a=a, b=b: pair(f, a, b) for f in folds if f.inner is None for a, b in combinations(seeds, 2)]
-    found = [r for block in probe.together(spark, jobs, parallelism) for r in block]
-    return spark.createDataFrame(found, (
-        "grp string, seed_a long, seed_b long, atom_a int, atom_b int, sign double, abs_cosine double, "
-        "top_feature_jaccard double, code_correlation double"
-    ))
+def from_counts(counts: DataFrame, entities: DataFrame, policy: str = "variance", n_features: int = 2000,
+                panel: DataFrame | None = None, target: float = TARGET_SUM) -> Inputs:
+    """Folds fitted on counts (entity_id, feature_id, cnt, perhaps total), and entities as sparse log rates.
 
+    ``entities``: entity_id, label, grp and perhaps emb. With policy ``variance`` every
+    fold selects its ``n_features`` features of largest training variance; with ``panel``
+    all folds use the ordered ``panel`` (feature_id, out_pos), constant and absent
+    features included. Statistics of a fold never see the groups it leaves out: one
+    scan sums per group and feature, exactly, and a fold takes off what it may not see.
+    """
+    if policy not in ("variance", "panel") or (policy == "panel") != (panel is not None):
+        raise ValueError("policy 'variance', or 'panel' with a panel")
+    sizes = groups.group_sizes(entities)
+    if len(sizes) < groups.MINIMUM_GROUPS:
+        raise ValueError(f"Need at least {groups.MINIMUM_GROUPS} groups for nested evaluation")
+    nested = groups.nested_folds(sorted(sizes))
+    left_out = sorted({tuple(sorted({o, i} - {None})) for o, i in nested})
+    log_counts = features.normalize_log(counts, target).select("entity_id", "feature_id", "x")
+    known = log_counts.join(entities.select("entity_id", "grp"), "entity_id")
+    if panel is not None:
+        panel = settle(panel.select("feature_id", "out_pos"))
+        known = known.join(panel.select("feature_id"), "feature_id", "left_semi")
+    stats = features.excluded_moments(known, sizes, left_out)
+    if panel is None:
+        chosen = features.select_per_fold(stats, n_features, "fold").select("fold", "feature_id", "out_pos", "mean", "variance")
+        limit = n_features
+    else:
+        limit = panel.count()
+        folds = F.explode(F.sequence(F.lit(0), F.lit(len(left_out) - 1))).alias("fold")
+        chosen = panel.select(folds, "*").join(stats, ["fold", "feature_id"], "left").select(
+            "fold", "feature_id", "out_pos", F.coalesce("mean", F.lit(0.0)).alias("mean"), F.coalesce("variance", F.lit(0.0)).alias("variance"))
+    picked = bounded_rows(chosen, limit * len(left_out), "features of the folds")
+    names = sorted({r["feature_id"] for r in picked})
+    pos = {f: i for i, f in enumerate(names)}
+    by_fold: dict[int, list] = {}
+    for r in sorted(picked, key=lambda r: (r["fold"], r["out_pos"])):
+        by_fold.setdefault(r["fold"], []).append(r)
+    fitted = {}
+    for i, left in enumerate(left_out):
+        own = by_fold.get(i, [])
+        if not own:
+            raise CheckFailed(f"no variable feature outside {left}")
+        scale = np.sqrt([r["variance"] for r in own])
+        fitted[left] = (np.array([pos[r["feature_id"]] for r in own]), np.array([r["mean"] for r in own]), np.where(scale < VARIANCE_FLOOR, 1.0, scale))
+    n_all = sum(sizes.values())
+    folds = []
+    for outer, inner in nested:
+        left = tuple(sorted({outer, inner} - {None}))
+        columns, mean, scale = fitted[left]
+        folds.append(Fold(outer, inner, mean, scale, columns, n_all - sum(sizes[g] for g in left)))
+    places = settle(entities.sparkSession.createDataFrame(list(pos.items()), "feature_id string, pos int"), max_rows=len(pos))
+    return Inputs(features.sparse_vectors(log_counts, entities, places, len(pos)), folds)
 
-def nested_study(rows: DataFrame, seeds: Sequence[int] = (0, 1, 2), n_atoms: int = 64, alpha: float = 2.0,
+
+def nested_study(inputs: Inputs | DataFrame, seeds: Sequence[int] = (0, 1, 2), n_atoms: int = 64, alpha: float = 2.0,
                  epochs: int = 10, lambdas: Sequence[float] = LAMBDAS, batches: int = 4,
-                 variance_top: int | None = None, parallelism: int = 8) -> dict[str, DataFrame]:
-    """Run the study on rows with entity_id, label, grp, vec and optionally emb.
+                 variance_top: int | None = None) -> dict[str, DataFrame]:
+    """Run the study on rows with entity_id, label, grp, vec and optionally emb, or on :func:`from_counts`.
 
     Inner folds choose a penalty per method and scaling; outer folds refit with
     it and are scored once. Returns inner and outer fits, chosen penalties,
     outer predictions, dictionary diagnostics, atom matches and stability.
     """
-    if len(set(seeds)) != len(seeds) or min(n_atoms, epochs) < 1 or alpha <= 0:
-        raise ValueError("seeds must be unique and dictionary settings positive")
+    if len(set(seeds)) != len(seeds) or len(seeds) < MINIMUM_SEEDS:
+        raise ValueError(f"{MINIMUM_SEEDS} unique seeds at least")
+    if min(n_atoms, epochs) < 1 or alpha <= 0:
+        raise ValueError("dictionary settings must be positive")
     if not lambdas or len(set(lambdas)) != len(lambdas) or min(lambdas) <= 0:
         raise ValueError("penalties must be unique and positive")
-    spark = rows.sparkSession
+    if isinstance(inputs, DataFrame):
+        inputs = from_vectors(inputs, variance_top)
+    spark, folds = inputs.rows.sparkSession, inputs.folds
     # Written once: every later scan reads this copy, whatever it took to make the rows.
-    rows = dictionary.bucketed(rows, batches)
+    rows = dictionary.bucketed(inputs.rows, batches)
     assert_empty(checks.coverage_gaps(rows, "grp", "label"), "labels missing from a group")
     with_embedding = "emb" in rows.columns
     classes = probe.classes_of(rows)
-    folds = make_folds(rows, variance_top)
     settings = [
         Setting(f"{f.name}#{s}", n_atoms, alpha, s, epochs, f.excluded, f.mean, f.scale, f.columns)
         for f in folds for s in seeds
@@ -278,29 +355,28 @@ def nested_study(rows: DataFrame, seeds: Sequence[int] = (0, 1, 2), n_atoms: int
         for c, f in zip(dictionary.diagnostics(rows, fitted, held), [f for f in folds for _ in seeds])
     ]
     reps = _representations(folds, fits, seeds, alpha, with_embedding)
-
-    grid = [(s, lam) for s in SCALINGS for lam in lambdas]
-    inner_reps = [r for r in reps if r.fold.inner is not None]
-    fitted_inner = probe.together(spark, [lambda r=r: (r, grid, _fit(rows, r, classes, grid)) for r in inner_reps], parallelism)
-    inner_table = spark.createDataFrame(_fit_rows(rows, fitted_inner), FIT_SCHEMA)
-    chosen = comparison.best_lambda(inner_table, ["outer_grp", "method", "scaling"])
-    picks = {(r["outer_grp"], r["method"], r["scaling"]): r["lambda"] for r in chosen.collect()}
-
-    def outer_fit(r: Representation):
-        if any((r.fold.outer, r.method, s) not in picks for s in SCALINGS):
-            raise CheckFailed(f"no penalty converged in every inner fit of {r.fold.outer} {r.method}")
-        wanted = [(s, picks[r.fold.outer, r.method, s]) for s in SCALINGS]
-        return r, wanted, _fit(rows, r, classes, wanted)
-
-    fitted_outer = probe.together(
-        spark, [lambda r=r: outer_fit(r) for r in reps if r.fold.inner is None], parallelism)
-    if not all(m.converged for _, _, models in fitted_outer for m in models):
-        raise CheckFailed("an outer probe did not converge")
-    outer_table = spark.createDataFrame(_fit_rows(rows, fitted_outer), FIT_SCHEMA)
-    predictions = materialize(predict_folds(
-        rows, [(r, list(zip([s for s, _ in wanted], models))) for r, wanted, models in fitted_outer]
-    ), "predictions")
-    matches = _stability(rows, folds, fits, seeds, parallelism)
+    stored = with_codes(_task_rows(rows, classes), reps)
+    kept = probe.persisted(stored)
+    try:
+        grid = [(s, lam) for s in SCALINGS for lam in lambdas]
+        inner = _fit_all(kept, [(r, grid) for r in reps if r.fold.inner is not None], classes)
+        inner_table = spark.createDataFrame(_fit_rows(kept, inner), FIT_SCHEMA)
+        chosen = comparison.best_lambda(inner_table, ["outer_grp", "method", "scaling"])
+        picks = {(r["outer_grp"], r["method"], r["scaling"]): r["lambda"] for r in chosen.collect()}
+        outer_reps = [r for r in reps if r.fold.inner is None]
+        missing = [(r.fold.outer, r.method, s) for r in outer_reps for s in SCALINGS if (r.fold.outer, r.method, s) not in picks]
+        if missing:
+            raise CheckFailed(f"no penalty converged in every inner fit of {missing[:5]}")
+        outer = _fit_all(kept, [(r, [(s, picks[r.fold.outer, r.method, s]) for s in SCALINGS]) for r in outer_reps], classes)
+        if not all(m.converged for _, _, models in outer for m in models):
+            raise CheckFailed("an outer probe did not converge")
+        outer_table = spark.createDataFrame(_fit_rows(kept, outer), FIT_SCHEMA)
+        predictions = materialize(predict_folds(
+            kept, [(r, list(zip([s for s, _ in wanted], models))) for r, wanted, models in outer]
+        ), "predictions")
+    finally:
+        kept.unpersist()
+    matches = materialize(_stability(stored, reps), "matches")
     return {
         "inner": inner_table,
         "chosen": chosen,
@@ -309,7 +385,7 @@ def nested_study(rows: DataFrame, seeds: Sequence[int] = (0, 1, 2), n_atoms: int
         "diagnostics": spark.createDataFrame(certificates),
         "matches": matches,
         "stability": atoms.stability(matches, ["grp", "seed_a", "seed_b"]),
-        "cohort": rows.select("entity_id", "label", "grp"),
+        "cohort": stored.select("entity_id", "label", "grp"),
     }
 
 

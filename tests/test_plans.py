@@ -1,8 +1,11 @@
+from itertools import permutations
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from probeloom.operators import split
+from probeloom.functions.arrow import dense_vector
+from probeloom.operators import atoms, split
 from probeloom.operators.checks import CheckFailed
 from probeloom.operators.dictionary import Setting
 from probeloom.operators.probe import classes_of
@@ -129,10 +132,10 @@ def test_nested_study(spark, variance_top):
         rows.append((f"e{i:02d}", LABELS[y], f"g{i % 4}", [float(v) for v in rng.normal(size=6) + y * np.arange(6) * 0.4],
                      [float(v) for v in rng.normal(size=3) + y]))
     df = spark.createDataFrame(rows, "entity_id string, label string, grp string, vec array<double>, emb array<double>").cache()
-    found = study.nested_study(df, seeds=(0, 1), n_atoms=3, alpha=0.2, epochs=2, lambdas=(1e-2,), batches=2,
-                               variance_top=variance_top, parallelism=4)
-    assert found["inner"].count() == 4 * 3 * 4 * 2 and found["outer"].count() == 4 * 4 * 2
-    assert found["matches"].count() == 4 * 3 and found["diagnostics"].count() == (4 * 3 + 4) * 2
+    found = study.nested_study(df, seeds=(0, 1, 2), n_atoms=3, alpha=0.2, epochs=2, lambdas=(1e-2,), batches=2,
+                               variance_top=variance_top)
+    assert found["inner"].count() == 4 * 3 * 5 * 2 and found["outer"].count() == 4 * 5 * 2
+    assert found["matches"].count() == 4 * 3 * 3 and found["diagnostics"].count() == (4 * 3 + 4) * 3
     audit = study.audit_study(found, classes_of(df)).first()
     assert audit["status"] == "PASS" and audit["n_groups"] == 4 and audit["max_coding_kkt_residual"] < 1e-6
     tables = study.summarize_study(found)
@@ -152,3 +155,112 @@ def test_selected_activity(spark):
                                 "atom int, sign string, rank int, feature string")
     row = reports.selected_activity(activity, top, [(1, "x")]).first()
     assert (row["features"], row["train"], row["validation"]) == ("g1, g2", "0.500", "0.250")
+
+
+def counted(spark):
+    """Eight entities of each of two classes in each of four groups, and their counts."""
+    rng = np.random.default_rng(6)
+    entities, counts, dense = [], [], {}
+    for i in range(64):
+        y, g = (i // 4) % 2, i % 4
+        rate = np.where(np.arange(14) // 5 == y, 3.0, 0.7)
+        rate[13] = 5.0 if g == 0 else 0.0            # a feature that only one group has
+        row = rng.poisson(rate)
+        row[12] = 1
+        entities.append((f"e{i:02d}", LABELS[y], f"g{g}", [float(rng.normal() + y)] * 2))
+        dense[f"e{i:02d}"] = row
+        counts += [(f"e{i:02d}", f"f{j:02d}", int(c)) for j, c in enumerate(row) if c]
+    e = spark.createDataFrame(entities, "entity_id string, label string, grp string, emb array<double>")
+    return e, spark.createDataFrame(counts, "entity_id string, feature_id string, cnt long").repartition(3), entities, dense
+
+
+@pytest.mark.parametrize("policy", ["variance", "panel"])
+def test_folds_from_counts_see_only_their_training_groups(spark, policy):
+    e, c, entities, dense = counted(spark)
+    panel = spark.createDataFrame([("f13", 0), ("f03", 1), ("nowhere", 2), ("f12", 3)], "feature_id string, out_pos int") if policy == "panel" else None
+    inputs = study.from_counts(c, e, policy, 5, panel)
+    assert [(f.outer, f.inner) for f in inputs.folds] == [(o, i) for o in ("g0", "g1", "g2", "g3") for i in [*[g for g in ("g0", "g1", "g2", "g3") if g != o], None]]
+    stored = {r["entity_id"]: dense_vector(r["vec"]) for r in inputs.rows.collect()}
+    assert set(stored) == set(dense)
+    logs = {k: np.log1p(v * 1e4 / v.sum()) for k, v in dense.items()}
+    for f in inputs.folds:
+        train = np.array([logs[i] for i, _, g, _ in entities if g not in f.excluded])
+        assert f.n_train == len(train)
+        if policy == "panel":
+            names = [13, 3, None, 12]
+        else:
+            v = train.var(axis=0)
+            names = sorted(sorted((j for j in range(14) if v[j] > 1e-12), key=lambda j: (-v[j], j))[:5])
+        for k, j in enumerate(names):
+            x = train[:, j] if j is not None else np.zeros(len(train))
+            assert f.mean[k] == pytest.approx(x.mean(), abs=1e-12)
+            assert f.scale[k] == pytest.approx(x.std() if x.std() > 1e-9 else 1.0, abs=1e-7)
+            got = np.array([stored[i][f.columns[k]] for i, *_ in entities])
+            np.testing.assert_allclose(got, [logs[i][j] if j is not None else 0.0 for i, *_ in entities], atol=1e-12)
+        if "g0" in f.excluded and policy == "variance":
+            assert 13 not in names                     # its variance lies outside what the fold may see
+
+
+@pytest.mark.parametrize("policy", ["variance", "panel"])
+def test_study_from_counts(spark, policy):
+    e, c, _, _ = counted(spark)
+    panel = spark.createDataFrame([(f"f{j:02d}", j) for j in range(12)], "feature_id string, out_pos int") if policy == "panel" else None
+    found = study.nested_study(study.from_counts(c, e, policy, 8, panel), n_atoms=3, alpha=0.5, epochs=2, lambdas=(1e-2, 1e-1), batches=2)
+    audit = study.audit_study(found, ["a", "b"]).first()
+    assert audit["status"] == "PASS" and audit["inner_fits"] == 12 * 5 * 2 * 2 and audit["verified_outer_fits"] == 4 * 5 * 2
+    best = {r["method"]: r["macro_f1_mean"] for r in study.summarize_study(found)["summary"].filter("scaling = 'standard'").collect()}
+    assert best["expression"] > 0.8
+    # The same folds from dense vectors give the same probes.
+    inputs = study.from_counts(c, e, policy, 8, panel)
+    dense = inputs.rows.toPandas()
+    dense["vec"] = [dense_vector(v) for v in dense["vec"]]
+    again = study.Inputs(spark.createDataFrame(dense[["entity_id", "label", "grp", "emb", "vec"]]), inputs.folds)
+    twice = study.nested_study(again, n_atoms=3, alpha=0.5, epochs=2, lambdas=(1e-2, 1e-1), batches=2)
+    keys = ["grp", "method", "seed", "scaling"]
+    one, two = ({tuple(r[k] for k in keys): (r["lambda"], r["macro_f1"], r["log_loss"]) for r in t["outer"].collect()} for t in (found, twice))
+    assert set(one) == set(two)
+    for k, v in one.items():
+        assert two[k] == pytest.approx(v, abs=1e-6)
+
+
+def test_study_settings_are_checked(spark):
+    e, c, _, _ = counted(spark)
+    with pytest.raises(ValueError):
+        study.from_counts(c, e, "panel")
+    with pytest.raises(ValueError):
+        study.from_counts(c, e.filter("grp <> 'g0'"))
+    inputs = study.from_counts(c, e, n_features=3)
+    with pytest.raises(ValueError):
+        study.nested_study(inputs, seeds=(0, 1))
+    with pytest.raises(CheckFailed):
+        study.nested_study(study.Inputs(inputs.rows.filter("NOT (grp = 'g1' AND label = 'a')"), inputs.folds), n_atoms=2, epochs=1)
+
+
+def test_seed_pairs_are_matched_from_one_scan(spark):
+    rng = np.random.default_rng(3)
+    rows = [(f"k{i % 2}", [float(v) for v in rng.normal(size=9)]) for i in range(50)]
+    rows = [(k, z[:8] + [0.0]) for k, z in rows]                   # a code that is always zero
+    df = spark.createDataFrame(rows, "key string, z array<double>").repartition(4)
+    dicts = {(f"k{k}", s): rng.normal(size=(3, 25)) for k in range(2) for s in (4, 5, 6)}
+    found = atoms.match_seeds(df, dicts)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    table = {}
+    for r in found.collect():
+        table.setdefault((r["grp"], r["seed_a"], r["seed_b"]), []).append(r)
+    assert set(table) == {(f"k{k}", a, b) for k in range(2) for a, b in ((4, 5), (4, 6), (5, 6))}
+    for (key, a, b), got in table.items():
+        da, db = dicts[key, a], dicts[key, b]
+        z = np.array([z for k, z in rows if k == key])
+        za, zb = z[:, 3 * (a - 4):3 * (a - 3)], z[:, 3 * (b - 4):3 * (b - 3)]
+        cos = da @ db.T / np.linalg.norm(da, axis=1)[:, None] / np.linalg.norm(db, axis=1)
+        best = max(permutations(range(3)), key=lambda p: sum(abs(cos[i, p[i]]) for i in range(3)))
+        for r in got:
+            i, j = r["atom_a"] - 1, r["atom_b"] - 1
+            assert best[i] == j and r["abs_cosine"] == pytest.approx(abs(cos[i, j])) and r["sign"] == np.sign(cos[i, j])
+            tops = [set(np.argsort(np.abs(w), kind="stable")[-20:]) for w in (da[i], db[j])]
+            assert r["top_feature_jaccard"] == pytest.approx(len(tops[0] & tops[1]) / len(tops[0] | tops[1]))
+            if za[:, i].std() < 1e-12 or zb[:, j].std() < 1e-12:
+                assert r["code_correlation"] is None
+            else:
+                assert r["code_correlation"] == pytest.approx(r["sign"] * np.corrcoef(za[:, i], zb[:, j])[0, 1], abs=1e-9)

@@ -179,3 +179,21 @@ def test_initial_atoms_follow_the_hash_order(vectors):
     np.testing.assert_allclose(plain, want / np.linalg.norm(want, axis=1, keepdims=True))
     want = (X[[i for i in order if i % 4 != 2][:4]] - mean) / scale
     np.testing.assert_allclose(scaled, want / np.linalg.norm(want, axis=1, keepdims=True))
+
+
+def test_nearly_repeated_atoms_settle():
+    """Atoms that all but coincide: coordinate descent creeps, the codes must be optimal all the same."""
+    rng = np.random.default_rng(4)
+    base = rng.normal(size=(5, 30))
+    for noise in (1e-1, 1e-3, 1e-5, 0.0):
+        d = np.vstack([base, base + noise * rng.normal(size=base.shape), base + noise * rng.normal(size=base.shape)])
+        d /= np.linalg.norm(d, axis=1, keepdims=True)
+        x = rng.normal(size=(40, 30)) * 5
+        for alpha in (0.1, 2.0):
+            z = coding.lasso_rows(x, d, alpha)
+            assert coding.kkt_rows(x, z, d, alpha).max() <= 1e-6
+            plain = coding.lasso_rows(x, base / np.linalg.norm(base, axis=1, keepdims=True), alpha)
+            cost = lambda z, d: 0.5 * ((x - z @ d) ** 2).sum() + alpha * np.abs(z).sum()
+            assert cost(z, d) <= cost(plain, d[:5]) + 1e-6
+            row = coding.active_set_row(d @ d.T, d @ x[0], alpha, np.zeros(15), 1e-9)
+            assert coding.kkt_rows(x[:1], row[None], d, alpha).max() <= 1e-6

@@ -88,6 +88,29 @@ def lasso_rows(x: np.ndarray, d: np.ndarray, alpha: float, max_sweeps: int = MAX
     return codes
 
 
+def lasso_many(b: np.ndarray, grams: np.ndarray, owner: np.ndarray, alpha: np.ndarray, tol: float) -> np.ndarray:
+    """Codes of rows under several dictionaries of one size, all in the same sweeps.
+
+    ``b``: products of each row with the atoms of its dictionary ``owner``; ``grams``
+    and ``alpha`` by dictionary. Without :func:`lasso_rows`' guarantee: it ends after
+    PATIENT_SWEEPS, which serves the steps of a fit, whose codes are used once.
+    """
+    codes = np.zeros_like(b)
+    live = np.flatnonzero(np.abs(b).max(axis=1) > alpha[owner])
+    for _ in range(PATIENT_SWEEPS):
+        if not len(live):
+            break
+        z, t, own, a = codes[live], b[live], owner[live], alpha[owner[live]]
+        start = z.copy()
+        for k in range(b.shape[1]):
+            size = grams[own, k, k]
+            u = t[:, k] - np.einsum("ij,ij->i", z, grams[:, k][own]) + z[:, k] * size
+            z[:, k] = np.where(size > 0, np.sign(u) * np.maximum(np.abs(u) - a, 0.0) / np.where(size > 0, size, 1.0), z[:, k])
+        codes[live] = z
+        live = live[np.abs(z - start).max(axis=1) > tol * np.maximum(1.0, np.abs(z).max(axis=1))]
+    return codes
+
+
 def encoder(d: np.ndarray, alpha: float):
     """Column function vec -> code, run on Arrow batches."""
 

@@ -23,12 +23,14 @@ from pyspark.sql import functions as F
 from probeloom.functions import vectors as V
 from probeloom.functions.arrow import dense_vector, small_batches, stored_vector, to_lists, to_matrix
 from probeloom.functions.scalars import order_key
-from probeloom.operators.coding import kkt_rows, lasso_rows
-from probeloom.session import bounded_rows, materialize
+from probeloom.operators.coding import kkt_rows, lasso_many, lasso_rows
+from probeloom.session import bounded_rows, bounded_sums, materialize
 
 MAX_ATOMS = 4096
 CHANGE_TOLERANCE = 1e-3
 PATIENCE = 10
+# Codes of a step are used once, for its sums; those of certificates are exact.
+STEP_TOLERANCE = 1e-4
 
 
 @dataclass
@@ -92,8 +94,27 @@ def initial_atoms(vectors: DataFrame, settings: Sequence[Setting]) -> list[np.nd
     return [out[i] for i in range(len(settings))]
 
 
+def _exact_codes(models: Sequence[tuple[Setting, np.ndarray]], inputs: Sequence[np.ndarray]) -> list[np.ndarray]:
+    return [lasso_rows(x, d, setting.alpha) if len(x) else np.zeros((0, len(d))) for (setting, d), x in zip(models, inputs)]
+
+
+def _quick_codes(models: Sequence[tuple[Setting, np.ndarray]], inputs: Sequence[np.ndarray]) -> list[np.ndarray]:
+    """Codes for one step: dictionaries of one size are swept together."""
+    out: list[np.ndarray] = [None] * len(models)
+    for k in {len(d) for _, d in models}:
+        own = [i for i, (_, d) in enumerate(models) if len(d) == k]
+        grams = np.array([models[i][1] @ models[i][1].T for i in own])
+        owner = np.repeat(np.arange(len(own)), [len(inputs[i]) for i in own])
+        b = np.vstack([inputs[i] @ models[i][1].T if len(inputs[i]) else np.zeros((0, k)) for i in own])
+        z = lasso_many(b, grams, owner, np.array([models[i][0].alpha for i in own]), STEP_TOLERANCE)
+        for i, part in zip(own, np.split(z, np.cumsum([len(inputs[i]) for i in own])[:-1])):
+            out[i] = part
+    return out
+
+
 def _sums(models: Sequence[tuple[Setting, np.ndarray]], certify: bool):
-    """Task function: partial Z'Z | Z'X | scalars per (dictionary, atom), and the largest residual."""
+    """Task function: partial Z'Z | Z'X | scalars per atom, atoms numbered through the models, and the largest residual."""
+    starts = np.cumsum([0, *(len(d) for _, d in models)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
@@ -101,12 +122,14 @@ def _sums(models: Sequence[tuple[Setting, np.ndarray]], certify: bool):
         for batch in small_batches(batches):
             stored = to_matrix(batch.column("vec"))
             grp = np.array(batch.column("grp").to_pylist(), dtype=object)
-            for i, (setting, d) in enumerate(models):
+            inputs = []
+            for setting, _ in models:
                 keep = ~np.isin(grp, setting.excluded) if setting.excluded else slice(None)
-                x = setting.rows(stored[keep])
+                inputs.append(setting.rows(stored[keep]))
+            codes = _exact_codes(models, inputs) if certify else _quick_codes(models, inputs)
+            for i, ((setting, d), x, z) in enumerate(zip(models, inputs, codes)):
                 if not len(x):
                     continue
-                z = lasso_rows(x, d, setting.alpha)
                 rest = x - z @ d
                 scalars = np.zeros((len(d), 5))
                 scalars[0] = [
@@ -119,11 +142,8 @@ def _sums(models: Sequence[tuple[Setting, np.ndarray]], certify: bool):
                 totals[i] = part if i not in totals else totals[i] + part
         for i, part in totals.items():
             k = len(part)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.full(k, i, np.int32)), pa.array(np.arange(k, dtype=np.int32)), to_lists(part),
-                 pa.array(np.full(k, worst[i]))],
-                names=["model", "atom", "v", "kkt"],
-            )
+            keys = np.arange(starts[i], starts[i] + k, dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), to_lists(part), pa.array(np.full(k, worst[i]))], names=["key", "v", "kkt"])
 
     return run
 
@@ -132,21 +152,21 @@ def sufficient_sums(rows: DataFrame, models: Sequence[tuple[Setting, np.ndarray]
                     certify: bool = False) -> list[dict | None]:
     """Z'Z, Z'X and totals over ``rows`` (vec, grp), for every dictionary in one scan."""
     partial = rows.select(stored_vector(rows).alias("vec"), F.col("grp").cast("string").alias("grp"))
-    partial = partial.mapInArrow(_sums(models, certify), "model int, atom int, v array<double>, kkt double")
-    merged = partial.groupBy("model", "atom").agg(
+    partial = partial.mapInArrow(_sums(models, certify), "key int, v array<double>, kkt double")
+    merged = partial.groupBy("key").agg(
         vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"), F.max("kkt").alias("kkt")
-    )
-    out: list[dict | None] = [None] * len(models)
-    grouped: dict[int, list] = {}
-    for r in bounded_rows(merged, MAX_ATOMS * max(len(models), 1), "dictionary sums"):
-        grouped.setdefault(r["model"], []).append((r["atom"], r["v"], r["kkt"]))
-    for i, parts in grouped.items():
-        parts.sort(key=lambda part: part[0])
-        m = np.array([v for _, v, _ in parts])
-        k, p = len(m), m.shape[1] - len(m) - 5
-        n, objective, rss, xss, active = m[0, k + p:]
-        out[i] = dict(zz=m[:, :k], zx=m[:, k:k + p], n=n, objective=objective, rss=rss, xss=xss, active=active,
-                      kkt=max(worst for _, _, worst in parts))
+    ).select("key", F.concat("v", F.array("kkt")).alias("v"))
+    starts = np.cumsum([0, *(len(d) for _, d in models)])
+    found = bounded_sums(merged, int(starts[-1]), "dictionary sums")
+    out: list[dict | None] = []
+    for i, (_, d) in enumerate(models):
+        if int(starts[i]) not in found:
+            out.append(None)
+            continue
+        m = np.array([found[int(starts[i]) + j] for j in range(len(d))])
+        k, p = len(m), m.shape[1] - len(m) - 6
+        n, objective, rss, xss, active = m[0, k + p:-1]
+        out.append(dict(zz=m[:, :k], zx=m[:, k:k + p], n=n, objective=objective, rss=rss, xss=xss, active=active, kkt=float(m[:, -1].max())))
     return out
 
 

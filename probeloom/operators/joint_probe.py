@@ -11,6 +11,8 @@ is (h Cov + lambda)^-1 per class, with h = mean p(1-p) from the scan before and
 covariance of the view from one scan at the start (its diagonal for wide inputs).
 Each fit has a line search of its own: a fit whose trial point is too high halves its
 step in the next scan while the others go on. Fits leave when their gradient is small.
+A narrow fit that is still open after some steps also asks for its Hessian and goes
+on by Newton steps; so many take turns that a scan never returns more than a bound.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ from probeloom.functions.arrow import small_batches, to_lists, to_matrix
 from probeloom.functions.scalars import VARIANCE_FLOOR
 from probeloom.operators.checks import CheckFailed
 from probeloom.operators.probe import CELL_SCHEMA, Probe, add_cells, cell_batch
-from probeloom.session import bounded_rows
+from probeloom.session import bounded_sums
 
 GRADIENT_TOLERANCE = 1e-5
 MAX_STEPS = 5000
@@ -38,6 +40,9 @@ MEMORY = 10
 # Inputs up to this width get a full covariance as the first guess.
 FULL_WIDTH = 512
 ARMIJO = 1e-4
+# Steps after which a fit of at most so many parameters asks for its Hessian, and the
+# doubles of Hessians that one scan returns.
+NEWTON_AFTER, NEWTON_WIDTH, HESSIAN_DOUBLES = 25, 1024, 8_000_000
 SUMS = "key int, v array<double>"
 
 
@@ -110,7 +115,7 @@ class Fit:
         w = x[:, :-1] / self.sd
         return np.hstack([w, x[:, -1:] - w @ self.m.mean[:, None]])
 
-    def learn(self, sums: np.ndarray) -> None:
+    def learn(self, sums: np.ndarray, hessian: np.ndarray | None = None) -> None:
         """Take the sums of the trial point: gradient, intercept gradient, loss and p(1-p) per free class."""
         g, g0, loss, h = sums[:, :-3], sums[:, -3:-2], sums[0, -2], sums[:, -1]
         n, lam, w = self.m.n, self.wanted.lam, self.trial[:, :-1]
@@ -132,7 +137,7 @@ class Fit:
                 self.pairs = [*self.pairs[1 - MEMORY:], (s, y)]
             self.x, self.f, self.g, self.h = self.trial, f, g, h / n
         self.steps += 1
-        self.direction = -self.inverse(self.g)
+        self.direction = -self.inverse(self.g) if hessian is None else -self.newton(hessian)
         if float((self.direction * self.g).sum()) >= 0:
             self.pairs, self.direction = [], -self.guess(self.g)
         self.step = 1.0
@@ -160,6 +165,17 @@ class Fit:
             d = d + s * (a - float((y * d).sum()) / float((s * y).sum()))
         return d
 
+    @property
+    def narrow(self) -> bool:
+        return self.steps >= NEWTON_AFTER and self.x.size <= NEWTON_WIDTH
+
+    def newton(self, hessian: np.ndarray) -> np.ndarray:
+        """Penalized Newton step; a trace of ridge fixes the shift that all classes may share."""
+        h = hessian / self.m.n
+        penalty = np.tile(np.append(np.full(self.x.shape[1] - 1, self.wanted.lam), 0.0), len(self.x))
+        h[np.diag_indices_from(h)] += penalty + 1e-12 * np.trace(h)
+        return np.linalg.solve(h, self.g.ravel()).reshape(self.x.shape)
+
     @property
     def gradient(self) -> float:
         return float(np.abs(self.g).max())
@@ -175,7 +191,7 @@ class Fit:
 def summed(rows: DataFrame, run, keys: int) -> dict[int, np.ndarray]:
     """Sums of the arrays that the tasks return, by key; of model size."""
     out = rows.mapInArrow(run, SUMS).groupBy("key").agg(vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
-    return {r["key"]: np.array(r["v"]) for r in bounded_rows(out, keys, "sums of fits")}
+    return bounded_sums(out, keys, "sums of fits")
 
 
 def view_moments(rows: DataFrame, views: Sequence[View], open_: Callable = lambda batch: batch) -> list[Moments]:
@@ -211,16 +227,38 @@ def view_moments(rows: DataFrame, views: Sequence[View], open_: Callable = lambd
     return out
 
 
+def curvature(p: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Hessian of the summed cross-entropy: p are the free classes' probabilities, x the fitted coordinates."""
+    x = np.hstack([x, np.ones((len(x), 1))])
+    free, q = p.shape[1], x.shape[1]
+    out = np.empty((free, q, free, q))
+    for c in range(free):
+        for e in range(c, free):
+            block = x.T @ (x * ((p[:, c] * ((c == e) - p[:, e]))[:, None]))
+            out[c, :, e, :], out[e, :, c, :] = block, block
+    return out.reshape(free * q, free * q)
+
+
 def evaluate(rows: DataFrame, views: Sequence[View], fits: Sequence[Fit], todo: Sequence[int], classes: int, open_: Callable) -> None:
-    """One scan: every fit in ``todo`` learns loss and gradient of its trial point."""
+    """One scan: every fit in ``todo`` learns loss and gradient of its trial point, and the Hessian if it asks."""
     free = 1 if classes == 2 else classes
     by_view: dict[int, list[int]] = {}
     for i in todo:
         by_view.setdefault(fits[i].wanted.view, []).append(i)
     weights = {v: np.vstack([fits[i].plain(fits[i].trial) for i in own]) for v, own in by_view.items()}
+    asked, room = {}, HESSIAN_DOUBLES
+    for i in sorted(todo, key=lambda i: fits[i].steps):
+        if fits[i].narrow and fits[i].x.size ** 2 <= room:
+            room -= fits[i].x.size ** 2
+            asked[i] = fits[i].m.mean, fits[i].sd
+    # Keys below are gradient rows; each asking fit has its Hessian's rows after them.
+    begin, at = {}, len(fits) * free
+    for i in asked:
+        begin[i], at = at, at + fits[i].x.size
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         totals: dict[int, np.ndarray] = {}
+        bent: dict[int, np.ndarray] = {}
         for batch in small_batches(batches):
             y_all, opened = batch.column("y").to_numpy(zero_copy_only=False), open_(batch)
             for v, w in weights.items():
@@ -238,6 +276,10 @@ def evaluate(rows: DataFrame, views: Sequence[View], fits: Sequence[Fit], todo:
                 loss = (np.log(size) - own).sum(axis=0)
                 s /= size[:, :, None]
                 spread = (s * (1 - s)).sum(axis=0)
+                for j, i in enumerate(by_view[v]):
+                    if i in asked:
+                        part = curvature(s[:, j, classes - free:], (x - asked[i][0]) / asked[i][1])
+                        bent[i] = part if i not in bent else bent[i] + part
                 s[np.arange(n), :, y] -= 1
                 r = s[:, :, classes - free:].reshape(n, k * free)
                 part = np.hstack([r.T @ x, r.sum(axis=0)[:, None], np.repeat(loss, free)[:, None],
@@ -246,10 +288,13 @@ def evaluate(rows: DataFrame, views: Sequence[View], fits: Sequence[Fit], todo:
         for v, part in totals.items():
             keys = np.array([i * free + c for i in by_view[v] for c in range(free)], np.int32)
             yield pa.RecordBatch.from_arrays([pa.array(keys), to_lists(part)], names=["key", "v"])
+        for i, part in bent.items():
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(begin[i], begin[i] + len(part), dtype=np.int32)), to_lists(part)], names=["key", "v"])
 
-    found = summed(rows, run, len(fits) * free)
+    found = summed(rows, run, at)
     for i in todo:
-        fits[i].learn(np.array([found[i * free + c] for c in range(free)]))
+        hessian = np.array([found[begin[i] + k] for k in range(fits[i].x.size)]) if i in asked else None
+        fits[i].learn(np.array([found[i * free + c] for c in range(free)]), hessian)
 
 
 def fit_together(rows: DataFrame, views: Sequence[View], wanted: Sequence[Wanted], classes: Sequence[str],

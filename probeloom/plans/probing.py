@@ -102,6 +102,10 @@ SEARCH_SCHEMA = (
 )
 
 
+# Fixed value: the largest gradient coordinate at which a fit of the search counts as converged.
+SEARCH_TOLERANCE = 1e-4
+
+
 def _part(part: int) -> View:
     """Rows of one representation among the stacked ones."""
 
@@ -144,7 +148,7 @@ def search_c(inputs: dict[str, DataFrame], coarse: Sequence[float] = COARSE_C, f
         def stage(kind: str, values: dict[int, Sequence[float]]) -> list[tuple]:
             wanted = [Wanted(i, 1.0 / (about[i]["n"] * c)) for i, cs in values.items() for c in cs]
             penalties = [c for cs in values.values() for c in cs]
-            models = fit_together(train, views, wanted, classes)
+            models = fit_together(train, views, wanted, classes, SEARCH_TOLERANCE)
             cells = score_together(held, views, [(w.view, m) for w, m in zip(wanted, models)])
             found = {r["model"]: r for r in metrics.scalar_metrics(cells, ["model"]).collect()}
             return [

@@ -6,6 +6,7 @@ import re
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -78,6 +79,18 @@ def settle(df: DataFrame, max_rows: int = SMALL_ROWS, name: str = "small") -> Da
     return materialize(df, name)
 
 
+def bounded_sums(df: DataFrame, max_rows: int, what: str) -> dict[int, np.ndarray]:
+    """Arrays by key of a table (key, v) whose size is limited by the model, fetched as Arrow."""
+    found = df.select("key", "v").limit(max_rows + 1).toArrow()
+    if found.num_rows > max_rows:
+        raise ValueError(f"{what}: more than {max_rows} rows")
+    if not found.num_rows:
+        return {}
+    v = found["v"].combine_chunks()
+    flat, ends = v.flatten().to_numpy(), v.offsets.to_numpy()
+    return {k: flat[a - ends[0]:b - ends[0]] for k, a, b in zip(found["key"].to_pylist(), ends, ends[1:])}
+
+
 def bounded_rows(df: DataFrame, max_rows: int, what: str) -> list:
     """Rows of a table whose size is limited by the model, not by the data."""
     rows = df.limit(max_rows + 1).collect()

@@ -98,7 +98,7 @@ def test_failures_are_reported(rows):
 
 
 def test_scores_of_a_view(rows):
-    models = [probe.Probe(["a", "b", "c"], RNG.normal(size=(3, P)), RNG.normal(size=3), 1.0, 0, True) for _ in range(3)]
+    models = [probe.Probe(["a", "b", "c"], RNG.normal(size=(3, P)) * 0.02, RNG.normal(size=3), 1.0, 0, True) for _ in range(3)]
     cells = joint_probe.score_together(rows, [View(whole), without(1)], [(0, models[0]), (1, models[1]), (1, models[2])]).collect()
     for i, keep in ((0, np.arange(N)), (1, np.flatnonzero(GRP != 1)), (2, np.flatnonzero(GRP != 1))):
         p = probe.probabilities(models[i], X[keep])

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeloom.functions.scalars import SPLITS
+from probeloom.functions.scalars import SPLITS, merged_object, text_of
 from probeloom.operators import checks, features, groups, panels, split
 from probeloom.operators.ranking import rank_rows
 from probeloom.plans import reports
@@ -150,6 +150,23 @@ def overlap_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return one.unionByName(two)
 
 
+def overlap_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxic against other labelled documents by id, source, language and group, in one pass."""
+    docs = T.table(spark, sf_dir, "documents").select("doc_id", "source", "lang", (F.col("doc_id") % 4).alias("grp"))
+    marked = docs.join(T.table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    return checks.key_overlap(marked.filter("toxic = 1"), marked.filter("toxic = 0"), ["doc_id", "source", "lang", "grp"])
+
+
+def report_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and labels of a document as one JSON object each, merged; the labels' text passes through bytes."""
+    docs = T.table(spark, sf_dir, "documents").select(
+        "doc_id", F.to_json(F.struct("lang", F.col("n_chars").alias("n"), F.lit("draft").alias("status"))).alias("a"))
+    labels = T.table(spark, sf_dir, "labels").select(
+        F.col("doc_id").alias("l_id"), F.to_json(F.struct(F.struct("quality", "toxic").alias("marks"), F.lit("final").alias("status"))).alias("b"))
+    both = docs.join(labels, F.col("doc_id") == F.col("l_id"), "left")
+    return both.select("doc_id", merged_object(F.col("a"), text_of(F.encode("b", "UTF-8"))).alias("report"), F.col("b").isNotNull().alias("labelled"))
+
+
 def entity_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Repeated IDs when conversation turns are read as entities."""
     turns = T.table(spark, sf_dir, "conversations").select(
@@ -357,6 +374,8 @@ QUERIES = {
     "partition_violations": partition_violations,
     "membership_diff": membership_diff,
     "overlap_audit": overlap_audit,
+    "overlap_keys": overlap_keys,
+    "report_merge": report_merge,
     "entity_checks": entity_checks,
     "exclusion_checks": exclusion_checks,
     "id_quality": id_quality,

@@ -167,6 +167,18 @@ SQL = {
         FROM documents d FULL JOIN labels l ON d.doc_id = l.doc_id WHERE d.doc_id IS NULL OR l.doc_id IS NULL""",
     "overlap_audit": MEMBERSHIP.format(pair="documents/labels", key="doc_id", table="labels") + " UNION ALL "
         + MEMBERSHIP.format(pair="documents/embeddings", key="vec_id", table="embeddings"),
+    "overlap_keys": """WITH m AS (SELECT toxic, unnest([
+            {'key': 'doc_id', 'value': CAST(d.doc_id AS VARCHAR)}, {'key': 'source', 'value': source},
+            {'key': 'lang', 'value': lang}, {'key': 'grp', 'value': CAST(d.doc_id % 4 AS VARCHAR)}], recursive := true)
+          FROM documents d JOIN labels l USING (doc_id) WHERE toxic IN (0, 1)),
+        c AS (SELECT key, value, count(*) FILTER (WHERE toxic = 1) AS a, count(*) FILTER (WHERE toxic = 0) AS b FROM m GROUP BY ALL)
+        SELECT key, count(*) FILTER (WHERE a > 0 AND b > 0) AS n_shared, count(*) FILTER (WHERE b = 0) AS n_expected_only,
+               count(*) FILTER (WHERE a = 0) AS n_actual_only, CAST(coalesce(sum(a) FILTER (WHERE a > 0 AND b > 0), 0) AS BIGINT) AS expected_rows_shared,
+               CAST(coalesce(sum(b) FILTER (WHERE a > 0 AND b > 0), 0) AS BIGINT) AS actual_rows_shared FROM c GROUP BY key""",
+    "report_merge": """SELECT d.doc_id, l.doc_id IS NOT NULL AS labelled,
+               '{"lang":"' || lang || '"' || CASE WHEN l.doc_id IS NULL THEN '' ELSE ',"marks":{"quality":' || quality || ',"toxic":' || toxic || '}' END
+               || ',"n":' || n_chars || ',"status":"' || CASE WHEN l.doc_id IS NULL THEN 'draft' ELSE 'final' END || '"}' AS report
+        FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id""",
     "entity_checks": """WITH g AS (
           SELECT CAST(conv_id AS VARCHAR) AS key, count(*) AS n_rows,
                  count(*) FILTER (WHERE conv_id IS NULL OR coalesce(trim(role), '') = '' OR coalesce(trim(text), '') = '') AS b

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from probeloom.catalog import cohort_queries
 from probeloom.catalog import vector_queries as Q
 from probeloom.catalog.vector_sql import VECTOR_SPLIT
-from probeloom.operators import checks, coding, dictionary, metrics, probe
+from probeloom.functions.arrow import to_matrix
+from probeloom.functions.scalars import COARSE_C
+from probeloom.operators import checks, coding, dictionary, joint_probe, metrics, panels, probe
 from probeloom.plans import lineage, probing, study
 from probeloom.sources import digests
 from probeloom.sources import tables as T
@@ -53,26 +57,56 @@ def c_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return probing.search_c({"embedding": rows, "codes": codes})[1]
 
 
+CERTIFIED = 1e-7
+
+
+def probe_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Optimality of probes over all classes and coordinates, for every penalty of the coarse search.
+
+    All fits share their scans. At the optimum of a fit the mean predicted probability of
+    a class is its share of the training rows, and the penalized gradient vanishes.
+    """
+    rows = Q.vector_split(spark, sf_dir).filter("split = 'train'")
+    d, alpha = Q.dictionary(spark, sf_dir, Q.FIRST)
+    number = (F.array_position(metrics.class_list(Q.CLASSES), F.col("label")) - 1).cast("int")
+    both = coding.encode(rows, d, alpha).select(number.alias("y"), F.col("vec").cast("array<double>").alias("embedding"), F.col("z").alias("codes"))
+    kept = probe.persisted(both)
+    names = ("embedding", "codes")
+    views = [joint_probe.View(lambda batch, name=name: (np.arange(batch.num_rows), to_matrix(batch.column(name)))) for name in names]
+    try:
+        n = kept.count()
+        wanted = [joint_probe.Wanted(v, 1.0 / (n * c)) for v in range(len(names)) for c in COARSE_C]
+        models = joint_probe.fit_together(kept, views, wanted, Q.CLASSES, tolerance=CERTIFIED, strict=True)
+        means = joint_probe.mean_probabilities(kept, views, [(w.view, m) for w, m in zip(wanted, models)])
+    finally:
+        kept.unpersist()
+    found = [(names[w.view], float(c), label, float(p), bool(m.gradient <= CERTIFIED))
+             for w, c, m, mean in zip(wanted, [c for _ in names for c in COARSE_C], models, means) for label, p in zip(Q.CLASSES, mean)]
+    table = spark.createDataFrame(found, "feature_set string, C double, label string, mean_probability double, gradient_vanishes boolean")
+    return table.withColumn("mean_probability", F.round("mean_probability", 4))
+
+
 SETTINGS = [
-    dictionary.Setting("k8_a0.1_s0", 8, 0.1, 0, epochs=10),
-    dictionary.Setting("k8_a0.1_s1", 8, 0.1, 1, epochs=10),
-    dictionary.Setting("k16_a0.1_s0", 16, 0.1, 0, epochs=10),
+    dictionary.Setting("k32_a0.1_s0", 32, 0.1, 0, epochs=10),
+    dictionary.Setting("k32_a0.1_s1", 32, 0.1, 1, epochs=10),
+    dictionary.Setting("k64_a0.1_s0", 64, 0.1, 0, epochs=10),
 ]
+BATCHES = 4
 
 
 def dictionary_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Certificates of three dictionaries fitted together on the embeddings."""
     rows = T.vector_entities(spark, sf_dir)
-    stored = dictionary.bucketed(rows, 2)
-    fits = dictionary.fit_dictionaries(rows, SETTINGS, 2, stored=stored)
+    stored = dictionary.bucketed(rows, BATCHES)
+    fits = dictionary.fit_dictionaries(rows, SETTINGS, BATCHES, stored=stored)
     return spark.createDataFrame(dictionary.diagnostics(stored, fits))
 
 
 def dictionary_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What must hold of every fitted dictionary, recomputed from its atoms: counts and violations."""
     rows = T.vector_entities(spark, sf_dir)
-    stored = dictionary.bucketed(rows, 2)
-    fits = dictionary.fit_dictionaries(rows, SETTINGS, 2, stored=stored)
+    stored = dictionary.bucketed(rows, BATCHES)
+    fits = dictionary.fit_dictionaries(rows, SETTINGS, BATCHES, stored=stored)
     long = checks.atom_violations(dictionary.atoms_table(spark, fits)).count()
     out = []
     for fit in fits:
@@ -88,25 +122,43 @@ def dictionary_certificates(spark: SparkSession, sf_dir: str) -> DataFrame:
     ))
 
 
+STUDIES: dict[tuple[str, str], dict[str, DataFrame]] = {}
+
+
+def document_study(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The nested study of all documents from their token counts, at its defaults, over the benchmark's vocabulary.
+
+    Its tables are stored, so the queries of one session that look at them share one run. The
+    vectors of the other table belong to other entities; there is no embedding method.
+    """
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in STUDIES:
+        counts = T.text_counts(spark, sf_dir).select("entity_id", "feature_id", "cnt", "total")
+        panel = panels.feature_positions(cohort_queries.vocabulary(spark, sf_dir, "benchmark")).select("feature_id", F.col("feature_pos").alias("out_pos"))
+        STUDIES[key] = study.nested_study(study.from_counts(counts, T.text_entities(spark, sf_dir), "panel", panel=panel))
+    return STUDIES[key]
+
+
+def languages(spark: SparkSession, sf_dir: str) -> list[str]:
+    return probe.classes_of(T.text_entities(spark, sf_dir))
+
+
 def study_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The audit row of the nested study: numbers of fits, and whether the residuals stay in their bounds."""
-    row = study.audit_study(small_study(spark, sf_dir), Q.CLASSES)
+    """The audit row of the nested study: numbers of fits and predictions, and whether the residuals stay in their bounds."""
+    found = document_study(spark, sf_dir)
+    row = study.audit_study(found, languages(spark, sf_dir))
     return row.select(
         "status", *[F.col(c).cast("long").alias(c) for c in ("verified_outer_fits", "inner_fits", "n_groups", "dictionary_fits")],
+        F.lit(found["predictions"].count()).alias("n_predictions"),
         (F.col("max_coding_kkt_residual") <= 1e-5).alias("codes_optimal"), (F.col("min_gram_eigenvalue") >= -1e-9).alias("gram_positive"),
     )
 
 
-def small_study(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    rows = T.vector_entities(spark, sf_dir).withColumn("emb", F.col("vec"))
-    return study.nested_study(rows, seeds=(0, 1), n_atoms=8, alpha=1.0, epochs=2, lambdas=(1e-3, 1e-1), batches=2)
-
-
 def nested_group_study(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-level summary of the nested study, after its audit."""
-    found = small_study(spark, sf_dir)
-    study.audit_study(found, Q.CLASSES).collect()
-    return study.summarize_study(found)["summary"]
+    found = document_study(spark, sf_dir)
+    study.audit_study(found, languages(spark, sf_dir)).collect()
+    return study.summarize_study(found, others=("dictionary",))["summary"]
 
 
 def stage_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -145,6 +197,7 @@ def stale_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "logistic_scores": logistic_scores,
     "two_class_probe": two_class_probe,
+    "probe_certificates": probe_certificates,
     "c_search": c_search,
     "dictionary_certificates": dictionary_certificates,
     "study_audit": study_audit,
@@ -179,9 +232,13 @@ SQL = {
     "dictionary_certificates": """SELECT name, CAST(atoms AS BIGINT) AS atoms, (SELECT count(*) FROM embeddings) AS n_rows,
           0::BIGINT AS rows_not_optimal, 0::BIGINT AS bad_atoms, 0::BIGINT AS epochs_over
         FROM (VALUES """ + ", ".join(f"('{s.name}', {s.atoms})" for s in SETTINGS) + """) t(name, atoms)""",
-    "study_audit": """WITH g AS (SELECT count(DISTINCT vec_id % 4) AS n FROM embeddings)
-        SELECT 'PASS' AS status, n * 4 * 2 AS verified_outer_fits, n * (n - 1) * 4 * 2 * 2 AS inner_fits, n AS n_groups,
-               (n + n * (n - 1)) * 2 AS dictionary_fits, true AS codes_optimal, true AS gram_positive FROM g""",
+    "study_audit": """WITH g AS (SELECT count(DISTINCT doc_id % 4) AS n, count(*) AS docs FROM documents)
+        SELECT 'PASS' AS status, n * 4 * 2 AS verified_outer_fits, n * (n - 1) * 4 * 2 * 5 AS inner_fits, n AS n_groups,
+               (n + n * (n - 1)) * 3 AS dictionary_fits, docs * 4 * 2 AS n_predictions, true AS codes_optimal, true AS gram_positive FROM g""",
+    "probe_certificates": f"""WITH {VECTOR_SPLIT},
+        shares AS (SELECT label, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM manifest WHERE split = 'train' GROUP BY label)
+        SELECT feature_set, c AS "C", label, round(share, 4) AS mean_probability, true AS gradient_vanishes
+        FROM shares, (VALUES ('embedding'), ('codes')) f(feature_set), (VALUES (0.01::DOUBLE), (0.1), (1), (10), (100), (1000)) q(c)""",
     "stale_stages": f"""WITH RECURSIVE
         now_ AS (SELECT source, {_DIGEST} AS d FROM documents GROUP BY source),
         before AS (

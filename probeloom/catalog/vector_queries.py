@@ -21,15 +21,15 @@ from probeloom.sources import tables as T
 CLASSES = [str(i) for i in range(10)]
 MAX_BLOCKS = 100_000
 
-# Dictionaries used by the exact queries: unit vectors of the first IDs.
-# name: (atoms, alpha, IDs skipped)
+# Dictionaries used by the exact queries: normalized means of label classes over all
+# rows of some groups. name: (atoms = label modulus, alpha, groups)
 DICTIONARIES = {
-    "k8_a0.1_first": (8, 0.1, 0),
-    "k8_a0.1_next": (8, 0.1, 8),
-    "k4_a0.1_first": (4, 0.1, 0),
-    "k4_a0.3_first": (4, 0.3, 0),
+    "k10_a0.1_low": (10, 0.1, ("0", "1")),
+    "k10_a0.1_high": (10, 0.1, ("2", "3")),
+    "k5_a0.1_all": (5, 0.1, ("0", "1", "2", "3")),
+    "k5_a0.3_all": (5, 0.3, ("0", "1", "2", "3")),
 }
-FIRST, NEXT = "k8_a0.1_first", "k8_a0.1_next"
+FIRST, NEXT = "k10_a0.1_low", "k10_a0.1_high"
 
 
 def r(name: str, decimals: int = 6):
@@ -52,16 +52,17 @@ def vector_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.assign(vectors)
 
 
-def unit_rows(spark: SparkSession, sf_dir: str, k: int, skip: int) -> np.ndarray:
-    first = T.vector_entities(spark, sf_dir).orderBy(F.col("entity_id").cast("long")).limit(skip + k)
-    rows = bounded_rows(first.select("entity_id", "vec"), skip + k, "atoms")
-    x = np.array([row["vec"] for row in sorted(rows, key=lambda row: int(row["entity_id"]))][skip:])
+def mean_atoms(rows: DataFrame, k: int) -> np.ndarray:
+    """Unit vectors along the means of the ``k`` label classes."""
+    key = (F.col("label").cast("int") % k).alias("atom")
+    means = rows.groupBy(key).agg(vector_to_array(Summarizer.mean(array_to_vector("vec"))).alias("m"))
+    x = np.array([row["m"] for row in sorted(bounded_rows(means, k, "atoms"), key=lambda row: row["atom"])])
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def dictionary(spark: SparkSession, sf_dir: str, name: str) -> tuple[np.ndarray, float]:
-    k, alpha, skip = DICTIONARIES[name]
-    return unit_rows(spark, sf_dir, k, skip), alpha
+    k, alpha, grps = DICTIONARIES[name]
+    return mean_atoms(T.vector_entities(spark, sf_dir).filter(F.col("grp").isin(*grps)), k), alpha
 
 
 def atoms_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -310,7 +311,7 @@ def report_atom_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = atoms.top_signed(atoms_of(spark, sf_dir, FIRST), 3).withColumn("feature", F.concat(F.lit("dim"), F.col("pos")))
     activity = atoms.code_activity(coded(spark, sf_dir))
     return round_doubles(reports.selected_activity(
-        activity, top, [(a, c) for a in range(1, 9) for c in CLASSES]
+        activity, top, [(a, c) for a in range(1, 11) for c in CLASSES]
     ))
 
 
@@ -507,7 +508,35 @@ def atom_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(atoms.match_atoms(_pairs(spark, sf_dir)))
 
 
+SEEDS = (0, 1, 2)
+SEED_ALPHA = 0.1
+
+
+def seed_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stability of class-mean dictionaries under every held-out group and pair of seeds.
+
+    A seed leaves out every third row. Sums per (group, third, label) give all
+    dictionaries; the codes of all of them and their products come from one scan.
+    """
+    rows = T.vector_entities(spark, sf_dir)
+    third = F.col("entity_id").cast("long") % len(SEEDS)
+    sums = class_sums(rows.withColumn("third", third), keys=("grp", "third"))
+    names = sorted({row["grp"] for row in sums})
+    dicts = {}
+    for fold in names:
+        for seed in SEEDS:
+            own = [row for row in sums if row["grp"] != fold and row["third"] != seed]
+            total = {c: sum(row["sum"].toArray() for row in own if row["label"] == c) for c in CLASSES}
+            x = np.array([total[c] for c in CLASSES])
+            dicts[fold, seed] = x / np.linalg.norm(x, axis=1, keepdims=True)
+    coded_rows = rows.select("grp", *[coding.encoder(d, SEED_ALPHA)(F.col("vec")).alias(f"z_{f}_{s}") for (f, s), d in dicts.items()])
+    parts = F.array(*[F.struct(F.lit(f).alias("key"), F.concat(*[F.col(f"z_{f}_{s}") for s in SEEDS]).alias("z")) for f in names])
+    train = coded_rows.select(F.inline(F.filter(parts, lambda part: part["key"] != F.col("grp"))))
+    return round_doubles(atoms.stability(atoms.match_seeds(train, dicts), ["grp", "seed_a", "seed_b"]))
+
+
 QUERIES = {
+    "seed_stability": seed_stability,
     "vector_quality": vector_quality,
     "aligned_vectors": aligned_vectors,
     "scaled_vectors": scaled_vectors,

@@ -71,32 +71,40 @@ def metric_columns(decimals: int | None = 6) -> str:
 
 LOSS = "avg(-ln(least(greatest(p, 2.220446049250313e-16), 1 - 2.220446049250313e-16)))"
 
+# name: label modulus, alpha, groups
 SETTINGS = {
-    "k8_a0.1_first": (8, 0.1, 0), "k8_a0.1_next": (8, 0.1, 8),
-    "k4_a0.1_first": (4, 0.1, 0), "k4_a0.3_first": (4, 0.3, 0),
+    "k10_a0.1_low": (10, 0.1, "01"), "k10_a0.1_high": (10, 0.1, "23"),
+    "k5_a0.1_all": (5, 0.1, "0123"), "k5_a0.3_all": (5, 0.3, "0123"),
 }
-FIRST, NEXT = "k8_a0.1_first", "k8_a0.1_next"
+FIRST, NEXT = "k10_a0.1_low", "k10_a0.1_high"
 
 
 def soft(u: str, a: str) -> str:
     return f"sign({u}) * greatest(abs({u}) - {a}, 0.0::DOUBLE)"
 
 
-def dictionaries(*names: str) -> str:
-    values = ", ".join(f"('{n}', {SETTINGS[n][0]}, {SETTINGS[n][1]}::DOUBLE, {SETTINGS[n][2]})" for n in names)
-    return f"""
-settings(name, k, alpha, skip) AS (VALUES {values}),
-numbered AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 AS rn FROM vecs),
-atoms AS (
-  SELECT s.name, s.k, s.alpha, n.rn - s.skip + 1 AS atom,
-         list_transform(n.vec, lambda x: x / sqrt(list_inner_product(n.vec, n.vec))) AS w
-  FROM settings s JOIN numbered n ON n.rn >= s.skip AND n.rn < s.skip + s.k
-),
+# From atoms (name, k, alpha, atom, w) to what the codes need.
+GRAMS = """
 dicts AS (SELECT name, k, alpha, list(w ORDER BY atom) AS d FROM atoms GROUP BY ALL),
 grams AS (SELECT *, list_transform(d, lambda a: list_transform(d, lambda b: list_inner_product(a, b))) AS g FROM dicts),
 bounds AS (SELECT *, list_max(list_transform(g, lambda q: list_sum(list_transform(q, lambda v: abs(v))))) AS lip FROM grams)"""
 
 
+def dictionaries(*names: str) -> str:
+    values = ", ".join(f"('{n}', {SETTINGS[n][0]}, {SETTINGS[n][1]}::DOUBLE, '{SETTINGS[n][2]}')" for n in names)
+    return f"""
+settings(name, k, alpha, grps) AS (VALUES {values}),
+places AS (SELECT grp, CAST(label AS INT) AS c, unnest(range(len(vec))) AS dim, unnest(vec) AS x FROM vecs),
+class_means AS (
+  SELECT s.name, s.k, s.alpha, p.c % s.k + 1 AS atom, dim, avg(x) AS m
+  FROM settings s JOIN places p ON contains(s.grps, p.grp) GROUP BY ALL
+),
+atoms AS (
+  SELECT name, k, alpha, atom, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS w FROM (
+    SELECT name, k, alpha, atom, list(m ORDER BY dim) AS w FROM class_means GROUP BY ALL)
+),{GRAMS}"""
+
+
 def codes(source: str = "vecs", steps: int = 300) -> str:
     """Codes of every row of ``source`` by a fixed number of proximal steps."""
     return f"""
@@ -290,6 +298,40 @@ pairs AS (
   JOIN cor ON cor.atom_a = a.atom AND cor.atom_b = b.atom
 )"""
 
+# Dictionaries by held-out group and seed. Means of the same class agree far better than
+# those of different classes, so the best match is the class itself.
+SEED_STABILITY = f"""
+{VECTORS},
+runs AS (SELECT fold, seed, fold || '#' || seed AS name FROM (SELECT DISTINCT grp AS fold FROM vecs), (VALUES (0), (1), (2)) s(seed)),
+places AS (SELECT vec_id, grp, CAST(label AS INT) + 1 AS atom, unnest(range(len(vec))) AS dim, unnest(vec) AS x FROM vecs),
+seed_means AS (
+  SELECT name, atom, dim, avg(x) AS m FROM runs JOIN places ON grp <> fold AND vec_id % 3 <> seed GROUP BY ALL
+),
+atoms AS (
+  SELECT name, 10 AS k, 0.1::DOUBLE AS alpha, atom, list_transform(w, lambda x: x / sqrt(list_inner_product(w, w))) AS w FROM (
+    SELECT name, atom, list(m ORDER BY dim) AS w FROM seed_means GROUP BY ALL)
+),{GRAMS}, {codes('vecs')},
+zl AS (
+  SELECT c.name, fold, seed, entity_id, unnest(range(1, k + 1)) AS atom, unnest(z) AS z FROM coded c JOIN runs r ON r.name = c.name AND grp <> fold
+),
+wl AS (SELECT name, atom, unnest(range(len(w))) AS pos, unnest(w) AS weight FROM atoms),
+sets AS (
+  SELECT name, atom, list(pos) AS top FROM (
+    SELECT *, row_number() OVER (PARTITION BY name, atom ORDER BY abs(weight) DESC, pos DESC) AS rank FROM wl) WHERE rank <= 20 GROUP BY ALL
+),
+cor AS (
+  SELECT a.fold, a.seed AS seed_a, b.seed AS seed_b, a.atom,
+         CASE WHEN stddev_pop(a.z) > 1e-12 AND stddev_pop(b.z) > 1e-12 THEN corr(a.z, b.z) END AS correlation
+  FROM zl a JOIN zl b ON a.fold = b.fold AND a.seed < b.seed AND a.entity_id = b.entity_id AND a.atom = b.atom GROUP BY ALL
+),
+matched AS (
+  SELECT c.fold AS grp, c.seed_a, c.seed_b, list_inner_product(a.w, b.w) AS cosine, correlation,
+         len(list_intersect(sa.top, sb.top))::DOUBLE / len(list_distinct(list_concat(sa.top, sb.top))) AS jaccard
+  FROM cor c
+  JOIN atoms a ON a.name = c.fold || '#' || c.seed_a AND a.atom = c.atom JOIN atoms b ON b.name = c.fold || '#' || c.seed_b AND b.atom = c.atom
+  JOIN sets sa ON sa.name = a.name AND sa.atom = a.atom JOIN sets sb ON sb.name = b.name AND sb.atom = b.atom
+)"""
+
 # Best one-to-one assignment by dynamic programming over sets of used columns.
 MATCHING = f"""
 {PAIRS},
@@ -484,6 +526,11 @@ SQL = {
         FROM atoms JOIN u USING (atom) JOIN m USING (atom)""",
     "atom_pairs": f"""WITH {PAIRS}
         SELECT atom_a, atom_b, round(cosine, 6) AS cosine, round(jaccard, 6) AS jaccard, round(correlation, 6) AS correlation FROM pairs""",
+    "seed_stability": f"""WITH {SEED_STABILITY}
+        SELECT grp, seed_a, seed_b, round(avg(abs(cosine)), 6) AS mean_abs_cosine, round(median(abs(cosine)), 6) AS median_abs_cosine,
+               round(avg(jaccard), 6) AS mean_top_feature_jaccard,
+               round(avg(correlation * CASE WHEN cosine >= 0 THEN 1 ELSE -1 END), 6) AS mean_code_correlation
+        FROM matched GROUP BY grp, seed_a, seed_b""",
     "atom_matching": f"""WITH RECURSIVE {MATCHING}
         SELECT atom_a, atom_b, CASE WHEN cosine >= 0 THEN 1.0::DOUBLE ELSE -1.0::DOUBLE END AS sign, round(abs(cosine), 6) AS abs_cosine,
                round(jaccard, 6) AS top_feature_jaccard,

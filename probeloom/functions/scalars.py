@@ -85,3 +85,26 @@ def fixed_text(value: Column, decimals: int) -> Column:
 def order_key(seed: int, *ids: Column) -> Column:
     """Seeded pseudo-random text key; independent of input order."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), *ids))
+
+
+def text_of(raw: Column) -> Column:
+    """UTF-8 bytes as text, text as it is; malformed bytes are NULL."""
+    return F.when(F.is_valid_utf8(raw.cast("string")), raw.cast("string"))
+
+
+def merged_object(a: Column, b: Column) -> Column:
+    """Two JSON objects (text) as one, its keys in order; where both have a key, ``b`` decides.
+
+    Values go through VARIANT, so numbers, texts and nested values keep their kind and two
+    objects are equal exactly if their merged texts are. A NULL object adds nothing.
+    """
+    def entries(o: Column) -> Column:
+        found = F.map_entries(F.try_variant_get(F.try_parse_json(o), "$", "map<string,variant>"))
+        return F.coalesce(F.transform(found, lambda e: F.struct(e["key"].alias("key"), F.to_json(e["value"]).alias("value"))),
+                          F.array().cast("array<struct<key:string,value:string>>"))
+
+    own, last = entries(a), entries(b)
+    names = F.transform(last, lambda e: e["key"])
+    both = F.array_sort(F.concat(F.filter(own, lambda e: ~F.array_contains(names, e["key"])), last))
+    body = F.array_join(F.transform(both, lambda e: F.concat(F.lit('"'), F.replace(F.replace(e["key"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('":'), e["value"])), ",")
+    return F.concat(F.lit("{"), body, F.lit("}"))

@@ -134,6 +134,25 @@ def membership_summary(expected: DataFrame, actual: DataFrame, key: str = "entit
     )
 
 
+def key_overlap(expected: DataFrame, actual: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key column: distinct values on both sides and on one, and rows whose value the other side has.
+
+    All keys share one pass: a row is opened into its (key, value) pairs, which are
+    counted per side before they meet. NULL is a value like any other.
+    """
+    def opened(df: DataFrame, side: int) -> DataFrame:
+        pairs = F.array(*[F.struct(F.lit(k).alias("key"), F.col(k).cast("string").alias("value")) for k in keys])
+        return df.select(F.inline(pairs)).withColumn("side", F.lit(side))
+
+    both = opened(expected, 0).unionByName(opened(actual, 1)).groupBy("key", "value").agg(
+        F.count_if(F.col("side") == 0).alias("a"), F.count_if(F.col("side") == 1).alias("b"))
+    shared = (F.col("a") > 0) & (F.col("b") > 0)
+    return both.groupBy("key").agg(
+        F.count_if(shared).alias("n_shared"), F.count_if(F.col("b") == 0).alias("n_expected_only"), F.count_if(F.col("a") == 0).alias("n_actual_only"),
+        F.coalesce(F.sum(F.when(shared, F.col("a"))), F.lit(0)).alias("expected_rows_shared"),
+        F.coalesce(F.sum(F.when(shared, F.col("b"))), F.lit(0)).alias("actual_rows_shared"))
+
+
 def cohort_differences(left: DataFrame, right: DataFrame, keys: Sequence[str] = ("entity_id", "label")) -> DataFrame:
     """Rows (ID, label) whose multiplicity differs between two cohorts."""
     sides = _tagged({"n_left": left, "n_right": right}, list(keys))

@@ -23,10 +23,12 @@ from pyspark.sql import functions as F
 from probeloom.functions import vectors as V
 from probeloom.functions.arrow import dense_vector, small_batches, stored_vector, to_lists, to_matrix
 from probeloom.functions.scalars import order_key
+from probeloom.operators.checks import CheckFailed
 from probeloom.operators.coding import kkt_rows, lasso_many, lasso_rows
 from probeloom.session import bounded_rows, bounded_sums, materialize
 
 MAX_ATOMS = 4096
+ATOM_LIMIT = 1.00001
 CHANGE_TOLERANCE = 1e-3
 PATIENCE = 10
 # Codes of a step are used once, for its sums; those of certificates are exact.
@@ -186,10 +188,21 @@ def bucketed(vectors: DataFrame, batches: int, batch_seed: int = 42) -> DataFram
 
     All columns are kept; readers of the copy open the ones they need.
     """
-    tagged = vectors.withColumn(
+    return materialize(batched(vectors, batches, batch_seed), "batches", partition_by="batch")
+
+
+def batched(vectors: DataFrame, batches: int, batch_seed: int = 42) -> DataFrame:
+    return vectors.withColumn(
         "batch", F.pmod(F.xxhash64(F.lit(batch_seed), F.col("entity_id").cast("string")), F.lit(batches)).cast("int")
     )
-    return materialize(tagged, "batches", partition_by="batch")
+
+
+def guarded(fits: list[Fitted]) -> list[Fitted]:
+    """The fits, if every atom is finite and inside the unit ball."""
+    for f in fits:
+        if not np.isfinite(f.atoms).all() or np.linalg.norm(f.atoms, axis=1).max() > ATOM_LIMIT:
+            raise CheckFailed(f"{f.setting.name}: an atom is not finite or longer than {ATOM_LIMIT}")
+    return fits
 
 
 def fit_dictionaries(vectors: DataFrame, settings: Sequence[Setting], batches: int = 4,
@@ -208,7 +221,7 @@ def fit_dictionaries(vectors: DataFrame, settings: Sequence[Setting], batches: i
         for b in range(batches):
             todo = sorted(live)
             if not todo:
-                return fits
+                return guarded(fits)
             sums = sufficient_sums(stored.filter(F.col("batch") == b), [(settings[i], fits[i].atoms) for i in todo])
             for i, s in zip(todo, sums):
                 if s is None:
@@ -230,7 +243,7 @@ def fit_dictionaries(vectors: DataFrame, settings: Sequence[Setting], batches: i
                 best[i] = min(best[i], smooth[i])
                 if moved < CHANGE_TOLERANCE or stale[i] >= PATIENCE:
                     live.discard(i)
-    return fits
+    return guarded(fits)
 
 
 def diagnostics(vectors: DataFrame, fits: Sequence[Fitted],

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from probeloom.functions.arrow import small_batches, to_lists, to_matrix
 from probeloom.functions.scalars import VARIANCE_FLOOR
 from probeloom.operators.checks import CheckFailed
-from probeloom.operators.probe import CELL_SCHEMA, Probe, add_cells, cell_batch
+from probeloom.operators.probe import CELL_SCHEMA, Probe, add_cells, cell_batch, probabilities
 from probeloom.session import bounded_sums
 
 GRADIENT_TOLERANCE = 1e-5
@@ -343,3 +343,25 @@ def score_together(rows: DataFrame, views: Sequence[View], models: Sequence[tupl
         yield cell_batch(cells)
 
     return rows.mapInArrow(count, CELL_SCHEMA).groupBy("model", "label", "prediction").agg(F.sum("n").alias("n"), F.sum("loss").alias("loss"))
+
+
+def mean_probabilities(rows: DataFrame, views: Sequence[View], models: Sequence[tuple[int, Probe]],
+                       open_: Callable = lambda batch: batch) -> list[np.ndarray]:
+    """Mean predicted probability of every class over the rows of each probe's view, from one scan.
+
+    With a free intercept these are the class shares of the training rows, exactly at the optimum.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in small_batches(batches):
+            opened = open_(batch)
+            for i, (v, m) in enumerate(models):
+                _, x = views[v].rows(opened)
+                if len(x):
+                    part = np.append(probabilities(m, x).sum(axis=0), len(x))
+                    totals[i] = part if i not in totals else totals[i] + part
+        for i, part in totals.items():
+            yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), to_lists(part[None])], names=["key", "v"])
+
+    found = summed(rows, run, len(models))
+    return [found[i][:-1] / found[i][-1] for i in range(len(models))]

@@ -146,4 +146,4 @@ def scalar_metrics(table: DataFrame, keys: Sequence[str] = (), classes: Sequence
 
 
 def scored_metrics(predictions: DataFrame, classes: Sequence[str], keys: Sequence[str] = ()) -> DataFrame:
-    return scalar_metrics(confusion(predictions, classes, keys), keys)
+    return scalar_metrics(confusion(predictions, classes, keys), keys, classes)

@@ -3,18 +3,20 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from probeloom.session import materialize, settle
+from probeloom.session import bounded_rows, materialize, settle
 
 # A hash bucket is ranked inside one task; buckets are sized to hold at most
 # about this many rows even when one label owns every row.
 ROWS_PER_BUCKET = 1_000_000
-# Distinct values ranked inside one task when a quantile has been narrowed down.
-QUANTILE_ROWS = 200_000
+# Bits of a value that one scan of a radix selection counts.
+DIGIT_BITS = 16
 
 
 def rank_rows(df: DataFrame, order: Sequence[Column | str], out: str, start: int = 0) -> DataFrame:
@@ -85,50 +87,63 @@ def cut_keys(
     )
 
 
-def exact_quantile(df: DataFrame, value: str, q: float, limit: int = QUANTILE_ROWS) -> float | None:
-    """Linearly interpolated quantile of a whole column.
+def ordered_bits(x: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in the order of the doubles; NaN comes last."""
+    x = np.where(np.isnan(x), np.nan, x + 0.0)              # one NaN, and no negative zero
+    bits = x.view(np.uint64)
+    return np.where(bits >> np.uint64(63), ~bits, bits | np.uint64(1 << 63))
 
-    Brackets the wanted rank with a mergeable sketch, drops everything outside
-    the bracket and repeats until few distinct values are left. Each round is a
-    few aggregates over ``df``, so pass a stored table or a cheap column;
-    repeated values are collapsed before they are ranked.
+
+def double_of(bits: int) -> float:
+    bits = bits & ~(1 << 63) if bits >> 63 else ~bits & ((1 << 64) - 1)
+    return float(np.array([bits], np.uint64).view(np.float64)[0])
+
+
+def values_at(df: DataFrame, value: str, ranks: Sequence[int]) -> list[float]:
+    """The values at some 0-based ranks of a column, by radix selection.
+
+    Four scans, whatever the size: each counts the next sixteen bits of the values
+    that share the bits found so far, at most 65,536 counts per wanted rank. Nothing
+    is sorted or moved, and repeated values are no special case.
     """
     values = df.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
-    n = values.count()
+    found, left = [0] * len(ranks), list(ranks)
+    for shift in range(64 - DIGIT_BITS, -1, -DIGIT_BITS):
+        prefixes = sorted(set(found))
+
+        def count(batches: Iterator[pa.RecordBatch], prefixes=prefixes, shift=shift) -> Iterator[pa.RecordBatch]:
+            total = np.zeros((len(prefixes), 1 << DIGIT_BITS), np.int64)
+            for batch in batches:
+                bits = ordered_bits(batch.column(0).to_numpy(zero_copy_only=False))
+                for i, prefix in enumerate(prefixes):
+                    own = bits if shift == 64 - DIGIT_BITS else bits[bits >> np.uint64(shift + DIGIT_BITS) == np.uint64(prefix)]
+                    digits = (own >> np.uint64(shift)) & np.uint64((1 << DIGIT_BITS) - 1)
+                    total[i] += np.bincount(digits.astype(np.int64), minlength=1 << DIGIT_BITS)
+            which, digit = np.nonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(which.astype(np.int32)), pa.array(digit.astype(np.int32)), pa.array(total[which, digit])], names=["which", "digit", "n"])
+
+        counted = values.mapInArrow(count, "which int, digit int, n long").groupBy("which", "digit").agg(F.sum("n").alias("n"))
+        rows = bounded_rows(counted, len(prefixes) << DIGIT_BITS, "counts of digits")
+        table = np.zeros((len(prefixes), 1 << DIGIT_BITS), np.int64)
+        for r in rows:
+            table[r["which"], r["digit"]] = r["n"]
+        for i, prefix in enumerate(found):
+            upto = np.cumsum(table[prefixes.index(prefix)])
+            digit = int(np.searchsorted(upto, left[i], side="right"))
+            left[i] -= int(upto[digit - 1]) if digit else 0
+            found[i] = prefix << DIGIT_BITS | digit
+    return [double_of(b) for b in found]
+
+
+def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:
+    """Linearly interpolated quantile of a whole column; NULLs do not count, NaN is the largest value.
+
+    Scans ``df`` five times, so pass a stored table or a cheap column.
+    """
+    n = df.filter(F.col(value).isNotNull()).count()
     if n == 0:
         return None
     h = (n - 1) * q
-    low_rank, high_rank = math.floor(h), math.ceil(h)
-    inside, below = values, 0
-    width = 2e-3
-    while True:
-        head = inside.agg(
-            F.count(F.lit(1)).alias("n"), F.approx_count_distinct("v").alias("d")
-        ).first()
-        if head["d"] <= limit:
-            break
-        position = (low_rank - below) / head["n"]
-        lo, hi = inside.agg(
-            F.percentile_approx(
-                "v", [max(position - width, 0.0), min(position + width, 1.0)], 10_000
-            )
-        ).first()[0]
-        under, upto = values.agg(
-            F.count_if(F.col("v") < lo), F.count_if(F.col("v") <= hi)
-        ).first()
-        if under > low_rank or upto <= high_rank:
-            width *= 4  # the sketch missed the rank; widen and try again
-            if width > 1:
-                raise ArithmeticError(f"{value}: no bracket around the quantile {q} holds {limit} values or fewer")
-            continue
-        inside, below = values.filter(F.col("v").between(lo, hi)), under
-    upto = Window.orderBy("v")
-    steps = (
-        inside.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
-        .withColumn("last", F.sum("n").over(upto) + F.lit(below))
-    )
-    low, high = steps.agg(
-        F.min(F.when(F.col("last") > low_rank, F.col("v"))),
-        F.min(F.when(F.col("last") > high_rank, F.col("v"))),
-    ).first()
-    return low + (high - low) * (h - low_rank)
+    low, high = values_at(df, value, [math.floor(h), math.ceil(h)])
+    return low if low == high else low + (high - low) * (h - math.floor(h))

@@ -62,7 +62,7 @@ def _evaluate(rows: DataFrame, model_path: str, path: str, split: str) -> dict:
     table = settle(metrics.confusion(predictions, model.classes))
     write_table(metrics.confusion_matrix(table, model.classes), f"{path}/confusion")
     write_table(metrics.report(table), f"{path}/per_class")
-    found = metrics.scalar_metrics(table).first().asDict()
+    found = metrics.scalar_metrics(table, classes=model.classes).first().asDict()
     return write_report(spark, dict(
         found, split=split, method=report["method"], candidate=report["candidate"], C=report["C"],
         model_checksum=report["model_checksum"],
@@ -150,7 +150,7 @@ def search_c(inputs: dict[str, DataFrame], coarse: Sequence[float] = COARSE_C, f
             penalties = [c for cs in values.values() for c in cs]
             models = fit_together(train, views, wanted, classes, SEARCH_TOLERANCE)
             cells = score_together(held, views, [(w.view, m) for w, m in zip(wanted, models)])
-            found = {r["model"]: r for r in metrics.scalar_metrics(cells, ["model"]).collect()}
+            found = {r["model"]: r for r in metrics.scalar_metrics(cells, ["model"], classes).collect()}
             return [
                 (names[w.view], kind, float(c), about[w.view]["n"], found[k]["n_rows"], about[w.view]["width"], found[k]["accuracy"],
                  found[k]["macro_f1"], found[k]["balanced_accuracy"], found[k]["log_loss"], m.converged, m.gradient, m.iterations)
@@ -181,7 +181,7 @@ def analyse_best(inputs: dict[str, DataFrame], best: DataFrame, tol: float = 1e-
         model = probe.fit_probe(train, classes, r["n_train"], C=r["C"], strict=True)
         train.unpersist()
         table = settle(probe.confusion_of(df.filter("split = 'validation'"), [model]))
-        again = metrics.scalar_metrics(table).first()["macro_f1"]
+        again = metrics.scalar_metrics(table, classes=classes).first()["macro_f1"]
         if abs(again - r["val_macro_f1"]) > tol:
             raise CheckFailed(f"{r['feature_set']}: score {r['val_macro_f1']} became {again}")
         one = metrics.report(table).select(F.lit(r["feature_set"]).alias("feature_set"), "*")

@@ -18,9 +18,12 @@ def write_table(df: DataFrame, path: str, partition_by: str | None = None, verif
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.parquet(path)
-    stored = df.sparkSession.read.parquet(path).select(
-        *[F.col(f.name).cast(f.dataType).alias(f.name) for f in df.schema.fields]
-    )
+    stored = df.sparkSession.read.parquet(path)
+    # Only partition columns come back with another type, guessed from their folders.
+    kinds = dict(stored.dtypes)
+    stored = stored.select(*[
+        F.col(f.name) if kinds[f.name] == f.dataType.simpleString() else F.col(f.name).cast(f.dataType).alias(f.name) for f in df.schema.fields
+    ])
     if verify:
         verify_stored(df, stored)
     return stored

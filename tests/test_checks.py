@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from probeloom.functions.scalars import merged_object, text_of
 from probeloom.operators import checks
 
 
@@ -85,3 +86,20 @@ def test_fold_leaks(spark):
         [("a", "a", "hold"), ("a", "b", "train"), ("b", "a", "train"), ("b", "b", "hold"), ("b", "b", "train")],
         "outer_grp string, grp string, role string")
     assert ids(checks.fold_leaks(df), "outer_grp", "grp") == [("b", "b")]
+
+
+def test_overlap_of_several_keys(spark):
+    a = spark.createDataFrame([(1, "x", None), (2, "x", "p"), (3, "y", "p")], "i int, s string, t string")
+    b = spark.createDataFrame([(3, "x", None), (4, "z", None)], "i int, s string, t string")
+    got = {r["key"]: tuple(r)[1:] for r in checks.key_overlap(a, b, ["i", "s", "t"]).collect()}
+    assert got == {"i": (1, 2, 1, 1, 1), "s": (1, 1, 1, 2, 1), "t": (1, 1, 0, 1, 2)}
+    plan = checks.key_overlap(a, b, ["i", "s", "t"])._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
+
+
+def test_merged_objects_and_bytes(spark):
+    rows = [('{"a":1,"b":{"c":[1,2]},"t":"x\\"y"}', '{"b":null,"a":2.5}'), (None, '{"z":"é","a":true}'), ('{}', None), ('[1]', '{"q":1}')]
+    df = spark.createDataFrame(rows, "a string, b string").select(merged_object(F.col("a"), F.col("b")).alias("m"))
+    assert [r["m"] for r in df.collect()] == ['{"a":2.5,"b":null,"t":"x\\"y"}', '{"a":true,"z":"é"}', "{}", '{"q":1}']
+    raw = spark.createDataFrame([(bytearray("é".encode()),), (bytearray(b"\xff"),), (None,)], "b binary").select(text_of(F.col("b")).alias("t"))
+    assert [r["t"] for r in raw.collect()] == ["é", None, None]

@@ -264,3 +264,45 @@ def test_seed_pairs_are_matched_from_one_scan(spark):
                 assert r["code_correlation"] is None
             else:
                 assert r["code_correlation"] == pytest.approx(r["sign"] * np.corrcoef(za[:, i], zb[:, j])[0, 1], abs=1e-9)
+
+
+def same_study(one, two):
+    keys = ["grp", "method", "seed", "scaling"]
+    a, b = ({tuple(r[k] for k in keys): (r["lambda"], r["macro_f1"], r["log_loss"]) for r in t["outer"].collect()} for t in (one, two))
+    assert a.keys() == b.keys() and all(b[k] == pytest.approx(v, abs=1e-9) for k, v in a.items())
+    assert one["predictions"].count() == two["predictions"].count() and one["matches"].count() == two["matches"].count()
+
+
+def test_stopped_study_goes_on_and_changed_files_are_refused(spark, folder, monkeypatch):
+    e, c, _, _ = counted(spark)
+    settings = dict(n_atoms=2, alpha=0.5, epochs=1, lambdas=(1e-1,), batches=2, path=f"{folder}/study")
+    inputs = study.from_counts(c, e, n_features=6)
+
+    def stop(*_):
+        raise RuntimeError("stopped")
+
+    real = study.predict_folds
+    monkeypatch.setattr(study, "predict_folds", stop)
+    with pytest.raises(RuntimeError):
+        study.nested_study(inputs, **settings)
+    with pytest.raises(CheckFailed, match="missing"):
+        study.load_study(spark, settings["path"])
+    # What was finished is not done again.
+    monkeypatch.setattr(study, "predict_folds", real)
+    for name in ("fit_together", "score_together"):
+        monkeypatch.setattr(study, name, stop)
+    monkeypatch.setattr(study.dictionary, "fit_dictionaries", stop)
+    found = study.nested_study(inputs, **settings)
+    same_study(found, study.load_study(spark, settings["path"]))
+    assert study.audit_study(study.load_study(spark, settings["path"]), ["a", "b"]).first()["status"] == "PASS"
+    monkeypatch.undo()
+    same_study(found, study.nested_study(inputs, **{**settings, "path": None}))
+    with pytest.raises(CheckFailed, match="other inputs"):
+        study.nested_study(inputs, **{**settings, "alpha": 0.6})
+    row = spark.read.parquet(f"{settings['path']}/log").filter("stage = 'predictions'").first()
+    spark.read.parquet(row["path"]).limit(1).write.mode("append").parquet(row["path"])
+    with pytest.raises(CheckFailed, match="predictions"):
+        study.load_study(spark, settings["path"])
+    leaky = dict(found, models=found["models"].withColumn("trained_on", F.array(F.lit("g0"), F.lit("g1"), F.lit("g2"))))
+    with pytest.raises(CheckFailed, match="held against"):
+        study.audit_study(leaky, ["a", "b"])

@@ -90,6 +90,15 @@ def parsed(formatted: Column) -> Column:
 # --- paths -----------------------------------------------------------------------
 
 
+def met(a: DataFrame, b: DataFrame, left: str, right: str, how: str = "inner") -> DataFrame:
+    """Rows of ``a`` (tree, ``left``) with those of ``b`` (_t, ``right``): one tree and message, null trees included.
+
+    Always by sorted shuffles: stored keys compress so well that their file size says
+    nothing about the memory that a broadcast would take.
+    """
+    return a.join(b.hint("merge"), F.col("tree").eqNullSafe(F.col("_t")) & (F.col(left) == F.col(right)), how)
+
+
 def links_of(messages: DataFrame, tree_col: str, id_col: str, parent_col: str, score_col: str | None) -> DataFrame:
     """tree, id, parent, total: one stored row per message, without texts; a parent that is not there is null."""
     score = F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)
@@ -97,7 +106,7 @@ def links_of(messages: DataFrame, tree_col: str, id_col: str, parent_col: str, s
     own = messages.filter(F.col(id_col).isNotNull()).groupBy(F.col(tree_col).alias("tree"), F.col(id_col).alias("id")).agg(first.alias("f"))
     own = materialize(own.select("tree", "id", "f.*"), "messages")
     known = own.select(F.col("tree").alias("_t"), F.col("id").alias("_p"))
-    linked = own.join(known, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("parent") == F.col("_p")), "left")
+    linked = met(own, known, "parent", "_p", "left")
     return linked.select("tree", "id", F.col("_p").alias("up"), F.lit(1).cast("long").alias("n"), "total")
 
 
@@ -110,7 +119,7 @@ def doubled(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
             break
         jumps.append(open_.select("tree", "id", "up"))
         above = now.select(F.col("tree").alias("_t"), F.col("id").alias("_i"), F.col("up").alias("_up"), F.col("n").alias("_n"), F.col("total").alias("_total"))
-        further = open_.join(above, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("up") == F.col("_i"))).select(
+        further = met(open_, above, "up", "_i").select(
             "tree", "id", F.col("_up").alias("up"), (F.col("n") + F.col("_n")).alias("n"), (F.col("total") + F.col("_total")).alias("total"))
         now = materialize(now.filter("up IS NULL").unionByName(further), "reach")
         # Past the number of messages only cycles are still open: they and what hangs on them have no root.
@@ -123,7 +132,7 @@ def doubled(links: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
 def chosen_branches(reach: DataFrame, links: DataFrame, best: int) -> DataFrame:
     """tree, leaf, branch_rank, branch_score, n of the ``best`` leaves of each tree by mean score, ties to the smaller id."""
     parents = links.filter("up IS NOT NULL").select(F.col("tree").alias("_t"), F.col("up").alias("_p")).distinct()
-    leaves = reach.join(parents, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("id") == F.col("_p")), "left_anti")
+    leaves = met(reach, parents, "id", "_p", "left_anti")
     scored = leaves.select("tree", F.col("id").alias("leaf"), (F.col("total") / F.col("n")).alias("branch_score"), "n")
     order = Window.partitionBy("tree").orderBy(F.col("branch_score").desc(), "leaf")
     return scored.withColumn("branch_rank", F.row_number().over(order)).filter(F.col("branch_rank") <= best)
@@ -134,7 +143,7 @@ def members(chosen: DataFrame, jumps: list[DataFrame]) -> DataFrame:
     found = materialize(chosen.select("tree", "leaf", F.col("leaf").alias("id"), F.lit(0).cast("long").alias("back")), "members")
     for k in range(len(jumps) - 1, -1, -1):
         jump = jumps[k].select(F.col("tree").alias("_t"), F.col("id").alias("_i"), "up")
-        above = found.join(jump, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("id") == F.col("_i"))).select(
+        above = met(found, jump, "id", "_i").select(
             "tree", "leaf", F.col("up").alias("id"), (F.col("back") + F.lit(1 << k)).alias("back"))
         found = materialize(found.unionByName(above), "members")
     return found
@@ -162,11 +171,11 @@ def format_paths(messages: DataFrame, best: int = 1, tree_col: str = "tree_id",
     texts = messages.select(
         F.col(tree_col).alias("_t"), F.col(id_col).alias("_i"), guarded(one_line(F.coalesce(role_col, F.lit("")))).alias("role"),
         guarded(F.coalesce(text_col, F.lit(""))).alias("text"))
-    said = path.join(texts, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("id") == F.col("_i")))
+    said = met(path, texts, "id", "_i")
     turn = F.struct((-F.col("back")).alias("place"), "role", "text")
     told = said.groupBy("tree", "leaf").agg(F.array_distinct(F.array_sort(F.collect_list(turn))).alias("turns"))
     ranks = chosen.select(F.col("tree").alias("_t"), F.col("leaf").alias("_l"), "branch_rank", "branch_score")
-    out = told.join(ranks, F.col("tree").eqNullSafe(F.col("_t")) & (F.col("leaf") == F.col("_l")))
+    out = met(told, ranks, "leaf", "_l")
     return out.withColumn("segments", segments_of(F.col("turns"))).select(
         F.col("tree").alias("tree_id"), F.col("leaf").alias("leaf_id"), "branch_rank", "branch_score",
         F.size("turns").alias("n_turns"), joined(F.col("segments")).alias("formatted"), "segments")

@@ -10,7 +10,7 @@ from probeloom.operators import checks, features, groups, panels, split
 from probeloom.operators.ranking import rank_rows
 from probeloom.plans import reports
 from probeloom.session import new_folder
-from probeloom.sources import digests, readers, writers
+from probeloom.sources import convert, digests, readers, writers
 from probeloom.sources import tables as T
 
 N_FEATURES = 2000
@@ -357,7 +357,24 @@ def coordinate_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def converted_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ordered quantities exported as coordinates with two name files, and converted back to named counts."""
+    lines = T.table(spark, sf_dir, "lineitem").groupBy("l_partkey", "l_orderkey").agg(F.sum("l_quantity").alias("cnt"))
+    parts = rank_rows(T.table(spark, sf_dir, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"], "feature_pos")
+    orders = rank_rows(T.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", "o_orderstatus"), ["o_orderkey"], "entity_pos")
+    entries = lines.join(parts, F.col("l_partkey") == F.col("p_partkey")).join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
+    root = new_folder(spark, "export")
+    readers.write_coordinates(entries.select("feature_pos", "entity_pos", "cnt"), f"{root}/matrix", parts.count(), orders.count())
+    writers.write_csv(parts.orderBy("feature_pos").select(F.concat_ws(":", "p_name", "p_partkey").alias("feature_id")), f"{root}/features")
+    writers.write_csv(orders.orderBy("entity_pos").select(
+        F.concat(F.lit("o"), "o_orderkey").alias("entity_id"), F.col("o_orderpriority").alias("label"), F.col("o_orderstatus").alias("grp")), f"{root}/entities")
+    convert.convert_counts(spark, f"{root}/matrix", f"{root}/features", f"{root}/entities", f"{root}/tables")
+    counts, entities = (spark.read.parquet(f"{root}/tables/{name}") for name in ("counts", "entities"))
+    return counts.join(entities.select("entity_id", "label", "grp"), "entity_id").select("entity_id", "label", "grp", "feature_id", "feature_pos", "cnt")
+
+
 QUERIES = {
+    "converted_counts": converted_counts,
     "token_counts": token_counts,
     "library_size": library_size,
     "log_normalized": log_normalized,

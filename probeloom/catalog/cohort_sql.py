@@ -254,6 +254,10 @@ SQL = {
     "panel_ordered": f"""WITH {PANEL}
         SELECT panel_pos, feature_name, feature_index, row_number() OVER (ORDER BY panel_pos) - 1 AS out_pos
         FROM mapping WHERE present""",
+    "converted_counts": """SELECT 'o' || o_orderkey AS entity_id, o_orderpriority AS label, o_orderstatus AS grp, p_name || ':' || p_partkey AS feature_id,
+               pos AS feature_pos, CAST(sum(l_quantity) AS BIGINT) AS cnt
+        FROM lineitem JOIN orders ON l_orderkey = o_orderkey
+        JOIN (SELECT *, row_number() OVER (ORDER BY p_name, p_partkey) - 1 AS pos FROM part) ON l_partkey = p_partkey GROUP BY ALL""",
     "coordinate_matrix": """SELECT l_partkey AS feature_pos, l_orderkey AS entity_pos, CAST(sum(l_quantity) AS BIGINT) AS cnt
         FROM lineitem GROUP BY l_partkey, l_orderkey""",
 }

@@ -13,6 +13,7 @@ from probeloom.functions import vectors as V
 from probeloom.operators import (
     atoms, checks, coding, comparison, features, groups, metrics, panels, probe, split,
 )
+from probeloom.operators import dictionary as dictionary_fit
 from probeloom.operators.ranking import exact_quantile
 from probeloom.plans import reports
 from probeloom.session import bounded_rows, materialize, settle, spread
@@ -535,7 +536,20 @@ def seed_stability(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(atoms.stability(atoms.match_seeds(train, dicts), ["grp", "seed_a", "seed_b"]))
 
 
+N_DIRECTIONS = 3
+
+
+def singular_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Leading singular values of the embeddings by the randomized range finder, with their share of all squares."""
+    rows = T.vector_entities(spark, sf_dir)
+    (values, _), = dictionary_fit.leading_directions(rows, [dictionary_fit.Setting("lead", N_DIRECTIONS, 1.0, 0)], power=40)
+    total = rows.agg(F.sum(F.aggregate("vec", F.lit(0.0), lambda a, v: a + v * v))).first()[0]
+    found = [(i + 1, float(v), float(v) ** 2 / total) for i, v in enumerate(values)]
+    return round_doubles(spark.createDataFrame(found, "rank long, singular_value double, share double"), 5)
+
+
 QUERIES = {
+    "singular_values": singular_values,
     "seed_stability": seed_stability,
     "vector_quality": vector_quality,
     "aligned_vectors": aligned_vectors,

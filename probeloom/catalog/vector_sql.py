@@ -298,6 +298,23 @@ pairs AS (
   JOIN cor ON cor.atom_a = a.atom AND cor.atom_b = b.atom
 )"""
 
+def deflated(n: int, gram: str, steps: int = 600) -> str:
+    """Largest eigenvalue of a Gram matrix by repeated products, and the matrix without it."""
+    return f"""
+walk{n} AS (
+  SELECT 0 AS step, list_transform(m, lambda r, k: 1.0::DOUBLE + (k * 7919 % 101) / 101.0::DOUBLE) AS v FROM {gram}
+  UNION ALL
+  SELECT step + 1, list_transform(u, lambda x: x / sqrt(list_inner_product(u, u))) FROM (
+    SELECT step, list_transform(m, lambda r: list_inner_product(r, v)) AS u FROM walk{n}, {gram} WHERE step < {steps})
+),
+root{n} AS (
+  SELECT v, list_inner_product(v, list_transform(m, lambda r: list_inner_product(r, v))) AS root FROM walk{n}, {gram} WHERE step = {steps}
+),
+gram{n} AS (
+  SELECT list_transform(m, lambda r, i: list_transform(r, lambda x, j: x - root * v[i] * v[j])) AS m FROM root{n}, {gram}
+)"""
+
+
 # Dictionaries by held-out group and seed. Means of the same class agree far better than
 # those of different classes, so the best match is the class itself.
 SEED_STABILITY = f"""
@@ -526,6 +543,14 @@ SQL = {
         FROM atoms JOIN u USING (atom) JOIN m USING (atom)""",
     "atom_pairs": f"""WITH {PAIRS}
         SELECT atom_a, atom_b, round(cosine, 6) AS cosine, round(jaccard, 6) AS jaccard, round(correlation, 6) AS correlation FROM pairs""",
+    "singular_values": f"""WITH RECURSIVE {VECTORS},
+        px AS (SELECT vec_id, unnest(range(1, len(vec) + 1)) AS i, unnest(vec) AS x FROM vecs),
+        cells AS (SELECT a.i, b.i AS j, sum(a.x * b.x) AS g FROM px a JOIN px b USING (vec_id) GROUP BY ALL),
+        gram0 AS (SELECT list(row_ ORDER BY i) AS m FROM (SELECT i, list(g ORDER BY j) AS row_ FROM cells GROUP BY i)),
+        total AS (SELECT sum(g) AS t FROM cells WHERE i = j),
+        {deflated(1, 'gram0')}, {deflated(2, 'gram1')}, {deflated(3, 'gram2')}
+        SELECT rank, round(sqrt(root), 5) AS singular_value, round(root / t, 5) AS share
+        FROM (SELECT 1 AS rank, root FROM root1 UNION ALL SELECT 2, root FROM root2 UNION ALL SELECT 3, root FROM root3), total""",
     "seed_stability": f"""WITH {SEED_STABILITY}
         SELECT grp, seed_a, seed_b, round(avg(abs(cosine)), 6) AS mean_abs_cosine, round(median(abs(cosine)), 6) AS median_abs_cosine,
                round(avg(jaccard), 6) AS mean_top_feature_jaccard,

@@ -49,6 +49,7 @@ class Setting:
     mean: np.ndarray | None = None
     scale: np.ndarray | None = None
     columns: np.ndarray | None = None
+    start: str = "rows"                  # or "svd": leading right singular vectors of the training rows
 
     def rows(self, x: np.ndarray) -> np.ndarray:
         x = x if self.columns is None else x[:, self.columns]
@@ -64,6 +65,70 @@ class Fitted:
     objective: list[float] = field(default_factory=list)
 
 
+OVERSAMPLING, POWER_SCANS = 10, 4
+
+
+def leading_directions(vectors: DataFrame, settings: Sequence[Setting], power: int = POWER_SCANS) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Leading singular values and unit right singular vectors of the rows of each setting.
+
+    Randomized range finder: a seeded block of ``atoms`` + OVERSAMPLING directions goes
+    through X'X once per scan and is made orthogonal between scans; from the last block the
+    small matrix Q'X'XQ gives the values. Tasks return a block of model size per setting, all
+    settings share every scan, and X'X itself is never formed. The sign of a vector is
+    that of its entry of largest size. ``power`` scans follow the first one.
+    """
+    rows = vectors.select(stored_vector(vectors).alias("vec"), F.col("grp").cast("string").alias("grp"))
+    blocks: list[np.ndarray | None] = [None] * len(settings)
+
+    def product(batches: Iterator[pa.RecordBatch], blocks=blocks) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in small_batches(batches):
+            stored = to_matrix(batch.column("vec"))
+            grp = np.array(batch.column("grp").to_pylist(), dtype=object)
+            for i, s in enumerate(settings):
+                x = s.rows(stored[~np.isin(grp, s.excluded)] if s.excluded else stored)
+                if not len(x):
+                    continue
+                q = blocks[i] if blocks[i] is not None else np.random.default_rng(s.seed).normal(
+                    size=(x.shape[1], min(s.atoms + OVERSAMPLING, x.shape[1])))
+                part = (x @ q).T @ x
+                totals[i] = part if i not in totals else totals[i] + part
+        for i, part in totals.items():
+            keys = np.arange(starts[i], starts[i] + len(part), dtype=np.int32)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), to_lists(part)], names=["key", "v"])
+
+    starts = np.cumsum([0, *(s.atoms + OVERSAMPLING for s in settings)])
+    out: list = [None] * len(settings)
+    for _ in range(power + 1):
+        summed = rows.mapInArrow(product, "key int, v array<double>").groupBy("key").agg(
+            vector_to_array(Summarizer.sum(array_to_vector("v"))).alias("v"))
+        found = bounded_sums(summed, int(starts[-1]), "directions")
+        for i, s in enumerate(settings):
+            b = np.array([found[k] for k in range(int(starts[i]), int(starts[i + 1])) if k in found])
+            if not len(b):
+                raise ValueError(f"{s.name}: no rows outside the groups it may not see")
+            if blocks[i] is not None:
+                roots, turn = np.linalg.eigh(blocks[i].T @ b.T)
+                order = np.argsort(-roots)[:s.atoms]
+                v = (blocks[i] @ turn[:, order]).T
+                v *= np.sign(v[np.arange(len(v)), np.abs(v).argmax(axis=1)])[:, None]
+                out[i] = np.sqrt(np.maximum(roots[order], 0)), v
+            blocks[i] = np.linalg.qr(b.T)[0]
+    return out
+
+
+def first_atoms(vectors: DataFrame, settings: Sequence[Setting]) -> list[np.ndarray]:
+    """Starting atoms of every setting by its kind of start; directions that rows lack are zero atoms."""
+    out: dict[int, np.ndarray] = {}
+    for kind, make in (("rows", initial_atoms), ("svd", lambda v, s: [d for _, d in leading_directions(v, s)])):
+        own = [i for i, s in enumerate(settings) if s.start == kind]
+        if own:
+            out |= dict(zip(own, make(vectors, [settings[i] for i in own])))
+    if len(out) != len(settings):
+        raise ValueError("a dictionary starts from 'rows' or 'svd'")
+    return [np.vstack([d, np.zeros((s.atoms - len(d), d.shape[1]))]) for s, d in zip(settings, (out[i] for i in range(len(settings))))]
+
+
 def initial_atoms(vectors: DataFrame, settings: Sequence[Setting]) -> list[np.ndarray]:
     """Normalized non-zero training rows of each setting, drawn in its seeded hash order.
 
@@ -209,7 +274,7 @@ def fit_dictionaries(vectors: DataFrame, settings: Sequence[Setting], batches: i
                      batch_seed: int = 42, stored: DataFrame | None = None) -> list[Fitted]:
     """Fit all settings together; each step is one job over one bucket."""
     stored = bucketed(vectors, batches, batch_seed) if stored is None else stored
-    fits = [Fitted(s, d) for s, d in zip(settings, initial_atoms(stored, settings))]
+    fits = [Fitted(s, d) for s, d in zip(settings, first_atoms(stored, settings))]
     memory = [(np.zeros((s.atoms, s.atoms)), 0.0) for s in settings]
     best = [np.inf] * len(settings)
     stale, smooth = [0] * len(settings), [None] * len(settings)

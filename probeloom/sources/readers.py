@@ -12,10 +12,11 @@ from probeloom.operators.checks import CheckFailed
 from probeloom.operators.ranking import rank_rows
 
 
-def read_text_table(spark: SparkSession, path, columns: Sequence[str], sep: str = ",") -> DataFrame:
+def read_text_table(spark: SparkSession, path, columns: Sequence[str], sep: str = ",", with_place: bool = False) -> DataFrame:
     """All-string CSV or TSV. Empty text stays empty text and is not NULL.
 
-    Columns are matched to the header by name; a missing one is an error.
+    Columns are matched to the header by name; a missing one is an error. With
+    ``with_place`` rows also tell their file, split and order inside it.
     """
     header = spark.read.option("sep", sep).csv(path, header=True)
     missing = [c for c in columns if c not in header.columns]
@@ -23,7 +24,9 @@ def read_text_table(spark: SparkSession, path, columns: Sequence[str], sep: str
         raise CheckFailed(f"{path}: missing columns {missing}")
     schema = T.StructType([T.StructField(c, T.StringType()) for c in header.columns])
     rows = spark.read.schema(schema).option("sep", sep).option("emptyValue", "").option("quote", '"').csv(path, header=True)
-    return rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns])
+    place = [F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_block"),
+             F.monotonically_increasing_id().alias("_row")] if with_place else []
+    return rows.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in columns], *place)
 
 
 def read_exclusions(spark: SparkSession, path, column: str = "cell_id") -> DataFrame:
@@ -64,13 +67,8 @@ def grid(spark: SparkSession, atoms: Sequence[int], alpha: Sequence[float], seed
 
 # --- coordinate text ----------------------------------------------------------
 
-def read_coordinates(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
-    """Zero-based (feature_pos, entity_pos, cnt) from 1-based feature x entity text.
-
-    Lines starting with % are comments; the first other line holds the numbers
-    of features, entities and entries. The file is split and parsed in
-    parallel; the size line is looked for in the first block of the first file.
-    """
+def _coordinate_lines(spark: SparkSession, path: str):
+    """All lines but comments, and the place and numbers of the size line."""
     lines = spark.read.text(path).select(
         F.trim("value").alias("line"),
         F.col("_metadata.file_block_start").alias("block"),
@@ -79,9 +77,24 @@ def read_coordinates(spark: SparkSession, path: str, verify: bool = True) -> Dat
     head = lines.filter("block = 0").agg(F.min("at").alias("at"), F.min_by("line", "at").alias("line")).first()
     if head["line"] is None:
         raise CheckFailed(f"{path}: no size line")
-    n_features, n_entities, n_entries = (int(v) for v in head["line"].split())
+    return lines, head["at"], [int(v) for v in head["line"].split()]
+
+
+def coordinate_size(spark: SparkSession, path: str) -> tuple[int, int, int]:
+    """Features, entities and entries as the size line gives them."""
+    return tuple(_coordinate_lines(spark, path)[2])
+
+
+def read_coordinates(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
+    """Zero-based (feature_pos, entity_pos, cnt) from 1-based feature x entity text.
+
+    Lines starting with % are comments; the first other line holds the numbers
+    of features, entities and entries. The file is split and parsed in
+    parallel; the size line is looked for in the first block of the first file.
+    """
+    lines, at, (n_features, n_entities, n_entries) = _coordinate_lines(spark, path)
     parts = F.split("line", r"\s+")
-    first = (F.col("at.file") == head["at"]["file"]) & (F.col("at.row") == head["at"]["row"])
+    first = (F.col("at.file") == at["file"]) & (F.col("at.row") == at["row"])
     entries = lines.filter(~first).select(
         (parts[0].cast("long") - 1).alias("feature_pos"),
         (parts[1].cast("long") - 1).alias("entity_pos"),

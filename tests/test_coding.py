@@ -197,3 +197,24 @@ def test_nearly_repeated_atoms_settle():
             assert cost(z, d) <= cost(plain, d[:5]) + 1e-6
             row = coding.active_set_row(d @ d.T, d @ x[0], alpha, np.zeros(15), 1e-9)
             assert coding.kkt_rows(x[:1], row[None], d, alpha).max() <= 1e-6
+
+
+def test_leading_directions_are_singular_vectors(spark):
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(90, 4)) @ np.diag([9, 5, 2, 1]) @ rng.normal(size=(4, 25)) + 0.01 * rng.normal(size=(90, 25))
+    df = spark.createDataFrame([(f"e{i}", "a", "hold" if i % 3 == 0 else "train", [float(v) for v in x[i]]) for i in range(90)],
+                               "entity_id string, label string, grp string, vec array<double>").repartition(3)
+    mean, scale = x.mean(axis=0), x.std(axis=0)
+    settings = [Setting("a", 3, 1.0, 1), Setting("b", 4, 1.0, 2, excluded=("hold",), mean=mean, scale=scale), Setting("c", 40, 1.0, 3)]
+    inputs = [x, ((x - mean) / scale)[[i for i in range(90) if i % 3]], x]
+    for s, own, (values, v) in zip(settings, inputs, dictionary.leading_directions(df, settings, power=12)):
+        _, want, vt = np.linalg.svd(own, full_matrices=False)
+        k = min(s.atoms, 25)
+        np.testing.assert_allclose(values, want[:k], rtol=1e-6, atol=1e-6)
+        np.testing.assert_allclose(np.abs((v[:3] * vt[:3]).sum(axis=1)), 1, atol=1e-6)
+    starts = dictionary.first_atoms(df, [Setting("r", 3, 1.0, 1), Setting("s", 40, 1.0, 1, start="svd")])
+    assert [d.shape for d in starts] == [(3, 25), (40, 25)] and not starts[1][25:].any()
+    fits = dictionary.fit_dictionaries(df, [Setting("s", 4, 0.5, 1, 3, start="svd")], 2)
+    assert np.linalg.norm(fits[0].atoms, axis=1).max() <= 1 + 1e-9
+    with pytest.raises(ValueError):
+        dictionary.first_atoms(df, [Setting("q", 3, 1.0, 1, start="other")])

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from probeloom.operators.checks import CheckFailed
 from probeloom.session import materialize, settle
-from probeloom.sources import digests, readers, writers
+from probeloom.sources import convert, digests, readers, writers
 
 
 def put(folder, name, text):
@@ -124,3 +124,61 @@ def test_materialized_partitions_are_pruned(spark):
     df = materialize(spark.range(100).select("id", (F.col("id") % 4).cast("int").alias("b")), "t", partition_by="b")
     plan = df.filter("b = 2")._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(b" in plan and df.filter("b = 2").count() == 25
+
+
+def export(spark, root, entries, features, entities, shape=None):
+    df = spark.createDataFrame(entries, "feature_pos long, entity_pos long, cnt double")
+    readers.write_coordinates(df, f"{root}/matrix", *(shape or (len(features), len(entities))))
+    spark.createDataFrame([(f,) for f in features], "feature_id string").coalesce(1).write.csv(f"{root}/features", header=True)
+    spark.createDataFrame(entities, "entity_id string, label string, grp string").coalesce(1).write.csv(f"{root}/entities", header=True)
+    return [f"{root}/{name}" for name in ("matrix", "features", "entities", "tables")]
+
+
+def test_converted_counts_carry_their_names(spark, folder):
+    entities = [(f"c{9 - i}", "a", "g") for i in range(10)]
+    features = [f"f{i * 7 % 10}" for i in range(10)]
+    entries = [(i, j, float(i + j)) for i in range(10) for j in range(10) if (i + j) % 3]
+    report = convert.convert_counts(spark, *export(spark, folder, entries, features, entities))
+    assert report["n_entries"] == len(entries) and report["total"] == sum(int(c) for *_, c in entries)
+    got = {(r["entity_id"], r["feature_id"]): r["cnt"] for r in spark.read.parquet(f"{folder}/tables/counts").collect()}
+    assert got == {(entities[j][0], features[i]): int(c) for i, j, c in entries}
+
+
+def test_order_of_lines_survives_many_splits(spark, folder):
+    names = [f"name{i * 7919 % 30011:07d}" for i in range(3000)]
+    with open(f"{folder}/names.csv", "w") as f:
+        f.write("name\n" + "\n".join(names) + "\n")
+    before = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in before:
+            spark.conf.set(k, "1000")
+        rows = convert.read_ordered(spark, f"{folder}/names.csv", ["name"])
+        got = {r["pos"]: r["name"] for r in rows.collect()}
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == dict(enumerate(names))
+
+
+@pytest.mark.parametrize("fault", ["short names", "repeated name", "blank label", "repeated entity", "twice", "negative", "fraction"])
+def test_faulty_exports_are_refused(spark, folder, fault):
+    entities, features = [("c0", "a", "g"), ("c1", "b", "g"), ("c2", "a", "h")], ["f0", "f1"]
+    entries, shape = [(0, 0, 1.0), (1, 1, 2.0), (0, 2, 3.0)], None
+    if fault == "short names":
+        shape = (3, 3)
+    if fault == "repeated name":
+        features = ["f0", "f0"]
+    if fault == "blank label":
+        entities[1] = ("c1", " ", "g")
+    if fault == "repeated entity":
+        entities[1] = ("c0", "b", "g")
+    if fault == "twice":
+        entries.append((0, 0, 1.0))
+    if fault == "negative":
+        entries[0] = (0, 0, -1.0)
+    paths = export(spark, folder, entries, features, entities, shape)
+    if fault == "fraction":
+        spark.createDataFrame([("1 1 1.5",)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/matrix/part=1")
+        spark.createDataFrame([("2 3 1",)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/matrix/part=0")
+    with pytest.raises(CheckFailed):
+        convert.convert_counts(spark, *paths)

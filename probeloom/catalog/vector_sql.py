@@ -362,7 +362,7 @@ steps AS (
     FROM steps s JOIN pairs p ON p.atom_a = s.a + 1 AND (s.used & (1 << (p.atom_b - 1)::INT)) = 0)
   WHERE rn = 1
 ),
-solved AS (SELECT unnest(range(1, 9)) AS atom_a, unnest(picked) AS atom_b FROM (SELECT picked FROM steps WHERE a = 8 ORDER BY total DESC LIMIT 1))"""
+solved AS (SELECT unnest(range(1, 11)) AS atom_a, unnest(picked) AS atom_b FROM (SELECT picked FROM steps WHERE a = 10 ORDER BY total DESC LIMIT 1))"""
 
 
 def report_row(name: str, precision: str, recall: str, f1: str) -> str:
@@ -516,7 +516,7 @@ SQL = {
           SELECT split, list_sum(list_transform(range(1, len(vec) + 1), lambda i: pow(vec[i] - list_sum(list_transform(range(1, k + 1), lambda j: z[j] * d[j][i])), 2))) AS rss,
                  list_inner_product(vec, vec) AS xss, len(list_filter(z, lambda v: abs(v) > 1e-6)) AS act FROM coded)
         SELECT split, round(avg(rss) / 64, 6) AS mse, round(avg(xss) / 64, 6) AS zero_reconstruction_mse,
-               round(avg(act) / 8, 6) AS active_fraction, round(avg(act), 6) AS mean_active_atoms,
+               round(avg(act) / 10, 6) AS active_fraction, round(avg(act), 6) AS mean_active_atoms,
                round(avg(rss) / avg(xss), 6) AS relative_mse FROM e GROUP BY split""",
     "atom_norms": f"""WITH {VECTORS}, l AS (SELECT label, unnest(range(len(vec))) AS dim, unnest(vec) AS x FROM vecs),
         m AS (SELECT label, dim, avg(x) AS m FROM l GROUP BY ALL)

@@ -42,7 +42,7 @@ FULL_WIDTH = 512
 ARMIJO = 1e-4
 # Steps after which a fit of at most so many parameters asks for its Hessian, and the
 # doubles of Hessians that one scan returns.
-NEWTON_AFTER, NEWTON_WIDTH, HESSIAN_DOUBLES = 25, 1024, 8_000_000
+NEWTON_AFTER, NEWTON_WIDTH, HESSIAN_DOUBLES = 25, 400, 2_000_000
 SUMS = "key int, v array<double>"
 
 

@@ -30,7 +30,7 @@ from probeloom.operators import atoms, checks, comparison, dictionary, features,
 from probeloom.operators.checks import CheckFailed, assert_empty
 from probeloom.operators.coding import lasso_rows
 from probeloom.operators.dictionary import Fitted, Setting
-from probeloom.operators.joint_probe import View, Wanted, fit_together, score_together
+from probeloom.operators.joint_probe import GRADIENT_TOLERANCE, View, Wanted, fit_together, score_together
 from probeloom.operators.probe import Probe
 from probeloom.session import bounded_rows, materialize, settle
 from probeloom.sources.digests import checksum
@@ -211,11 +211,12 @@ def predict_folds(rows: DataFrame, blocks: Sequence[tuple[Representation, Sequen
 Fits = list[tuple[Representation, list[tuple[str, float]], list[Probe]]]
 
 
-def _fit_all(rows: DataFrame, todo: Sequence[tuple[Representation, Sequence[tuple[str, float]]]], classes: list[str]) -> Fits:
+def _fit_all(rows: DataFrame, todo: Sequence[tuple[Representation, Sequence[tuple[str, float]]]], classes: list[str],
+             tolerance: float) -> Fits:
     """All (scaling, lambda) fits of all representations, every step one scan."""
     views = [_view(rep, False) for rep, _ in todo]
     wanted = [Wanted(v, lam, scaling) for v, (_, grid) in enumerate(todo) for scaling, lam in grid]
-    models = iter(fit_together(rows, views, wanted, classes, open_=Opened))
+    models = iter(fit_together(rows, views, wanted, classes, tolerance, open_=Opened))
     return [(rep, list(grid), [next(models) for _ in grid]) for rep, grid in todo]
 
 
@@ -435,7 +436,7 @@ def from_counts(counts: DataFrame, entities: DataFrame, policy: str = "variance"
 
 def nested_study(inputs: Inputs | DataFrame, seeds: Sequence[int] = (0, 1, 2), n_atoms: int = 64, alpha: float = 2.0,
                  epochs: int = 10, lambdas: Sequence[float] = LAMBDAS, batches: int = 4,
-                 variance_top: int | None = None, path: str | None = None) -> dict[str, DataFrame]:
+                 variance_top: int | None = None, path: str | None = None, tolerance: float = GRADIENT_TOLERANCE) -> dict[str, DataFrame]:
     """Run the study on rows with entity_id, label, grp, vec and optionally emb, or on :func:`from_counts`.
 
     Inner folds choose a penalty per method and scaling; outer folds refit with
@@ -453,7 +454,7 @@ def nested_study(inputs: Inputs | DataFrame, seeds: Sequence[int] = (0, 1, 2), n
     if isinstance(inputs, DataFrame):
         inputs = from_vectors(inputs, variance_top)
     spark, folds = inputs.rows.sparkSession, inputs.folds
-    log = StageLog(spark, path, path and _study_key(inputs, seeds, n_atoms, alpha, epochs, lambdas, batches))
+    log = StageLog(spark, path, path and _study_key(inputs, seeds, n_atoms, alpha, epochs, lambdas, batches, tolerance))
     # Written once: every later scan reads this copy, whatever it took to make the rows.
     rows = log.table("rows", lambda: dictionary.batched(inputs.rows, batches), "batch")
     assert_empty(checks.coverage_gaps(rows, "grp", "label"), "labels missing from a group")
@@ -477,14 +478,14 @@ def nested_study(inputs: Inputs | DataFrame, seeds: Sequence[int] = (0, 1, 2), n
     kept = probe.persisted(stored)
     try:
         inner = log.table("inner", lambda: spark.createDataFrame(
-            _fit_rows(kept, _fit_all(kept, [(r, grid) for r in inner_reps], classes), classes), FIT_SCHEMA))
+            _fit_rows(kept, _fit_all(kept, [(r, grid) for r in inner_reps], classes, tolerance), classes), FIT_SCHEMA))
         chosen = comparison.best_lambda(inner, ["outer_grp", "method", "scaling"])
         picks = {(r["outer_grp"], r["method"], r["scaling"]): r["lambda"] for r in chosen.collect()}
         missing = [(r.fold.outer, r.method, s) for r in outer_reps for s in SCALINGS if (r.fold.outer, r.method, s) not in picks]
         if missing:
             raise CheckFailed(f"no penalty converged in every inner fit of {missing[:5]}")
         models = log.table("models", lambda: _model_table(spark, _fit_all(
-            kept, [(r, [(s, picks[r.fold.outer, r.method, s]) for s in SCALINGS]) for r in outer_reps], classes), sorted({f.outer for f in folds})))
+            kept, [(r, [(s, picks[r.fold.outer, r.method, s]) for s in SCALINGS]) for r in outer_reps], classes, tolerance), sorted({f.outer for f in folds})))
         outer = _read_models(models, outer_reps)
         if not all(m.converged for _, _, own in outer for m in own):
             raise CheckFailed("an outer probe did not converge")

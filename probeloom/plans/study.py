@@ -524,7 +524,7 @@ def audit_study(study: dict[str, DataFrame], classes: Sequence[str]) -> DataFram
     assert_empty(checks.cohort_differences(seen, cohort, ("entity_id", "label", "grp")), "prediction cohort")
     assert_empty(seen.filter(F.col("n") != n_runs), "entities not predicted once per run")
     keys = ["grp", *runs]
-    again = metrics.scored_metrics(predictions, classes, keys)
+    again = metrics.scalar_metrics(metrics.confusion(predictions, classes, keys), keys, classes)
     assert_empty(checks.metric_differences(study["outer"], again, keys, metrics.METRICS), "recomputed metrics")
     n_groups = cohort.select("grp").distinct().count()
     leaks = study["models"].filter(F.array_contains("trained_on", F.col("outer_grp")) | (F.size("trained_on") != n_groups - 1))

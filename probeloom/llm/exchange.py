@@ -15,6 +15,7 @@ logarithm of the width, while every further row would double what is sent.
 from __future__ import annotations
 
 import uuid
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -230,8 +231,33 @@ SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
+# Words of up to this many bytes fit, with their length, into 64 bits.
+SHORT = 7
+SECOND_SEED = 0x5851F42D4C957F2D
+
+
+def word_codes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Two 64-bit numbers for each word, the same wherever it stands.
+
+    Those of a word of up to SHORT bytes are bijections of its bytes and length, so no two
+    such words share one. A longer word has 128 bits of BLAKE2b.
+    """
+    a, length = np.frombuffer(data, np.uint8), ends - starts
+    value = np.minimum(length, SHORT + 1).astype(U64) << U64(8 * SHORT)
+    for i in range(SHORT):
+        there = np.flatnonzero(length > i)
+        value[there] |= a[starts[there] + i].astype(U64) << U64(8 * i)
+    codes = np.stack([mix(value), mix(value, SECOND_SEED)], axis=1)
+    long = np.flatnonzero(length > SHORT)
+    known: dict[bytes, int] = {}
+    numbers = [known.setdefault(data[s:e], len(known)) for s, e in zip(starts[long].tolist(), ends[long].tolist())]
+    digests = b"".join([blake2b(w, digest_size=16).digest() for w in known])
+    codes[long] = np.frombuffer(digests, "<u8").reshape(-1, 2)[numbers]
+    return codes
+
+
 class Words:
-    """Words of the texts of a bundle: bounds in ``data``, the number of the text, and a hash."""
+    """Words of the texts of a bundle: bounds in ``data``, the number of the text, and codes (``word_codes``)."""
 
     def __init__(self, texts: list[str]):
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
@@ -244,7 +270,8 @@ class Words:
         self.text = np.searchsorted(begins, self.starts, side="right") - 1
         self.count = np.bincount(self.text, minlength=len(texts)).astype(np.int64)
         self.first = np.cumsum(self.count) - self.count
-        self.hash = mix(range_hashes(a.astype(U64), BYTE_BASE, self.starts, self.ends) + (self.ends - self.starts).astype(U64))
+        self.codes = word_codes(self.data, self.starts, self.ends)
+        self.hash = np.ascontiguousarray(self.codes[:, 0])
 
     def windows(self, size: int) -> np.ndarray:
         """Numbers of the words at which ``size`` words of one text start."""
@@ -253,5 +280,12 @@ class Words:
             return np.zeros(0, np.int64)
         return np.flatnonzero(self.text[:n - size + 1] == self.text[size - 1:])
 
-    def window_hashes(self, at: np.ndarray, size: int, base: U64 = WORD_BASE, seed: int = 0) -> np.ndarray:
-        return mix(range_hashes(mix(self.hash, seed) if seed else self.hash, base, at, at + size))
+    def window_hashes(self, at: np.ndarray, size: int) -> np.ndarray:
+        """Cheap keys for the sketch; different windows may share one."""
+        return mix(range_hashes(self.hash, WORD_BASE, at, at + size))
+
+    def window_digests(self, at: np.ndarray, size: int) -> np.ndarray:
+        """128 bits of BLAKE2b over the codes of the words, as two numbers per window."""
+        codes, width = memoryview(self.codes).cast("B") if len(self.codes) else memoryview(b""), 16 * size
+        found = b"".join([blake2b(codes[i:i + width], digest_size=16).digest() for i in (16 * at).tolist()])
+        return np.frombuffer(found, "<u8").reshape(-1, 2)

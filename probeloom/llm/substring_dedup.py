@@ -2,8 +2,8 @@
 
 A count-min sketch, merged from the bundles, overestimates in how many documents
 each 50-word window occurs (see ``exchange``). Windows estimated to occur once are
-unique for certain. All others are grouped exactly, by 96 bits of two independent
-hashes, to find the smallest doc_id that holds each. A bundle sends a window once,
+unique for certain. All others are grouped by a 128-bit BLAKE2b digest of their words
+(see ``exchange.word_codes``), to find the smallest doc_id that holds each. A bundle sends a window once,
 with the smallest of its own documents that hold it, so a window that a third of
 all documents share has one row per bundle; what it gets back is one bit per window.
 """
@@ -23,7 +23,7 @@ WINDOW = 50
 # Window groups that one task compares on average.
 SHARD_WINDOWS = 1_000_000
 NO_ID = np.iinfo(np.int64).max
-PAIR = np.dtype([("key", "<u8"), ("second", "<u4")])
+PAIR = np.dtype([("key", "<u8"), ("second", "<u8")])
 
 SENT = "bundle int, shard int, keys binary, ids binary"
 BITS = "bundle int, shard int, cells binary, counts binary"
@@ -41,13 +41,12 @@ def candidates(rows: pa.Table, words: X.Words, replies: pa.Table, size: int, cel
     """
     listed, _ = X.heavy(replies, cells)
     at = words.windows(size)
-    key = words.window_hashes(at, size)
-    seen = X.counts_of(X.cell_of(key, cells), listed, np.full(len(listed), 2, np.uint32)) > 1
-    at, key = at[seen], key[seen]
-    second = words.window_hashes(at, size, X.SECOND_BASE, 0x5851F42D4C957F2D) >> X.U64(32)
+    cell = X.cell_of(words.window_hashes(at, size), cells)
+    at = at[X.counts_of(cell, listed, np.full(len(listed), 2, np.uint32)) > 1]
+    digests = words.window_digests(at, size)
     own = np.array([NO_ID if i is None else i for i in rows["id"].to_pylist()], np.int64)[words.text[at]]
     pairs = np.zeros(len(at), PAIR)
-    pairs["key"], pairs["second"] = key, second
+    pairs["key"], pairs["second"] = digests[:, 0], digests[:, 1]
     # Rows are in order of their ids, so the first window of a key has the smallest.
     entries, first, back = np.unique(pairs, return_index=True, return_inverse=True)
     shard = ((entries["key"] >> X.U64(32)) * X.U64(shards) >> X.U64(32)).astype(np.int64)

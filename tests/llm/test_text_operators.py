@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter
+from hashlib import sha256
 
 from pyspark.sql import functions as F
 
@@ -18,6 +19,37 @@ def test_repeated_windows_match_plain_version(docs, rows):
         assert Counter(map(tuple, found)) == Counter(brute.repeats(rows, size))
 
 
+def test_words_built_to_share_a_polynomial_are_told_apart(spark):
+    """The Thue-Morse word and its complement agree in every polynomial modulo 2^64 with an odd base."""
+    a = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rest = " ".join(f"w{i}" for i in range(49))
+    rows = [(1, f"{rest} {a}"), (2, f"{rest} {b}"), (3, f"{rest} {a}"), (4, f"{rest} a\0"), (5, f"{rest} a"), (6, f"{rest} {'c' * 7}"), (7, f"{rest} {'c' * 8}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = substring_dedup.remove_repeats(df).select("rec.doc_id", "n_words", "n_removed", "kept").collect()
+    assert Counter(map(tuple, found)) == Counter(brute.repeats(rows, 50))
+    _, classes = near_dedup.near_classes(spark.createDataFrame([(1, a), (2, b), (3, a)], "doc_id long, text string"))
+    assert {r["id"]: r["class_id"] for r in classes.collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_word_codes_agree_exactly_for_equal_words():
+    rng = np.random.default_rng(1)
+    words = [bytes(rng.integers(97, 99, rng.integers(1, 12)).astype(np.uint8)) for _ in range(3000)] + [b"a", b"a\0", b"\0", b"\0\0"]
+    data = b"\n".join(words) + b"\n"
+    starts = np.cumsum([0, *(len(w) + 1 for w in words[:-1])])
+    codes = exchange.word_codes(data, starts, starts + np.array([len(w) for w in words]))
+    for column in codes.T:
+        assert len(set(zip(column.tolist(), words))) == len(set(words)) == len(set(column.tolist()))
+
+
+def test_registered_substring_query_equals_plain_version(spark, folder, rows):
+    """The query itself, with its digest columns, over a stored table."""
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{folder}/documents.parquet")
+    found = substring_dedup.op1_substring_dedup(spark, folder).collect()
+    plain = [(i, n, gone, sha256(kept.encode()).hexdigest()) for i, n, gone, kept in brute.repeats(rows, 50)]
+    assert Counter(map(tuple, found)) == Counter(plain)
+
+
 def test_cut_documents_keep_their_columns(docs):
     found = substring_dedup.without_repeats(docs)
     assert found.columns == docs.columns and found.count() == docs.count()

@@ -266,8 +266,8 @@ class Words:
         solid = ~SPACE[a]
         edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=0, append=0))
         self.starts, self.ends = edges[::2], edges[1::2]
-        begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
-        self.text = np.searchsorted(begins, self.starts, side="right") - 1
+        self.begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
+        self.text = np.searchsorted(self.begins, self.starts, side="right") - 1
         self.count = np.bincount(self.text, minlength=len(texts)).astype(np.int64)
         self.first = np.cumsum(self.count) - self.count
         self.codes = word_codes(self.data, self.starts, self.ends)

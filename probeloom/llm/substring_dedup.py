@@ -10,6 +10,8 @@ all documents share has one row per bundle; what it gets back is one bit per win
 
 from __future__ import annotations
 
+from itertools import compress
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -48,7 +50,13 @@ def candidates(rows: pa.Table, words: X.Words, replies: pa.Table, size: int, cel
     pairs = np.zeros(len(at), PAIR)
     pairs["key"], pairs["second"] = digests[:, 0], digests[:, 1]
     # Rows are in order of their ids, so the first window of a key has the smallest.
-    entries, first, back = np.unique(pairs, return_index=True, return_inverse=True)
+    order = np.lexsort((pairs["second"], pairs["key"]))
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = pairs[order[1:]] != pairs[order[:-1]]
+    back = np.empty(len(order), np.int64)
+    back[order] = np.cumsum(fresh) - 1
+    first = order[fresh]
+    entries = pairs[first]
     shard = ((entries["key"] >> X.U64(32)) * X.U64(shards) >> X.U64(32)).astype(np.int64)
     return at, own, back, entries, own[first], shard
 
@@ -142,11 +150,11 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
             np.add.at(gone, hit + size, -1)
         covered = np.cumsum(gone)[:-1] > 0
         removed = np.bincount(words.text[covered], minlength=rows.num_rows)
-        kept = []
+        kept, stay = [], (~covered).tolist()
         for i, (first, n) in enumerate(zip(words.first.tolist(), words.count.tolist())):
-            stay = np.flatnonzero(~covered[first:first + n]) + first if removed[i] else range(first, first + n)
-            s, e = words.starts, words.ends
-            kept.append(b" ".join([words.data[s[j]:e[j]] for j in stay]).decode("utf-8", "surrogatepass"))
+            # Bytes split at the same six spaces as the words.
+            own = words.data[words.begins[i]:words.begins[i + 1]].split()
+            kept.append(b" ".join(compress(own, stay[first:first + n]) if removed[i] else own).decode("utf-8", "surrogatepass"))
         return pa.table({
             "rec": rows["rec"].combine_chunks(), "none": rows["none"].combine_chunks(), "old_text": rows["text"].combine_chunks(),
             "n_words": pa.array(words.count), "n_removed": pa.array(removed.astype(np.int64)), "kept": pa.array(kept, pa.string()),

@@ -239,6 +239,13 @@ def file_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def tree_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Merkle root of every table file, read by splits."""
+    return digests.tree_digests(spark, sf_dir, "*.parquet").select(
+        F.regexp_extract("stream", "[^/]+$", 0).alias("file"), "n_bytes", "root"
+    )
+
+
 # --- features -----------------------------------------------------------------
 
 def fitted_on_train(spark: SparkSession, sf_dir: str, n_features: int):
@@ -402,6 +409,7 @@ QUERIES = {
     "empty_entities": empty_entities,
     "table_fingerprints": table_fingerprints,
     "file_digests": file_digests,
+    "tree_digests": tree_digests,
     "selected_features": selected_features,
     "transformed_long": transformed_long,
     "group_feature_stats": group_feature_stats,

@@ -192,6 +192,26 @@ def stale_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("stage", F.col("depth").cast("long").alias("depth"))
 
 
+def provenance_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chains from every stage over document parts to all it was made of.
+
+    Parts that changed since break the chains through them. ``review`` was made of the report and is
+    recorded as a source of the first features, which plants a cycle.
+    """
+    files, current, needs = stage_tables(spark, sf_dir)
+    planted = spark.createDataFrame([("review", "report")], "child string, parent string").unionByName(
+        needs.filter("stage LIKE 'features/%'").agg(F.min("stage").alias("child")).withColumn("parent", F.lit("review"))
+    )
+    made = needs.select(F.col("stage").alias("child"), F.col("required").alias("parent")).unionByName(planted)
+    links = files.select(F.col("stage").alias("child"), F.col("path").alias("parent"), "sha256").unionByName(
+        made.withColumn("sha256", F.md5("parent"))
+    )
+    there = current.unionByName(made.select(F.col("parent").alias("path"), F.md5("parent").alias("sha256")).distinct())
+    return lineage.provenance(links, there).select(
+        "artifact", "ancestor", F.col("depth").cast("long").alias("depth"), F.array_join("path", " <- ").alias("path"), "first_broken", "status"
+    )
+
+
 QUERIES = {
     "logistic_scores": logistic_scores,
     "two_class_probe": two_class_probe,
@@ -202,6 +222,7 @@ QUERIES = {
     "dictionary_fit": dictionary_fit,
     "nested_group_study": nested_group_study,
     "stale_stages": stale_stages,
+    "provenance_chains": provenance_chains,
 }
 
 _DIGEST = digests.sql_checksum(["CAST(doc_id AS VARCHAR)", "text"])
@@ -237,6 +258,31 @@ SQL = {
         shares AS (SELECT label, count(*)::DOUBLE / sum(count(*)) OVER () AS share FROM manifest WHERE split = 'train' GROUP BY label)
         SELECT feature_set, c AS "C", label, round(share, 4) AS mean_probability, true AS gradient_vanishes
         FROM shares, (VALUES ('embedding'), ('codes')) f(feature_set), (VALUES (0.01::DOUBLE), (0.1), (1), (10), (100), (1000)) q(c)""",
+    "provenance_chains": f"""WITH RECURSIVE
+        now_ AS (SELECT source, {_DIGEST} AS d FROM documents GROUP BY source),
+        before AS (
+          SELECT source, {_DIGEST} AS d FROM documents
+          WHERE doc_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1) GROUP BY source),
+        needs AS (
+          SELECT 'features/' || lang AS child, 'tokens/' || source AS parent, false AS broken FROM documents
+          UNION SELECT 'report', 'features/' || lang, false FROM documents),
+        links AS (
+          SELECT 'tokens/' || b.source AS child, b.source AS parent, b.d IS DISTINCT FROM n.d AS broken
+          FROM before b LEFT JOIN now_ n USING (source)
+          UNION SELECT * FROM needs
+          UNION SELECT 'review', 'report', false
+          UNION SELECT min(child), 'review', false FROM needs WHERE child LIKE 'features/%'),
+        known AS (SELECT *, CASE WHEN broken THEN child || ' <- ' || parent END AS cut FROM links WHERE child IS NOT NULL AND parent IS NOT NULL),
+        walk AS (
+          SELECT child AS artifact, parent AS ancestor, [child, parent] AS path, cut AS first_broken FROM known
+          UNION ALL
+          SELECT w.artifact, k.parent, list_append(w.path, k.parent), coalesce(w.first_broken, k.cut)
+          FROM walk w JOIN known k ON k.child = w.ancestor
+          WHERE w.ancestor <> w.artifact AND (k.parent = w.artifact OR NOT list_contains(w.path, k.parent))),
+        ranked AS (SELECT *, row_number() OVER (PARTITION BY artifact, ancestor ORDER BY len(path), path) AS place FROM walk)
+        SELECT artifact, ancestor, CAST(len(path) - 1 AS BIGINT) AS depth, array_to_string(path, ' <- ') AS path, first_broken,
+               CASE WHEN artifact = ancestor THEN 'cycle' WHEN first_broken IS NOT NULL THEN 'broken' ELSE 'whole' END AS status
+        FROM ranked WHERE place = 1""",
     "stale_stages": f"""WITH RECURSIVE
         now_ AS (SELECT source, {_DIGEST} AS d FROM documents GROUP BY source),
         before AS (

@@ -2,15 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Iterator
+from hashlib import sha256
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from probeloom.session import materialize
+
+# Bytes of a leaf and digests of a node of the tree.
+LEAF_BYTES = 1 << 20
+FANOUT = 1024
+# Splits of the files of one call; their offsets (24 bytes each) are broadcast.
+MAX_SPLITS = 1_000_000
+MARK = b"\xef\xbb\xbf"
+# The line reader unpacks files with these endings.
+PACKED = r"\.(gz|gzip|bz2|deflate|zst|lz4|snappy|xz|passthrough)$"
+
 
 def file_digests(spark: SparkSession, path, pattern: str | None = None) -> DataFrame:
     """path, n_bytes, sha256 of every file below ``path``; one row per file.
 
-    Meant for manifests, reports and part files. Tables are compared with
-    :func:`fingerprint`, which has no per-file size limit.
+    A file is one row, so it may have 2 GB at most; larger ones have :func:`tree_digests`.
+    Tables are compared with :func:`fingerprint`.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if pattern:
@@ -20,6 +35,135 @@ def file_digests(spark: SparkSession, path, pattern: str | None = None) -> DataF
     )
 
 
+def pieces_of(batches: Iterator[pa.RecordBatch], leaf_bytes: int) -> Iterator[pa.RecordBatch]:
+    """stream, leaf, start, digest, piece: digests of leaves that lie in one split, bytes of those at its ends.
+
+    The last byte of a split is held back until its end, as the file may not close with a line feed.
+    """
+    out: list[tuple] = []
+    split, stream, at, closed, held = None, None, 0, True, bytearray()
+
+    def cut(last: bool) -> None:
+        nonlocal at
+        done = 0
+        while True:
+            leaf = at // leaf_bytes
+            size = min((leaf + 1) * leaf_bytes - at, len(held) - done)
+            whole = size == leaf_bytes
+            if size == 0 or not last and done + size >= len(held):
+                break
+            data = bytes(held[done:done + size])
+            out.append((stream, leaf, at, sha256(b"\0" + data).digest() if whole else None, None if whole else data))
+            at, done = at + size, done + size
+        del held[:done]
+
+    def flush() -> pa.RecordBatch:
+        kinds = (pa.string(), pa.int64(), pa.int64(), pa.binary(), pa.binary())
+        names = ("stream", "leaf", "start", "digest", "piece")
+        batch = pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], k) for i, k in enumerate(kinds)], names)
+        out.clear()
+        return batch
+
+    def finish() -> None:
+        if not closed and held:
+            del held[-1]
+        cut(True)
+
+    for batch in batches:
+        keys = list(zip(batch["key"].to_pylist(), batch["block"].to_pylist()))
+        lines, i = batch["line"].to_pylist(), 0
+        while i < len(keys):
+            j = i + 1
+            while j < len(keys) and keys[j] == keys[i]:
+                j += 1
+            if keys[i] != split:
+                finish()
+                split, stream, at = keys[i], batch["stream"][i].as_py(), batch["offset"][i].as_py()
+                closed = batch["closed"][i].as_py()
+                held[:] = MARK if batch["marked"][i].as_py() else b""
+            held += b"\n".join(lines[i:j]) + b"\n"
+            cut(False)
+            i = j
+        if out:
+            yield flush()
+    finish()
+    if out:
+        yield flush()
+
+
+def tree_digests(spark: SparkSession, path, pattern: str | None = None, as_one: bool = False,
+                 leaf_bytes: int = LEAF_BYTES, fanout: int = FANOUT) -> DataFrame:
+    """stream, n_files, n_bytes, root: Merkle roots of files of any size, read by splits.
+
+    A stream is a file or, ``as_one``, all files below ``path`` in order of their paths, so that a
+    file cut into parts, or cut anew elsewhere, keeps its root. Leaves are ranges of ``leaf_bytes`` bytes,
+    hashed where they are read; only the bytes at both ends of a split travel. The root also
+    binds the number of bytes. Spark's readers pass over empty files, so these are not counted.
+
+    Bytes come from the line reader: line feeds, a missing one at the end and a byte order
+    mark are put back by the sizes of the files. A run of bytes without line feed has to fit in a row (2 GB).
+    Files with an ending that Spark unpacks are refused, as are files that change meanwhile
+    and a file of nothing but a byte order mark, of which the reader gives no row.
+    """
+    def opened(kind: str, **options) -> DataFrame:
+        reader = spark.read.format(kind).option("recursiveFileLookup", True)
+        if pattern:
+            reader = reader.option("pathGlobFilter", pattern)
+        return reader.options(**options).load(path)
+
+    meta = F.col("_metadata")
+    files = opened("binaryFile").select(meta["file_path"].alias("file"), meta["file_size"].alias("size"))
+    if files.filter(F.lower("file").rlike(PACKED)).limit(1).count():
+        raise ValueError("packed files have no tree digest; use file_digests")
+    lines = opened("text", lineSep="\n").select(
+        F.col("value").cast("binary").alias("line"), meta["file_path"].alias("file"), meta["file_block_start"].alias("block")
+    )
+    blocks = materialize(lines.groupBy("file", "block").agg(F.sum(F.octet_length("line") + F.lit(1).cast("long")).alias("n")), "splits")
+    if blocks.count() > MAX_SPLITS:
+        raise ValueError(f"more than {MAX_SPLITS} splits; digest folder by folder")
+    # What the lines lack: three bytes of a mark; what they have too much: a line feed at the end.
+    read = blocks.groupBy("file").agg(F.sum("n").alias("read"), F.max("block").alias("last"))
+    sizes = materialize(files.join(read, "file", "left").withColumn("lack", F.col("size") - F.coalesce("read", F.lit(0))), "files")
+    if sizes.filter("NOT (lack IN (0, -1) OR read IS NOT NULL AND lack IN (3, 2))").limit(1).count():
+        raise ValueError("the bytes read are not those of the files: one changed meanwhile, or is a mere byte order mark")
+    stream = F.lit("") if as_one else F.col("file")
+    own = blocks.join(sizes, "file").select(
+        stream.alias("stream"), "file", "block", ((F.col("block") == 0) & (F.col("lack") >= 2)).alias("marked"),
+        (~((F.col("block") == F.col("last")) & F.col("lack").isin(-1, 2))).alias("closed"), "n",
+    ).withColumn("n", F.col("n") + F.when(F.col("marked"), 3).otherwise(0) - F.when(F.col("closed"), 0).otherwise(1))
+    before = Window.partitionBy("stream").orderBy("file", "block").rowsBetween(Window.unboundedPreceding, -1)
+    placed = materialize(own.select(
+        F.xxhash64("file").alias("key"), "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"), "marked", "closed"
+    ), "offsets")
+    if placed.count() != placed.select("key", "block").distinct().count():
+        raise ValueError("two paths share a hash; digest folder by folder")
+    # A broadcast keeps the lines of a split in their order.
+    with_place = lines.withColumn("key", F.xxhash64("file")).join(F.broadcast(placed), ["key", "block"], "left").select(
+        "key", "block", stream.alias("stream"), "line", "offset", "marked", "closed"
+    ).withColumn("offset", F.when(F.col("offset").isNull(), F.raise_error(F.lit("files were split otherwise; run again"))).otherwise(F.col("offset")))
+    pieces = materialize(with_place.mapInArrow(
+        lambda batches: pieces_of(batches, leaf_bytes), "stream string, leaf long, start long, digest binary, piece binary"
+    ), "leaves")
+    joined = pieces.filter("piece IS NOT NULL").groupBy("stream", F.col("leaf").alias("n")).agg(
+        F.expr("unhex(sha2(concat(X'00', listagg(piece) WITHIN GROUP (ORDER BY start)), 256))").alias("digest")
+    )
+    level = pieces.filter("digest IS NOT NULL").select("stream", F.col("leaf").alias("n"), "digest").unionByName(joined)
+    totals = sizes.groupBy(stream.alias("stream")).agg(F.count(F.lit(1)).alias("n_files"), F.sum("size").alias("n_bytes"))
+    most = -(-(totals.agg(F.max("n_bytes")).first()[0] or 0) // leaf_bytes)
+    # ``left``: nodes of the stream at this level; a stream with one is done.
+    level = level.join(totals.select("stream", F.ceil(F.col("n_bytes") / leaf_bytes).alias("left")), "stream")
+    while most > 1:
+        node = F.expr("unhex(sha2(concat(X'01', listagg(digest) WITHIN GROUP (ORDER BY n)), 256))")
+        level = level.groupBy("stream", "left", F.expr(f"n div {int(fanout)}").alias("n")).agg(node.alias("node"), F.max("digest").alias("digest"))
+        level = level.select("stream", F.ceil(F.col("left") / fanout).alias("left"), "n",
+                             F.when(F.col("left") == 1, F.col("digest")).otherwise(F.col("node")).alias("digest"))
+        most = -(-most // fanout)
+    top = F.lower(F.hex(F.coalesce("digest", F.lit(b""))))
+    return totals.join(level, "stream", "left").select(
+        "stream", "n_files", "n_bytes", F.sha2(F.concat_ws(":", F.col("n_bytes").cast("string"), top), 256).alias("root")
+    )
+
+
 def row_digest(*columns: Column) -> Column:
     """SHA-256 of the fields as text, each led by its length, so that no two lists of fields agree."""
     texts = [F.coalesce(F.concat(F.length(c.cast("string")), F.lit("="), c.cast("string")), F.lit("-")) for c in columns]

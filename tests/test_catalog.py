@@ -6,6 +6,8 @@ import duckdb
 import pytest
 
 import __spark_entry__ as registry
+from probeloom.sources import digests
+from tests.test_sources import plain_root
 from tools import compare
 
 SF = "/root/testdata/sf0.01"
@@ -13,7 +15,7 @@ QUICK = [
     "library_size", "stratified_split", "split_exclusions", "label_by_group", "coverage_gaps", "partition_violations",
     "id_quality", "domain_violations", "table_fingerprints", "selected_features", "panel_mapping", "coordinate_matrix",
     "fold_audit", "classification_report", "metrics_by_group", "dictionary_ranking", "best_lambda", "sparse_codes_batch",
-    "kkt_summary", "atom_matching", "atom_diagnostics", "stale_stages",
+    "kkt_summary", "atom_matching", "atom_diagnostics", "stale_stages", "provenance_chains",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")
@@ -36,6 +38,16 @@ def test_query_equals_its_sql(spark, duck, name):
     assert compare.rows_of(df.columns, df.collect()) == compare.rows_of(columns, result.fetchall())
 
 
+def test_tree_digests_equal_plain_roots(spark):
+    """All table files, at the leaves and fan-out in use."""
+    found = {r["file"]: (r["n_bytes"], r["root"]) for r in registry.queries()["tree_digests"](spark, SF).collect()}
+    assert set(found) == {f for f in os.listdir(SF) if f.endswith(".parquet")}
+    for name, (size, root) in found.items():
+        with open(f"{SF}/{name}", "rb") as f:
+            data = f.read()
+        assert (size, root) == (len(data), plain_root(data, digests.LEAF_BYTES, digests.FANOUT))
+
+
 def test_every_sql_has_a_query():
     assert set(registry.oracle_sql()) <= set(registry.queries())
 

@@ -123,6 +123,27 @@ def test_stale_stages(spark):
     assert {r["stage"]: r["depth"] for r in found.collect()} == {"b": 0, "c": 0, "d": 1, "e": 2}
 
 
+def test_provenance_names_the_first_broken_link(spark):
+    links = spark.createDataFrame(
+        [("out", "mid", "1"), ("mid", "raw", "2"), ("out", "side", "3"), ("side", "raw", "2"), ("side", "gone", "4"),
+         ("x", "y", "5"), ("y", "x", "6"), ("z", "x", "6"), ("self", "self", "7"), ("mid", "raw", "2"), (None, "raw", "2"), ("late", "raw", None)],
+        "child string, parent string, sha256 string")
+    now = spark.createDataFrame([("mid", "1"), ("raw", "9"), ("side", "3"), ("x", "6"), ("y", "5"), ("self", "7")], "path string, sha256 string")
+    found = {(r["artifact"], r["ancestor"]): (r["depth"], r["path"], r["first_broken"], r["status"]) for r in lineage.provenance(links, now).collect()}
+    assert found["out", "mid"] == (1, ["out", "mid"], None, "whole")
+    # Two chains of one length: the least path decides.
+    assert found["out", "raw"] == (2, ["out", "mid", "raw"], "mid <- raw", "broken")
+    assert found["out", "gone"] == (2, ["out", "side", "gone"], "side <- gone", "broken")
+    assert found["x", "x"] == (2, ["x", "y", "x"], None, "cycle") and found["self", "self"][3] == "cycle"
+    assert found["z", "y"] == (2, ["z", "x", "y"], None, "whole") and found["late", "raw"][3] == "broken"
+    assert len(found) == 15
+    with pytest.raises(CheckFailed):
+        lineage.check_provenance(links, now)
+    good = links.filter("child = 'out' AND parent = 'mid'")
+    assert lineage.check_provenance(good, now).count() == 1
+    assert lineage.provenance(links.limit(0), now).count() == 0
+
+
 @pytest.mark.parametrize("variance_top", [None, 4])
 def test_nested_study(spark, variance_top):
     rng = np.random.default_rng(4)

@@ -1,6 +1,7 @@
 import hashlib
 import os
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -81,6 +82,38 @@ def test_file_digests(spark, folder):
     assert path
 
 
+def plain_root(data: bytes, leaf: int, fanout: int) -> str:
+    level = [hashlib.sha256(b"\0" + data[i:i + leaf]).digest() for i in range(0, len(data), leaf)]
+    while len(level) > 1:
+        level = [hashlib.sha256(b"\1" + b"".join(level[i:i + fanout])).digest() for i in range(0, len(level), fanout)]
+    return hashlib.sha256(f"{len(data)}:{level[0].hex() if level else ''}".encode()).hexdigest()
+
+
+def test_tree_digests_do_not_depend_on_splits_and_parts(spark, folder):
+    rng = np.random.default_rng(2)
+    data = b"\xef\xbb\xbf" + rng.integers(0, 256, 30000).astype(np.uint8).tobytes() + b"\r\n\n" + b"x" * 5000 + b"\xff" * 700
+    for name, cuts in (("whole", []), ("three", [9000, 20011]), ("many", [2, 4, 1000, 1000, 30006, 35705])):
+        os.makedirs(f"{folder}/{name}")
+        for i, (a, b) in enumerate(zip([0, *cuts], [*cuts, len(data)])):
+            with open(f"{folder}/{name}/part-{i}", "wb") as f:
+                f.write(data[a:b])
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for split in ("4096", old):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", split)
+            for name, parts in (("whole", 1), ("three", 3), ("many", 6)):
+                row = digests.tree_digests(spark, f"{folder}/{name}", as_one=True, leaf_bytes=512, fanout=4).collect()
+                assert [(r["n_files"], r["n_bytes"], r["root"]) for r in row] == [(parts, len(data), plain_root(data, 512, 4))]
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    each = digests.tree_digests(spark, f"{folder}/many", leaf_bytes=512, fanout=4).collect()
+    cuts = [0, 2, 4, 1000, 1000, 30006, 35705, len(data)]
+    assert {r["stream"][-1]: r["root"] for r in each} == {str(i): plain_root(data[a:b], 512, 4) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a}
+    put(folder, "many/a.gz", "x")
+    with pytest.raises(ValueError):
+        digests.tree_digests(spark, f"{folder}/many")
+
+
 def test_fingerprint_ignores_order_only(spark):
     df = spark.createDataFrame([(1, "a", [1.0]), (2, None, [2.0]), (2, "", [2.0])], "i int, s string, v array<double>")
     base = digests.checksum(df)

@@ -99,16 +99,15 @@ def test_tree_digests_do_not_depend_on_splits_and_parts(spark, folder):
                 f.write(data[a:b])
     old = spark.conf.get("spark.sql.files.maxPartitionBytes")
     try:
-        for split in ("4096", old):
+        for split, name, parts in (("4096", "whole", 1), (old, "three", 3), ("16384", "many", 6)):
             spark.conf.set("spark.sql.files.maxPartitionBytes", split)
-            for name, parts in (("whole", 1), ("three", 3), ("many", 6)):
-                row = digests.tree_digests(spark, f"{folder}/{name}", as_one=True, leaf_bytes=512, fanout=4).collect()
-                assert [(r["n_files"], r["n_bytes"], r["root"]) for r in row] == [(parts, len(data), plain_root(data, 512, 4))]
+            row = digests.tree_digests(spark, f"{folder}/{name}", as_one=True, leaf_bytes=2048, fanout=4).collect()
+            assert [(r["n_files"], r["n_bytes"], r["root"]) for r in row] == [(parts, len(data), plain_root(data, 2048, 4))]
     finally:
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
-    each = digests.tree_digests(spark, f"{folder}/many", leaf_bytes=512, fanout=4).collect()
+    each = digests.tree_digests(spark, f"{folder}/many", leaf_bytes=2048, fanout=4).collect()
     cuts = [0, 2, 4, 1000, 1000, 30006, 35705, len(data)]
-    assert {r["stream"][-1]: r["root"] for r in each} == {str(i): plain_root(data[a:b], 512, 4) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a}
+    assert {r["stream"][-1]: r["root"] for r in each} == {str(i): plain_root(data[a:b], 2048, 4) for i, (a, b) in enumerate(zip(cuts, cuts[1:])) if b > a}
     put(folder, "many/a.gz", "x")
     with pytest.raises(ValueError):
         digests.tree_digests(spark, f"{folder}/many")

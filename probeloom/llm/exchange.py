@@ -45,6 +45,8 @@ def bundled(docs: DataFrame, id_col: str, text_col: str, bundle_bytes: int = BUN
     spark = docs.sparkSession
     size = docs.agg(F.sum(F.octet_length(text_col))).first()[0] or 0
     n = max(1, -(-size // bundle_bytes))
+    # A bucket may hold several bundles, which are then sorted apart inside its task.
+    buckets = min(n, int(spark.conf.get("spark.sql.sources.bucketing.maxBuckets")))
     key = F.coalesce(F.xxhash64(F.when(F.col(id_col).isNotNull(), F.col(id_col))), F.lit(0))
     key = F.when(F.col(id_col).isNull(), F.xxhash64(text_col)).otherwise(key)
     rows = docs.select(
@@ -54,7 +56,7 @@ def bundled(docs: DataFrame, id_col: str, text_col: str, bundle_bytes: int = BUN
         F.col(text_col).isNull().alias("none"),
     )
     name = f"bundles_{uuid.uuid4().hex}"
-    rows.repartition(n, "bundle").write.bucketBy(n, "bundle").option("path", new_folder(spark, "bundles")).option(
+    rows.repartition(buckets, "bundle").write.bucketBy(buckets, "bundle").option("path", new_folder(spark, "bundles")).option(
         "compression", "zstd"
     ).saveAsTable(name)
     return spark.table(name), size
@@ -236,26 +238,86 @@ SHORT = 7
 SECOND_SEED = 0x5851F42D4C957F2D
 
 
+# Long words whose digests a worker remembers when the next bundle comes.
+REMEMBERED = 300_000
+
+
+class Digests(dict):
+    """128 bits of BLAKE2b by word, found when first met."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        found = self[word] = blake2b(word, digest_size=16).digest()
+        return found
+
+
+DIGESTS = Digests()
+
+
 def word_codes(data: bytes, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """Two 64-bit numbers for each word, the same wherever it stands.
 
     Those of a word of up to SHORT bytes are bijections of its bytes and length, so no two
     such words share one. A longer word has 128 bits of BLAKE2b.
     """
-    a, length = np.frombuffer(data, np.uint8), ends - starts
-    value = np.minimum(length, SHORT + 1).astype(U64) << U64(8 * SHORT)
-    for i in range(SHORT):
-        there = np.flatnonzero(length > i)
-        value[there] |= a[starts[there] + i].astype(U64) << U64(8 * i)
+    length = ends - starts
+    # The eight bytes from every byte on, of which a word keeps its own.
+    eight = np.ndarray(len(data), "<u8", data + bytes(8), strides=(1,))
+    kept = np.minimum(length, SHORT).astype(U64)
+    value = eight[starts] & ((U64(1) << (kept * U64(8))) - U64(1))
+    value |= np.minimum(length, SHORT + 1).astype(U64) << U64(8 * SHORT)
     codes = np.stack([mix(value), mix(value, SECOND_SEED)], axis=1)
     long = np.flatnonzero(length > SHORT)
-    known: dict[bytes, int] = {}
-    numbers = [known.setdefault(data[s:e], len(known)) for s, e in zip(starts[long].tolist(), ends[long].tolist())]
-    digests = b"".join([blake2b(w, digest_size=16).digest() for w in known])
-    codes[long] = np.frombuffer(digests, "<u8").reshape(-1, 2)[numbers]
+    if len(DIGESTS) > REMEMBERED:
+        DIGESTS.clear()
+    digests = b"".join([DIGESTS[data[s:e]] for s, e in zip(starts[long].tolist(), ends[long].tolist())])
+    codes[long] = np.frombuffer(digests, "<u8").reshape(-1, 2)
     return codes
 
 
+# Arithmetic modulo a Mersenne prime. Values in between may exceed it by a few.
+PRIME = (1 << 61) - 1
+# Words taken at a time, so that the values stay in the cache.
+PIECE = 1 << 15
+
+
+def folded(x: np.ndarray) -> np.ndarray:
+    return (x & U64(PRIME)) + (x >> U64(61))
+
+
+def times(x: np.ndarray, by: int) -> np.ndarray:
+    """x * by modulo PRIME."""
+    high, low, by_high, by_low = x >> U64(32), x & U64(0xFFFFFFFF), U64(by >> 32), U64(by & 0xFFFFFFFF)
+    middle, last = high * by_low + low * by_high, low * by_low
+    # 2^64 is 8 and 2^61 is 1 modulo PRIME.
+    return folded(
+        (high * by_high << U64(3)) + (middle >> U64(29)) + ((middle & U64((1 << 29) - 1)) << U64(32)) + folded(last)
+    )
+
+
+def spelled(codes: np.ndarray, size: int, point: int) -> np.ndarray:
+    """For each place, the polynomial whose coefficients are the codes of ``size`` words from there on.
+
+    A word gives three coefficients of 60, 60 and 8 bits. Two different sequences agree at
+    fewer than 3 * size of the PRIME points, so a point drawn after the texts are written
+    parts them but for a chance below 3 * size / PRIME.
+    """
+    first, second = codes[:, 0], codes[:, 1]
+    run = folded(times(first >> U64(4), point) + ((first & U64(15)) << U64(56) | second >> U64(8)))
+    run, span, step = folded(times(run, point) + (second & U64(255))), 1, pow(point, 3, PRIME)
+    out, length = None, 0
+    while True:
+        if size & 1:
+            tail = run[length:]
+            out = run if out is None else folded(times(out[:len(tail)], pow(step, span, PRIME)) + tail)
+            length += span
+        size >>= 1
+        if not size:
+            break
+        run, span = folded(times(run[:-span], pow(step, span, PRIME)) + run[span:]), 2 * span
+    out = folded(out)
+    return np.where(out >= U64(PRIME), out - U64(PRIME), out)
+
+
 class Words:
     """Words of the texts of a bundle: bounds in ``data``, the number of the text, and codes (``word_codes``)."""
 
@@ -263,13 +325,14 @@ class Words:
         raw = [t.encode("utf-8", "surrogatepass") for t in texts]
         self.data = b"\n".join(raw) + b"\n"
         a = np.frombuffer(self.data, np.uint8)
-        solid = ~SPACE[a]
-        edges = np.flatnonzero(np.diff(solid.view(np.int8), prepend=0, append=0))
+        solid = np.zeros(len(a) + 1, bool)
+        np.logical_not(SPACE[a], out=solid[1:])
+        edges = np.flatnonzero(solid[1:] != solid[:-1])
         self.starts, self.ends = edges[::2], edges[1::2]
         self.begins = np.cumsum([0, *(len(r) + 1 for r in raw)])
-        self.text = np.searchsorted(self.begins, self.starts, side="right") - 1
-        self.count = np.bincount(self.text, minlength=len(texts)).astype(np.int64)
-        self.first = np.cumsum(self.count) - self.count
+        bounds = np.searchsorted(self.starts, self.begins[:len(texts) + 1])
+        self.count, self.first = np.diff(bounds).astype(np.int64), bounds[:-1].astype(np.int64)
+        self.text = np.repeat(np.arange(len(texts)), self.count)
         self.codes = word_codes(self.data, self.starts, self.ends)
         self.hash = np.ascontiguousarray(self.codes[:, 0])
 
@@ -284,8 +347,13 @@ class Words:
         """Cheap keys for the sketch; different windows may share one."""
         return mix(range_hashes(self.hash, WORD_BASE, at, at + size))
 
-    def window_digests(self, at: np.ndarray, size: int) -> np.ndarray:
-        """128 bits of BLAKE2b over the codes of the words, as two numbers per window."""
-        codes, width = memoryview(self.codes).cast("B") if len(self.codes) else memoryview(b""), 16 * size
-        found = b"".join([blake2b(codes[i:i + width], digest_size=16).digest() for i in (16 * at).tolist()])
-        return np.frombuffer(found, "<u8").reshape(-1, 2)
+    def window_digests(self, at: np.ndarray, size: int, points: tuple[int, ...]) -> np.ndarray:
+        """A number below PRIME per window and point: the polynomial that the codes of its words spell, there."""
+        found = np.zeros((len(at), len(points)), U64)
+        for a in range(0, len(self.text) - size + 1, PIECE):
+            i, j = np.searchsorted(at, [a, a + PIECE])
+            if i < j:
+                codes = self.codes[a:a + PIECE + size - 1]
+                for k, point in enumerate(points):
+                    found[i:j, k] = spelled(codes, size, point)[at[i:j] - a]
+        return found

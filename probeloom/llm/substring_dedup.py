@@ -2,8 +2,8 @@
 
 A count-min sketch, merged from the bundles, overestimates in how many documents
 each 50-word window occurs (see ``exchange``). Windows estimated to occur once are
-unique for certain. All others are grouped by a 128-bit BLAKE2b digest of their words
-(see ``exchange.word_codes``), to find the smallest doc_id that holds each. A bundle sends a window once,
+unique for certain. All others are grouped by two values of the polynomial that their words
+spell, at points drawn for the run (see ``exchange.spelled``), to find the smallest doc_id that holds each. A bundle sends a window once,
 with the smallest of its own documents that hold it, so a window that a third of
 all documents share has one row per bundle; what it gets back is one bit per window.
 """
@@ -11,6 +11,7 @@ all documents share has one row per bundle; what it gets back is one bit per win
 from __future__ import annotations
 
 from itertools import compress
+from secrets import randbelow
 
 import numpy as np
 import pyarrow as pa
@@ -36,7 +37,19 @@ def text_rows(rows: pa.Table) -> X.Words:
     return X.Words(rows["text"].to_pylist())
 
 
-def candidates(rows: pa.Table, words: X.Words, replies: pa.Table, size: int, cells: int, shards: int):
+def grouped(keys: np.ndarray, seconds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order that brings equal pairs together, ascending, and where each group starts in it."""
+    order = np.argsort(keys)
+    k, s = keys[order], seconds[order]
+    if ((k[1:] == k[:-1]) & (s[1:] != s[:-1])).any():
+        order = np.lexsort((seconds, keys))
+        k, s = keys[order], seconds[order]
+    fresh = np.ones(len(order), bool)
+    fresh[1:] = (k[1:] != k[:-1]) | (s[1:] != s[:-1])
+    return order, fresh
+
+
+def candidates(rows: pa.Table, words: X.Words, replies: pa.Table, size: int, cells: int, shards: int, points: tuple):
     """Windows estimated to repeat: places and ids of their documents, and the entry of each.
 
     An entry is a distinct key with the smallest id of the bundle that holds it and its shard.
@@ -45,23 +58,20 @@ def candidates(rows: pa.Table, words: X.Words, replies: pa.Table, size: int, cel
     at = words.windows(size)
     cell = X.cell_of(words.window_hashes(at, size), cells)
     at = at[X.counts_of(cell, listed, np.full(len(listed), 2, np.uint32)) > 1]
-    digests = words.window_digests(at, size)
+    digests = words.window_digests(at, size, points)
     own = np.array([NO_ID if i is None else i for i in rows["id"].to_pylist()], np.int64)[words.text[at]]
-    pairs = np.zeros(len(at), PAIR)
-    pairs["key"], pairs["second"] = digests[:, 0], digests[:, 1]
-    # Rows are in order of their ids, so the first window of a key has the smallest.
-    order = np.lexsort((pairs["second"], pairs["key"]))
-    fresh = np.ones(len(order), bool)
-    fresh[1:] = pairs[order[1:]] != pairs[order[:-1]]
+    order, fresh = grouped(digests[:, 0], digests[:, 1])
+    starts = np.flatnonzero(fresh)
     back = np.empty(len(order), np.int64)
     back[order] = np.cumsum(fresh) - 1
-    first = order[fresh]
-    entries = pairs[first]
-    shard = ((entries["key"] >> X.U64(32)) * X.U64(shards) >> X.U64(32)).astype(np.int64)
-    return at, own, back, entries, own[first], shard
+    entries = np.zeros(len(starts), PAIR)
+    entries["key"], entries["second"] = digests[order[starts]].T
+    least = np.minimum.reduceat(own[order], starts) if len(starts) else own
+    shard = ((entries["key"] >> X.U64(29)) * X.U64(shards) >> X.U64(32)).astype(np.int64)
+    return at, own, back, entries, least, shard
 
 
-def marked(stored: DataFrame, replies: DataFrame, cells: int, windows: int, size: int) -> DataFrame:
+def marked(stored: DataFrame, replies: DataFrame, cells: int, windows: int, size: int, points: tuple) -> DataFrame:
     """Answers per bundle and shard: a bit per entry, set where a document of a smaller id holds the window."""
     shards = max(1, -(-windows // SHARD_WINDOWS))
 
@@ -69,7 +79,7 @@ def marked(stored: DataFrame, replies: DataFrame, cells: int, windows: int, size
         if not rows.num_rows or not answers.num_rows:
             return empty(SENT)
         rows = X.in_order(rows)
-        _, _, _, entries, least, shard = candidates(rows, text_rows(rows), answers, size, cells, shards)
+        _, _, _, entries, least, shard = candidates(rows, text_rows(rows), answers, size, cells, shards, points)
         cuts = np.flatnonzero(np.diff(shard, prepend=-1))
         out = [(int(shard[a]), entries[a:b].tobytes(), least[a:b].tobytes()) for a, b in zip(cuts, [*cuts[1:], len(entries)])]
         n = len(out)
@@ -82,9 +92,8 @@ def marked(stored: DataFrame, replies: DataFrame, cells: int, windows: int, size
         parts = [np.frombuffer(k, PAIR) for k in rows["keys"].to_pylist()]
         sizes, pairs = [len(p) for p in parts], np.concatenate(parts)
         ids = np.concatenate([np.frombuffer(i, np.int64) for i in rows["ids"].to_pylist()])
-        order = np.lexsort((pairs["second"], pairs["key"]))
-        k, s = pairs["key"][order], pairs["second"][order]
-        starts = np.flatnonzero(np.concatenate([[True], (k[1:] != k[:-1]) | (s[1:] != s[:-1])]))
+        order, fresh = grouped(pairs["key"], pairs["second"])
+        starts = np.flatnonzero(fresh)
         least = np.repeat(np.minimum.reduceat(ids[order], starts), np.diff([*starts, len(order)]))
         later = np.empty(len(order), bool)
         later[order] = ids[order] > least
@@ -113,10 +122,11 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
     document with a smaller id, judged on the input. ``rec`` holds the other
     columns. Null and empty texts have no words. Rows with a null id come after
     all others, and rows of one id never remove each other's words. An empty table
-    gives no rows.
+    gives no rows. A bundle is cut in one task: a text of 100 MB takes some 3 GB there.
     """
     stored, volume = X.bundled(docs, id_col, text_col)
     windows = max(1, volume // 6)
+    points = randbelow(X.PRIME), randbelow(X.PRIME)
 
     def keys(rows: pa.Table):
         words = text_rows(rows)
@@ -125,7 +135,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
 
     replies, cells = X.repeated_cells(stored, keys, windows)
     replies = materialize(replies, "repeated-windows")
-    answers = materialize(marked(stored, replies, cells, windows, size), "window-answers")
+    answers = materialize(marked(stored, replies, cells, windows, size, points), "window-answers")
     shards = max(1, -(-windows // SHARD_WINDOWS))
     both = replies.unionByName(answers)
 
@@ -138,7 +148,7 @@ def remove_repeats(docs: DataFrame, size: int = WINDOW, id_col: str = "doc_id",
         if got.num_rows:
             kind = np.array(got["shard"].to_pylist())
             sketch, bits = got.filter(pa.array(kind >= 0)), got.filter(pa.array(kind < 0))
-            at, own, back, entries, least, shard = candidates(rows, words, sketch, size, cells, shards)
+            at, own, back, entries, least, shard = candidates(rows, words, sketch, size, cells, shards, points)
             later = np.zeros(len(entries), bool)
             answer = dict(zip(bits["shard"].to_pylist(), bits["cells"].to_pylist()))
             for s in np.unique(shard).tolist():

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from probeloom.llm import chat_paths, periodic_runs, registry, resampling
+from probeloom.llm import chat_paths, exchange, periodic_runs, registry, resampling, substring_dedup
 from tests.llm import brute
 
 
@@ -290,3 +290,36 @@ def test_op13_query_matches_the_contract(spark):
     rank = {i: k for k, (_, i) in enumerate(able[:5 * len(able) // 100], 1)}
     found = registry.queries()["op13_resampling"](spark, folder).collect()
     assert Counter(map(tuple, found)) == Counter((i, f, w, s, rank.get(i)) for i, _, f, w, s in scored)
+
+
+def test_windows_are_spelled_as_polynomials_over_their_words():
+    draw = random.Random(5)
+    texts = [" ".join(draw.choice(["a", "bb", "a much-longer-word", "über", "c" * 40]) for _ in range(n)) for n in (0, 90, 6, 7, 70)]
+    words = exchange.Words(texts)
+    points, size = (draw.randrange(exchange.PRIME), exchange.PRIME - 1), 7
+    at = words.windows(size)
+    found = words.window_digests(at, size, points)
+    assert len(at) == sum(max(0, len(t.split()) - size + 1) for t in texts)
+    for i, start in enumerate(at.tolist()):
+        for k, point in enumerate(points):
+            value = 0
+            for c0, c1 in words.codes[start:start + size].tolist():
+                for part in (c0 >> 4, (c0 & 15) << 56 | c1 >> 8, c1 & 255):
+                    value = (value * point + part) % exchange.PRIME
+            assert value == int(found[i, k])
+
+
+def test_bundles_share_buckets_where_spark_allows_few(spark, monkeypatch):
+    monkeypatch.setattr(exchange.bundled, "__defaults__", (400,))
+    tail = " ".join(f"w{i}" for i in range(60))
+    docs = spark.createDataFrame([(i, f"start {i} {tail}" if i % 3 else f"other {i}") for i in range(40)], "doc_id long, text string")
+    before = spark.conf.get("spark.sql.sources.bucketing.maxBuckets")
+    spark.conf.set("spark.sql.sources.bucketing.maxBuckets", "3")
+    try:
+        stored, size = exchange.bundled(docs, "doc_id", "text")
+        assert size > 10 * 400 and stored.select("bundle").distinct().count() > 10
+        got = {r["rec"]["doc_id"]: r["n_removed"] for r in substring_dedup.remove_repeats(docs).collect()}
+    finally:
+        spark.conf.set("spark.sql.sources.bucketing.maxBuckets", before)
+    # The first holder of the tail keeps it.
+    assert got == {i: 60 if i % 3 and i != 1 else 0 for i in range(40)}

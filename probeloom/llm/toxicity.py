@@ -32,7 +32,8 @@ SAMPLE = 4000
 # Terms have a log odds ratio of LEAST_ODDS or more, and a share of toxic rows that is
 # significant at this false discovery rate among all words and beginnings.
 LEAST_ODDS, FALSE_RATE = 2.5, 0.01
-MAX_CANDIDATES = 500_000
+# Terms that the driver and every task can hold; more are refused, never cut.
+MAX_TERMS = 500_000
 STEMS = range(4, 9)
 WINDOW = 4
 REMEMBERED = 300_000
@@ -46,8 +47,8 @@ UNSEEN = 0.9
 
 
 def allowed(term: str) -> int:
-    """Spelling errors that a term may have."""
-    return 1 if len(term) < 9 else 2
+    """Spelling errors that a term may have. With three letters or fewer, an error makes another word."""
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 def short(term: str) -> bool:
@@ -243,51 +244,54 @@ def sampled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.withColumn("print", prints("text")).dropDuplicates(["toxic", "print"]).select("doc_id", "text", "toxic")
 
 
-def candidate_terms(sample: DataFrame, bad: int, good: int) -> tuple[list, int]:
-    """Words and stems more frequent in toxic rows, with their numbers of toxic and other rows and the
-    logarithm of a bound of their p-value; and the number of all words and stems."""
+def log_bound(bad: int, good: int, share: float) -> float:
+    """Logarithm of Chernoff's bound for a split of rows as uneven as this, were a ``share`` of all bad."""
+    n = bad + good
+    return -sum(x * float(np.log(x / (n * s))) for x, s in ((bad, share), (good, 1 - share)) if x)
+
+
+def significant_terms(sample: DataFrame, bad: int, good: int) -> list:
+    """Words and stems of toxic rows, with their numbers of toxic and other rows.
+
+    Benjamini and Hochberg's choice among all words and stems, of those with odds of LEAST_ODDS.
+    """
+    if not bad:
+        return []
 
     @F.arrow_udf("array<string>")
     def terms(texts: pa.Array) -> pa.Array:
         out = []
         for t in texts.to_pylist():
-            words = {w for c in set((t or "").split()) for w in words_of(c) if len(w) > 3}
+            words = {w for c in set((t or "").split()) for w in words_of(c)}
             out.append([*("w" + w for w in words), *{"s" + w[:k] for w in words for k in STEMS if len(w) > k}])
         return pa.array(out, pa.list_(pa.string()))
 
+    share, n = bad / (bad + good), F.col("bad") + F.col("good")
+    log_p = -F.col("bad") * F.log(F.col("bad") / (n * share))
+    if good:
+        log_p = log_p - F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - share)))).otherwise(0.0)
+    odds = F.log((F.col("bad") + 0.5) / (bad + 1)) - F.log((F.col("good") + 0.5) / (good + 1))
     counted = sample.select("toxic", F.explode(terms("text")).alias("term")).groupBy("term").agg(
         F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good")
-    ).persist()
+    ).withColumn("log_p", F.when(F.col("bad") > n * share, log_p).otherwise(0.0)).persist()
     try:
-        tested = counted.count()
-        if not bad:
-            return [], tested
-        # Chernoff's bound for so many toxic rows of a term's rows, were they drawn from all.
-        share, n = bad / (bad + good), F.col("bad") + F.col("good")
-        log_p = -F.col("bad") * F.log(F.col("bad") / (n * share))
-        if good:
-            log_p = log_p - F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (n * (1 - share)))).otherwise(0.0)
-        rows = counted.filter(F.col("bad") > n * share).withColumn("log_p", log_p)
-        # A term with a larger p-value is not found at any number of terms.
-        found = rows.filter(F.col("log_p") <= float(np.log(FALSE_RATE)))
-        return bounded_rows(found, MAX_CANDIDATES, "candidate terms"), tested
+        tested = kept = counted.count()
+        # Counting below the level of the last count falls to the last rank that holds its level.
+        while kept:
+            level = float(np.log(FALSE_RATE * kept / tested))
+            found = counted.filter(F.col("log_p") <= level)
+            last, kept = kept, found.count()
+            if kept == last:
+                return bounded_rows(found.filter(odds >= LEAST_ODDS).select("term", "bad", "good"), MAX_TERMS, "terms")
+        return []
     finally:
         counted.unpersist()
 
 
-def significant(terms: list, tested: int) -> list:
-    """Benjamini and Hochberg's choice among the tested terms."""
-    ordered = sorted(terms, key=lambda r: (r["log_p"], r["term"]))
-    last = max((i for i, r in enumerate(ordered, 1) if r["log_p"] <= np.log(FALSE_RATE * i / tested)), default=0)
-    return ordered[:last]
-
-
-def choose(terms: list, tested: int, bad: int, good: int) -> tuple[tuple, tuple]:
+def choose(terms: list) -> tuple[tuple, tuple]:
     """Words and stems of the lexicon. A stem is added where no single word holds most of its rows."""
-    kept = significant(terms, tested)
-    odds = {r["term"]: np.log((r["bad"] + 0.5) / (bad + 1)) - np.log((r["good"] + 0.5) / (good + 1)) for r in kept}
-    rows = {r["term"]: r["bad"] for r in kept}
-    strong = [t for t in odds if odds[t] >= LEAST_ODDS]
+    rows = {r["term"]: r["bad"] for r in terms}
+    strong = list(rows)
     longest: Counter = Counter()
     for t in strong:
         if t[0] == "w":
@@ -318,6 +322,23 @@ def spelling_weights(listed: list) -> dict[str, float]:
     return out
 
 
+def context_weights(near: tuple[Counter, Counter], hit: list[int]) -> dict[str, float]:
+    """Log odds of abuse of the words around matches, where the split of their rows is significant.
+
+    ``near`` counts rows by word and ``hit`` all rows with matches, not toxic and toxic.
+    Only rows that hold terms and are not toxic tell quotation from abuse.
+    """
+    if not all(hit):
+        return {}
+    share = hit[1] / sum(hit)
+    bounds = {w: log_bound(near[1][w], near[0][w], share) for w in near[0].keys() | near[1].keys()}
+    ordered = sorted(bounds, key=lambda w: (bounds[w], w))
+    last = max((i for i, w in enumerate(ordered, 1) if bounds[w] <= np.log(FALSE_RATE * i / len(ordered))), default=0)
+    return {
+        w: float(np.log((near[1][w] + 1) / (hit[1] + 3)) - np.log((near[0][w] + 1) / (hit[0] + 3))) for w in ordered[:last]
+    }
+
+
 def logistic(x: np.ndarray, y: np.ndarray, centre: np.ndarray) -> np.ndarray:
     """Newton steps with a ridge towards ``centre``, halved until the loss falls."""
 
@@ -348,7 +369,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[tuple, tuple, dict, dict,
     try:
         sizes = {r["toxic"]: r["count"] for r in sample.groupBy("toxic").count().collect()}
         bad, good = sizes.get(1, 0), sizes.get(0, 0)
-        words, stems = choose(*candidate_terms(sample, bad, good), bad, good)
+        words, stems = choose(significant_terms(sample, bad, good))
 
         def run(batches):
             known = matches(words, stems)
@@ -373,12 +394,7 @@ def train(docs: DataFrame, labels: DataFrame) -> tuple[tuple, tuple, dict, dict,
     near: tuple[Counter, Counter] = Counter(), Counter()
     for y, found in listed:
         near[y].update({w for h in found for w in h[3]})
-    hit = [1 + sum(1 for y, f in listed if f and y == side) for side in (0, 1)]
-    context = {}
-    if hit[0] > 1:  # only rows that hold terms and are not toxic tell quotation from abuse
-        for w in near[0].keys() | near[1].keys():
-            context[w] = float(np.log((near[1][w] + 1) / (hit[1] + 2)) - np.log((near[0][w] + 1) / (hit[0] + 2)))
-        context = dict(sorted(context.items(), key=lambda x: (-abs(x[1]), x[0]))[:2000])
+    context = context_weights(near, [sum(1 for y, f in listed if f and y == side) for side in (0, 1)])
     if not listed:
         return words, stems, spelled, context, CENTRE
     x = np.array([summary(f, context, spelled) for _, f in listed])

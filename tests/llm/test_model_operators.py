@@ -225,11 +225,42 @@ def test_pieces_find_every_spelling():
         assert (found is None) == (not near) and (not near or found in near and toxicity.rank(found) == min(map(toxicity.rank, near))), word
 
 
-def test_terms_are_chosen_by_significance():
-    rows = [{"term": f"wword{i}", "bad": 12, "good": 0, "log_p": 12 * np.log(0.2)} for i in range(300)]
-    rows += [{"term": "wchance", "bad": 3, "good": 0, "log_p": 3 * np.log(0.2)}]
-    words, stems = toxicity.choose(rows, 20_000, 4000, 16_000)
-    assert len(words) == 300 and "chance" not in words
+def test_terms_are_those_of_a_step_up_test_over_all_words_and_stems(spark):
+    rng = random.Random(8)
+    common, rows = [f"word{i}" for i in range(80)], []
+    for i in range(300):
+        words = rng.sample(common, 12)
+        if i % 5 == 0:
+            words += [t for t in ("zq", "idiot", "scum") if rng.random() < 0.6] + [f"lowei{rng.choice('abcdefgh')}t" for _ in range(2)]
+        elif i % 50 == 1:
+            words += ["idiot", "rare"]
+        rows.append((i, " ".join(words), int(i % 5 == 0)))
+    bad, good = 60, 240
+    found = toxicity.significant_terms(spark.createDataFrame(rows, "doc_id long, text string, toxic int"), bad, good)
+    seen = (Counter(), Counter())
+    for _, text, y in rows:
+        own = set(text.split())
+        seen[y].update({"w" + w for w in own} | {"s" + w[:k] for w in own for k in toxicity.STEMS if len(w) > k})
+    every = seen[0].keys() | seen[1].keys()
+    bounds = {t: toxicity.log_bound(seen[1][t], seen[0][t], 0.2) if seen[1][t] > 0.2 * (seen[0][t] + seen[1][t]) else 0.0 for t in every}
+    ordered = sorted(every, key=bounds.get)
+    last = max(i for i, t in enumerate(ordered, 1) if bounds[t] <= np.log(toxicity.FALSE_RATE * i / len(every)))
+    odds = {t: np.log((seen[1][t] + 0.5) / (bad + 1)) - np.log((seen[0][t] + 0.5) / (good + 1)) for t in ordered[:last]}
+    assert {r["term"] for r in found} == {t for t in odds if odds[t] >= toxicity.LEAST_ODDS}
+    words, stems = toxicity.choose(found)
+    assert {"zq", "idiot", "scum"} <= set(words) and "rare" not in words and stems == ("lowe",)
+    # Short terms are found as they are only.
+    lexicon = toxicity.Lexicon(list(words), list(stems))
+    assert lexicon.match("zq") == ("zq", 0) and lexicon.match("z") is None and lexicon.match("zqa") is None
+    assert toxicity.significant_terms(spark.createDataFrame(rows[1:5], "doc_id long, text string, toxic int"), 0, 4) == []
+
+
+def test_context_words_have_significant_splits_and_no_number_of_them_is_cut():
+    tied = {f"abuse{i}": 60 for i in range(2500)} | {"both": 50, "once": 1}
+    near = Counter({f"said{i}": 60 for i in range(2500)} | {"both": 50}), Counter(tied)
+    found = toxicity.context_weights(near, [100, 100])
+    assert len(found) == 5000 and found["abuse7"] > 0 > found["said7"] and "both" not in found and "once" not in found
+    assert toxicity.context_weights(near, [0, 100]) == {} == toxicity.context_weights((Counter(), Counter()), [5, 5])
 
 
 def test_spellings_that_are_other_words_do_not_count():

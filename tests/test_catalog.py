@@ -3,6 +3,7 @@
 import os
 
 import duckdb
+import numpy as np
 import pytest
 
 import __spark_entry__ as registry
@@ -38,6 +39,21 @@ def test_query_equals_its_sql(spark, duck, name):
     assert compare.rows_of(df.columns, df.collect()) == compare.rows_of(columns, result.fetchall())
 
 
+def test_singular_values_that_nearly_coincide(spark, folder):
+    rng = np.random.default_rng(5)
+    left, right = (np.linalg.qr(rng.normal(size=(n, 24)))[0] for n in (300, 24))
+    x = left @ np.diag([50, 49.999, 49.99, *np.linspace(49.9, 49, 21)]) @ right
+    rows = [(i, i % 10, [float(v) for v in x[i]]) for i in range(300)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{folder}/embeddings.parquet/*.parquet'")
+        sql = sorted(con.execute(registry.oracle_sql()["singular_values"]).fetchall())
+    total = (x * x).sum()
+    want = [(i, v, round(v * v / total, 5)) for i, v in ((1, 50.0), (2, 49.999), (3, 49.99))]
+    assert sql == want
+    assert [tuple(r) for r in registry.queries()["singular_values"](spark, folder).orderBy("rank").collect()] == want
+
+
 def test_tree_digests_equal_plain_roots(spark):
     """All table files, at the leaves and fan-out in use."""
     found = {r["file"]: (r["n_bytes"], r["root"]) for r in registry.queries()["tree_digests"](spark, SF).collect()}

@@ -214,3 +214,36 @@ def test_faulty_exports_are_refused(spark, folder, fault):
         spark.createDataFrame([("2 3 1",)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/matrix/part=0")
     with pytest.raises(CheckFailed):
         convert.convert_counts(spark, *paths)
+
+
+def test_digests_of_large_files_in_rounds(spark, folder):
+    """A row per file would read each whole; rounds take a part, whatever splits, line feeds and marks there are."""
+    rng = np.random.default_rng(6)
+    noise = rng.integers(0, 256, 30000).astype(np.uint8).tobytes()
+    mark = b"\xef\xbb\xbf"
+    files = {"small": b"abc\n", "noise": noise, "marked": mark + noise[:20001] + b"\n\n\r\n", "runs": b"x" * 9000 + b"\n" * 9000,
+             "even": noise[:16384], "line feed": noise[:5000] + b"\n", "packed.gz": noise[:25000]}
+    for name, data in files.items():
+        with open(f"{folder}/{name}", "wb") as f:
+            f.write(data)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        for size in (2048, 8192):
+            rows = digests.file_digests(spark, folder, whole_bytes=1000, round_bytes=size).collect()
+            assert {r["path"].rsplit("/", 1)[1]: (r["n_bytes"], r["sha256"]) for r in rows} == {
+                k: (len(v), hashlib.sha256(v).hexdigest()) for k, v in files.items()}
+            assert all(r["path"].startswith("file:/") for r in rows)
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_sha256_goes_on_from_a_state():
+    if digests.libcrypto() is None:
+        pytest.skip("no libcrypto here")
+    data, state = bytes(range(256)) * 5, b""
+    for a, b in ((0, 1), (1, 64), (64, 200), (200, 1280)):
+        h = digests.ResumedSha256(state)
+        h.update(data[a:b])
+        state = h.state()
+    assert digests.digest_of(state) == hashlib.sha256(data).digest()

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from probeloom.operators import checks
 from probeloom.operators.checks import CheckFailed, assert_empty
 from probeloom.session import materialize, settle
-from probeloom.sources.readers import coordinate_size, read_coordinates, read_text_table
+from probeloom.sources.readers import read_text_table, stored_coordinates
 from probeloom.sources.writers import refuse_existing, write_report, write_table
 
 
@@ -41,7 +41,7 @@ def convert_counts(spark: SparkSession, matrix: str, features: str, entities: st
     What was written is read back and compared.
     """
     refuse_existing(spark, path)
-    n_features, n_entities, n_entries = coordinate_size(spark, matrix)
+    entries, (n_features, n_entities, n_entries) = stored_coordinates(spark, matrix)
     named = {"features": read_ordered(spark, features, [feature_column], "feature_pos").withColumnRenamed(feature_column, "feature_id"),
              "entities": read_ordered(spark, entities, list(entity_columns), "entity_pos").toDF("entity_pos", "entity_id", "label", "grp")}
     for name, wanted in (("features", n_features), ("entities", n_entities)):
@@ -50,7 +50,6 @@ def convert_counts(spark: SparkSession, matrix: str, features: str, entities: st
             raise CheckFailed(f"{name}: {found} names for {wanted} positions of the matrix")
     assert_empty(checks.entity_violations(named["features"].withColumnRenamed("feature_id", "entity_id"), ["entity_id"]), "feature names")
     assert_empty(checks.entity_violations(named["entities"]), "entities")
-    entries = read_coordinates(spark, matrix)
     repeated = entries.groupBy("feature_pos", "entity_pos").agg(F.count(F.lit(1)).alias("n_rows")).filter("n_rows > 1")
     assert_empty(repeated, "coordinates that occur twice")
     assert_empty(checks.count_violations(entries), "counts must be finite, whole and not negative")

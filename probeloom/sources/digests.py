@@ -296,7 +296,15 @@ def fingerprint(df: DataFrame, keys=(), columns=None) -> DataFrame:
         kind = df.schema[name].dataType.simpleString()
         parts.append(F.to_json(F.struct(name)) if kind.startswith(("array", "struct", "map")) else F.col(name))
     digest = row_digest(*parts)
-    sums = [F.sum(F.conv(F.substring(digest, at, 15), 16, 10).cast("decimal(20,0)")).cast("string") for at in (1, 16, 31, 46)]
+    # A part of 60 bits is added as three longs of 20 bits, which hold for 2^43 rows and cost less than decimals.
+    sums = []
+    for at in (1, 16, 31, 46):
+        part = F.conv(F.substring(digest, at, 15), 16, 10).cast("long")
+        whole = F.lit(0).cast("decimal(38,0)")
+        for shift in (40, 20, 0):
+            third = F.sum(F.shiftright(part, shift).bitwiseAND(F.lit((1 << 20) - 1)))
+            whole = whole + third.cast("decimal(19,0)") * F.lit(1 << shift).cast("decimal(13,0)")
+        sums.append(whole.cast("decimal(38,0)").cast("string"))
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), F.concat_ws(":", *sums).alias("checksum"))
 
 

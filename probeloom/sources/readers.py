@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +12,7 @@ from pyspark.sql import types as T
 
 from probeloom.operators.checks import CheckFailed
 from probeloom.operators.ranking import rank_rows
+from probeloom.session import materialize
 
 
 def read_text_table(spark: SparkSession, path, columns: Sequence[str], sep: str = ",", with_place: bool = False) -> DataFrame:
@@ -67,22 +70,46 @@ def grid(spark: SparkSession, atoms: Sequence[int], alpha: Sequence[float], seed
 
 # --- coordinate text ----------------------------------------------------------
 
-def _coordinate_lines(spark: SparkSession, path: str):
-    """All lines but comments, and the place and numbers of the size line."""
+def stored_coordinates(spark: SparkSession, path: str, verify: bool = True) -> tuple[DataFrame, tuple[int, int, int]]:
+    """Entries as :func:`read_coordinates` gives them, and the features, entities and entries of the size line.
+
+    The text is scanned once: its numbers are stored, and the size line, the checks and every later
+    use read the stored columns.
+    """
     lines = spark.read.text(path).select(
-        F.trim("value").alias("line"),
-        F.col("_metadata.file_block_start").alias("block"),
-        F.struct(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("row")).alias("at"),
+        F.trim("value").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"),
     ).filter("line <> '' AND NOT startswith(line, '%')")
-    head = lines.filter("block = 0").agg(F.min("at").alias("at"), F.min_by("line", "at").alias("line")).first()
-    if head["line"] is None:
+    # Single spaces, as most exports have, need no pattern.
+    other = reduce(or_, [F.contains("line", F.lit(c)) for c in ("  ", "\t", "\x0b", "\f", "\r")])
+    parts = F.when(other, F.split("line", r"\s+")).otherwise(F.split("line", " "))
+    stored = materialize(lines.select(
+        # Rows beyond the first block of a file cannot be the size line and need no place.
+        *[F.when(F.col("block") == 0, F.col(c)).alias(c) for c in ("file", "row")],
+        parts[0].cast("long").alias("a"), parts[1].cast("long").alias("b"), parts[2].cast("double").alias("c")), "coordinates")
+    name = stored.agg(F.min("file")).first()[0]
+    if name is None:
         raise CheckFailed(f"{path}: no size line")
-    return lines, head["at"], [int(v) for v in head["line"].split()]
+    place = stored.filter(F.col("file") == name).agg(F.min("row")).first()[0]
+    n_features, n_entities, n_entries = size = tuple(int(v) for v in stored.filter(F.col("row") == place).select("a", "b", "c").first())
+    first = F.col("row").eqNullSafe(place)
+    entries = stored.filter(~first).select(
+        (F.col("a") - 1).alias("feature_pos"), (F.col("b") - 1).alias("entity_pos"), F.col("c").alias("cnt"))
+    if verify:
+        seen = entries.agg(
+            F.count(F.lit(1)).alias("n"),
+            F.count_if(
+                ~F.col("feature_pos").between(0, n_features - 1) | ~F.col("entity_pos").between(0, n_entities - 1)
+            ).alias("outside"),
+        ).first()
+        if seen["n"] != n_entries or seen["outside"]:
+            raise CheckFailed(f"{path}: {seen['n']} entries ({seen['outside']} outside), size line says {n_entries}")
+    return entries, size
 
 
 def coordinate_size(spark: SparkSession, path: str) -> tuple[int, int, int]:
     """Features, entities and entries as the size line gives them."""
-    return tuple(_coordinate_lines(spark, path)[2])
+    return stored_coordinates(spark, path, verify=False)[1]
 
 
 def read_coordinates(spark: SparkSession, path: str, verify: bool = True) -> DataFrame:
@@ -92,24 +119,7 @@ def read_coordinates(spark: SparkSession, path: str, verify: bool = True) -> Dat
     of features, entities and entries. The file is split and parsed in
     parallel; the size line is looked for in the first block of the first file.
     """
-    lines, at, (n_features, n_entities, n_entries) = _coordinate_lines(spark, path)
-    parts = F.split("line", r"\s+")
-    first = (F.col("at.file") == at["file"]) & (F.col("at.row") == at["row"])
-    entries = lines.filter(~first).select(
-        (parts[0].cast("long") - 1).alias("feature_pos"),
-        (parts[1].cast("long") - 1).alias("entity_pos"),
-        parts[2].cast("double").alias("cnt"),
-    )
-    if verify:
-        seen = entries.agg(
-            F.count(F.lit(1)).alias("n"),
-            F.count_if(
-                ~F.col("feature_pos").between(0, n_features - 1) | ~F.col("entity_pos").between(0, n_entities - 1)
-            ).alias("outside"),
-        ).first()
-        if seen["n"] != n_entries or seen["outside"]:
-            raise CheckFailed(f"{path}: {seen['n']} entries ({seen['outside']} outside), size line says {n_entries}")
-    return entries
+    return stored_coordinates(spark, path, verify)[0]
 
 
 def write_coordinates(entries: DataFrame, path: str, n_features: int, n_entities: int) -> None:

@@ -247,3 +247,29 @@ def test_sha256_goes_on_from_a_state():
         h.update(data[a:b])
         state = h.state()
     assert digests.digest_of(state) == hashlib.sha256(data).digest()
+
+
+def test_coordinate_text_is_scanned_once(spark, folder):
+    """Every use of the entries, and the size line, came from another scan of the text."""
+    lines = "% made by hand\n\n  3 4 5  \n1 1 5\n2\t1 1\n 3   4 \t7\n3 4 5\n2 2 3\n"
+    path = put(folder, "m.mtx", lines)
+    entries, size = readers.stored_coordinates(spark, path)
+    put(folder, "m.mtx", "1 1 1\n1 1 99\n")
+    assert size == (3, 4, 5)
+    assert sorted(tuple(r) for r in entries.collect()) == [(0, 0, 5.0), (1, 0, 1.0), (1, 1, 3.0), (2, 3, 5.0), (2, 3, 7.0)]
+    os.makedirs(f"{folder}/parts")
+    put(folder, "parts/a", "% only a comment\n")
+    put(folder, "parts/b", "2 2 1\n")
+    put(folder, "parts/c", "2 2 1\n")
+    assert [tuple(r) for r in readers.read_coordinates(spark, f"{folder}/parts").collect()] == [(1, 1, 1.0)]
+    assert readers.coordinate_size(spark, f"{folder}/parts") == (2, 2, 1)
+    put(folder, "none.mtx", "% nothing\n")
+    with pytest.raises(CheckFailed):
+        readers.coordinate_size(spark, f"{folder}/none.mtx")
+
+
+def test_fingerprint_adds_parts_of_row_digests(spark):
+    rows = [(f"e{i}", i % 3) for i in range(500)]
+    found = digests.fingerprint(spark.createDataFrame(rows, "s string, i int")).first()
+    texts = [hashlib.sha256(f"{len(str(i))}={i}|{len(s)}={s}".encode()).hexdigest() for s, i in rows]
+    assert found["checksum"] == ":".join(str(sum(int(t[at:at + 15], 16) for t in texts)) for at in (0, 15, 30, 45))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from probeloom.functions.scalars import SPLITS, merged_object, text_of
+from probeloom.functions.scalars import SPLITS, merged_object, round_floats, text_of
 from probeloom.operators import checks, features, groups, panels, split
 from probeloom.operators.ranking import rank_rows
 from probeloom.plans import reports
@@ -280,7 +280,7 @@ def transformed_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     return transformed_vectors(spark, sf_dir).select(
         "entity_id", "split", F.posexplode("vec").alias("out_pos", "value")
     ).select("entity_id", "split", F.col("out_pos").cast("long").alias("out_pos"),
-             F.round(F.col("value").cast("double"), 4).alias("value"))
+             round_floats(F.col("value"), 4).alias("value"))
 
 
 def fold_stats(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -108,3 +108,15 @@ def merged_object(a: Column, b: Column) -> Column:
     both = F.array_sort(F.concat(F.filter(own, lambda e: ~F.array_contains(names, e["key"])), last))
     body = F.array_join(F.transform(both, lambda e: F.concat(F.lit('"'), F.replace(F.replace(e["key"], F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('":'), e["value"])), ",")
     return F.concat(F.lit("{"), body, F.lit("}"))
+
+
+def round_floats(x: Column, decimals: int) -> Column:
+    """``round(double(x), decimals)`` of a float column without the decimals that ``round`` makes of every value.
+
+    For up to six decimals a float times a power of ten is exact in a double, so halves are seen as they
+    are and go away from zero; the quotient is the double nearest to the decimal number, as of ``round``.
+    Values that do not fit (NaN, infinite, 2^30 and more) take ``round`` itself.
+    """
+    v, power = x.cast("float").cast("double"), F.lit(float(10 ** decimals))
+    whole = F.floor(F.abs(v) * power + F.lit(0.5))
+    return F.when(F.abs(v) < F.lit(float(1 << 30)), F.when(v < 0, -whole).otherwise(whole) / power).otherwise(F.round(v, decimals))

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from probeloom.functions.scalars import round_floats
 from probeloom.operators import features, groups
 from probeloom.operators.checks import CheckFailed
 from probeloom.operators.panels import align_vectors, map_panel, panel_coverage, restrict_panel
@@ -133,3 +134,17 @@ def test_folds_need_four_groups(spark, entities):
     folds = groups.group_folds(entities)
     assert folds.count() == 4 * N
     assert folds.filter("(role = 'hold') <> (grp = outer_grp)").isEmpty()
+
+
+def test_round_floats_equals_round(spark):
+    """Halves (odd multiples of 1/32 at four decimals), neighbours of halves, signs, zeros and values out of range."""
+    rng = np.random.default_rng(8)
+    halves = np.arange(-2001, 2001, 2) / 32
+    near = np.nextafter(halves.astype(np.float32), np.float32(9e9))
+    x = np.concatenate([halves, near, rng.normal(size=4000) * 10.0 ** rng.integers(-8, 6, 4000), [0.0, -0.0, -1e-6, 1e-30, 3e9, -1e20, np.inf, -np.inf, np.nan]])
+    df = spark.createDataFrame([(float(v),) for v in x.astype(np.float32)], "x float").union(spark.createDataFrame([(None,)], "x float"))
+    for decimals in (2, 4, 6):
+        pairs = df.select(round_floats(F.col("x"), decimals), F.round(F.col("x").cast("double"), decimals)).collect()
+        assert len(pairs) == len(x) + 1 and all(repr(a) == repr(b) for a, b in pairs)
+    plan = df.select(round_floats(F.col("x"), 4))._jdf.queryExecution().executedPlan().toString()
+    assert "floor" in plan.lower()

@@ -1,5 +1,6 @@
 """Substring, byte-string, exact and near deduplication against plain versions."""
 
+import random
 import re
 from collections import Counter
 from hashlib import sha256
@@ -66,6 +67,31 @@ def test_byte_strings_match_plain_version(docs, rows):
         assert got == Counter((i, n, k, tuple(s)) for (i, _), (n, k, s) in zip(rows, plain))
 
 
+def test_registered_byte_query_on_planted_passages(spark, folder, monkeypatch):
+    """The query itself over many bundles and shards; passages of over 50 words go if they hold 400 bytes, from every holder."""
+    monkeypatch.setattr(suffix_dedup, "BUNDLE_BYTES", 8000)
+    monkeypatch.setattr(suffix_dedup, "SHARD_BYTES", 4000)
+    rng = random.Random(11)
+    rows, long, short = [], set(), set()
+    for i in range(60):
+        rows.append((i, " ".join(f"w{rng.randrange(10 ** 6)}" for _ in range(rng.randrange(40, 200)))))
+    for p in range(12):
+        n, width = (rng.randrange(51, 66), 10) if p % 2 else (rng.randrange(70, 120), 10 ** 5)
+        passage = " ".join(f"{rng.choice('abcdefgh')}{rng.randrange(width)}" for _ in range(n))
+        held = range(5 * p, 5 * p + 3)
+        (short if len(passage.encode()) < 390 else long).update(held)
+        for i in held:
+            cut = rows[i][1].index(" ") + 1
+            rows[i] = (i, f"{rows[i][1][:cut]}{passage} {rows[i][1][cut:]}")
+    assert long and short
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{folder}/documents.parquet")
+    found = suffix_dedup.op6_suffix_dedup(spark, folder).collect()
+    plain = brute.strings([t for _, t in rows], 400)
+    assert Counter(map(tuple, found)) == Counter(
+        (i, n, sum(length for _, length in spans), len(spans), sha256(kept).hexdigest()) for (i, _), (n, kept, spans) in zip(rows, plain))
+    assert {r["doc_id"] for r in found if r["n_removed"]} == long
+
+
 def test_exact_groups(docs, rows):
     texts = [re.sub(brute.WHITE, " ", t or "") for _, t in rows]
     size = Counter(texts)
